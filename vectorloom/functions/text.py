@@ -42,10 +42,11 @@ def hashed_token_codes(tokens, dimension: int) -> Column:
     """
     d = int(dimension)
 
-    def code(t):
-        h = F.md5(t)
+    def code(h):
         bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % d
-        sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
+        # hex digits 0-7 sort below '8'; 8, 9 and a-f do not
+        sign = F.when(F.substring(h, 9, 1) < F.lit("8"), 1).otherwise(-1)
         return (sign * (bucket + 1)).cast("int")
 
-    return F.transform(_col(tokens), code)
+    # md5 once per token: the inner transform binds the digest to a variable
+    return F.transform(F.transform(_col(tokens), lambda t: F.md5(t)), code)

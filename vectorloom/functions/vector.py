@@ -58,10 +58,26 @@ def truncate(v, dimension: int) -> Column:
     return F.slice(_col(v), 1, int(dimension))
 
 
+def _scale_by_norm(v, finish) -> Column:
+    """One pass for the sum of squares, then ``finish(v, norm)`` once per row.
+
+    The norm is bound as the accumulator of ``aggregate`` and handed to the
+    finishing lambda, so it is computed once per vector. Writing
+    ``transform(v, x -> x / l2_norm(v))`` instead re-evaluates the norm for
+    every element: O(d^2) per row, and O(d^3) when such calls nest.
+    """
+    c = _col(v)
+    return F.aggregate(c, F.lit(0.0).cast("double"),
+                       lambda acc, x: acc + x.cast("double") * x.cast("double"),
+                       lambda acc: finish(c, F.sqrt(acc)))
+
+
 def normalize(v, eps: float = NORM_EPS) -> Column:
     """Divide by the (clamped) L2 norm; result is ``array<float>``."""
-    norm = F.greatest(l2_norm(v), F.lit(eps))
-    return F.transform(_col(v), lambda x: (x.cast("double") / norm).cast("float"))
+    def finish(c, norm):
+        denom = F.greatest(norm, F.lit(eps))
+        return F.transform(c, lambda x: (x.cast("double") / denom).cast("float"))
+    return _scale_by_norm(v, finish)
 
 
 def renormalize(v) -> Column:
@@ -70,8 +86,9 @@ def renormalize(v) -> Column:
     This is the already-unit-vector path of the second backend, which divides
     by a zero norm; a null is returned instead of NaN (deviation).
     """
-    norm = l2_norm(v)
-    return F.when(norm > 0, F.transform(_col(v), lambda x: (x.cast("double") / norm).cast("float")))
+    def finish(c, norm):
+        return F.when(norm > 0, F.transform(c, lambda x: (x.cast("double") / norm).cast("float")))
+    return _scale_by_norm(v, finish)
 
 
 def preview_head(v, n: int) -> Column:

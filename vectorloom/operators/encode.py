@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.text import hashed_token_codes, truncate_tokens, whitespace_tokens
 from vectorloom.functions.vector import NORM_EPS
+from vectorloom.sources.tables import spread
 
 log = logging.getLogger("vectorloom.encode")
 
@@ -118,7 +119,7 @@ def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
             mat = _postprocess(np.concatenate(parts, axis=0), native, dim, normalize)
             yield pd.DataFrame({key: pdf[key].values, out: list(mat)})
 
-    return df.select(key, text_col).mapInPandas(run, f"{key} long, {out} array<float>")
+    return spread(df.select(key, text_col), key).mapInPandas(run, f"{key} long, {out} array<float>")
 
 
 def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
@@ -155,7 +156,7 @@ def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str =
             yield pd.DataFrame(rows, columns=["task_id", "batch_no", "rows", "elapsed_ns", "rss_growth_kb"])
 
     schema = "task_id int, batch_no long, rows long, elapsed_ns long, rss_growth_kb long"
-    return df.select(key, text_col).mapInPandas(run, schema)
+    return spread(df.select(key, text_col), key).mapInPandas(run, schema)
 
 
 def encode_hashed(df: DataFrame, dimension: int = 64, text_col: str = "text", key: str = "doc_id",
@@ -170,7 +171,8 @@ def encode_hashed(df: DataFrame, dimension: int = 64, text_col: str = "text", ke
     d = int(dimension)
     carry = list(carry or [])
     codes = hashed_token_codes(truncate_tokens(whitespace_tokens(text_col), max_length), d)
-    staged = df.select(F.col(key).cast("long").alias(key), codes.alias("_codes"), *carry)
+    narrow = spread(df.select(F.col(key).cast("long").alias(key), F.col(text_col), *carry), key)
+    staged = narrow.select(key, codes.alias("_codes"), *carry)
     extra_schema = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
 
     def scatter(batches):
