@@ -89,7 +89,18 @@ def fit_head(train: DataFrame, test: DataFrame, num_classes: int, features: str
 
     lr = LogisticRegression(family="multinomial", regParam=0.0, elasticNetParam=0.0,
                             standardization=False, maxIter=max_iter, tol=1e-6)
-    model = lr.fit(prep(train))
+    # The estimator makes a statistics pass over its input before it builds
+    # (and caches) its training blocks, so an unpersisted input would run the
+    # encoder twice. Encode once: persist for the fit, release afterwards.
+    prepared = prep(train)
+    owned = not train.storageLevel.useMemory and not train.storageLevel.useDisk
+    if owned:
+        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = lr.fit(prepared)
+    finally:
+        if owned:
+            prepared.unpersist()
     scored = model.transform(prep(test))
     return model, scored.select(F.col("label").cast("int").alias("truth"),
                                 F.col("prediction").cast("int").alias("pred"))

@@ -538,16 +538,17 @@ def q_linear_predict(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    from vectorloom.plans.classification import labelled_features
-    return labelled_features(spark, sf_dir, HASH_DIM)
+    """(train features, test features, number of classes), encoded per split."""
+    from vectorloom.plans.classification import split_features
+    frames, k = split_features(spark, sf_dir, HASH_DIM)
+    return frames["train"], frames["test"], k
 
 
 @register("fit_head")
 def q_fit_head(spark, sf_dir):
     """Spark ML head on unit hashed vectors, language as the label; test metrics."""
-    feats, k = _features(spark, sf_dir)
-    model, preds = C.fit_head(feats.where(F.col("split") == "train"), feats.where(F.col("split") == "test"),
-                              k, "features", "label", max_iter=100)
+    train, test, k = _features(spark, sf_dir)
+    model, preds = C.fit_head(train, test, k, "features", "label", max_iter=100)
     mets = M.classification_metrics(preds)
     summary = model.summary
     return mets.select("*", F.lit(int(summary.totalIterations)).alias("iterations"),
@@ -557,25 +558,23 @@ def q_fit_head(spark, sf_dir):
 @register("loss_curve")
 def q_loss_curve(spark, sf_dir):
     """Ten full-batch Adam steps at the frozen-mode learning rate."""
-    feats, k = _features(spark, sf_dir)
-    return C.loss_curve(feats.where(F.col("split") == "train"), k, HASH_DIM, epochs=10, lr=1e-3)
+    train, _, k = _features(spark, sf_dir)
+    return C.loss_curve(train, k, HASH_DIM, epochs=10, lr=1e-3)
 
 
 @register("sweep_heads")
 def q_sweep_heads(spark, sf_dir):
     """A grid of (lr, epochs) heads trained together, scored on the test split."""
-    feats, k = _features(spark, sf_dir)
+    train, test, k = _features(spark, sf_dir)
     configs = [{"lr": lr, "epochs": ep, "batch_size": 32} for lr in (1e-3, 1e-2, 1e-1) for ep in (3, 10)]
-    return C.sweep_heads(feats.where(F.col("split") == "train"), feats.where(F.col("split") == "test"),
-                         k, HASH_DIM, configs)
+    return C.sweep_heads(train, test, k, HASH_DIM, configs)
 
 
 @register("fit_adapter")
 def q_fit_adapter(spark, sf_dir):
     """Adapter + head, AdamW, three epochs; per-epoch loss with test metrics."""
-    feats, k = _features(spark, sf_dir)
-    curve, preds, trainable = C.fit_adapter(feats.where(F.col("split") == "train"),
-                                            feats.where(F.col("split") == "test"), k, HASH_DIM, epochs=3)
+    train, test, k = _features(spark, sf_dir)
+    curve, preds, trainable = C.fit_adapter(train, test, k, HASH_DIM, epochs=3)
     mets = M.classification_metrics(preds)
     loss = spark.createDataFrame(curve, "epoch int, loss double")
     return _attach(loss, mets.withColumn("trainable_params", F.lit(trainable)))

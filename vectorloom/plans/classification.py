@@ -38,10 +38,18 @@ def vocab_lookup(spark: SparkSession, sf_dir: str):
     return vocab, len(rows), mapping
 
 
-def labelled_features(spark: SparkSession, sf_dir: str, dim: int = 64) -> tuple[DataFrame, int]:
-    """(doc_id, split, label, features) for the whole corpus, unit-norm hashed vectors."""
-    vocab, k, mapping = vocab_lookup(spark, sf_dir)
+def labelled_features(spark: SparkSession, sf_dir: str, dim: int = 64,
+                      splits: list[str] | None = None, vocab_info=None) -> tuple[DataFrame, int]:
+    """(doc_id, split, label, features), unit-norm hashed vectors.
+
+    ``splits`` keeps only those splits, and the filter runs before the
+    encoder: the encoder is opaque to Catalyst, so a filter written after it
+    would encode every document first and throw most of them away.
+    """
+    vocab, k, mapping = vocab_info or vocab_lookup(spark, sf_dir)
     c = corpus(spark, sf_dir)
+    if splits is not None:
+        c = c.where(F.col("split").isin(*splits))
     if mapping is not None:
         labelled = c.withColumn("label", F.element_at(mapping, F.col("lang")).cast("int"))
     else:
@@ -50,12 +58,20 @@ def labelled_features(spark: SparkSession, sf_dir: str, dim: int = 64) -> tuple[
     return l2_normalize(enc, "embedding", "features").drop("embedding"), k
 
 
+def split_features(spark: SparkSession, sf_dir: str, dim: int = 64,
+                   splits=("train", "test")) -> tuple[dict, int]:
+    """One encoded frame per split, sharing one vocabulary lookup."""
+    info = vocab_lookup(spark, sf_dir)
+    frames = {s: labelled_features(spark, sf_dir, dim, [s], info)[0] for s in splits}
+    return frames, info[1]
+
+
 def run_classification(spark: SparkSession, sf_dir: str, train_samples: int = 2000, test_samples: int = 500,
                        dim: int = 64, seed: int = 42, max_iter: int = 100) -> DataFrame:
     """A frozen-mode run: returns its run record (one row)."""
-    feats, k = labelled_features(spark, sf_dir, dim)
-    train = sample_n(feats.where(F.col("split") == "train"), train_samples, "doc_id", seed, with_position=False)
-    test = sample_n(feats.where(F.col("split") == "test"), test_samples, "doc_id", seed, with_position=False)
+    frames, k = split_features(spark, sf_dir, dim)
+    train = sample_n(frames["train"], train_samples, "doc_id", seed, with_position=False)
+    test = sample_n(frames["test"], test_samples, "doc_id", seed, with_position=False)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
     t0 = time.time()
