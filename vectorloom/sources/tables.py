@@ -70,6 +70,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     On a real table of many files and row groups this is a no-op: no
     shuffle is added where the scan is already wide.
     """
+    if df.isStreaming:
+        return df  # each micro-batch is planned on its own; nothing to count
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
