@@ -125,3 +125,23 @@ def test_write_report_sheets(spark):
     assert spark.read.parquet(out["peak_mem_gb"]).count() == 0
     assert spark.read.parquet(out["raw_results"]).count() == 1
     assert local_dir_of(out["raw_results"])
+
+
+def test_read_runs_accepts_indented_files_and_short_fractions(spark, tmp_path):
+    d = tmp_path / "runs"
+    d.mkdir()
+    (d / "a.json").write_text('{\n  "run_id": "a",\n  "status": "success",\n'
+                              '  "started_at": "2024-01-02T03:04:05.123"\n}\n')
+    (d / "b.json").write_text('{\n  "run_id": "b",\n  "status": "failed",\n'
+                              '  "started_at": "2024-01-02T03:04:05"\n}\n')
+    rows = {r["run_id"]: r["started_at"] for r in RU.read_runs(spark, str(d), multi_line=True).collect()}
+    assert rows["a"] == dt.datetime(2024, 1, 2, 3, 4, 5, 123000)
+    assert rows["b"] == dt.datetime(2024, 1, 2, 3, 4, 5)
+
+
+def test_write_runs_keeps_microseconds(spark):
+    ts = dt.datetime(2024, 1, 2, 3, 4, 5, 101046)
+    runs = spark.createDataFrame([("1", "success", ts)], "run_id string, status string, started_at timestamp_ntz")
+    path = scratch_path(spark, "runs-us")
+    RU.write_runs(runs, path)
+    assert RU.read_runs(spark, path).first()["started_at"] == ts

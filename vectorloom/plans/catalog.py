@@ -214,13 +214,18 @@ def _runs_roundtrip(spark, sf_dir):
     return RU.read_runs(spark, path, RU.EMBEDDING_RUN_SCHEMA)
 
 
-@register("read_runs")
+@register("read_runs", _RUNS + """
+SELECT run_id, model_size, backend, device, requested_dimension, num_samples, batch_size, max_length,
+       actual_num_samples, native_hidden_size, output_dimension, embed_generation_time_sec,
+       throughput_samples_per_sec, mean_l2_norm, std_l2_norm, peak_mem_gb, status, error, started_at
+FROM emb_runs""")
 def q_read_runs(spark, sf_dir):
     """Run records written as a JSON table and read back with an explicit schema."""
     return _runs_roundtrip(spark, sf_dir)
 
 
-@register("write_runs")
+@register("write_runs", _RUNS + """
+SELECT status, count(*) AS n_rows FROM emb_runs GROUP BY status""")
 def q_write_runs(spark, sf_dir):
     """Write (partitioned by status), then count what landed per partition."""
     back = _runs_roundtrip(spark, sf_dir)

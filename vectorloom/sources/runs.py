@@ -194,6 +194,12 @@ def classification_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- JSON files
 
+# The JSON writer's default timestamp format keeps milliseconds only; run
+# records keep the microseconds they were created with. Reading accepts 1 to
+# 6 fraction digits, or none, so records written elsewhere still parse.
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+TIMESTAMP_READ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
 def write_runs(df: DataFrame, path: str, mode: str = "append", keep_nulls: bool = True) -> str:
     """Write run records as one JSON table partitioned by status.
 
@@ -203,6 +209,8 @@ def write_runs(df: DataFrame, path: str, mode: str = "append", keep_nulls: bool
     """
     (df.write.mode(mode).partitionBy("status")
        .option("ignoreNullFields", str(not keep_nulls).lower())
+       .option("timestampNTZFormat", TIMESTAMP_FORMAT)
+       .option("timestampFormat", TIMESTAMP_FORMAT + "XXX")
        .json(path))
     return path
 
@@ -216,7 +224,9 @@ def read_runs(spark: SparkSession, path: str, schema: T.StructType = EMBEDDING_R
     ``multi_line`` for the one-indented-object-per-file layout. Nested
     folders other than ``key=value`` partitions are not descended into.
     """
-    reader = spark.read.schema(schema)
+    reader = (spark.read.schema(schema)
+                   .option("timestampNTZFormat", TIMESTAMP_READ_FORMAT)
+                   .option("timestampFormat", TIMESTAMP_READ_FORMAT + "[XXX]"))
     if multi_line:
         reader = reader.option("multiLine", True)
     try:
