@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -38,9 +39,40 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_scratch(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vectorloom`` importable in the Python workers, once per application.
+
+    Task closures (encoders, gradient partials, scatter functions) refer to
+    functions of this package by module, so every executor must be able to
+    import it. The package is zipped on the driver and added with
+    ``addPyFile``, the same mechanism as ``spark-submit --py-files``: Spark
+    serves the file and puts it on each worker's path.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, archive = tempfile.mkstemp(prefix="vectorloom-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def ensure_scratch(spark: SparkSession) -> str:
     """Return the checkpoint folder, creating one only for local sessions."""
     sc = spark.sparkContext
