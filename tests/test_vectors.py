@@ -101,3 +101,19 @@ def test_effective_dimension(spark):
 
 def test_math_constant():
     assert V.NORM_EPS == 1e-12 and math.isclose(math.log(10), 2.302585, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("width", [1, 64, 1024])
+def test_arrow_engine_equals_jvm(spark, width):
+    rows = [(i, [float((i * 7 + j) % 11 - 5) for j in range(width)]) for i in range(40)]
+    rows += [(100, [0.0] * width), (101, None), (102, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    jvm = {r["vec_id"]: r["embedding"] for r in VO.l2_normalize(df).collect()}
+    arrow = {r["vec_id"]: r["embedding"] for r in VO.l2_normalize(df, engine="arrow").collect()}
+    assert jvm == arrow
+    side = VO.l2_normalize(df, out="unit", engine="arrow")
+    assert side.columns == ["vec_id", "embedding", "unit"]
+    a = {r["vec_id"]: r["unit"] for r in side.collect()}
+    assert a == jvm
+    t = {r["vec_id"]: r["embedding"] for r in VO.truncate_normalize(df, 8, engine="arrow").collect()}
+    assert t == {r["vec_id"]: r["embedding"] for r in VO.truncate_normalize(df, 8).collect()}
