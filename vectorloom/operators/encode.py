@@ -109,17 +109,22 @@ def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
     native = encoder.native_dim
 
     def run(batches):
-        import pandas as pd
-        model = encoder.load()
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
+        import pyarrow as pa
+        model = encoder.load()  # once per task, then reused for every batch
+        for rb in batches:
+            texts = rb.column(1).to_pylist()
             parts = [model(texts[s:s + batch_size]) for s in range(0, len(texts), batch_size)]
             if not parts:
                 continue
-            mat = _postprocess(np.concatenate(parts, axis=0), native, dim, normalize)
-            yield pd.DataFrame({key: pdf[key].values, out: list(mat)})
-
-    return spread(df.select(key, text_col), key).mapInPandas(run, f"{key} long, {out} array<float>")
+            mat = np.ascontiguousarray(_postprocess(np.concatenate(parts, axis=0), native, dim, normalize))
+            n, d = mat.shape
+            # the matrix becomes the list column directly: no per-row objects
+            offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int64))
+            vec = pa.LargeListArray.from_arrays(offsets, pa.array(mat.ravel(), type=pa.float32()))
+            yield pa.RecordBatch.from_arrays([rb.column(0), vec.cast(pa.list_(pa.float32()))], names=[key, out])
+
+    staged = spread(df.select(F.col(key).cast("long").alias(key), F.col(text_col)), key)
+    return staged.mapInArrow(run, f"{key} long, {out} array<float>")
 
 
 def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
