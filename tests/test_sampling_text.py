@@ -31,6 +31,23 @@ def test_partition_independence(spark, sf_dir, parts):
     assert a == b
 
 
+def test_bucket_positions_equal_range_sort_positions(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id")
+    fast = {r["doc_id"]: r["position"] for r in S.seeded_position(docs, "doc_id", 7).collect()}
+    keyed = docs.withColumn("sort_key", S.seeded_key("doc_id", 7))
+    slow = {r["doc_id"]: r["position"] for r in S.global_position(keyed, ["sort_key", "doc_id"]).collect()}
+    assert fast == slow
+
+
+def test_large_n_cut_without_positions_keeps_the_same_rows(spark, sf_dir, monkeypatch):
+    docs = _docs(spark, sf_dir).select("doc_id")
+    n = docs.count() // 2 + 1
+    monkeypatch.setattr(S, "TOPK_MAX", 10)
+    ranked = {r["doc_id"] for r in S.sample_n(docs, n, "doc_id").collect()}
+    cut = {r["doc_id"] for r in S.sample_n(docs, n, "doc_id", with_position=False).collect()}
+    assert ranked == cut and len(cut) == n
+
+
 def test_sample_is_clamped_and_reports_shortfall(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id")
     n = docs.count()

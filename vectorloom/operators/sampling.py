@@ -2,7 +2,8 @@
 
 Order is ``md5('<seed>:<id>'), id``: a permutation that does not depend on
 partitioning. Positions are global row numbers in that order, computed
-without ever putting the corpus in one partition (see ``global_position``).
+without ever putting the corpus in one partition: ``seeded_position`` for
+the seeded (md5) order, ``global_position`` for any other total order.
 """
 
 from __future__ import annotations
@@ -51,10 +52,47 @@ def global_position(df: DataFrame, order_by, name: str = "position") -> DataFram
                   .drop("_vl_pid", "_vl_mid", "_vl_off"))
 
 
+def _bucket_offsets(keyed: DataFrame) -> DataFrame:
+    """(bucket, rows before it, rows up to and including it), per non-empty bucket.
+
+    Counting is a partial aggregation (one row per bucket per task leaves
+    the map side), and the result has at most 16**BUCKET_DIGITS rows, so
+    the running total is a window over that small table only.
+    """
+    counts = keyed.groupBy("_vl_bucket").agg(F.count(F.lit(1)).alias("_vl_n"))
+    upto = Window.orderBy("_vl_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    return (counts.withColumn("_vl_after", F.sum("_vl_n").over(upto))
+                  .select("_vl_bucket", (F.col("_vl_after") - F.col("_vl_n")).alias("_vl_before"), "_vl_after"))
+
+
+def _rank_in_buckets(keyed: DataFrame, offsets: DataFrame, id_col: str, name: str) -> DataFrame:
+    """Bucket offset + row number inside the bucket = global position."""
+    in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col)
+    return (keyed.join(F.broadcast(offsets), "_vl_bucket")
+                 .withColumn(name, (F.col("_vl_before") + F.row_number().over(in_bucket) - 1).cast("long")))
+
+
+def seeded_position(df: DataFrame, id_col: str, seed: int = 42, name: str = "position") -> DataFrame:
+    """Position of every row in the seed's permutation, with no checkpoint.
+
+    The key is an md5 hex string, so its first BUCKET_DIGITS digits name a
+    bucket, buckets are uniform for distinct ids, and bucket order is key
+    order. Pass 1 counts rows per bucket (reading only the id column when
+    nothing else is needed); the offsets (at most 65,536 rows) are
+    broadcast. Pass 2 ranks rows inside their bucket, a window partitioned
+    by bucket. Both numbers are functions of the data, not of the
+    partitioning, so a retried task recomputes the same positions. Rows that
+    tie on the whole key (a repeated id) may swap positions among themselves.
+    """
+    keyed = (df.withColumn("sort_key", seeded_key(id_col, seed))
+               .withColumn("_vl_bucket", hex_prefix_value("sort_key", BUCKET_DIGITS)))
+    offsets = _bucket_offsets(keyed).select("_vl_bucket", "_vl_before")
+    return _rank_in_buckets(keyed, offsets, id_col, name).drop("_vl_bucket", "_vl_before")
+
+
 def seeded_order(df: DataFrame, id_col: str, seed: int = 42, name: str = "position") -> DataFrame:
     """Every row with its position in the seed's permutation."""
-    keyed = df.withColumn("sort_key", seeded_key(id_col, seed))
-    return global_position(keyed, ["sort_key", id_col], name)
+    return seeded_position(df, id_col, seed, name)
 
 
 def _rank_small(df: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -77,21 +115,19 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, name: str = "po
     if n <= TOPK_MAX:
         top = keyed.orderBy("sort_key", id_col).limit(n)
         return _rank_small(top, id_col, name) if with_position else top
-    bucket = hex_prefix_value("sort_key", BUCKET_DIGITS)
-    keyed = keyed.withColumn("_vl_bucket", bucket)
-    counts = keyed.groupBy("_vl_bucket").agg(F.count(F.lit(1)).alias("_vl_n"))
-    upto = Window.orderBy("_vl_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (counts.withColumn("_vl_after", F.sum("_vl_n").over(upto))
-                 .withColumn("_vl_before", F.col("_vl_after") - F.col("_vl_n"))
-                 .where(F.col("_vl_before") < n))
-    joined = keyed.join(F.broadcast(cum.select("_vl_bucket", "_vl_before", "_vl_after")), "_vl_bucket")
+    keyed = keyed.withColumn("_vl_bucket", hex_prefix_value("sort_key", BUCKET_DIGITS))
+    cum = _bucket_offsets(keyed).where(F.col("_vl_before") < n)
+    if with_position:
+        # every kept row needs its rank: rank inside the kept buckets, cut at n
+        ranked = _rank_in_buckets(keyed, cum.select("_vl_bucket", "_vl_before"), id_col, name)
+        return ranked.where(F.col(name) < n).drop("_vl_bucket", "_vl_before")
+    joined = keyed.join(F.broadcast(cum), "_vl_bucket")
     whole = joined.where(F.col("_vl_after") <= n)
     straddle = joined.where(F.col("_vl_after") > n)
     in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col)
     cut = (straddle.withColumn("_vl_r", F.row_number().over(in_bucket))
                    .where(F.col("_vl_before") + F.col("_vl_r") <= n).drop("_vl_r"))
-    taken = whole.unionByName(cut).drop("_vl_bucket", "_vl_before", "_vl_after")
-    return global_position(taken, ["sort_key", id_col], name) if with_position else taken
+    return whole.unionByName(cut).drop("_vl_bucket", "_vl_before", "_vl_after")
 
 
 def sample_shortfall(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:

@@ -1,7 +1,7 @@
 """Text and batch preparation T1-T5.
 
 Batches are consecutive slices of ``batch_size`` over the seeded order.
-The position comes from ``global_position`` (never an unpartitioned window),
+The position comes from ``seeded_position`` (never an unpartitioned window),
 and the per-batch maximum length is a window partitioned by batch id, whose
 groups hold at most ``batch_size`` rows.
 """
