@@ -200,10 +200,9 @@ FROM (SELECT r.run_id, r.backend, e.event_type = 'click' AS event_type_is_click
 def q_backend_default(spark, sf_dir):
     """Records from ``click`` events predate the backend key (absent);
     signups carry an explicit null. Only the absent key defaults to torch."""
-    runs = RU.embedding_runs(spark, sf_dir)
-    ev = read_table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("run_id"),
-                                                   (F.col("event_type") == "click").alias("_old"))
-    js = RU.runs_as_json_text(runs.join(ev, "run_id").drop("started_at"), absent_when=F.col("_old"))
+    runs = RU.embedding_runs(spark, sf_dir, carry=("event_type",))
+    record = [c for c in runs.columns if c not in ("started_at", "event_type")]
+    js = RU.runs_as_json_text(runs, absent_when=F.col("event_type") == "click", columns=record)
     return js.select("run_id", RU.resolve_backend_default(F.col("json")).alias("backend"))
 
 

@@ -106,9 +106,15 @@ def effective_dimension(requested: Column, native: Column) -> Column:
              .otherwise(F.least(as_int, native)))
 
 
-def embedding_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding-generation run records derived from ``events`` (one per event)."""
+def embedding_runs(spark: SparkSession, sf_dir: str, carry: tuple = ()) -> DataFrame:
+    """Embedding-generation run records derived from ``events`` (one per event).
+
+    ``carry`` names ``events`` columns to append unchanged, so a caller that
+    needs one (say ``event_type``) gets it from the same scan instead of
+    joining the records back to the table they came from.
+    """
     ev = read_table(spark, sf_dir, "events")
+    carry = list(carry)
     ok = F.col("event_type") != "error"
     model = _pick(MODEL_SIZES, F.col("user_id") % 3)
     dims = _pick(DERIVED_DIMENSIONS, F.expr("(event_id div 2) % 4"))
@@ -121,7 +127,7 @@ def embedding_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 2 == 0, F.lit("cpu")).otherwise(F.lit("cuda")).alias("device"),
         dims.alias("requested_dimension"),
         F.lit(500).cast("int").alias("num_samples"),
-        F.col("value"), ok.alias("_ok"), F.col("props"), F.col("ts"),
+        F.col("value"), ok.alias("_ok"), F.col("props"), F.col("ts"), *carry,
     )
     df = df.select(
         "run_id", "model_size", "backend", "device", "requested_dimension", "num_samples",
@@ -139,6 +145,7 @@ def embedding_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("_ok"), F.lit("success")).otherwise(F.lit("failed")).alias("status"),
         F.when(~F.col("_ok"), F.concat(F.lit("run failed: "), F.col("props"))).alias("error"),
         F.col("ts").alias("started_at"),
+        *carry,
     )
     return df
 
@@ -239,13 +246,15 @@ def read_runs(spark: SparkSession, path: str, schema: T.StructType = EMBEDDING_R
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
-def runs_as_json_text(df: DataFrame, absent_when: Column | None = None, key: str = "backend") -> DataFrame:
+def runs_as_json_text(df: DataFrame, absent_when: Column | None = None, key: str = "backend",
+                      columns: list[str] | None = None) -> DataFrame:
     """Serialise each run record to a JSON string with explicit nulls.
 
     Rows matching ``absent_when`` omit ``key`` entirely, the way records
-    written before that key existed look.
+    written before that key existed look. ``columns`` limits the record to
+    those fields (default: all), so helper columns stay out of the JSON.
     """
-    cols = [c for c in df.columns]
+    cols = list(columns) if columns is not None else list(df.columns)
     full = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     if absent_when is None:
         return df.select("run_id", full.alias("json"))
