@@ -49,3 +49,10 @@ def test_telemetry_rows(spark, sf_dir):
     assert total == docs.count()
     res = M.task_resources(tel).first()
     assert res["rows"] == total and res["busy_sec"] >= 0
+
+
+def test_align_pairs_by_key_and_drops_unmatched(spark):
+    truth = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, truth int")
+    pred = spark.createDataFrame([(3, 1), (1, 1), (9, 0)], "doc_id long, pred int")
+    got = sorted(tuple(r) for r in M.align(truth, pred, "doc_id").select("doc_id", "truth", "pred").collect())
+    assert got == [(1, 0, 1), (3, 1, 1)]

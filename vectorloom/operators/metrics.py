@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 
 def align(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
-    """M5: pair truth and prediction by key (inner equi-join)."""
+    """M5: pair truth and prediction by key (inner equi-join).
+
+    Only for predictions stored apart from their truth. Scoring in this
+    package carries the truth column with each row, which pairs them with
+    no shuffle at all.
+    """
     return truth.join(predictions, key, "inner")
 
 
