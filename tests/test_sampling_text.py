@@ -39,6 +39,17 @@ def test_bucket_positions_equal_range_sort_positions(spark, sf_dir):
     assert fast == slow
 
 
+def test_global_position_with_a_hot_repeated_key(spark):
+    # a third of the rows repeat one whole sort key; positions stay a permutation
+    rows = [("a", i) for i in range(300)] + [("h", 0)] * 300 + [("z", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, r long")
+    got = S.global_position(df, ["k", "r"]).collect()
+    assert sorted(x["position"] for x in got) == list(range(900))
+    by_pos = sorted(got, key=lambda x: x["position"])
+    assert [x["k"] for x in by_pos] == ["a"] * 300 + ["h"] * 300 + ["z"] * 300
+    assert [x["r"] for x in by_pos[:300]] == list(range(300))
+
+
 def test_large_n_cut_without_positions_keeps_the_same_rows(spark, sf_dir, monkeypatch):
     docs = _docs(spark, sf_dir).select("doc_id")
     n = docs.count() // 2 + 1

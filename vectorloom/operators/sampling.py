@@ -30,15 +30,20 @@ def _cols(cols) -> list[Column]:
 def global_position(df: DataFrame, order_by, name: str = "position") -> DataFrame:
     """0-based global row number of each row in ``order_by`` order.
 
-    Plan: range-partitioned sort (splits even a hot key prefix, because the
-    order must be total), each row tagged with its partition and in-partition
+    Plan: range-partitioned sort (splits even a hot key prefix, and, with the
+    input row id as the last tie-break, even rows that repeat the whole key),
+    each row tagged with its partition and in-partition
     index, then written as a checkpoint so both passes read identical
     partitions. Partition sizes (one row per partition) are summed into
     offsets, broadcast (bounded by the partition count) and added back. No
     step holds more than one partition.
     """
     ensure_scratch(df.sparkSession)
-    ordered = df.orderBy(*_cols(order_by))
+    # Last tie-break: the row's id in the input. Copies that tie on the whole
+    # key then still spread over range partitions instead of one task.
+    ordered = (df.withColumn("_vl_in", F.monotonically_increasing_id())
+                 .orderBy(*_cols(order_by), F.col("_vl_in"))
+                 .drop("_vl_in"))
     tagged = (ordered
               .withColumn("_vl_pid", F.spark_partition_id())
               .withColumn("_vl_mid", F.monotonically_increasing_id())
