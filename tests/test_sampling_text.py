@@ -50,6 +50,27 @@ def test_global_position_with_a_hot_repeated_key(spark):
     assert [x["r"] for x in by_pos[:300]] == list(range(300))
 
 
+def test_seeded_positions_with_a_hot_repeated_id(spark, monkeypatch):
+    # one id repeated as often as all others together makes its bucket hot
+    rows = [(i,) for i in range(400)] + [(7,)] * 400
+    df = spark.createDataFrame(rows, "doc_id long")
+    keyed = df.withColumn("sort_key", S.seeded_key("doc_id", 42))
+    want = [r["doc_id"] for r in keyed.orderBy("sort_key", "doc_id").collect()]
+    calls = []
+    real = S.global_position
+    monkeypatch.setattr(S, "global_position", lambda *a, **k: calls.append(1) or real(*a, **k))
+    monkeypatch.setattr(S, "HOT_BUCKET_ROWS", 50)
+    got = S.seeded_position(df, "doc_id").collect()
+    assert calls, "the hot bucket should be ranked by the range sort"
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want
+    monkeypatch.setattr(S, "TOPK_MAX", 10)
+    for with_position in (True, False):
+        taken = S.sample_n(df, 500, "doc_id", with_position=with_position).collect()
+        assert sorted(r["doc_id"] for r in taken) == sorted(want[:500])
+        if with_position:
+            assert sorted(r["position"] for r in taken) == list(range(500))
+
+
 def test_large_n_cut_without_positions_keeps_the_same_rows(spark, sf_dir, monkeypatch):
     docs = _docs(spark, sf_dir).select("doc_id")
     n = docs.count() // 2 + 1

@@ -8,6 +8,7 @@ the seeded (md5) order, ``global_position`` for any other total order.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +19,13 @@ from vectorloom.session import ensure_scratch
 # at most n rows to the final merge, so n must stay small. Larger n use the
 # hash-bucket cut, which never funnels rows through one task.
 TOPK_MAX = 20_000
-# Hex digits of the sort key used as range buckets by the large-n cut:
-# 16**4 = 65,536 buckets, a table small enough to broadcast.
+# Hex digits of the sort key used as buckets by seeded positions and the
+# large-n cut: 16**4 = 65,536 buckets, a table small enough to broadcast.
 BUCKET_DIGITS = 4
+# A bucket is hot (ranked by the range sort, not one window task) when it
+# holds more rows than this and more than HOT_BUCKET_SKEW times the mean.
+HOT_BUCKET_ROWS = 4_000_000
+HOT_BUCKET_SKEW = 8
 
 
 def _cols(cols) -> list[Column]:
@@ -62,12 +67,28 @@ def _bucket_offsets(keyed: DataFrame) -> DataFrame:
 
     Counting is a partial aggregation (one row per bucket per task leaves
     the map side), and the result has at most 16**BUCKET_DIGITS rows, so
-    the running total is a window over that small table only.
+    the running total is a window over that small table only. The result is
+    persisted: it is read once to look for a hot bucket and once as the
+    broadcast side (a lost block is recomputed, to the same numbers).
     """
     counts = keyed.groupBy("_vl_bucket").agg(F.count(F.lit(1)).alias("_vl_n"))
     upto = Window.orderBy("_vl_bucket").rowsBetween(Window.unboundedPreceding, 0)
     return (counts.withColumn("_vl_after", F.sum("_vl_n").over(upto))
-                  .select("_vl_bucket", (F.col("_vl_after") - F.col("_vl_n")).alias("_vl_before"), "_vl_after"))
+                  .select("_vl_bucket", (F.col("_vl_after") - F.col("_vl_n")).alias("_vl_before"), "_vl_after")
+                  .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def _has_hot_bucket(offsets: DataFrame) -> bool:
+    """True when one bucket is too big for one window task.
+
+    With distinct ids md5 buckets are uniform, so this only fires when an id
+    repeats (a group of copies); such a bucket is large and far above the
+    mean bucket.
+    """
+    size = F.col("_vl_after") - F.col("_vl_before")
+    r = offsets.agg(F.max(size).alias("top"), F.avg(size).alias("mean")).first()
+    return (r["top"] is not None and r["top"] > HOT_BUCKET_ROWS
+            and r["top"] > HOT_BUCKET_SKEW * r["mean"])
 
 
 def _rank_in_buckets(keyed: DataFrame, offsets: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -77,6 +98,11 @@ def _rank_in_buckets(keyed: DataFrame, offsets: DataFrame, id_col: str, name: st
                  .withColumn(name, (F.col("_vl_before") + F.row_number().over(in_bucket) - 1).cast("long")))
 
 
+def _keyed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    return (df.withColumn("sort_key", seeded_key(id_col, seed))
+              .withColumn("_vl_bucket", hex_prefix_value("sort_key", BUCKET_DIGITS)))
+
+
 def seeded_position(df: DataFrame, id_col: str, seed: int = 42, name: str = "position") -> DataFrame:
     """Position of every row in the seed's permutation, with no checkpoint.
 
@@ -88,11 +114,16 @@ def seeded_position(df: DataFrame, id_col: str, seed: int = 42, name: str = "pos
     by bucket. Both numbers are functions of the data, not of the
     partitioning, so a retried task recomputes the same positions. Rows that
     tie on the whole key (a repeated id) may swap positions among themselves.
+    If a repeated id makes one bucket hot, the range sort of
+    ``global_position`` ranks instead, which splits even whole-key ties.
     """
-    keyed = (df.withColumn("sort_key", seeded_key(id_col, seed))
-               .withColumn("_vl_bucket", hex_prefix_value("sort_key", BUCKET_DIGITS)))
-    offsets = _bucket_offsets(keyed).select("_vl_bucket", "_vl_before")
-    return _rank_in_buckets(keyed, offsets, id_col, name).drop("_vl_bucket", "_vl_before")
+    keyed = _keyed(df, id_col, seed)
+    offsets = _bucket_offsets(keyed)
+    if _has_hot_bucket(offsets):
+        offsets.unpersist()
+        return global_position(keyed.drop("_vl_bucket"), ["sort_key", id_col], name)
+    return (_rank_in_buckets(keyed, offsets.select("_vl_bucket", "_vl_before"), id_col, name)
+            .drop("_vl_bucket", "_vl_before"))
 
 
 def seeded_order(df: DataFrame, id_col: str, seed: int = 42, name: str = "position") -> DataFrame:
@@ -120,19 +151,30 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, name: str = "po
     if n <= TOPK_MAX:
         top = keyed.orderBy("sort_key", id_col).limit(n)
         return _rank_small(top, id_col, name) if with_position else top
-    keyed = keyed.withColumn("_vl_bucket", hex_prefix_value("sort_key", BUCKET_DIGITS))
-    cum = _bucket_offsets(keyed).where(F.col("_vl_before") < n)
-    if with_position:
+    keyed = _keyed(df, id_col, seed)
+    offsets = _bucket_offsets(keyed)
+    hot = _has_hot_bucket(offsets)
+    cum = offsets.where(F.col("_vl_before") < n)
+    if with_position and not hot:
         # every kept row needs its rank: rank inside the kept buckets, cut at n
         ranked = _rank_in_buckets(keyed, cum.select("_vl_bucket", "_vl_before"), id_col, name)
         return ranked.where(F.col(name) < n).drop("_vl_bucket", "_vl_before")
     joined = keyed.join(F.broadcast(cum), "_vl_bucket")
     whole = joined.where(F.col("_vl_after") <= n)
     straddle = joined.where(F.col("_vl_after") > n)
-    in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col)
-    cut = (straddle.withColumn("_vl_r", F.row_number().over(in_bucket))
-                   .where(F.col("_vl_before") + F.col("_vl_r") <= n).drop("_vl_r"))
-    return whole.unionByName(cut).drop("_vl_bucket", "_vl_before", "_vl_after")
+    if hot:
+        # the straddling bucket may be the hot one: rank it with the range sort
+        local = global_position(straddle.drop("_vl_bucket", "_vl_after"), ["sort_key", id_col], "_vl_r")
+        cut = local.where(F.col("_vl_before") + F.col("_vl_r") < n).drop("_vl_r")
+    else:
+        in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col)
+        cut = (straddle.withColumn("_vl_r", F.row_number().over(in_bucket))
+                       .where(F.col("_vl_before") + F.col("_vl_r") <= n).drop("_vl_r"))
+    taken = (whole.drop("_vl_bucket", "_vl_before", "_vl_after")
+                  .unionByName(cut.drop("_vl_bucket", "_vl_before", "_vl_after")))
+    if with_position:
+        return global_position(taken, ["sort_key", id_col], name)
+    return taken
 
 
 def sample_shortfall(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
