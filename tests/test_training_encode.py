@@ -19,6 +19,16 @@ def test_hashed_encoders_agree(spark, sf_dir):
     assert all(np.allclose(a[k], b[k]) for k in a)
 
 
+def test_encode_carries_columns_through(spark):
+    df = spark.createDataFrame([(1, "a b", 3, "x"), (2, "c", None, "y")],
+                               "doc_id long, text string, label int, tag string")
+    got = {r["doc_id"]: r for r in E.encode(df, E.HashedEncoder(8), carry=["text", "label", "tag"]).collect()}
+    assert (got[1]["text"], got[1]["label"], got[1]["tag"]) == ("a b", 3, "x")
+    assert (got[2]["text"], got[2]["label"], got[2]["tag"]) == ("c", None, "y")
+    plain = {r["doc_id"]: r["embedding"] for r in E.encode(df, E.HashedEncoder(8)).collect()}
+    assert {k: v["embedding"] for k, v in got.items()} == plain
+
+
 def test_encode_empty_input(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert E.encode(empty, E.HashedEncoder(8)).count() == 0

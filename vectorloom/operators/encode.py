@@ -98,15 +98,19 @@ def resolve_dimension(dimension: int | None, native: int) -> int | None:
 
 def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
            batch_size: int = 16, dimension: int | None = None, normalize: bool = False,
-           out: str = "embedding") -> DataFrame:
-    """V1: batched encode; returns (key, embedding array<float>).
+           out: str = "embedding", carry: list[str] | None = None) -> DataFrame:
+    """V1: batched encode; returns (key, embedding array<float>, *carry).
 
+    ``carry`` columns (the text itself, a label) pass through the Arrow
+    batches untouched, so nothing has to be joined back after encoding.
     Empty input gives an empty frame (the reference fails on it).
     """
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
     dim = resolve_dimension(dimension, encoder.native_dim)
     native = encoder.native_dim
+    carry = list(carry or [])
+    extra_schema = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches):
         import pyarrow as pa
@@ -121,10 +125,13 @@ def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
             # the matrix becomes the list column directly: no per-row objects
             offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int64))
             vec = pa.LargeListArray.from_arrays(offsets, pa.array(mat.ravel(), type=pa.float32()))
-            yield pa.RecordBatch.from_arrays([rb.column(0), vec.cast(pa.list_(pa.float32()))], names=[key, out])
+            passed = [rb.column(2 + i) for i in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([rb.column(0), vec.cast(pa.list_(pa.float32())), *passed],
+                                             names=[key, out, *carry])
 
-    staged = spread(df.select(F.col(key).cast("long").alias(key), F.col(text_col)), key)
-    return staged.mapInArrow(run, f"{key} long, {out} array<float>")
+    staged = spread(df.select(F.col(key).cast("long").alias(key), F.col(text_col).alias("_vl_text"),
+                              *carry), key)
+    return staged.mapInArrow(run, f"{key} long, {out} array<float>{extra_schema}")
 
 
 def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",

@@ -2,9 +2,9 @@
 
 ``encode (batch 1, normalised) -> width / norm / min / max / mean / std ->
 head and tail previews -> JSON export``. The reference inspects one text;
-this runs over any frame of texts (filter it to one row to inspect one),
-and every step is per row, so it needs no shuffle beyond the join that puts
-each text back next to its vector.
+this runs over any frame of texts (filter it to one row to inspect one).
+The text travels through the encoder with its key, and the summary and
+the export are one projection: no join and no shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions import vector as V
 from vectorloom.operators.encode import encode
-from vectorloom.sources.export import vector_export
+from vectorloom.sources.export import export_columns
 
 
 def inspect_texts(texts: DataFrame, encoder, dimension: int | None = None, n: int = 10,
@@ -22,11 +22,9 @@ def inspect_texts(texts: DataFrame, encoder, dimension: int | None = None, n: in
                   key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, width, element_type, l2_norm, min/max/mean/std, head, tail, file_name, json)."""
     vecs = encode(texts.select(key, text_col), encoder, text_col, key, batch_size=1,
-                  dimension=dimension, normalize=True)
-    both = vecs.join(texts.select(key, text_col), key)
+                  dimension=dimension, normalize=True, carry=[text_col])
     v = F.col("embedding")
-    exported = vector_export(both, model_size, backend, device, encoder.native_dim, "embedding", text_col, key)
-    summary = both.select(
+    return vecs.select(
         key,
         F.size(v).alias("width"),
         F.lit("float32").alias("element_type"),
@@ -37,5 +35,5 @@ def inspect_texts(texts: DataFrame, encoder, dimension: int | None = None, n: in
         V.vec_std_pop(v).alias("std_value"),
         V.preview_head(v, n).alias("head"),
         V.preview_tail(v, n).alias("tail"),
+        *export_columns(model_size, backend, device, encoder.native_dim, "embedding", text_col),
     )
-    return summary.join(exported, key)

@@ -19,6 +19,12 @@ def export_name(model: Column, width: Column, device: Column) -> Column:
 def vector_export(df: DataFrame, model_size: str, backend: str, device: str, native: int,
                   vector: str = "embedding", text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, file_name, json) with text, model, backend, device label, widths, vector."""
+    return df.select(key, *export_columns(model_size, backend, device, native, vector, text))
+
+
+def export_columns(model_size: str, backend: str, device: str, native: int,
+                   vector: str = "embedding", text: str = "text") -> list[Column]:
+    """The ``file_name`` and ``json`` columns of S7, for use inside any projection."""
     device_label = "mlx" if backend == "mlx" else device
     width = F.size(F.col(vector))
     doc = F.struct(
@@ -30,8 +36,8 @@ def vector_export(df: DataFrame, model_size: str, backend: str, device: str, nat
         width.alias("output_dimension"),
         F.col(vector).alias("vector"),
     )
-    return df.select(key, export_name(F.lit(model_size), width, F.lit(device_label)).alias("file_name"),
-                     F.to_json(doc).alias("json"))
+    return [export_name(F.lit(model_size), width, F.lit(device_label)).alias("file_name"),
+            F.to_json(doc).alias("json")]
 
 
 def write_vectors(exported: DataFrame, path: str) -> str:
