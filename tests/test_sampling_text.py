@@ -121,3 +121,17 @@ def test_left_padding_golden(spark):
     w = X.padding_waste(df, 2).first()
     assert (w["rows"], w["batch_len"], w["real_tokens"], w["padded_tokens"]) == (2, 3, 4, 6)
     assert w["waste"] == pytest.approx(1 / 3)
+
+
+def test_vocabulary_lookup_literal_and_join_agree(spark):
+    from vectorloom.sources.corpus import attach_label, vocab_mapping
+    c = spark.createDataFrame([(1, "train", "fr"), (2, "train", "en"), (3, "test", "zz"), (4, "test", None)],
+                              "doc_id long, split string, lang string")
+    vocab = S.label_vocab(c)
+    k, mapping = vocab_mapping(vocab)
+    assert k == 2 and mapping is not None
+    k_big, none = vocab_mapping(vocab, max_classes=1)
+    assert k_big == 2 and none is None
+    lit = {r["doc_id"]: r["label"] for r in attach_label(c, vocab, mapping).collect()}
+    joined = {r["doc_id"]: r["label"] for r in attach_label(c, vocab, None).collect()}
+    assert lit == joined == {1: 1, 2: 0, 3: None, 4: None}

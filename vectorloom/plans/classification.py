@@ -17,25 +17,13 @@ from vectorloom.operators.encode import encode_hashed
 from vectorloom.operators.sampling import label_vocab, sample_n
 from vectorloom.operators.training import fit_head
 from vectorloom.operators.vectors import l2_normalize
-from vectorloom.sources.corpus import corpus
-
-# Upper bound on the label vocabulary turned into a literal map expression;
-# above it, labels are attached with a join instead.
-MAX_LITERAL_CLASSES = 10_000
-
+from vectorloom.sources.corpus import attach_label, corpus, vocab_mapping
 
 def vocab_lookup(spark: SparkSession, sf_dir: str):
-    """(vocab frame, number of classes, literal map or None).
-
-    The vocabulary is one row per class; it is fetched only up to
-    ``MAX_LITERAL_CLASSES`` rows, so the driver never holds more than that.
-    """
+    """(vocab frame, number of classes, literal map or None); see ``vocab_mapping``."""
     vocab = label_vocab(corpus(spark, sf_dir))
-    rows = vocab.limit(MAX_LITERAL_CLASSES + 1).collect()
-    if len(rows) > MAX_LITERAL_CLASSES:
-        return vocab, vocab.count(), None
-    mapping = F.create_map(*[F.lit(x) for r in rows for x in (r["label_name"], r["label"])]) if rows else None
-    return vocab, len(rows), mapping
+    k, mapping = vocab_mapping(vocab)
+    return vocab, k, mapping
 
 
 def labelled_features(spark: SparkSession, sf_dir: str, dim: int = 64,
@@ -50,10 +38,7 @@ def labelled_features(spark: SparkSession, sf_dir: str, dim: int = 64,
     c = corpus(spark, sf_dir)
     if splits is not None:
         c = c.where(F.col("split").isin(*splits))
-    if mapping is not None:
-        labelled = c.withColumn("label", F.element_at(mapping, F.col("lang")).cast("int"))
-    else:
-        labelled = c.join(vocab, c["lang"] == vocab["label_name"], "left").drop("label_name")
+    labelled = attach_label(c, vocab, mapping)
     enc = encode_hashed(labelled.select("doc_id", "text", "split", "label"), dim, carry=["split", "label"])
     return l2_normalize(enc, "embedding", "features").drop("embedding"), k
 

@@ -21,16 +21,48 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", split_name("doc_id").alias("split"), "text", "lang")
 
 
+# Upper bound on the label vocabulary turned into a literal map expression;
+# above it, labels are attached with a join instead.
+MAX_LITERAL_CLASSES = 10_000
+
+
+def vocab_mapping(vocab: DataFrame, max_classes: int = MAX_LITERAL_CLASSES):
+    """(number of classes, literal map name -> id, or None above the bound).
+
+    The vocabulary (one row per class) is fetched only up to ``max_classes``
+    rows, so the driver never holds more than that; the fetch is what proves
+    the lookup small enough to inline.
+    """
+    rows = vocab.limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        return vocab.count(), None
+    mapping = F.create_map(*[F.lit(x) for r in rows for x in (r["label_name"], r["label"])]) if rows else None
+    return len(rows), mapping
+
+
+def attach_label(c: DataFrame, vocab: DataFrame, mapping, name_col: str = "lang") -> DataFrame:
+    """Add ``label`` (null for a name outside the vocabulary).
+
+    With a literal map the lookup is a projection: the corpus is not
+    shuffled. Above the bound it is a left join that the planner sizes.
+    """
+    if mapping is not None:
+        return c.withColumn("label", F.element_at(mapping, F.col(name_col)).cast("int"))
+    return c.join(vocab, c[name_col] == vocab["label_name"], "left").drop("label_name")
+
+
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 (whole corpus): doc_id, split, text, label id, label name.
 
-    The vocabulary join is many-to-one against a frame with one row per
-    class; AQE turns it into a broadcast join once it sees that size.
+    The label comes from the vocabulary of the full train split. A
+    vocabulary of up to MAX_LITERAL_CLASSES names becomes a literal map, so
+    the corpus (texts included) is never shuffled for the lookup.
     """
     c = corpus(spark, sf_dir)
     vocab = label_vocab(c)
-    return (c.join(vocab, c["lang"] == vocab["label_name"], "left")
-             .select("doc_id", "split", "text", "label", F.col("lang").alias("label_name")))
+    _, mapping = vocab_mapping(vocab)
+    return (attach_label(c, vocab, mapping)
+            .select("doc_id", "split", "text", "label", F.col("lang").alias("label_name")))
 
 
 def load_labelled_sample(spark: SparkSession, sf_dir: str, train_samples: int, test_samples: int,
