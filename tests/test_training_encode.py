@@ -142,3 +142,29 @@ def test_fit_adapter_param_count(spark):
     curve, preds, trainable = C.fit_adapter(df, df, 3, 4, epochs=2)
     assert trainable == 2 * C.ADAPTER_RANK * 4 and len(curve) == 2
     assert preds.count() == df.count()
+
+
+def test_adapter_gradient_matches_finite_differences():
+    rng = np.random.default_rng(1)
+    d, r, k, n = 5, 2, 3, 7
+    shapes = [(r, d), (d, r), (k, d + 1)]
+    flat = rng.normal(size=sum(int(np.prod(s)) for s in shapes)) * 0.3
+    X = rng.normal(size=(n, d))
+    y = rng.integers(0, k, n)
+    keep = (rng.random((n, d)) >= 0.2) / 0.8
+    _, g = C._adapter_grads(flat, shapes, X, y, keep)
+    eps = 1e-6
+    num = np.zeros_like(flat)
+    for i in range(flat.size):
+        e = np.zeros_like(flat)
+        e[i] = eps
+        up = C._adapter_grads(flat + e, shapes, X, y, keep)[0]
+        down = C._adapter_grads(flat - e, shapes, X, y, keep)[0]
+        num[i] = (up - down) / (2 * eps)
+    assert np.allclose(g, num, atol=1e-7)
+
+
+def test_fit_adapter_loss_falls(spark):
+    df = _toy(spark, n=400).repartition(2, "doc_id")
+    curve, _, _ = C.fit_adapter(df, df, 3, 4, epochs=3, lr=0.01)
+    assert [e for e, _ in curve] == [1, 2, 3] and curve[-1][1] < curve[0][1]
