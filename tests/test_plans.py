@@ -35,11 +35,24 @@ def test_generation_record_and_report(spark, sf_dir):
 
 
 def test_classification_record(spark, sf_dir):
-    rec = run_classification(spark, sf_dir, train_samples=100, test_samples=30, dim=32, max_iter=20).first()
+    rec = run_classification(spark, sf_dir, train_samples=100, test_samples=30, dim=32, max_iter=20,
+                             solver="lbfgs").first()
     assert rec["status"] == "success" and rec["actual_train_samples"] == 100
     assert 0.0 <= rec["accuracy"] <= 1.0
 
 
+def test_classification_runs_follow_the_mode_defaults(spark, sf_dir):
+    recs = {m: run_classification(spark, sf_dir, mode=m, train_samples=80, test_samples=20, dim=16).first()
+            for m in ("frozen", "lora", "bogus")}
+    f, a, bad = recs["frozen"], recs["lora"], recs["bogus"]
+    assert (f["epochs"], f["batch_size"], f["lr"]) == (10, 32, 1e-3)
+    assert (a["epochs"], a["batch_size"], a["lr"]) == (3, 8, 2e-4)
+    assert f["status"] == a["status"] == "success" and f["run_id"].endswith("_hashed-64_frozen_spark")
+    assert f["total_time_sec"] == pytest.approx(f["embed_extraction_time_sec"] + f["train_time_sec"])
+    assert a["embed_extraction_time_sec"] is None and a["total_time_sec"] == a["train_time_sec"]
+    assert bad["status"] == "failed" and "Unknown mode" in bad["error"] and bad["accuracy"] is None
+
+
 def test_inspection_one_text(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     one = docs.orderBy("doc_id").limit(1)
