@@ -38,3 +38,18 @@ def test_stream_hashed_encode(spark, sf_dir):
     want = {r["doc_id"]: r["embedding"] for r in
             encode_hashed(spark.read.parquet(table_path(sf_dir, "documents")), 16).collect()}
     assert got == want
+
+
+def test_stream_pluggable_encoder(spark, sf_dir):
+    from vectorloom.operators.encode import HashedEncoder, encode
+    src = local_dir_of(scratch_path(spark, "stream-v1"))
+    os.makedirs(src)
+    shutil.copy(table_path(sf_dir, "documents"), os.path.join(src, "part-0.parquet"))
+    sink = scratch_path(spark, "stream-v1-out")
+    stream = SV.read_stream(spark, src, SCHEMAS["documents"])
+    SV.run_available(SV.encoded_vectors(stream, HashedEncoder(16), dimension=8), sink)
+    got = {r["doc_id"]: r["embedding"] for r in spark.read.parquet(sink).collect()}
+    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    want = {r["doc_id"]: r["embedding"] for r in encode(docs, HashedEncoder(16), dimension=8,
+                                                         normalize=True).collect()}
+    assert got == want

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from vectorloom.operators.encode import encode_hashed
+from vectorloom.operators.encode import encode, encode_hashed
 from vectorloom.operators.vectors import truncate_normalize
 from vectorloom.session import scratch_path
 
@@ -41,6 +41,12 @@ def hashed_vectors(stream: DataFrame, dimension: int = 64, text_col: str = "text
     return encode_hashed(stream, dimension, text_col, key)
 
 
+def encoded_vectors(stream: DataFrame, encoder, dimension: int | None = None, normalize: bool = True,
+                    text_col: str = "text", key: str = "doc_id", batch_size: int = 16) -> DataFrame:
+    """V1 on each arriving document: the pluggable encoder, loaded once per task."""
+    return encode(stream, encoder, text_col, key, batch_size, dimension, normalize)
+
+
 def run_available(processed: DataFrame, sink_path: str, checkpoint: str | None = None,
                   name: str = "vectors") -> str:
     """Process everything available now, write parquet, stop; returns the checkpoint.
