@@ -168,3 +168,12 @@ def test_fit_adapter_loss_falls(spark):
     df = _toy(spark, n=400).repartition(2, "doc_id")
     curve, _, _ = C.fit_adapter(df, df, 3, 4, epochs=3, lr=0.01)
     assert [e for e, _ in curve] == [1, 2, 3] and curve[-1][1] < curve[0][1]
+
+
+def test_hashed_encoder_cache_bound_does_not_change_vectors(monkeypatch):
+    texts = ["a b a c", None, "", "b b  d\ta", "a"]
+    full = E.HashedEncoder(8).load()(texts)
+    monkeypatch.setattr(E, "CODE_CACHE_MAX", 1)
+    tiny = E.HashedEncoder(8).load()(texts)
+    assert np.array_equal(full, tiny) and full.dtype == np.float32 and full.shape == (5, 8)
+    assert not full[1].any()

@@ -33,6 +33,9 @@ from vectorloom.sources.tables import spread
 
 log = logging.getLogger("vectorloom.encode")
 
+# Most distinct tokens one encoder task remembers the hash code of.
+CODE_CACHE_MAX = 1_000_000
+
 # Java's ``\s``: space, tab, newline, vertical tab, form feed, carriage return.
 _WS = re.compile(r"[ \t\n\x0b\f\r]+")
 
@@ -56,20 +59,33 @@ class HashedEncoder:
     def load(self) -> Callable[[list], np.ndarray]:
         d = int(self.dimension)
         limit = self.max_length
+        # Token -> signed code (sign * (bucket + 1)), kept for the life of the
+        # task: words repeat, so most tokens skip the digest. Bounded, so a
+        # task over an open vocabulary never grows it past CODE_CACHE_MAX.
+        cache: dict[str, int] = {}
+
+        def code_of(tok: str) -> int:
+            h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+            c = (int(h[:8], 16) % d + 1) * (1 if int(h[8], 16) < 8 else -1)
+            if len(cache) < CODE_CACHE_MAX:
+                cache[tok] = c
+            return c
 
         def encode(texts: list) -> np.ndarray:
-            out = np.zeros((len(texts), d), dtype=np.float32)
+            rows: list[int] = []
+            codes: list[int] = []
             for i, text in enumerate(texts):
                 if text is None:
                     continue
                 tokens = _WS.split(text.strip(" "))
                 if limit is not None:
                     tokens = tokens[:limit]
-                for tok in tokens:
-                    h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                    bucket = int(h[:8], 16) % d
-                    out[i, bucket] += 1.0 if int(h[8], 16) < 8 else -1.0
-            return out
+                codes.extend([cache.get(t) or code_of(t) for t in tokens])
+                rows.extend([i] * len(tokens))
+            c = np.asarray(codes, dtype=np.int64)
+            flat = np.asarray(rows, dtype=np.int64) * d + (np.abs(c) - 1)
+            out = np.bincount(flat, weights=np.sign(c), minlength=len(texts) * d)
+            return out.reshape(len(texts), d).astype(np.float32)
 
         return encode
 
