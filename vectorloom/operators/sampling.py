@@ -37,11 +37,11 @@ def global_position(df: DataFrame, order_by, name: str = "position") -> DataFram
 
     Plan: range-partitioned sort (splits even a hot key prefix, and, with the
     input row id as the last tie-break, even rows that repeat the whole key),
-    each row tagged with its partition and in-partition
-    index, then written as a checkpoint so both passes read identical
-    partitions. Partition sizes (one row per partition) are summed into
-    offsets, broadcast (bounded by the partition count) and added back. No
-    step holds more than one partition.
+    each row tagged with its partition and in-partition index, then written
+    as a checkpoint so both passes read identical partitions. Partition
+    sizes (one row per partition) are summed into offsets, broadcast
+    (bounded by the partition count) and added back. No step holds more
+    than one partition.
     """
     ensure_scratch(df.sparkSession)
     # Last tie-break: the row's id in the input. Copies that tie on the whole
