@@ -85,7 +85,7 @@ def _reference_loop(X, y, k, epochs, batch_size, lr, seed):
     Xb = np.hstack([X, np.ones((n, 1))])
     losses = []
     for epoch in range(1, epochs + 1):
-        order = np.random.default_rng([seed, epoch, 0]).permutation(n)
+        order = C._row_order(X, y, seed, epoch)
         total = 0.0
         for s in range(0, n, batch_size):
             idx = order[s:s + batch_size]
@@ -115,6 +115,22 @@ def test_minibatch_adam_on_one_partition_is_the_reference_loop(spark):
     assert np.allclose(params[0], W, rtol=0, atol=1e-9)
 
 
+def test_minibatch_adam_ignores_row_arrival_order(spark):
+    df = _toy(spark, n=120)
+    cfg = [{"lr": 0.05, "epochs": 2, "batch_size": 8}]
+    a, _ = C.train_heads(df.orderBy("doc_id").coalesce(1), 3, 4, cfg)
+    b, _ = C.train_heads(df.orderBy(F.col("doc_id").desc()).coalesce(1), 3, 4, cfg)
+    assert np.array_equal(a, b)
+
+
+def test_row_order_is_a_permutation():
+    X = np.random.default_rng(0).normal(size=(50, 3))
+    y = np.arange(50) % 4
+    o = C._row_order(X, y, 42, 1)
+    assert sorted(o.tolist()) == list(range(50))
+    assert not np.array_equal(o, C._row_order(X, y, 42, 2))
+
+
 def test_minibatch_adam_learns_across_partitions(spark):
     df = _toy(spark, n=400).repartition(4, "doc_id")
     curve = C.loss_curve(df, 3, 4, epochs=5, lr=0.05, batch_size=16).orderBy("epoch").collect()

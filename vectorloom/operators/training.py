@@ -111,13 +111,31 @@ def fit_head(train: DataFrame, test: DataFrame, num_classes: int, features: str
 
 # ---------------------------------- C2 / C5: mini-batch Adam, averaged per epoch
 
+def _row_order(X: np.ndarray, y: np.ndarray, seed: int, epoch: int) -> np.ndarray:
+    """The epoch's visiting order of a partition's rows, from their content only.
+
+    Rows are ranked by a seeded hash of their values, so a retried task
+    whose input arrives in another order (a recomputed shuffle) visits the
+    rows in the same order and emits the same result. Identical rows tie and
+    are interchangeable.
+    """
+    rng = np.random.default_rng([seed, epoch])
+    words = np.ascontiguousarray(np.hstack([X, y[:, None]]).astype(np.float64)).view(np.uint64)
+    mult = rng.integers(1, 2 ** 63, size=words.shape[1], dtype=np.uint64) | np.uint64(1)
+    h = (words * mult).sum(axis=1, dtype=np.uint64)  # wraps modulo 2**64
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    return np.argsort(h, kind="stable")
+
+
 def _local_epoch(state_bc, features: str, label: str, seed: int, epoch: int):
     """mapInPandas body: one epoch of mini-batch Adam on this partition's rows.
 
     Every config starts from the broadcast state (params, Adam moments, step
     count) and runs the reference's loop over the partition: rows reshuffled
-    for the epoch (seeded by seed, epoch and partition, so a retried task
-    repeats itself), batches of the config's ``batch_size``, the loss of each
+    for the epoch (``_row_order``: seeded, and a retried task repeats
+    itself), batches of the config's ``batch_size``, the loss of each
     batch taken before its update and weighted by its size. The partition
     emits n-weighted sums of its final params and moments, its loss sum,
     n-weighted step count and n, in long form for Spark to add up.
@@ -125,7 +143,6 @@ def _local_epoch(state_bc, features: str, label: str, seed: int, epoch: int):
     """
     def run(batches):
         import pandas as pd
-        from pyspark import TaskContext
         params, m, v, steps, lrs, sizes, active = state_bc.value
         frames = [pdf for pdf in batches if len(pdf)]
         if not frames:
@@ -135,8 +152,7 @@ def _local_epoch(state_bc, features: str, label: str, seed: int, epoch: int):
         y = pdf[label].to_numpy().astype(np.int64)
         Xb = np.hstack([X, np.ones((X.shape[0], 1))])
         n = X.shape[0]
-        ctx = TaskContext.get()
-        order = np.random.default_rng([seed, epoch, ctx.partitionId() if ctx else 0]).permutation(n)
+        order = _row_order(X, y, seed, epoch)
         C = params.shape[0]
         out_p, out_m, out_v = params * n, m * n, v * n
         loss, taken = np.zeros(C), np.zeros(C)
@@ -334,7 +350,7 @@ def _adapter_epoch(state_bc, shapes, features: str, label: str, batch_size: int,
     """mapInPandas body: one epoch of the adapter's AdamW loop on this partition.
 
     As ``_local_epoch``: start from the broadcast (params, moments, step),
-    reshuffle the partition's rows (seeded), take batches of ``batch_size``
+    reshuffle the partition's rows (``_row_order``), take batches of ``batch_size``
     with a fresh dropout mask each, and emit row-weighted sums of the final
     state, plus the sum and count of batch losses (the reference's epoch
     loss is their unweighted mean).
@@ -351,8 +367,9 @@ def _adapter_epoch(state_bc, shapes, features: str, label: str, batch_size: int,
         y = pdf[label].to_numpy().astype(np.int64)
         n = X.shape[0]
         ctx = TaskContext.get()
+        # dropout masks: seeded per epoch and partition, drawn in visiting order
         rng = np.random.default_rng([seed, epoch, ctx.partitionId() if ctx else 0])
-        order = rng.permutation(n)
+        order = _row_order(X, y, seed, epoch)
         p, mc, vc, t = flat.copy(), m.copy(), v.copy(), int(t)
         loss_sum, n_batches = 0.0, 0
         for s in range(0, n, batch_size):
