@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorloom.functions.keys import hex_prefix_value, seeded_key
 from vectorloom.session import ensure_scratch
@@ -44,9 +45,16 @@ def global_position(df: DataFrame, order_by, name: str = "position") -> DataFram
     than one partition.
     """
     ensure_scratch(df.sparkSession)
-    # Last tie-break: the row's id in the input. Copies that tie on the whole
-    # key then still spread over range partitions instead of one task.
-    ordered = (df.withColumn("_vl_in", F.monotonically_increasing_id())
+    # Last tie-break: the row's id in its input partition, taken after a local
+    # sort by a hash of the row. Copies that tie on the whole key then still
+    # spread over range partitions instead of one task, and the ids do not
+    # depend on the order rows arrive in: a retried map task (say, over a
+    # recomputed shuffle) routes every row as the first attempt did, since
+    # rows that share a hash are copies and interchangeable.
+    hashable = [c for c, f in zip(df.columns, df.schema.fields) if not isinstance(f.dataType, T.MapType)]
+    content = F.xxhash64(*hashable) if hashable else F.lit(0)
+    ordered = (df.sortWithinPartitions(content)
+                 .withColumn("_vl_in", F.monotonically_increasing_id())
                  .orderBy(*_cols(order_by), F.col("_vl_in"))
                  .drop("_vl_in"))
     tagged = (ordered
