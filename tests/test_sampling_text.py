@@ -135,3 +135,18 @@ def test_vocabulary_lookup_literal_and_join_agree(spark):
     lit = {r["doc_id"]: r["label"] for r in attach_label(c, vocab, mapping).collect()}
     joined = {r["doc_id"]: r["label"] for r in attach_label(c, vocab, None).collect()}
     assert lit == joined == {1: 1, 2: 0, 3: None, 4: None}
+
+
+def test_repeated_ids_get_the_same_positions_under_any_input_order(spark):
+    rows = [(i % 7, f"p{i}") for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, payload string")
+
+    def positions(frame):
+        return {(r["doc_id"], r["payload"]): r["position"] for r in S.seeded_position(frame, "doc_id").collect()}
+
+    base = positions(df.coalesce(1))
+    assert sorted(base.values()) == list(range(70))
+    assert positions(df.repartition(5)) == base
+    assert positions(df.orderBy(F.col("payload").desc()).coalesce(1)) == base
+    top = {(r["doc_id"], r["payload"]): r["position"] for r in S.sample_n(df.repartition(3), 20, "doc_id").collect()}
+    assert top == {k: v for k, v in base.items() if v < 20}

@@ -33,6 +33,17 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """xxhash64 of a row's values, the last tie-break of every order here.
+
+    Rows that tie on it are copies (or a 2**-64 collision), so which of them
+    comes first does not change any result, and a retried task orders them
+    the same way. Map columns cannot be hashed and are left out.
+    """
+    cols = [c for c, f in zip(df.columns, df.schema.fields) if not isinstance(f.dataType, T.MapType)]
+    return F.xxhash64(*cols) if cols else F.lit(0)
+
+
 def global_position(df: DataFrame, order_by, name: str = "position") -> DataFrame:
     """0-based global row number of each row in ``order_by`` order.
 
@@ -51,9 +62,7 @@ def global_position(df: DataFrame, order_by, name: str = "position") -> DataFram
     # depend on the order rows arrive in: a retried map task (say, over a
     # recomputed shuffle) routes every row as the first attempt did, since
     # rows that share a hash are copies and interchangeable.
-    hashable = [c for c, f in zip(df.columns, df.schema.fields) if not isinstance(f.dataType, T.MapType)]
-    content = F.xxhash64(*hashable) if hashable else F.lit(0)
-    ordered = (df.sortWithinPartitions(content)
+    ordered = (df.sortWithinPartitions(_row_hash(df))
                  .withColumn("_vl_in", F.monotonically_increasing_id())
                  .orderBy(*_cols(order_by), F.col("_vl_in"))
                  .drop("_vl_in"))
@@ -101,13 +110,14 @@ def _has_hot_bucket(offsets: DataFrame) -> bool:
 
 def _rank_in_buckets(keyed: DataFrame, offsets: DataFrame, id_col: str, name: str) -> DataFrame:
     """Bucket offset + row number inside the bucket = global position."""
-    in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col)
+    in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col, "_vl_h")
     return (keyed.join(F.broadcast(offsets), "_vl_bucket")
                  .withColumn(name, (F.col("_vl_before") + F.row_number().over(in_bucket) - 1).cast("long")))
 
 
 def _keyed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    return (df.withColumn("sort_key", seeded_key(id_col, seed))
+    return (df.withColumn("_vl_h", _row_hash(df))
+              .withColumn("sort_key", seeded_key(id_col, seed))
               .withColumn("_vl_bucket", hex_prefix_value("sort_key", BUCKET_DIGITS)))
 
 
@@ -129,9 +139,9 @@ def seeded_position(df: DataFrame, id_col: str, seed: int = 42, name: str = "pos
     offsets = _bucket_offsets(keyed)
     if _has_hot_bucket(offsets):
         offsets.unpersist()
-        return global_position(keyed.drop("_vl_bucket"), ["sort_key", id_col], name)
+        return global_position(keyed.drop("_vl_bucket", "_vl_h"), ["sort_key", id_col], name)
     return (_rank_in_buckets(keyed, offsets.select("_vl_bucket", "_vl_before"), id_col, name)
-            .drop("_vl_bucket", "_vl_before"))
+            .drop("_vl_bucket", "_vl_before", "_vl_h"))
 
 
 def seeded_order(df: DataFrame, id_col: str, seed: int = 42, name: str = "position") -> DataFrame:
@@ -141,7 +151,7 @@ def seeded_order(df: DataFrame, id_col: str, seed: int = 42, name: str = "positi
 
 def _rank_small(df: DataFrame, id_col: str, name: str) -> DataFrame:
     # Only used on at most TOPK_MAX rows (the output of a top-k).
-    w = Window.orderBy("sort_key", id_col)
+    w = Window.orderBy("sort_key", id_col, "_vl_h")
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
@@ -155,10 +165,10 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, name: str = "po
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    keyed = df.withColumn("sort_key", seeded_key(id_col, seed))
     if n <= TOPK_MAX:
-        top = keyed.orderBy("sort_key", id_col).limit(n)
-        return _rank_small(top, id_col, name) if with_position else top
+        keyed = df.withColumn("_vl_h", _row_hash(df)).withColumn("sort_key", seeded_key(id_col, seed))
+        top = keyed.orderBy("sort_key", id_col, "_vl_h").limit(n)
+        return (_rank_small(top, id_col, name) if with_position else top).drop("_vl_h")
     keyed = _keyed(df, id_col, seed)
     offsets = _bucket_offsets(keyed)
     hot = _has_hot_bucket(offsets)
@@ -166,20 +176,20 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, name: str = "po
     if with_position and not hot:
         # every kept row needs its rank: rank inside the kept buckets, cut at n
         ranked = _rank_in_buckets(keyed, cum.select("_vl_bucket", "_vl_before"), id_col, name)
-        return ranked.where(F.col(name) < n).drop("_vl_bucket", "_vl_before")
+        return ranked.where(F.col(name) < n).drop("_vl_bucket", "_vl_before", "_vl_h")
     joined = keyed.join(F.broadcast(cum), "_vl_bucket")
     whole = joined.where(F.col("_vl_after") <= n)
     straddle = joined.where(F.col("_vl_after") > n)
     if hot:
         # the straddling bucket may be the hot one: rank it with the range sort
-        local = global_position(straddle.drop("_vl_bucket", "_vl_after"), ["sort_key", id_col], "_vl_r")
+        local = global_position(straddle.drop("_vl_bucket", "_vl_after", "_vl_h"), ["sort_key", id_col], "_vl_r")
         cut = local.where(F.col("_vl_before") + F.col("_vl_r") < n).drop("_vl_r")
     else:
-        in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col)
+        in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col, "_vl_h")
         cut = (straddle.withColumn("_vl_r", F.row_number().over(in_bucket))
                        .where(F.col("_vl_before") + F.col("_vl_r") <= n).drop("_vl_r"))
-    taken = (whole.drop("_vl_bucket", "_vl_before", "_vl_after")
-                  .unionByName(cut.drop("_vl_bucket", "_vl_before", "_vl_after")))
+    helpers = ("_vl_bucket", "_vl_before", "_vl_after", "_vl_h")
+    taken = whole.drop(*helpers).unionByName(cut.drop(*helpers))
     if with_position:
         return global_position(taken, ["sort_key", id_col], name)
     return taken
