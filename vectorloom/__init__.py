@@ -4,7 +4,7 @@ Every public operator is a plain function ``DataFrame -> DataFrame`` (or
 ``(SparkSession, sf_dir) -> DataFrame`` for the registered queries in
 ``vectorloom.plans.catalog``). Catalyst plans the work; Python runs only
 inside Arrow-batched tasks where numpy is the natural tool (encoders,
-gradient partials, head scoring).
+training epochs over a partition, head scoring).
 """
 
 __version__ = "0.1.0"

@@ -561,7 +561,7 @@ def q_fit_head(spark, sf_dir):
 
 @register("loss_curve")
 def q_loss_curve(spark, sf_dir):
-    """Ten full-batch Adam steps at the frozen-mode learning rate."""
+    """Ten epochs of mini-batch Adam (batch 32) at the frozen-mode learning rate."""
     train, _, k = _features(spark, sf_dir)
     return C.loss_curve(train, k, HASH_DIM, epochs=10, lr=1e-3)
 
@@ -576,7 +576,7 @@ def q_sweep_heads(spark, sf_dir):
 
 @register("fit_adapter")
 def q_fit_adapter(spark, sf_dir):
-    """Adapter + head, AdamW, three epochs; per-epoch loss with test metrics."""
+    """Adapter + head, AdamW, batches of 8, three epochs; per-epoch loss with test metrics."""
     train, test, k = _features(spark, sf_dir)
     curve, preds, trainable = C.fit_adapter(train, test, k, HASH_DIM, epochs=3)
     mets = M.classification_metrics(preds)

@@ -49,7 +49,7 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``vectorloom`` importable in the Python workers, once per application.
 
-    Task closures (encoders, gradient partials, scatter functions) refer to
+    Task closures (encoders, training epochs, scatter functions) refer to
     functions of this package by module, so every executor must be able to
     import it. The package is zipped on the driver and added with
     ``addPyFile``, the same mechanism as ``spark-submit --py-files``: Spark
