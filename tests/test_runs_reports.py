@@ -145,3 +145,28 @@ def test_write_runs_keeps_microseconds(spark):
     path = scratch_path(spark, "runs-us")
     RU.write_runs(runs, path)
     assert RU.read_runs(spark, path).first()["started_at"] == ts
+
+
+def test_failure_oracle_text_matches_the_preflight_on_edge_rows():
+    import duckdb
+
+    from vectorloom.operators import grid as G
+    from vectorloom.plans import catalog as K
+    cases = [("0.6b", "cpu", "768", "torch"), ("8b", "cpu", "default", "torch"), ("8b", "cpu", "default", "mlx"),
+             ("8b", "cuda", "512", None), ("9b", "cpu", "768", "torch"), (None, "cuda", "768", None),
+             ("4b", "tpu", "768", "torch"), ("4b", None, "768", None), ("0.6b", "cuda", "abc", "torch"),
+             ("0.6b", "cuda", "12.5", "torch"), ("0.6b", "cuda", " 64 ", "torch"), ("4b", "tpu", "x", "mlx")]
+    want = []
+    for m, d, r, b in cases:
+        try:
+            G._preflight(m, d, "frozen", r, b, G.DEFAULT_AVAILABLE_GB)
+            want.append(None)
+        except Exception as exc:
+            want.append(f"{type(exc).__name__}: {exc}")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE runs (i INTEGER, model_size VARCHAR, device VARCHAR, requested_dimension VARCHAR, "
+                "backend VARCHAR)")
+    con.executemany("INSERT INTO runs VALUES (?, ?, ?, ?, ?)", [(i, *c) for i, c in enumerate(cases)])
+    got = [r[0] for r in con.sql(f"SELECT {K._FAILURE_ERROR_SQL} AS error FROM ({K._FAILURE_INPUT_SQL} FROM runs) t "
+                                 "ORDER BY i").fetchall()]
+    assert got == want

@@ -956,28 +956,30 @@ _NEED_SQL = f"""CASE WHEN device = 'cuda'
               / 1e9 * {G.CPU_MARGIN} END"""
 
 
-@register("failure_capture", _RUNS + f""",
-pre AS (
-  SELECT run_id, model_size, device, backend, requested_dimension,
+# The preflight's error text for one run (null when it passes), over columns
+# model_size, device, backend, requested_dimension, p (parameters), have (GB).
+_FAILURE_ERROR_SQL = f"""CASE WHEN model_size IS NULL OR model_size NOT IN ('0.6b', '4b', '8b')
+         THEN 'ValueError: Unknown model_size ' || {_repr_sql('model_size')}
+              || ', expected one of [''0.6b'', ''4b'', ''8b'']'
+       WHEN requested_dimension IS NOT NULL AND requested_dimension <> 'default'
+            AND NOT regexp_full_match(requested_dimension, '\\s*[+-]?[0-9]+\\s*')
+         THEN 'ValueError: invalid literal for int() with base 10: ' || {_repr_sql('requested_dimension')}
+       WHEN backend = 'mlx' THEN NULL
+       WHEN device IS NULL OR device NOT IN ('cpu', 'cuda')
+         THEN 'ValueError: Unknown device ' || {_repr_sql('device')} || ', expected ''cpu'' or ''cuda'''
+       WHEN have < {_NEED_SQL}
+         THEN 'MemoryError: ' || printf('%.2f', have) || 'GB available but the run needs an estimated '
+              || printf('%.2f', {_NEED_SQL}) || 'GB'
+  END"""
+
+_FAILURE_INPUT_SQL = """SELECT *,
          CASE model_size WHEN '0.6b' THEN 0.6e9 WHEN '4b' THEN 4e9 WHEN '8b' THEN 8e9 END::DOUBLE AS p,
-         CASE device WHEN 'cpu' THEN 16.0 WHEN 'cuda' THEN 8.0 ELSE 0.0 END::DOUBLE AS have
-  FROM emb_runs),
-chk AS (
-  SELECT run_id,
-         CASE WHEN model_size IS NULL OR model_size NOT IN ('0.6b', '4b', '8b')
-                THEN 'ValueError: Unknown model_size ' || {_repr_sql('model_size')}
-                     || ', expected one of [''0.6b'', ''4b'', ''8b'']'
-              WHEN requested_dimension IS NOT NULL AND requested_dimension <> 'default'
-                   AND TRY_CAST(requested_dimension AS INTEGER) IS NULL
-                THEN 'ValueError: invalid literal for int() with base 10: ' || {_repr_sql('requested_dimension')}
-              WHEN backend = 'mlx' THEN NULL
-              WHEN device IS NULL OR device NOT IN ('cpu', 'cuda')
-                THEN 'ValueError: Unknown device ' || {_repr_sql('device')} || ', expected ''cpu'' or ''cuda'''
-              WHEN have < {_NEED_SQL}
-                THEN 'MemoryError: ' || printf('%.2f', have) || 'GB available but the run needs an estimated '
-                     || printf('%.2f', {_NEED_SQL}) || 'GB'
-         END AS error
-  FROM pre)
+         CASE device WHEN 'cpu' THEN 16.0 WHEN 'cuda' THEN 8.0 ELSE 0.0 END::DOUBLE AS have"""
+
+
+@register("failure_capture", _RUNS + f""",
+pre AS ({_FAILURE_INPUT_SQL} FROM emb_runs),
+chk AS (SELECT run_id, {_FAILURE_ERROR_SQL} AS error FROM pre)
 SELECT run_id, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error FROM chk""")
 def q_failure_capture(spark, sf_dir):
     """Each run's preflight in its task; failures become records."""
