@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import lines
+from vectorloom.llm import lines, packing, quality, tokens, winnow
 from vectorloom.sources.tables import read_table
 
 
@@ -31,8 +31,25 @@ GROUP BY l.doc_id
 """
 
 
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.pack_matrices(read_table(spark, sf_dir, "documents"))
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_along_curve(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_line_dedup": op4_line_dedup}
+    found = (op4_line_dedup, op6_token_packing, op7_winnowing, op9_quality_classifier, op10_curve_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
