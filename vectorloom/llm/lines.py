@@ -9,11 +9,11 @@ compressed keep bitmap per document, never text.
 2. The rows are range-partitioned on hash, document and position and sorted
    within partitions. The composite range splits a line that fills a third of
    the corpus over many partitions.
-3. One streaming pass per partition holds a single run's first document. Runs
-   strictly inside a partition are decided at once; the first and last run of
-   a partition may continue next door, so their rows are marked open and
-   decided against the smallest document of the key over all partitions (at
-   most two keys per partition, pre-aggregated on the map side).
+3. One streaming pass per partition holds a single run's first document. A run
+   that begins inside a partition has its first document there, so its lines
+   are decided at once. Only the run a partition starts with may have begun next
+   door; its rows are decided against the smallest document of the key over
+   all partitions' first and last runs (at most two keys per partition).
 4. The dropped positions are gathered per document into a zlib-compressed
    bitmap (bit 1: keep).
 
@@ -78,38 +78,30 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return map_rows(rows, explode, "hi long, lo long, null_id boolean, doc_id long, tkey long, pos int, n_lines int")
 
 
-def _stream(batches: Iterator[dict]) -> Iterator[dict]:
-    """Rows that lose their line, and every row of the runs at a partition's edges (``open``)."""
-    first_run = True
-    key = first = None
-    held: list[tuple] = []   # rows of the current run that may turn out to be open
-    names = ("hi", "lo", "null_id", "doc_id", "tkey", "pos", "n_lines")
+#: What a streamed row stands for: a line to drop; a row of the run a partition starts with,
+#: which may have begun next door; the first row of the run a partition ends with.
+DROP, HEAD, TAIL = 0, 1, 2
 
-    def out(rows: list[tuple], is_open: bool) -> dict:
-        cols = list(zip(*rows)) if rows else [()] * 7
-        return {**{n: list(c) for n, c in zip(names, cols)}, "open": [is_open] * len(rows)}
 
+def _stream(batches: Iterator[dict]) -> Iterator[dict]:
+    """Dropped lines, the rows of the partition's first run, and the first row of its last run."""
+    names = ("hi", "lo", "null_id", "doc_id", "tkey", "pos", "n_lines")
+    key = first = None
+    runs = 0
     for b in batches:
         done: list[tuple] = []
         for row in zip(*(b[n].to_pylist() for n in names)):
             if row[:2] != key:
-                if key is not None:
-                    if first_run:
-                        yield out(held, True)
-                        first_run = False
-                    else:
-                        done.extend(r for r in held if r[2:4] != first)
-                held = []
-                key, first = row[:2], row[2:4]
-            held.append(row)
-            if len(held) >= 4096:
-                # A long run: its rows are sent on as open, to be judged against the key's smallest document.
-                yield out(held, True)
-                held = []
+                key, first = row[:2], row
+                runs += 1
+            if runs == 1:
+                done.append((*row, HEAD))
+            elif row[2:4] != first[2:4]:
+                done.append((*row, DROP))
         if done:
-            yield out(done, False)
-    if held:
-        yield out(held, True)
+            yield dict(zip((*names, "kind"), map(list, zip(*done))))
+    if runs > 1:
+        yield {n: [v] for n, v in zip((*names, "kind"), (*first, TAIL))}
 
 
 def keep_bitmaps(docs: DataFrame) -> DataFrame:
@@ -119,14 +111,15 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     names = ["hi", "lo", "null_id", "doc_id", "tkey", "pos"]
     rows = line_hashes(docs)
     runs = rows.repartitionByRange(n, *names).sortWithinPartitions(*names)
-    judged = materialize(map_rows(runs, _stream, rows.schema.simpleString()[7:-1].replace(":", " ") + ", open boolean"),
+    judged = materialize(map_rows(runs, _stream, rows.schema.simpleString()[7:-1].replace(":", " ") + ", kind int"),
                          "line-runs")
-    edge = judged.filter("open")
-    firsts = edge.groupBy("hi", "lo").agg(F.min(F.struct("null_id", "doc_id")).alias("first"))
-    opened = (edge.join(firsts, ["hi", "lo"])
-              .filter(~(F.struct("null_id", "doc_id").eqNullSafe(F.col("first")))))
+    # At most two keys per range partition, pre-aggregated per task: small enough to broadcast at any size.
+    firsts = (judged.filter(F.col("kind") != DROP).groupBy("hi", "lo")
+              .agg(F.min(F.struct("null_id", "doc_id")).alias("first")))
+    heads = (judged.filter(F.col("kind") == HEAD).join(F.broadcast(firsts), ["hi", "lo"])
+             .filter(~(F.struct("null_id", "doc_id").eqNullSafe(F.col("first")))))
     columns = ["doc_id", "tkey", "pos", "n_lines"]
-    dropped = judged.filter(~F.col("open")).select(columns).unionByName(opened.select(columns))
+    dropped = judged.filter(F.col("kind") == DROP).select(columns).unionByName(heads.select(columns))
     per_doc = (dropped.groupBy("doc_id", "tkey")
                .agg(F.collect_set("pos").alias("pos"), F.max("n_lines").alias("n_lines")))
 
