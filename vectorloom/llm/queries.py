@@ -6,10 +6,43 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import lines, packing, quality, tokens, winnow
+from vectorloom.llm import chat, decontam, lines, minhash, packing, quality, suffix, tokens, warc, winnow
 from vectorloom.sources.tables import read_table
 
 
+def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = r"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS m
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY conv_id
+), k AS (
+  SELECT min(conv_id) AS conv_id, m FROM c GROUP BY m
+), p AS (
+  SELECT DISTINCT m[1:n] AS m FROM k, unnest(range(1, len(m))) AS t(n)
+), w AS (
+  SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.m = k.m)
+), s AS (
+  SELECT w.conv_id, len(w.m) AS n_turns, c.turn, c.role, c.text, coalesce(c.turn // 256, -1) AS block
+  FROM w JOIN (SELECT DISTINCT conv_id, turn, role, text FROM conversations) c ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+)
+SELECT conv_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY block) AS part, n_turns,
+       string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+                  ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
+FROM s GROUP BY conv_id, block, n_turns
+"""
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("tkey")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +64,24 @@ GROUP BY l.doc_id
 """
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_history(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), f AS (
+  SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1
+)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+
 def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_matrices(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +90,35 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT u, v FROM l JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)
+), r AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT e.v, r.root FROM r JOIN e ON e.u = r.node
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, w.doc_id = c.root AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) c ON c.node = w.doc_id
+"""
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -48,9 +128,12 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_line_dedup, op6_token_packing, op7_winnowing, op9_quality_classifier, op10_curve_packing)
+    found = (op1_chat_snapshots, op2_benchmark_decontamination, op3_suffix_dedup, op4_line_dedup, op5_warc_index,
+             op6_token_packing, op7_winnowing, op8_minhash_near_dedup, op9_quality_classifier, op10_curve_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    """SQL where it can say the whole result; the others are tested against brute force in ``tests/llm``."""
+    return {"op1_chat_snapshots": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_index": OP5_SQL,
+            "op8_minhash_near_dedup": OP8_SQL}
