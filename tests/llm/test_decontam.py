@@ -23,13 +23,17 @@ def brute(rows, items):
             if slots and decontam.WINDOW - len(slots) >= decontam.LITERALS:
                 out.append((i, tuple(k or v for k, v in here), slots))
         return out, len(tokens) - decontam.WINDOW + 1
+    docs = []
+    for d, t in rows:
+        index = {}
+        for _, key, slots in split(t)[0]:
+            index.setdefault((key, bool(slots)), set()).add(tuple(slots))
+        docs.append((d, index))
     found = set()
     for item, text in dict.fromkeys(items):
         mine, n = split(text)
-        for d, t in rows:
-            theirs = split(t)[0]
-            matches = sorted({(i, tuple(a), tuple(b)) for i, key, a in mine for _, other, b in theirs
-                              if key == other and bool(a) == bool(b)})
+        for d, index in docs:
+            matches = sorted({(i, tuple(a), b) for i, key, a in mine for b in index.get((key, bool(a)), ())})
             good, changed = decontam.consistent(matches)
             if n > 0 and len(good) >= decontam.CONTAINMENT * n:
                 found.add((d, item, n, len(good), changed))
