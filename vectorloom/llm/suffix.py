@@ -17,8 +17,9 @@ can matter are found first, exactly:
    longest match to the right with every other suffix of the gram; the match to the left
    is read off the payloads. A pair whose two matches sum to 200 bytes or more repeats.
 4. Grams with more than ``PAIRED`` contexts, and grams at the edge of a merge bucket (they may
-   continue next door), are not paired: their 200-byte strings are hashed (128 bits) and
-   counted, which is linear in their number and pre-aggregates copies.
+   continue next door), are not paired. Each suffix is compared with the one before it in the merged
+   order; strings the two share are repeats, the other 200-byte strings are hashed (128 bits) and
+   counted, which is linear in their number.
 5. The found byte ranges go back to the texts.
 
 Defined results: null text is empty; texts under 200 bytes lose nothing; a
@@ -250,13 +251,27 @@ def _pairs(group: list[tuple]) -> Iterator[tuple]:
         yield rid, p - left, p + right, None, None
 
 
-def _strings(entry: tuple) -> Iterator[tuple]:
-    """(rid, from, to, hash, hash) of every 200-byte string a suffix's anchor serves."""
-    rid, p, before, after, length, left = entry[2]
+def _against(before: tuple | None, entry: tuple) -> Iterator[tuple]:
+    """A suffix of a gram that is not paired: its match with the suffix before it, and its other strings, hashed.
+
+    A string that the suffix before has as well is a repeat of both and is not hashed again: its first
+    holder in this order was, so every distinct string stands for itself at least once.
+    """
+    rid, p, first, last, length, left = entry[2]
+    low = high = None
+    if before is not None:
+        other = before[2]
+        right, back = min(entry[0], length, other[4]), _common_suffix(left, other[5])
+        if back + right >= LENGTH:
+            low, high = p - back, p + right - LENGTH
+            yield rid, low, high + LENGTH, None, None
+            yield other[0], other[1] - back, other[1] + right, None, None
     text = left + entry[1][:length]
-    for start in range(p - before, p - after + 1):
-        h = xxhash.xxh3_128_intdigest(text[start - p + before:start - p + before + LENGTH])
-        yield rid, start, start + LENGTH, signed(h >> 64), signed(h & _MASK)
+    for start in range(p - first, p - last + 1):
+        if low is None or not low <= start <= high:
+            at = start - p + first
+            h = xxhash.xxh3_128_intdigest(text[at:at + LENGTH])
+            yield rid, start, start + LENGTH, signed(h >> 64), signed(h & _MASK)
 
 
 def _repeats(bucket: int, entries: Iterator[tuple[int, bytes, bytes]]) -> Iterator[dict]:
@@ -265,27 +280,32 @@ def _repeats(bucket: int, entries: Iterator[tuple[int, bytes, bytes]]) -> Iterat
     Only the first and the last gram of a bucket may reach into another one.
     """
     out: list[tuple] = []
-    group: list[tuple] = []
-    wide = True
+    group: list[tuple] = []      # the gram's suffixes while they may still be paired
+    before, wide = None, True    # the suffix before, and whether the gram is not paired
 
     def batch() -> dict:
         rows = list(out)
         out.clear()
         return dict(zip(("rid", "from", "to", "hi", "lo"), map(list, zip(*rows))))
 
+    def in_order(suffixes: list[tuple]) -> None:
+        nonlocal before
+        for e in suffixes:
+            out.extend(_against(before, e))
+            before = e
+
     for shared, key, payload in entries:
-        meta = _unpack(payload)
-        if group and shared < GRAM:
-            out.extend([x for e in group for x in _strings(e)] if wide else _pairs(group))
-            group, wide = [], False
-        group.append((shared, key, meta))
-        if len(group) > PAIRED:
+        if shared < GRAM and (group or before):
+            out.extend(_pairs(group))
+            group, before, wide = [], None, False
+        group.append((shared, key, _unpack(payload)))
+        if wide or len(group) > PAIRED:
             wide = True
-            out.extend(x for e in group[:-1] for x in _strings(e))
-            group = group[-1:]
+            in_order(group)
+            group = []
         if len(out) >= 4096:
             yield batch()
-    out.extend(x for e in group for x in _strings(e))
+    in_order(group)
     if out:
         yield batch()
 
