@@ -14,7 +14,8 @@ def bench(spark, items):
 def brute(rows, items):
     """Every document window against every item window, by comparison of the windows themselves."""
     def split(text):
-        tokens, kinds, _ = decontam.template(text or "")
+        t = decontam.template(text or "")
+        tokens, kinds = [t.token(i) for i in range(len(t.at))], t.kinds
         out = []
         for i in range(len(tokens) - decontam.WINDOW + 1):
             here = [(int(kinds[j]), tokens[j]) for j in range(i, i + decontam.WINDOW)]

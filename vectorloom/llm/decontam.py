@@ -23,11 +23,11 @@ ignored by the match and kept by the filter; empty tables give an empty result.
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter, defaultdict
-from typing import Iterator
+from typing import Iterator, NamedTuple
 
 import numpy as np
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,18 +50,18 @@ week weeks month months year years percent % $ € £ dollar dollars euro euros
 mph kmh kph degrees celsius fahrenheit w kw kwh v volt volts hz khz mhz ghz b kb mb gb tb
 """.split())
 
-_TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[%$€£]|[.!?\n]")
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]|[.!?\n]")
 
 #: What a token is: plain, number, unit or name as a template token; STOP ends a sentence and is none.
 PLAIN, NUMBER, UNIT, NAME, STOP = range(5)
 #: Bound of a worker's token cache; a full cache is dropped, results do not depend on it.
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 500_000
 
 
 class _Tokens(dict):
-    """token -> (kind it may be, hash of its lower-case form)."""
+    """token -> eight bytes: the hash of its lower-case form, the kind it may be in the lowest three bits."""
 
-    def __missing__(self, t: str) -> tuple[int, int]:
+    def __missing__(self, t: str) -> bytes:
         if len(self) >= CACHE_TOKENS:
             self.clear()
         low = t.lower()
@@ -73,28 +73,41 @@ class _Tokens(dict):
             kind = UNIT
         else:
             kind = NAME if t[0].isupper() and not (len(t) > 1 and t.isupper()) else PLAIN
-        value = self[t] = kind, xxhash.xxh3_64_intdigest(low)
+        value = self[t] = (xxhash.xxh3_64_intdigest(low) >> 3 << 3 | kind).to_bytes(8, "little")
         return value
 
 
 _CACHE = _Tokens()
 _SIGNS = np.array([0, 1, 2, 3, 4], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(11)
+#: Odd multipliers of the window's places.
+_PLACES = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(WINDOW)]
 
 
-def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(lower-case tokens, kinds, value hashes); sentence ends are left out.
+class Template(NamedTuple):
+    """The tokens of a text but for sentence ends: where they are among ``found``, kinds and value hashes."""
 
-    A unit counts as one right after a number, a name inside a sentence; elsewhere both are plain.
-    """
+    found: list[str]
+    at: np.ndarray
+    kinds: np.ndarray
+    values: np.ndarray
+
+    def token(self, i: int) -> str:
+        return self.found[self.at[i]].lower()
+
+    def slots(self, i: int, slotted: bool) -> list[tuple[int, str]]:
+        """(kind, value) of window ``i``'s slots; none for a window by its values."""
+        return [(int(self.kinds[j]), self.token(j)) for j in range(i, i + WINDOW) if self.kinds[j] != PLAIN] if slotted else []
+
+
+def template(text: str) -> Template:
+    """A unit counts as one right after a number, a name inside a sentence; elsewhere both are plain."""
     found = _TOKEN.findall(text)
-    if not found:
-        return [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    kinds, hashes = zip(*map(_CACHE.__getitem__, found))
-    kinds, hashes = np.array(kinds), np.array(hashes, dtype=np.uint64)
+    packed = np.frombuffer(b"".join(map(_CACHE.__getitem__, found)), dtype="<u8")
+    kinds = (packed & np.uint64(7)).astype(np.int64)
     before = np.r_[STOP, kinds[:-1]]
     kinds[(kinds == UNIT) & (before != NUMBER) | (kinds == NAME) & (before == STOP)] = PLAIN
-    words = kinds != STOP
-    return [t.lower() for t, w in zip(found, words) if w], kinds[words], hashes[words]
+    at = np.flatnonzero(kinds != STOP)
+    return Template(found, at, kinds[at], packed[at] >> np.uint64(3))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,41 +116,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(kinds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(values: np.ndarray, n: int, salt: int) -> np.ndarray:
+    out = np.full(n, salt, dtype=np.uint64)
+    for j in range(WINDOW):
+        out += values[j:j + n] * _PLACES[j]
+    return _mix(out)
+
+
+def windows(t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions, hashes, whether with slots): every window by its values, and once more as a template if it
     has a slot and ``LITERALS`` literal tokens or more."""
-    n = len(kinds) - WINDOW + 1
+    n = len(t.kinds) - WINDOW + 1
     if n < 1:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-    signs = np.where(kinds == PLAIN, values, _SIGNS[kinds])
-    slots = np.cumsum(np.r_[0, kinds != PLAIN])
+    by_value = _hashes(t.values, n, 1)
+    slot = t.kinds != PLAIN
+    if not slot.any():
+        return np.arange(n), by_value.view(np.int64), np.zeros(n, dtype=bool)
+    slots = np.cumsum(np.r_[0, slot])
     here = slots[WINDOW:] - slots[:-WINDOW]
-    as_template, as_values = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=np.uint64)
-    for j in range(WINDOW):
-        as_template = _mix(as_template + signs[j:j + n])
-        as_values = _mix(as_values + values[j:j + n])
     slotted = np.flatnonzero((here > 0) & (WINDOW - here >= LITERALS))
-    return (np.r_[np.arange(n), slotted], np.r_[as_values, as_template[slotted]].view(np.int64),
+    by_template = _hashes(np.where(slot, _SIGNS[t.kinds], t.values), n, 2)[slotted]
+    return (np.r_[np.arange(n), slotted], np.r_[by_value, by_template].view(np.int64),
             np.r_[np.zeros(n, dtype=bool), np.ones(len(slotted), dtype=bool)])
 
 
-def window_slots(tokens: list[str], kinds: np.ndarray, i: int, slotted: bool) -> str:
-    """JSON list of the (kind, value) slots of window ``i``; none for a window by its values."""
-    if not slotted:
-        return "[]"
-    return json.dumps([(int(kinds[j]), tokens[j]) for j in range(i, i + WINDOW) if kinds[j] != PLAIN])
-
-
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """hash, item_id, ikey (hash of the item's text), pos, n (windows of the item), slots (JSON)."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out = {k: [] for k in ("hash", "item_id", "ikey", "pos", "n", "slots")}
             for item, key, text in zip(b["item_id"].to_pylist(), b["ikey"].to_pylist(), b["text"].to_pylist()):
-                tokens, kinds, values = template(text)
-                n = len(tokens) - WINDOW + 1
-                for i, h, slotted in zip(*(x.tolist() for x in windows(kinds, values))):
-                    for k, v in zip(out, (h, item, key, i, n, window_slots(tokens, kinds, i, slotted))):
+                t = template(text)
+                n = len(t.kinds) - WINDOW + 1
+                for i, h, slotted in zip(*(x.tolist() for x in windows(t))):
+                    for k, v in zip(out, (h, item, key, i, n, json.dumps(t.slots(i, slotted)))):
                         out[k].append(v)
             yield out
 
@@ -147,12 +160,19 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                        "item-windows")
 
 
-def _places(hashes: np.ndarray) -> np.ndarray:
-    """(n, LEVELS) Bloom positions of signed 64-bit hashes."""
-    x = hashes.astype(np.int64).view(np.uint64)
-    step = (x >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(x + np.uint64(i) * step * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BLOOM_BITS)
-                     for i in range(LEVELS)], axis=1).astype(np.int64)
+def _place(hashes: np.ndarray, level: int) -> np.ndarray:
+    """Bloom position of signed 64-bit hashes at one level."""
+    x = hashes.view(np.uint64)
+    return ((x + np.uint64(level) * ((x >> np.uint64(32)) | np.uint64(1))) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+
+
+def hits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers of the hashes that the filter lets through."""
+    left = np.arange(len(hashes))
+    for level in range(LEVELS):
+        place = _place(hashes[left], level)
+        left = left[((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)]
+    return left
 
 
 def bloom(items: DataFrame) -> np.ndarray:
@@ -160,7 +180,8 @@ def bloom(items: DataFrame) -> np.ndarray:
     def fill(batches: Iterator[dict]) -> Iterator[dict]:
         bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
         for b in batches:
-            places = _places(b["hash"].to_numpy()).ravel()
+            hashes = np.array(b["hash"].to_numpy(), dtype=np.int64)
+            places = np.concatenate([_place(hashes, level) for level in range(LEVELS)])
             np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
         at = np.flatnonzero(bits)
         for i in range(0, len(at), 1 << 16):
@@ -182,14 +203,11 @@ def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         for b in batches:
             out = {k: [] for k in ("hash", "doc_id", "tkey", "slots")}
             for doc, key, text in zip(b["doc_id"].to_pylist(), b["tkey"].to_pylist(), b["text"].to_pylist()):
-                tokens, kinds, values = template(text)
-                at, hashes, slotted = windows(kinds, values)
-                if len(hashes):
-                    places = _places(hashes)
-                    hit = ((bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=1)
-                    for i in np.flatnonzero(hit):
-                        for k, v in zip(out, (int(hashes[i]), doc, key, window_slots(tokens, kinds, at[i], slotted[i]))):
-                            out[k].append(v)
+                t = template(text)
+                at, hashes, slotted = windows(t)
+                for i in hits(bits, hashes):
+                    for k, v in zip(out, (int(hashes[i]), doc, key, json.dumps(t.slots(at[i], slotted[i])))):
+                        out[k].append(v)
             yield out
 
     rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("tkey"), "text")
