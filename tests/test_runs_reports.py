@@ -147,26 +147,35 @@ def test_write_runs_keeps_microseconds(spark):
     assert RU.read_runs(spark, path).first()["started_at"] == ts
 
 
-def test_failure_oracle_text_matches_the_preflight_on_edge_rows():
-    import duckdb
-
-    from vectorloom.operators import grid as G
-    from vectorloom.plans import catalog as K
-    cases = [("0.6b", "cpu", "768", "torch"), ("8b", "cpu", "default", "torch"), ("8b", "cpu", "default", "mlx"),
-             ("8b", "cuda", "512", None), ("9b", "cpu", "768", "torch"), (None, "cuda", "768", None),
-             ("4b", "tpu", "768", "torch"), ("4b", None, "768", None), ("0.6b", "cuda", "abc", "torch"),
-             ("0.6b", "cuda", "12.5", "torch"), ("0.6b", "cuda", " 64 ", "torch"), ("4b", "tpu", "x", "mlx")]
-    want = []
-    for m, d, r, b in cases:
-        try:
-            G._preflight(m, d, "frozen", r, b, G.DEFAULT_AVAILABLE_GB)
-            want.append(None)
-        except Exception as exc:
-            want.append(f"{type(exc).__name__}: {exc}")
-    con = duckdb.connect()
-    con.execute("CREATE TABLE runs (i INTEGER, model_size VARCHAR, device VARCHAR, requested_dimension VARCHAR, "
-                "backend VARCHAR)")
-    con.executemany("INSERT INTO runs VALUES (?, ?, ?, ?, ?)", [(i, *c) for i, c in enumerate(cases)])
-    got = [r[0] for r in con.sql(f"SELECT {K._FAILURE_ERROR_SQL} AS error FROM ({K._FAILURE_INPUT_SQL} FROM runs) t "
-                                 "ORDER BY i").fetchall()]
-    assert got == want
+def test_failure_errors_and_native_plan(spark):
+    cases = [("0.6b", "cpu", "768", "torch", None), ("8b", "cpu", "default", "torch", "capacity: insufficient"),
+             ("8b", "cpu", "default", "mlx", None), ("8b", "cuda", "512", None, "unknown backend"),
+             ("9b", "cpu", "768", "torch", "unknown model size"), (None, "cuda", "768", None, "unknown model size"),
+             ("4b", "tpu", "768", "torch", "unknown device"), ("4b", None, "768", "torch", "device required for torch backend"),
+             ("0.6b", "cuda", "abc", "torch", "dimension is not an integer"),
+             ("0.6b", "cuda", "0", "torch", "dimension must be >= 1")]
+    runs = spark.createDataFrame([(str(i), *c) for i, c in enumerate(cases)],
+                                 "run_id string, model_size string, device string, requested_dimension string, "
+                                 "backend string, want string")
+    out = G.failure_capture(runs)
+    assert {r["run_id"]: r["error"] for r in out.collect()} == {str(i): c[-1] for i, c in enumerate(cases)}
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    lora = G.failure_capture(runs.where("run_id in ('1', '2')"), mode="lora")
+    assert {r["error"] for r in lora.collect()} == {"capacity: unsupported", G.MLX_FROZEN_ONLY}
+    small = G.failure_capture(runs.where("run_id = '0'"), available_gb={"cuda": 8.0})
+    assert small.first()["error"] == "capacity: unknown"
+
+
+def test_load_runs_reads_the_indented_layout(spark, tmp_path):
+    d = tmp_path / "runs"
+    (d / "nested").mkdir(parents=True)
+    (d / "a.json").write_text('{\n  "run_id": "a",\n  "status": "success"\n}\n')
+    (d / "b.json").write_text('{\n  "run_id": "b",\n  "backend": null\n}')
+    (d / "c.json").write_text('{\n  "run_id": "c",\n  "backend": "mlx"\n}')
+    (d / "bad.json").write_text('{"run_id": ')
+    (d / "comparison.xlsx").write_bytes(b"PK\x03\x04 not json")
+    (d / "nested" / "x.json").write_text('{"run_id": "x"}')
+    rows, bad = RU.load_runs(spark, str(d))
+    assert {r["run_id"]: r["backend"] for r in rows.collect()} == {"a": "torch", "b": None, "c": "mlx"}
+    assert [r["path"].rsplit("/", 1)[1] for r in bad.collect()] == ["bad.json"]
+

@@ -50,31 +50,29 @@ def test_global_position_with_a_hot_repeated_key(spark):
     assert [x["r"] for x in by_pos[:300]] == list(range(300))
 
 
-def test_seeded_positions_with_a_hot_repeated_id(spark, monkeypatch):
-    # one id repeated as often as all others together makes its bucket hot
-    rows = [(i,) for i in range(400)] + [(7,)] * 400
-    df = spark.createDataFrame(rows, "doc_id long")
+def test_repeated_ids_get_the_same_positions_on_any_partitioning(spark):
+    # one id repeated as often as all others together
+    rows = [(i, f"x{i}") for i in range(400)] + [(7, f"copy {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     keyed = df.withColumn("sort_key", S.seeded_key("doc_id", 42))
     want = [r["doc_id"] for r in keyed.orderBy("sort_key", "doc_id").collect()]
-    calls = []
-    real = S.global_position
-    monkeypatch.setattr(S, "global_position", lambda *a, **k: calls.append(1) or real(*a, **k))
-    monkeypatch.setattr(S, "HOT_BUCKET_ROWS", 50)
-    got = S.seeded_position(df, "doc_id").collect()
-    assert calls, "the hot bucket should be ranked by the range sort"
-    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want
-    monkeypatch.setattr(S, "TOPK_MAX", 10)
-    for with_position in (True, False):
-        taken = S.sample_n(df, 500, "doc_id", with_position=with_position).collect()
-        assert sorted(r["doc_id"] for r in taken) == sorted(want[:500])
-        if with_position:
-            assert sorted(r["position"] for r in taken) == list(range(500))
-
-
-def test_large_n_cut_without_positions_keeps_the_same_rows(spark, sf_dir, monkeypatch):
+    seen, samples, general = set(), set(), set()
+    for parts in (1, 5, 16):
+        some = df.repartition(parts)
+        got = sorted((r["position"], r["doc_id"], r["text"]) for r in S.seeded_position(some, "doc_id").collect())
+        assert [g[1] for g in got] == want and [g[0] for g in got] == list(range(800))
+        seen.add(tuple(got))
+        for with_position in (True, False):
+            taken = S.sample_n(some, 500, "doc_id", with_position=with_position).collect()
+            samples.add(tuple(sorted((r["doc_id"], r["text"]) for r in taken)))
+        general.add(tuple(sorted((r["position"], r["doc_id"], r["text"])
+                                 for r in S.global_position(some, ["doc_id"]).collect())))
+    assert len(seen) == len(samples) == len(general) == 1
+
+
+def test_large_n_cut_without_positions_keeps_the_same_rows(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id")
     n = docs.count() // 2 + 1
-    monkeypatch.setattr(S, "TOPK_MAX", 10)
     ranked = {r["doc_id"] for r in S.sample_n(docs, n, "doc_id").collect()}
     cut = {r["doc_id"] for r in S.sample_n(docs, n, "doc_id", with_position=False).collect()}
     assert ranked == cut and len(cut) == n
@@ -89,12 +87,9 @@ def test_sample_is_clamped_and_reports_shortfall(spark, sf_dir):
     assert not S.sample_shortfall(docs, 3, "doc_id").first()["shortfall"]
 
 
-def test_large_n_path_equals_topk(spark, sf_dir, monkeypatch):
-    docs = _docs(spark, sf_dir).select("doc_id")
-    small = [r["doc_id"] for r in S.sample_n(docs, 120, "doc_id").orderBy("position").collect()]
-    monkeypatch.setattr(S, "TOPK_MAX", 10)
-    big = [r["doc_id"] for r in S.sample_n(docs, 120, "doc_id").orderBy("position").collect()]
-    assert small == big
+def test_sample_ships_no_text_to_one_task(spark, sf_dir):
+    plan = S.sample_n(_docs(spark, sf_dir), 50, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan
 
 
 def test_label_vocab_dense(spark):
@@ -150,3 +145,9 @@ def test_repeated_ids_get_the_same_positions_under_any_input_order(spark):
     assert positions(df.orderBy(F.col("payload").desc()).coalesce(1)) == base
     top = {(r["doc_id"], r["payload"]): r["position"] for r in S.sample_n(df.repartition(3), 20, "doc_id").collect()}
     assert top == {k: v for k, v in base.items() if v < 20}
+
+
+def test_left_padded_keeps_one_row_per_repeated_id(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "a"), (1, "a b"), (2, "x y")], "doc_id long, text string")
+    rows = X.left_padded(df, 2).collect()
+    assert len(rows) == 4 and all(len(r["input_tokens"]) == r["batch_len"] for r in rows)

@@ -24,16 +24,21 @@ def align(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
 
 
 def class_report(df: DataFrame, truth: str = "truth", pred: str = "pred",
-                 by: list[str] | None = None) -> DataFrame:
-    """M4: per class (and group): support, predicted, true positives, F1."""
+                 by: list[str] | None = None, keep_null: bool = False) -> DataFrame:
+    """M4: per class (and group): support, predicted, true positives, F1.
+
+    ``keep_null`` keeps the rows without a truth or prediction as a null class.
+    """
     by = list(by or [])
     entries = F.explode(F.array(
         F.struct(F.col(truth).cast("string").alias("cls"), F.lit(1).alias("t"), F.lit(0).alias("p"),
-                 (F.col(truth) == F.col(pred)).cast("int").alias("tp")),
+                 F.coalesce((F.col(truth) == F.col(pred)).cast("int"), F.lit(0)).alias("tp")),
         F.struct(F.col(pred).cast("string").alias("cls"), F.lit(0).alias("t"), F.lit(1).alias("p"),
                  F.lit(0).alias("tp")),
     ))
-    exploded = df.select(*by, entries.alias("e")).select(*by, "e.*").where(F.col("cls").isNotNull())
+    exploded = df.select(*by, entries.alias("e")).select(*by, "e.*")
+    if not keep_null:
+        exploded = exploded.where(F.col("cls").isNotNull())
     counts = exploded.groupBy(*by, "cls").agg(
         F.sum("t").cast("long").alias("support"),
         F.sum("p").cast("long").alias("predicted"),
@@ -66,12 +71,17 @@ def classification_metrics(df: DataFrame, truth: str = "truth", pred: str = "pre
                            by: list[str] | None = None) -> DataFrame:
     """accuracy, macro F1 and weighted F1 in one frame (per group)."""
     by = list(by or [])
-    acc = accuracy(df, truth, pred, by)
-    f1 = f1_scores(df, truth, pred, by)
-    if not by:
-        # both sides are single-row aggregates: zip them without a join key
-        return acc.withColumn("_k", F.lit(1)).join(f1.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return acc.join(f1, by, "inner")
+    # One pass: accuracy is true positives over rows, and both follow from the per-class counts.
+    rep = class_report(df, truth, pred, by, keep_null=True)
+    known = F.col("cls").isNotNull()
+    return rep.groupBy(*by).agg(
+        F.sum("support").alias("n"),
+        F.try_divide(F.sum("true_pos").cast("double"), F.sum("support").cast("double")).alias("accuracy"),
+        F.avg(F.when(known, F.col("f1"))).alias("macro_f1"),
+        F.try_divide(F.sum(F.when(known, F.col("f1") * F.col("support"))),
+                     F.sum(F.when(known, F.col("support"))).cast("double")).alias("weighted_f1"),
+        F.count(F.when(known, F.lit(1))).alias("n_classes"),
+    )
 
 
 def throughput(samples, elapsed) -> F.Column:

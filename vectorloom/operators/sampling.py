@@ -8,7 +8,6 @@ the seeded (md5) order, ``global_position`` for any other total order.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,17 +15,9 @@ from pyspark.sql import types as T
 from vectorloom.functions.keys import hex_prefix_value, seeded_key
 from vectorloom.session import ensure_scratch
 
-# Largest n taken with a top-k (TakeOrderedAndProject): every partition ships
-# at most n rows to the final merge, so n must stay small. Larger n use the
-# hash-bucket cut, which never funnels rows through one task.
-TOPK_MAX = 20_000
-# Hex digits of the sort key used as buckets by seeded positions and the
-# large-n cut: 16**4 = 65,536 buckets, a table small enough to broadcast.
+# Hex digits of the sort key used as buckets by seeded positions and samples:
+# 16**4 = 65,536 buckets, a table small enough to broadcast.
 BUCKET_DIGITS = 4
-# A bucket is hot (ranked by the range sort, not one window task) when it
-# holds more rows than this and more than HOT_BUCKET_SKEW times the mean.
-HOT_BUCKET_ROWS = 4_000_000
-HOT_BUCKET_SKEW = 8
 
 
 def _cols(cols) -> list[Column]:
@@ -56,16 +47,17 @@ def global_position(df: DataFrame, order_by, name: str = "position") -> DataFram
     than one partition.
     """
     ensure_scratch(df.sparkSession)
+    # Ties on the keys go by the row hash, so the order is the same on any partitioning.
     # Last tie-break: the row's id in its input partition, taken after a local
     # sort by a hash of the row. Copies that tie on the whole key then still
     # spread over range partitions instead of one task, and the ids do not
     # depend on the order rows arrive in: a retried map task (say, over a
     # recomputed shuffle) routes every row as the first attempt did, since
     # rows that share a hash are copies and interchangeable.
-    ordered = (df.sortWithinPartitions(_row_hash(df))
+    ordered = (df.withColumn("_vl_rh", _row_hash(df)).sortWithinPartitions("_vl_rh")
                  .withColumn("_vl_in", F.monotonically_increasing_id())
-                 .orderBy(*_cols(order_by), F.col("_vl_in"))
-                 .drop("_vl_in"))
+                 .orderBy(*_cols(order_by), F.col("_vl_rh"), F.col("_vl_in"))
+                 .drop("_vl_in", "_vl_rh"))
     tagged = (ordered
               .withColumn("_vl_pid", F.spark_partition_id())
               .withColumn("_vl_mid", F.monotonically_increasing_id())
@@ -84,28 +76,12 @@ def _bucket_offsets(keyed: DataFrame) -> DataFrame:
 
     Counting is a partial aggregation (one row per bucket per task leaves
     the map side), and the result has at most 16**BUCKET_DIGITS rows, so
-    the running total is a window over that small table only. The result is
-    persisted: it is read once to look for a hot bucket and once as the
-    broadcast side (a lost block is recomputed, to the same numbers).
+    the running total is a window over that small table only.
     """
     counts = keyed.groupBy("_vl_bucket").agg(F.count(F.lit(1)).alias("_vl_n"))
     upto = Window.orderBy("_vl_bucket").rowsBetween(Window.unboundedPreceding, 0)
     return (counts.withColumn("_vl_after", F.sum("_vl_n").over(upto))
-                  .select("_vl_bucket", (F.col("_vl_after") - F.col("_vl_n")).alias("_vl_before"), "_vl_after")
-                  .persist(StorageLevel.MEMORY_AND_DISK))
-
-
-def _has_hot_bucket(offsets: DataFrame) -> bool:
-    """True when one bucket is too big for one window task.
-
-    With distinct ids md5 buckets are uniform, so this only fires when an id
-    repeats (a group of copies); such a bucket is large and far above the
-    mean bucket.
-    """
-    size = F.col("_vl_after") - F.col("_vl_before")
-    r = offsets.agg(F.max(size).alias("top"), F.avg(size).alias("mean")).first()
-    return (r["top"] is not None and r["top"] > HOT_BUCKET_ROWS
-            and r["top"] > HOT_BUCKET_SKEW * r["mean"])
+                  .select("_vl_bucket", (F.col("_vl_after") - F.col("_vl_n")).alias("_vl_before"), "_vl_after"))
 
 
 def _rank_in_buckets(keyed: DataFrame, offsets: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -131,16 +107,12 @@ def seeded_position(df: DataFrame, id_col: str, seed: int = 42, name: str = "pos
     broadcast. Pass 2 ranks rows inside their bucket, a window partitioned
     by bucket. Both numbers are functions of the data, not of the
     partitioning, so a retried task recomputes the same positions. Rows that
-    tie on the whole key (a repeated id) may swap positions among themselves.
-    If a repeated id makes one bucket hot, the range sort of
-    ``global_position`` ranks instead, which splits even whole-key ties.
+    repeat an id are ordered by a hash of the row; a bucket that such rows fill is
+    ranked by a window that sorts and spills, never by holding it.
     """
     keyed = _keyed(df, id_col, seed)
-    offsets = _bucket_offsets(keyed)
-    if _has_hot_bucket(offsets):
-        offsets.unpersist()
-        return global_position(keyed.drop("_vl_bucket", "_vl_h"), ["sort_key", id_col], name)
-    return (_rank_in_buckets(keyed, offsets.select("_vl_bucket", "_vl_before"), id_col, name)
+    offsets = _bucket_offsets(keyed).select("_vl_bucket", "_vl_before")
+    return (_rank_in_buckets(keyed, offsets, id_col, name)
             .drop("_vl_bucket", "_vl_before", "_vl_h"))
 
 
@@ -149,50 +121,29 @@ def seeded_order(df: DataFrame, id_col: str, seed: int = 42, name: str = "positi
     return seeded_position(df, id_col, seed, name)
 
 
-def _rank_small(df: DataFrame, id_col: str, name: str) -> DataFrame:
-    # Only used on at most TOPK_MAX rows (the output of a top-k).
-    w = Window.orderBy("sort_key", id_col, "_vl_h")
-    return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-
-
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, name: str = "position",
              with_position: bool = True) -> DataFrame:
     """The first ``min(n, available)`` rows of the seed's permutation.
 
-    Never fails on a shortfall (see ``sample_shortfall``). Small n: a top-k.
-    Large n: count rows per key bucket (65,536 buckets), keep whole buckets
-    below the cut, rank only the one bucket that straddles it.
+    Never fails on a shortfall (see ``sample_shortfall``). The same plan for
+    every n: count rows per key bucket (65,536 buckets), keep whole buckets
+    below the cut in the scan, and rank only what has to be ranked.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    if n <= TOPK_MAX:
-        keyed = df.withColumn("_vl_h", _row_hash(df)).withColumn("sort_key", seeded_key(id_col, seed))
-        top = keyed.orderBy("sort_key", id_col, "_vl_h").limit(n)
-        return (_rank_small(top, id_col, name) if with_position else top).drop("_vl_h")
     keyed = _keyed(df, id_col, seed)
-    offsets = _bucket_offsets(keyed)
-    hot = _has_hot_bucket(offsets)
-    cum = offsets.where(F.col("_vl_before") < n)
-    if with_position and not hot:
+    cum = _bucket_offsets(keyed).where(F.col("_vl_before") < n)
+    if with_position:
         # every kept row needs its rank: rank inside the kept buckets, cut at n
         ranked = _rank_in_buckets(keyed, cum.select("_vl_bucket", "_vl_before"), id_col, name)
         return ranked.where(F.col(name) < n).drop("_vl_bucket", "_vl_before", "_vl_h")
     joined = keyed.join(F.broadcast(cum), "_vl_bucket")
     whole = joined.where(F.col("_vl_after") <= n)
-    straddle = joined.where(F.col("_vl_after") > n)
-    if hot:
-        # the straddling bucket may be the hot one: rank it with the range sort
-        local = global_position(straddle.drop("_vl_bucket", "_vl_after", "_vl_h"), ["sort_key", id_col], "_vl_r")
-        cut = local.where(F.col("_vl_before") + F.col("_vl_r") < n).drop("_vl_r")
-    else:
-        in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col, "_vl_h")
-        cut = (straddle.withColumn("_vl_r", F.row_number().over(in_bucket))
-                       .where(F.col("_vl_before") + F.col("_vl_r") <= n).drop("_vl_r"))
+    in_bucket = Window.partitionBy("_vl_bucket").orderBy("sort_key", id_col, "_vl_h")
+    cut = (joined.where(F.col("_vl_after") > n).withColumn("_vl_r", F.row_number().over(in_bucket))
+           .where(F.col("_vl_before") + F.col("_vl_r") <= n).drop("_vl_r"))
     helpers = ("_vl_bucket", "_vl_before", "_vl_after", "_vl_h")
-    taken = whole.drop(*helpers).unionByName(cut.drop(*helpers))
-    if with_position:
-        return global_position(taken, ["sort_key", id_col], name)
-    return taken
+    return whole.drop(*helpers).unionByName(cut.drop(*helpers))
 
 
 def sample_shortfall(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:

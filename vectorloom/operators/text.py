@@ -48,15 +48,12 @@ def left_padded(df: DataFrame, batch_size: int, text_col: str = "text", key: str
                 max_length: int = MAX_LENGTH, seed: int = 42) -> DataFrame:
     """T4: each row padded on the left to the longest row of its batch, with mask.
 
-    Positions, batch ids and batch lengths are computed on the narrow
-    ``(key, n_kept)`` frame (sort, checkpoint and window move no tokens);
-    the token arrays join back once, on the key.
+    The text is tokenised once and the tokens travel with their row, so rows
+    that repeat an id stay one row each.
     """
     toks = tokens_truncated(df.select(key, text_col), text_col, key, max_length).select(key, "tokens", "n_kept")
-    batched = batch_assign(toks.select(key, "n_kept"), batch_size, key, seed)
     longest = F.max("n_kept").over(Window.partitionBy("batch_id"))
-    lengths = batched.select(key, "batch_id", "position", "n_kept", longest.alias("batch_len"))
-    padded = lengths.join(toks.select(key, "tokens"), key)
+    padded = batch_assign(toks, batch_size, key, seed).withColumn("batch_len", longest)
     pad = F.col("batch_len") - F.col("n_kept")
     return padded.select(
         key, "batch_id", "position", "n_kept", "batch_len",

@@ -773,6 +773,7 @@ def q_precision_plan(spark, sf_dir):
 @register("capacity_plan", _RUNS + """
 SELECT model_size, mode, device, n_runs, round(req, 6) AS required_gb, avail AS available_gb,
        CASE WHEN model_size IN ('4b', '8b') AND mode = 'lora' AND device = 'cpu' THEN 'unsupported'
+            WHEN avail IS NULL OR req IS NULL THEN 'unknown'
             WHEN avail < req THEN 'insufficient' ELSE 'ok' END AS verdict
 FROM (SELECT model_size, mode, device, count(*) AS n_runs,
              CASE device WHEN 'cpu' THEN 16.0::DOUBLE WHEN 'cuda' THEN 8.0::DOUBLE END AS avail,
@@ -944,11 +945,6 @@ def q_device_label(spark, sf_dir):
                        G.device_label(F.col("backend"), F.col("device")).alias("device_label"))
 
 
-def _repr_sql(c: str) -> str:
-    """Python's repr of a str-or-None value, as the preflight's messages print it."""
-    return f"CASE WHEN {c} IS NULL THEN 'None' ELSE '''' || {c} || '''' END"
-
-
 _NEED_SQL = f"""CASE WHEN device = 'cuda'
          THEN p * (CASE WHEN model_size IN ('4b', '8b') THEN {G.CUDA_BYTES_QUANTIZED} ELSE {G.CUDA_BYTES} END)
               / 1e9 * {G.CUDA_MARGIN}
@@ -956,33 +952,27 @@ _NEED_SQL = f"""CASE WHEN device = 'cuda'
               / 1e9 * {G.CPU_MARGIN} END"""
 
 
-# The preflight's error text for one run (null when it passes), over columns
-# model_size, device, backend, requested_dimension, p (parameters), have (GB).
-_FAILURE_ERROR_SQL = f"""CASE WHEN model_size IS NULL OR model_size NOT IN ('0.6b', '4b', '8b')
-         THEN 'ValueError: Unknown model_size ' || {_repr_sql('model_size')}
-              || ', expected one of [''0.6b'', ''4b'', ''8b'']'
-       WHEN requested_dimension IS NOT NULL AND requested_dimension <> 'default'
-            AND NOT regexp_full_match(requested_dimension, '\\s*[+-]?[0-9]+\\s*')
-         THEN 'ValueError: invalid literal for int() with base 10: ' || {_repr_sql('requested_dimension')}
-       WHEN backend = 'mlx' THEN NULL
-       WHEN device IS NULL OR device NOT IN ('cpu', 'cuda')
-         THEN 'ValueError: Unknown device ' || {_repr_sql('device')} || ', expected ''cpu'' or ''cuda'''
-       WHEN have < {_NEED_SQL}
-         THEN 'MemoryError: ' || printf('%.2f', have) || 'GB available but the run needs an estimated '
-              || printf('%.2f', {_NEED_SQL}) || 'GB'
-  END"""
-
-_FAILURE_INPUT_SQL = """SELECT *,
-         CASE model_size WHEN '0.6b' THEN 0.6e9 WHEN '4b' THEN 4e9 WHEN '8b' THEN 8e9 END::DOUBLE AS p,
-         CASE device WHEN 'cpu' THEN 16.0 WHEN 'cuda' THEN 8.0 ELSE 0.0 END::DOUBLE AS have"""
-
-
 @register("failure_capture", _RUNS + f""",
-pre AS ({_FAILURE_INPUT_SQL} FROM emb_runs),
-chk AS (SELECT run_id, {_FAILURE_ERROR_SQL} AS error FROM pre)
+pre AS (
+  SELECT *, CASE model_size WHEN '0.6b' THEN 0.6e9 WHEN '4b' THEN 4e9 WHEN '8b' THEN 8e9 END::DOUBLE AS p,
+         CASE device WHEN 'cpu' THEN 16.0 WHEN 'cuda' THEN 8.0 END::DOUBLE AS have,
+         TRY_CAST(requested_dimension AS INTEGER) AS dim
+  FROM emb_runs
+), chk AS (
+  SELECT run_id,
+         CASE WHEN coalesce(model_size, '') NOT IN ('0.6b', '4b', '8b') THEN 'unknown model size'
+              WHEN coalesce(backend, '') NOT IN ('torch', 'mlx') THEN 'unknown backend'
+              WHEN backend = 'torch' AND device IS NULL THEN 'device required for torch backend'
+              WHEN backend = 'torch' AND device NOT IN ('cpu', 'cuda') THEN 'unknown device'
+              WHEN requested_dimension <> 'default' AND dim IS NULL THEN 'dimension is not an integer'
+              WHEN requested_dimension <> 'default' AND dim < 1 THEN 'dimension must be >= 1'
+              WHEN backend = 'mlx' THEN NULL
+              WHEN have < {_NEED_SQL} THEN 'capacity: insufficient' END AS error
+  FROM pre
+)
 SELECT run_id, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error FROM chk""")
 def q_failure_capture(spark, sf_dir):
-    """Each run's preflight in its task; failures become records."""
+    """Status and error from the validation and capacity columns."""
     return G.failure_capture(RU.embedding_runs(spark, sf_dir))
 
 

@@ -246,6 +246,25 @@ def read_runs(spark: SparkSession, path: str, schema: T.StructType = EMBEDDING_R
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
+def load_runs(spark: SparkSession, path: str,
+              schema: T.StructType = EMBEDDING_RUN_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """(records, unreadable files) of a folder with one JSON object per ``*.json`` file, indented or not.
+
+    Other files and nested folders are left out. A record without the ``backend`` key
+    gets ``torch``; an explicit null stays null (S5). A file that is no JSON object is
+    reported as (path, text), never read as a row of nulls.
+    """
+    files = (spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+             .select(F.input_file_name().alias("path"), F.col("value").alias("json")))
+    keys = F.json_object_keys("json")
+    good = files.where(keys.isNotNull())
+    options = {"timestampNTZFormat": TIMESTAMP_READ_FORMAT, "timestampFormat": TIMESTAMP_READ_FORMAT + "[XXX]"}
+    parsed = good.select("json", F.from_json("json", schema, options).alias("r")).select("json", "r.*")
+    if "backend" in schema.names:
+        parsed = parsed.withColumn("backend", resolve_backend_default(F.col("json")))
+    return parsed.drop("json"), files.where(keys.isNull()).select("path", F.col("json").alias("text"))
+
+
 def runs_as_json_text(df: DataFrame, absent_when: Column | None = None, key: str = "backend",
                       columns: list[str] | None = None) -> DataFrame:
     """Serialise each run record to a JSON string with explicit nulls.
