@@ -53,6 +53,29 @@ def test_classification_runs_follow_the_mode_defaults(spark, sf_dir):
     assert bad["status"] == "failed" and "Unknown mode" in bad["error"] and bad["accuracy"] is None
 
 
+def test_classification_encodes_only_the_sample_and_honours_max_length(spark, sf_dir, monkeypatch):
+    from vectorloom.plans import classification as CL
+    seen = []
+    real = CL.encode_hashed
+
+    def counted(df, *args, **kw):
+        seen.append(df.count())
+        return real(df, *args, **kw)
+
+    monkeypatch.setattr(CL, "encode_hashed", counted)
+    runs = [run_classification(spark, sf_dir, train_samples=60, test_samples=20, dim=32, batch_size=60, epochs=3,
+                               lr=0.1, max_length=n).first() for n in (1, 256)]
+    assert seen == [60, 20, 60, 20]
+    assert [r["status"] for r in runs] == ["success"] * 2
+    assert (runs[0]["accuracy"], runs[0]["macro_f1"]) != (runs[1]["accuracy"], runs[1]["macro_f1"])
+    assert all(r["embed_extraction_peak_mem_gb"] >= 0 and r["train_peak_mem_gb"] >= 0 for r in runs)
+
+
+def test_generation_records_the_mlx_device(spark, sf_dir):
+    r = run_generation(spark, sf_dir, backend="mlx", num_samples=5).first()
+    assert r["status"] == "success" and r["device"] == "mlx" and r["peak_mem_gb"] >= 0
+
+
 def test_inspection_one_text(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     one = docs.orderBy("doc_id").limit(1)

@@ -118,6 +118,14 @@ def test_failure_capture_never_fails(spark):
     assert got == {"1": "success", "2": "failed", "3": "failed", "4": "failed"}
 
 
+def test_fmt_float_of_values_that_no_decimal_holds(spark):
+    from vectorloom.functions.fmt import fmt_float
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (1e30,), (-0.5,), (None,)],
+                               "v double")
+    got = [r[0] for r in df.select(fmt_float("v")).collect()]
+    assert got == ["nan", "inf", "-inf", "1" + "0" * 30 + ".000", "-0.500", "-"]
+
+
 def test_write_report_sheets(spark):
     runs = _runs(spark, [("1", "0.6b", "torch", "cuda", "768", "failed", None, None)])
     out = R.write_report(runs, scratch_path(spark, "report-test"))

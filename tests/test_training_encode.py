@@ -77,65 +77,120 @@ def test_loss_curve_decreases(spark):
     assert len(losses) == 10 and losses[-1] < losses[0]
 
 
-def _reference_loop(X, y, k, epochs, batch_size, lr, seed):
-    """The reference's head training loop in plain numpy (one process)."""
+def _reference_loop(X, y, hashes, k, epochs, batch_size, lr):
+    """The head's training loop in plain numpy, batches taken by the rows' hashes per epoch."""
     n, d = X.shape
-    W = C._init_heads(1, k, d, seed)[0]
+    W = np.zeros((k, d + 1))
     m, v, t = np.zeros_like(W), np.zeros_like(W), 0
     Xb = np.hstack([X, np.ones((n, 1))])
+    steps = math.ceil(n / batch_size) if batch_size else 1
     losses = []
-    for epoch in range(1, epochs + 1):
-        order = C._row_order(X, y, seed, epoch)
+    for epoch in range(epochs):
         total = 0.0
-        for s in range(0, n, batch_size):
-            idx = order[s:s + batch_size]
+        for s in range(steps):
+            idx = np.flatnonzero(hashes[epoch] % steps == s)
+            if not len(idx):
+                continue
             z = Xb[idx] @ W.T
-            z = z - z.max(axis=1, keepdims=True)
             logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-            total += -logp[np.arange(len(idx)), y[idx]].mean() * len(idx)
+            total += -logp[np.arange(len(idx)), y[idx]].sum()
             g = np.exp(logp)
             g[np.arange(len(idx)), y[idx]] -= 1.0
+            g = g.T @ Xb[idx] / len(idx)
             t += 1
-            m = 0.9 * m + 0.1 * (g.T @ Xb[idx] / len(idx))
-            v = 0.999 * v + 0.001 * (g.T @ Xb[idx] / len(idx)) ** 2
+            m = 0.9 * m + 0.1 * g
+            v = 0.999 * v + 0.001 * g ** 2
             W = W - lr * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         losses.append(total / n)
     return W, losses
 
 
-def test_minibatch_adam_on_one_partition_is_the_reference_loop(spark):
-    df = _toy(spark, n=150).coalesce(1)
-    rows = df.orderBy("doc_id").collect()
+@pytest.mark.parametrize("batch_size", [None, 40])
+@pytest.mark.parametrize("partitions", [1, 4, 32])
+def test_training_is_the_sequential_loop_on_any_partitioning(spark, batch_size, partitions):
+    df = _toy(spark, n=150)
+    rows = df.select("*", *[F.xxhash64(F.xxhash64("features", "label"), F.lit(42), F.lit(e)).alias(f"h{e}")
+                            for e in (1, 2, 3)]).collect()
     X = np.array([r["features"] for r in rows])
     y = np.array([r["label"] for r in rows])
-    params, curve = C.train_heads(df, 3, 4, [{"lr": 0.05, "epochs": 4, "batch_size": 16}])
-    W, losses = _reference_loop(X, y, 3, 4, 16, 0.05, 42)
-    assert [e for _, e, _ in curve] == [1, 2, 3, 4]
+    hashes = [np.array([r[f"h{e}"] for r in rows]) for e in (1, 2, 3)]
+    params, curve = C.train_heads(df.repartition(partitions), 3, 4,
+                                  [{"lr": 0.05, "epochs": 3, "batch_size": batch_size}])
+    W, losses = _reference_loop(X, y, hashes, 3, 3, batch_size, 0.05)
+    assert [e for _, e, _ in curve] == [1, 2, 3]
     assert np.allclose([x for _, _, x in curve], losses, rtol=0, atol=1e-9)
     assert np.allclose(params[0], W, rtol=0, atol=1e-9)
 
 
-def test_minibatch_adam_ignores_row_arrival_order(spark):
-    df = _toy(spark, n=120)
-    cfg = [{"lr": 0.05, "epochs": 2, "batch_size": 8}]
-    a, _ = C.train_heads(df.orderBy("doc_id").coalesce(1), 3, 4, cfg)
-    b, _ = C.train_heads(df.orderBy(F.col("doc_id").desc()).coalesce(1), 3, 4, cfg)
-    assert np.array_equal(a, b)
+def test_adapter_does_not_depend_on_the_partitioning(spark):
+    df = _toy(spark, n=90)
+    curves = [[x for _, x in C.fit_adapter(df.repartition(p), df, 3, 4, epochs=2, lr=0.01, batch_size=45)[0]]
+              for p in (1, 4, 32)]
+    assert np.allclose(curves, curves[0], rtol=0, atol=1e-9)
 
 
-def test_row_order_is_a_permutation():
-    X = np.random.default_rng(0).normal(size=(50, 3))
-    y = np.arange(50) % 4
-    o = C._row_order(X, y, 42, 1)
-    assert sorted(o.tolist()) == list(range(50))
-    assert not np.array_equal(o, C._row_order(X, y, 42, 2))
+def test_gradient_blocks_cover_models_wider_than_one_block(spark, monkeypatch):
+    df = _toy(spark, n=60)
+    whole = C.train_heads(df, 3, 4, [{"lr": 0.05, "epochs": 2}])
+    monkeypatch.setattr(C, "BLOCK_WIDTH", 7)
+    cut = C.train_heads(df, 3, 4, [{"lr": 0.05, "epochs": 2}])
+    assert np.allclose(whole[0], cut[0], rtol=0, atol=1e-12) and np.allclose(whole[1], cut[1])
 
 
-def test_minibatch_adam_learns_across_partitions(spark):
-    df = _toy(spark, n=400).repartition(4, "doc_id")
-    curve = C.loss_curve(df, 3, 4, epochs=5, lr=0.05, batch_size=16).orderBy("epoch").collect()
-    losses = [r["loss"] for r in curve]
-    assert losses[-1] < 0.5 * losses[0]
+def test_training_without_rows_gives_zero_weights(spark):
+    empty = spark.createDataFrame([(1, [1.0, 2.0], None)], "doc_id long, features array<double>, label int")
+    params, curve = C.train_heads(empty, 3, 2, [{"lr": 0.1, "epochs": 2}])
+    assert not params.any() and curve == []
+
+
+def test_unknown_labels_count_as_misses(spark):
+    df = _toy(spark, n=80)
+    test = df.limit(40).unionByName(df.limit(40).withColumn("label", F.lit(None).cast("int")))
+    out = C.sweep_heads(df, test, 3, 4, [{"lr": 0.1, "epochs": 15}]).first()
+    assert out["n"] == 80 and 0.3 < out["accuracy"] <= 0.5
+
+
+def test_dropout_mask_follows_the_row():
+    h = np.array([5, 9, 5], dtype=np.uint64)
+    keep = C._dropout_mask(h, 2000, 0.25)
+    assert np.array_equal(keep[0], keep[2]) and not np.array_equal(keep[0], keep[1])
+    assert set(np.unique(keep)) == {0.0, 1 / 0.75} and abs((keep == 0).mean() - 0.25) < 0.03
+
+
+def test_encode_keeps_the_key_type_and_fills_batches(spark):
+    df = spark.range(30).select(F.concat(F.lit("k"), "id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
+
+    class Sizes(E.HashedEncoder):
+        def load(self):
+            return lambda texts: np.full((len(texts), 1), len(texts), dtype=np.float32)
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = E.encode(df, Sizes(1), batch_size=4).collect()
+        assert E.encode_hashed(df, 8).schema["doc_id"].dataType.simpleString() == "string"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len({r["doc_id"] for r in rows}) == 30
+    assert sorted(int(r["embedding"][0]) for r in rows) == [2] * 2 + [4] * 28
+
+
+def test_encode_max_length_cuts_for_any_encoder(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "")], "doc_id long, text string")
+    cut = {r[0]: r[1] for r in E.encode(df, E.HashedEncoder(8), max_length=2).collect()}
+    want = {r[0]: r[1] for r in E.encode_hashed(df, 8, max_length=2).collect()}
+    assert cut == want
+
+
+def test_building_an_encode_runs_no_job(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("vl-encode-build", "build only")
+    try:
+        grouped = spark.range(50).groupBy((F.col("id") % 5).alias("doc_id")).agg(F.lit("a").alias("text"))
+        E.encode(grouped, E.HashedEncoder(8))
+        assert list(sc.statusTracker().getJobIdsForGroup("vl-encode-build")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_fit_head_learns_separable_data(spark):
@@ -182,7 +237,7 @@ def test_adapter_gradient_matches_finite_differences():
 
 def test_fit_adapter_loss_falls(spark):
     df = _toy(spark, n=400).repartition(2, "doc_id")
-    curve, _, _ = C.fit_adapter(df, df, 3, 4, epochs=3, lr=0.01)
+    curve, _, _ = C.fit_adapter(df, df, 3, 4, epochs=3, lr=0.01, batch_size=100)
     assert [e for e, _ in curve] == [1, 2, 3] and curve[-1][1] < curve[0][1]
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.text import hashed_token_codes, truncate_tokens, whitespace_tokens
 from vectorloom.functions.vector import NORM_EPS
-from vectorloom.sources.tables import spread
+from vectorloom.operators.metrics import current_rss
 
 log = logging.getLogger("vectorloom.encode")
 
@@ -112,13 +112,39 @@ def resolve_dimension(dimension: int | None, native: int) -> int | None:
     return dimension
 
 
+def _full_batches(batches, size: int):
+    """Regroup Arrow batches so that each holds a multiple of ``size`` rows, except the last."""
+    import pyarrow as pa
+    held = None
+    for rb in batches:
+        if held is not None:
+            rb = pa.Table.from_batches([held, rb]).combine_chunks().to_batches()[0]
+        cut = rb.num_rows - rb.num_rows % size
+        if cut:
+            yield rb.slice(0, cut)
+        held = rb.slice(cut) if cut < rb.num_rows else None
+    if held is not None:
+        yield held
+
+
+def _dealt(df: DataFrame, key: str, num_partitions: int | None) -> DataFrame:
+    """``num_partitions`` partitions by key where the caller asks for them, else as scanned."""
+    return df if num_partitions is None else df.repartition(int(num_partitions), key)
+
+
 def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
            batch_size: int = 16, dimension: int | None = None, normalize: bool = False,
-           out: str = "embedding", carry: list[str] | None = None) -> DataFrame:
+           out: str = "embedding", carry: list[str] | None = None, max_length: int | None = None,
+           num_partitions: int | None = None, peak=None) -> DataFrame:
     """V1: batched encode; returns (key, embedding array<float>, *carry).
 
     ``carry`` columns (the text itself, a label) pass through the Arrow
-    batches untouched, so nothing has to be joined back after encoding.
+    batches untouched, so nothing has to be joined back after encoding. The
+    key keeps its type. Only a task's last mini-batch may be short.
+    ``max_length`` cuts texts to that many whitespace tokens before any encoder
+    sees them. ``num_partitions`` deals the rows out anew (a narrow scan);
+    without it there is no shuffle. ``peak`` (``metrics.peak_accumulator``)
+    receives the tasks' memory growth during this pass.
     Empty input gives an empty frame (the reference fails on it).
     """
     if batch_size < 1:
@@ -130,13 +156,16 @@ def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
 
     def run(batches):
         import pyarrow as pa
+        start = current_rss()
         model = encoder.load()  # once per task, then reused for every batch
-        for rb in batches:
+        for rb in _full_batches(batches, batch_size):
             texts = rb.column(1).to_pylist()
             parts = [model(texts[s:s + batch_size]) for s in range(0, len(texts), batch_size)]
             if not parts:
                 continue
             mat = np.ascontiguousarray(_postprocess(np.concatenate(parts, axis=0), native, dim, normalize))
+            if peak is not None:
+                peak.add(max(current_rss() - start, 0))
             n, d = mat.shape
             # the matrix becomes the list column directly: no per-row objects
             offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int64))
@@ -145,15 +174,22 @@ def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([rb.column(0), vec.cast(pa.list_(pa.float32())), *passed],
                                              names=[key, out, *carry])
 
-    staged = spread(df.select(F.col(key).cast("long").alias(key), F.col(text_col).alias("_vl_text"),
-                              *carry), key)
-    return staged.mapInArrow(run, f"{key} long, {out} array<float>{extra_schema}")
+    staged = _dealt(df.select(key, _cut(text_col, max_length).alias("_vl_text"), *carry), key, num_partitions)
+    key_type = df.schema[key].dataType.simpleString()
+    return staged.mapInArrow(run, f"{key} {key_type}, {out} array<float>{extra_schema}")
+
+
+def _cut(text_col: str, max_length: int | None):
+    """The text, or its first ``max_length`` whitespace tokens joined by spaces."""
+    if max_length is None:
+        return F.col(text_col)
+    return F.array_join(truncate_tokens(whitespace_tokens(text_col), max_length), " ")
 
 
 def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
                      batch_size: int = 16, dimension: int | None = None,
-                     normalize: bool = False) -> DataFrame:
-    """One row per mini-batch encoded: task, batch number, rows, nanoseconds, RSS.
+                     normalize: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """One row per mini-batch encoded: task, batch number, rows, nanoseconds, memory growth in bytes.
 
     The clocks and memory readings are real and therefore not deterministic.
     """
@@ -161,51 +197,53 @@ def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str =
     native = encoder.native_dim
 
     def run(batches):
-        import resource
-
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
         ctx = TaskContext.get()
         task = ctx.partitionId() if ctx is not None else -1
-        rss0 = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        rss0 = current_rss()
         model = encoder.load()
         batch_no = 0
-        rows = []
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
+        for rb in _full_batches(batches, batch_size):
+            texts = rb.column(0).to_pylist()
+            rows = []
             for s in range(0, len(texts), batch_size):
                 t0 = time.perf_counter_ns()
                 _postprocess(model(texts[s:s + batch_size]), native, dim, normalize)
                 ns = time.perf_counter_ns() - t0
-                rss = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-                rows.append((task, batch_no, len(texts[s:s + batch_size]), ns, max(rss - rss0, 0)))
+                rows.append((task, batch_no, len(texts[s:s + batch_size]), ns, max(current_rss() - rss0, 0)))
                 batch_no += 1
-        if rows:
-            yield pd.DataFrame(rows, columns=["task_id", "batch_no", "rows", "elapsed_ns", "rss_growth_kb"])
+            if rows:
+                cols = [pa.array(c, type=pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(zip(*rows))]
+                yield pa.RecordBatch.from_arrays(cols, names=["task_id", "batch_no", "rows", "elapsed_ns",
+                                                              "rss_growth"])
 
-    schema = "task_id int, batch_no long, rows long, elapsed_ns long, rss_growth_kb long"
-    return spread(df.select(key, text_col), key).mapInPandas(run, schema)
+    schema = "task_id int, batch_no long, rows long, elapsed_ns long, rss_growth long"
+    return _dealt(df.select(text_col, key), key, num_partitions).select(text_col).mapInArrow(run, schema)
 
 
 def encode_hashed(df: DataFrame, dimension: int = 64, text_col: str = "text", key: str = "doc_id",
                   max_length: int | None = None, out: str = "embedding",
-                  carry: list[str] | None = None) -> DataFrame:
+                  carry: list[str] | None = None, num_partitions: int | None = None,
+                  peak=None) -> DataFrame:
     """V2: hashed encoding with the hashing in the JVM and a numpy scatter.
 
     Unnormalised counts (float32): value at bucket b = (+1 tokens) - (-1 tokens).
     ``carry`` columns pass through untouched (e.g. split and label), so a
     labelled corpus is encoded in the same pass, with no join afterwards.
+    The key keeps its type; ``num_partitions`` and ``peak`` as in ``encode``.
     """
     d = int(dimension)
     carry = list(carry or [])
     codes = hashed_token_codes(truncate_tokens(whitespace_tokens(text_col), max_length), d)
-    narrow = spread(df.select(F.col(key).cast("long").alias(key), F.col(text_col), *carry), key)
+    narrow = _dealt(df.select(key, text_col, *carry), key, num_partitions)
     staged = narrow.select(key, codes.alias("_codes"), *carry)
     extra_schema = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
 
     def scatter(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
+        start = current_rss()
         for rb in batches:
             n = rb.num_rows
             lists = rb.column(1)
@@ -213,12 +251,14 @@ def encode_hashed(df: DataFrame, dimension: int = 64, text_col: str = "text", ke
             vals = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             flat_idx = parents.astype(np.int64) * d + (np.abs(vals) - 1)
             dense = np.bincount(flat_idx, weights=np.sign(vals), minlength=n * d).astype(np.float32)
+            if peak is not None:
+                peak.add(max(current_rss() - start, 0))
             offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
             vec = pa.ListArray.from_arrays(offsets, pa.array(dense, type=pa.float32()))
             passed = [rb.column(2 + i) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays([rb.column(0), vec, *passed], names=[key, out, *carry])
 
-    return staged.mapInArrow(scatter, f"{key} long, {out} array<float>{extra_schema}")
+    return staged.mapInArrow(scatter, f"{key} {df.schema[key].dataType.simpleString()}, {out} array<float>{extra_schema}")
 
 
 def last_token_pool(df: DataFrame, seq_col: str, pos_col: str, mask_col: str, hidden_col: str,

@@ -9,6 +9,7 @@ the truth or the predictions.
 
 from __future__ import annotations
 
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +25,20 @@ def align(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
 
 
 def class_report(df: DataFrame, truth: str = "truth", pred: str = "pred",
-                 by: list[str] | None = None, keep_null: bool = False) -> DataFrame:
+                 by: list[str] | None = None, keep_null: bool = False, weight: str | None = None) -> DataFrame:
     """M4: per class (and group): support, predicted, true positives, F1.
 
     ``keep_null`` keeps the rows without a truth or prediction as a null class.
+    ``weight`` is a column with the number of rows that a row stands for.
     """
     by = list(by or [])
+    one = F.col(weight).cast("long") if weight else F.lit(1)
+    none = F.lit(0).cast("long") if weight else F.lit(0)
     entries = F.explode(F.array(
-        F.struct(F.col(truth).cast("string").alias("cls"), F.lit(1).alias("t"), F.lit(0).alias("p"),
-                 F.coalesce((F.col(truth) == F.col(pred)).cast("int"), F.lit(0)).alias("tp")),
-        F.struct(F.col(pred).cast("string").alias("cls"), F.lit(0).alias("t"), F.lit(1).alias("p"),
-                 F.lit(0).alias("tp")),
+        F.struct(F.col(truth).cast("string").alias("cls"), one.alias("t"), none.alias("p"),
+                 F.when(F.col(truth) == F.col(pred), one).otherwise(none).alias("tp")),
+        F.struct(F.col(pred).cast("string").alias("cls"), none.alias("t"), one.alias("p"),
+                 none.alias("tp")),
     ))
     exploded = df.select(*by, entries.alias("e")).select(*by, "e.*")
     if not keep_null:
@@ -68,11 +72,11 @@ def f1_scores(df: DataFrame, truth: str = "truth", pred: str = "pred", by: list[
 
 
 def classification_metrics(df: DataFrame, truth: str = "truth", pred: str = "pred",
-                           by: list[str] | None = None) -> DataFrame:
-    """accuracy, macro F1 and weighted F1 in one frame (per group)."""
+                           by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """accuracy, macro F1 and weighted F1 in one frame (per group); a row without a truth is a miss."""
     by = list(by or [])
     # One pass: accuracy is true positives over rows, and both follow from the per-class counts.
-    rep = class_report(df, truth, pred, by, keep_null=True)
+    rep = class_report(df, truth, pred, by, keep_null=True, weight=weight)
     known = F.col("cls").isNotNull()
     return rep.groupBy(*by).agg(
         F.sum("support").alias("n"),
@@ -97,6 +101,28 @@ def total_time(mode: str = "mode", extraction: str = "embed_extraction_time_sec"
     return F.when(F.col(mode) == "frozen", F.col(extraction) + F.col(train)).otherwise(F.col(train))
 
 
+def current_rss() -> int:
+    """Resident bytes of this process now (not the high-water mark of a reused worker)."""
+    import os
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+
+class _Largest(AccumulatorParam):
+    """The largest value added: a retried task changes nothing."""
+
+    def zero(self, value):
+        return value
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
+def peak_accumulator(spark):
+    """Accumulator of the largest memory growth, in bytes, that any task reports."""
+    return spark.sparkContext.accumulator(0, _Largest())
+
+
 def batch_telemetry(telemetry: DataFrame, every: int = 10) -> DataFrame:
     """M8: progress lines (every ``every``-th batch and the last) per task.
 
@@ -109,20 +135,20 @@ def batch_telemetry(telemetry: DataFrame, every: int = 10) -> DataFrame:
     done = F.sum("rows").over(w)
     spent = F.sum("elapsed_ns").over(w)
     t = telemetry.select("task_id", "batch_no", done.alias("done"), spent.alias("elapsed_ns"),
-                         last.alias("_last"))
+                         last.alias("last_batch"))
     t = t.withColumn("samples_per_sec", F.try_divide(F.col("done") * F.lit(1e9), F.col("elapsed_ns").cast("double")))
-    return t.where((F.col("batch_no") % every == 0) | (F.col("batch_no") == F.col("_last"))).drop("_last")
+    return t.where((F.col("batch_no") % every == 0) | (F.col("batch_no") == F.col("last_batch")))
 
 
 def task_resources(telemetry: DataFrame) -> DataFrame:
     """M9: per task wall time, rows and RSS growth, then totals for the run."""
     per_task = telemetry.groupBy("task_id").agg(
         F.sum("rows").alias("rows"), F.sum("elapsed_ns").alias("elapsed_ns"),
-        F.max("rss_growth_kb").alias("rss_growth_kb"))
+        F.max("rss_growth").alias("rss_growth"))
     return per_task.agg(
         F.count(F.lit(1)).alias("tasks"),
         F.sum("rows").alias("rows"),
         (F.sum("elapsed_ns") / 1e9).alias("busy_sec"),
         (F.max("elapsed_ns") / 1e9).alias("slowest_task_sec"),
-        (F.max("rss_growth_kb") / 1e6).alias("peak_rss_growth_gb"),
+        (F.max("rss_growth") / 1e9).alias("peak_rss_growth_gb"),
     )

@@ -124,16 +124,21 @@ def _formatted(df: DataFrame, columns) -> list[Column]:
     return out
 
 
+def _report(runs: DataFrame, columns, keys) -> DataFrame:
+    """Sort and format, with only the report's columns, its keys and the run id in the sort."""
+    needed = dict.fromkeys([c for c, _ in columns if c in runs.columns] + list(keys) + ["run_id"])
+    ordered = runs_sorted(runs.select(*needed), keys)
+    return ordered.select(F.col("position"), *_formatted(ordered, columns))
+
+
 def report_embedding(runs: DataFrame) -> DataFrame:
     """R8 (generation): sorted, renamed, floats as %.3f, missing as '-'."""
-    ordered = runs_sorted(runs)
-    return ordered.select(F.col("position"), *_formatted(ordered, EMBEDDING_COLUMNS))
+    return _report(runs, EMBEDDING_COLUMNS, ("model_size", "backend", "device", "requested_dimension"))
 
 
 def report_classification(runs: DataFrame) -> DataFrame:
     """R8 (classification)."""
-    ordered = runs_sorted(runs, ("model_size", "mode", "device"))
-    return ordered.select(F.col("position"), *_formatted(ordered, CLASSIFICATION_COLUMNS))
+    return _report(runs, CLASSIFICATION_COLUMNS, ("model_size", "mode", "device"))
 
 
 def cell_throughput(runs: DataFrame) -> DataFrame:

@@ -3,21 +3,20 @@
 * ``fit_head`` (C1): Spark ML multinomial logistic regression, no
   regularisation: the reference's objective (softmax cross-entropy with a
   bias), solved by L-BFGS over distributed ``treeAggregate`` instead of Adam.
-* ``loss_curve`` / ``sweep_heads`` (C2, C5): mini-batch Adam, one Spark job
-  per epoch. The state is broadcast (size checked), every partition runs the
-  reference's epoch loop over its own rows with numpy, Spark sums the
-  partitions' row-weighted results with a ``groupBy`` on the parameter
-  index, and the driver averages them into a model-sized array.
-* ``fit_adapter`` (C6): the same scheme with the adapter's AdamW loop.
-  The training frame is persisted once and re-read by every epoch.
+* ``loss_curve`` / ``sweep_heads`` (C2, C5): synchronous Adam. Each step is
+  one Spark job: the state is broadcast (size checked), every task adds up
+  the gradient of its rows of the step's batch, Spark sums the partial
+  gradients in fixed-width blocks, and the driver takes the step.
+* ``fit_adapter`` (C6): the same scheme with AdamW and the adapter's gradient.
+  The training frame is persisted once and re-read by every step.
 * ``softmax_grad0`` (C3) and ``linear_predict`` (C4) are the checkable
   pieces: the gradient at zero weights in pure SQL, and argmax scoring.
 
-Deviation (documented): the reference runs one sequential mini-batch loop
-with unseeded initialisation and shuffles. Here initialisation and shuffles
-are seeded, so runs repeat exactly for a fixed partitioning, and the shards
-of an epoch train in parallel and are averaged (identical to the reference
-with one partition). Compare objectives, not accuracy.
+The batch of a row, and its dropout mask, follow from a seeded hash of its
+values, so losses and weights do not depend on the partitioning (only the
+last bits of floating-point sums do). Deviations from the reference: heads
+start at zero weights, batches hold about ``batch_size`` rows (copies of a
+row share a batch), and runs are seeded.
 """
 
 from __future__ import annotations
@@ -36,6 +35,13 @@ from vectorloom.operators import metrics as M
 # (weights, centroids, gradients): K x (d + 1) doubles.
 MAX_MODEL_BYTES = 256 << 20
 
+# Values in one row of a partial gradient.
+BLOCK_WIDTH = 4096
+
+# Most tasks that add up one step's gradient; a step shuffles at most this many models.
+MERGE_WIDTH = 1024
+PARTIALS = "block int, part array<double>"
+
 # Per-mode defaults of the reference (frozen head / adapter).
 MODE_DEFAULTS = {
     "frozen": {"epochs": 10, "batch_size": 32, "lr": 1e-3},
@@ -54,18 +60,70 @@ def _check_model_size(n_values: int, what: str) -> None:
                          "bound for broadcast model state")
 
 
-def _sum_partials(partials: DataFrame, size: int) -> np.ndarray:
-    """Sum per-partition partial vectors (long form: idx, g) into one array.
+def _sum_blocks(partials: DataFrame, size: int) -> np.ndarray:
+    """Sum the tasks' partial vectors (``block``, ``part``) into one array of ``size``.
 
-    The shuffle carries one row per parameter per partition; the result
-    (one row per parameter) is model-sized and checked.
+    The blocks are summed elementwise in the JVM; the result is model-sized
+    and checked before training starts.
     """
-    summed = partials.groupBy("idx").agg(F.sum("g").alias("g")).toPandas()
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    summed = (partials.groupBy("block").agg(Summarizer.sum(array_to_vector("part")).alias("v"))
+              .select("block", vector_to_array("v").alias("v")).collect())
     out = np.zeros(size, dtype=np.float64)
-    out[summed["idx"].to_numpy()] = summed["g"].to_numpy()
+    for r in summed:
+        at = r["block"] * BLOCK_WIDTH
+        out[at:at + len(r["v"])] = r["v"]
     return out
 
 
+def _gradient_sums(state_bc, objective, size: int, features: str, label: str, peak=None):
+    """mapInPandas body: the task's sum of ``objective`` over its rows, in blocks.
+
+    ``objective(state, X, y, h)`` returns one vector of ``size`` values, summed
+    over the rows given. Rows are read one Arrow batch at a time.
+    """
+    def run(batches):
+        import pandas as pd
+        start = M.current_rss()
+        total, seen = np.zeros(size), False
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            seen = True
+            total += objective(state_bc.value, _stack(pdf[features]), pdf[label].to_numpy().astype(np.int64),
+                               pdf["_h"].to_numpy().astype(np.int64).view(np.uint64))
+            if peak is not None:
+                peak.add(M.current_rss() - start)
+        if seen:
+            starts = range(0, size, BLOCK_WIDTH)
+            yield pd.DataFrame({"block": np.arange(len(starts), dtype=np.int32),
+                                "part": [total[i:i + BLOCK_WIDTH] for i in starts]})
+
+    return run
+
+
+def _training_rows(train: DataFrame, features: str, label: str) -> tuple[DataFrame, int]:
+    """(persisted rows with a labelled class and their content hash, how many)."""
+    data = (train.where(F.col(label).isNotNull())
+                 .select(features, label, F.xxhash64(features, label).alias("_h0"))
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+    return data, data.count()
+
+
+def _batches_of(data: DataFrame, n: int, batch_size: int | None, seed: int, epoch: int, merge_width: int):
+    """The frames of an epoch's batches: rows dealt by a seeded hash of their values.
+
+    ``batch_size`` None: one batch of all rows. At most ``merge_width`` tasks
+    run a batch, so a step shuffles at most that many models.
+    """
+    steps = -(-n // batch_size) if batch_size else 1
+    dealt = data.withColumn("_h", F.xxhash64("_h0", F.lit(int(seed)), F.lit(int(epoch)))).drop("_h0")
+    for step in range(steps):
+        batch = dealt if steps == 1 else dealt.where(F.pmod(F.col("_h"), F.lit(steps)) == step)
+        yield batch.coalesce(merge_width)
+
+
 def _stack(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series]) if len(series) else np.zeros((0, 0))
 
@@ -76,7 +134,8 @@ def fit_head(train: DataFrame, test: DataFrame, num_classes: int, features: str
              label: str = "label", max_iter: int = 100):
     """Fit the linear head on ``train``, score ``test``.
 
-    Returns (model, predictions frame with ``truth``/``pred``). The label
+    Returns (model, predictions frame with ``truth``/``pred``; a test row
+    without a known label keeps a null truth). The label
     column carries nominal metadata so the head has one output per
     vocabulary class, even for classes absent from the sample.
     """
@@ -86,7 +145,7 @@ def fit_head(train: DataFrame, test: DataFrame, num_classes: int, features: str
     meta = {"ml_attr": {"type": "nominal", "num_vals": int(num_classes), "name": label}}
 
     def prep(df):
-        return df.where(F.col(label).isNotNull()).select(
+        return df.select(
             array_to_vector(F.col(features).cast("array<double>")).alias("features"),
             F.col(label).cast("double").alias("label", metadata=meta))
 
@@ -95,7 +154,7 @@ def fit_head(train: DataFrame, test: DataFrame, num_classes: int, features: str
     # The estimator makes a statistics pass over its input before it builds
     # (and caches) its training blocks, so an unpersisted input would run the
     # encoder twice. Encode once: persist for the fit, release afterwards.
-    prepared = prep(train)
+    prepared = prep(train.where(F.col(label).isNotNull()))
     owned = not train.storageLevel.useMemory and not train.storageLevel.useDisk
     if owned:
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
@@ -109,77 +168,7 @@ def fit_head(train: DataFrame, test: DataFrame, num_classes: int, features: str
                                 F.col("prediction").cast("int").alias("pred"))
 
 
-# ---------------------------------- C2 / C5: mini-batch Adam, averaged per epoch
-
-def _row_order(X: np.ndarray, y: np.ndarray, seed: int, epoch: int) -> np.ndarray:
-    """The epoch's visiting order of a partition's rows, from their content only.
-
-    Rows are ranked by a seeded hash of their values, so a retried task
-    whose input arrives in another order (a recomputed shuffle) visits the
-    rows in the same order and emits the same result. Identical rows tie and
-    are interchangeable.
-    """
-    rng = np.random.default_rng([seed, epoch])
-    words = np.ascontiguousarray(np.hstack([X, y[:, None]]).astype(np.float64)).view(np.uint64)
-    mult = rng.integers(1, 2 ** 63, size=words.shape[1], dtype=np.uint64) | np.uint64(1)
-    h = (words * mult).sum(axis=1, dtype=np.uint64)  # wraps modulo 2**64
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
-    return np.argsort(h, kind="stable")
-
-
-def _local_epoch(state_bc, features: str, label: str, seed: int, epoch: int):
-    """mapInPandas body: one epoch of mini-batch Adam on this partition's rows.
-
-    Every config starts from the broadcast state (params, Adam moments, step
-    count) and runs the reference's loop over the partition: rows reshuffled
-    for the epoch (``_row_order``: seeded, and a retried task repeats
-    itself), batches of the config's ``batch_size``, the loss of each
-    batch taken before its update and weighted by its size. The partition
-    emits n-weighted sums of its final params and moments, its loss sum,
-    n-weighted step count and n, in long form for Spark to add up.
-    Params layout: (C, K, d + 1), the last column being the bias.
-    """
-    def run(batches):
-        import pandas as pd
-        params, m, v, steps, lrs, sizes, active = state_bc.value
-        frames = [pdf for pdf in batches if len(pdf)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        X = _stack(pdf[features])
-        y = pdf[label].to_numpy().astype(np.int64)
-        Xb = np.hstack([X, np.ones((X.shape[0], 1))])
-        n = X.shape[0]
-        order = _row_order(X, y, seed, epoch)
-        C = params.shape[0]
-        out_p, out_m, out_v = params * n, m * n, v * n
-        loss, taken = np.zeros(C), np.zeros(C)
-        for c in range(C):
-            if not active[c]:
-                continue
-            p, mc, vc, t = params[c].copy(), m[c].copy(), v[c].copy(), int(steps[c])
-            bs = int(sizes[c])
-            for s in range(0, n, bs):
-                idx = order[s:s + bs]
-                xb, yb = Xb[idx], y[idx]
-                rows = np.arange(len(idx))
-                z = xb @ p.T
-                z -= z.max(axis=1, keepdims=True)
-                logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-                loss[c] -= logp[rows, yb].sum()
-                prob = np.exp(logp)
-                prob[rows, yb] -= 1.0
-                t += 1
-                p, mc, vc = _adam_step(p, prob.T @ xb / len(idx), mc, vc, t, lrs[c])
-                taken[c] += 1
-            out_p[c], out_m[c], out_v[c] = p * n, mc * n, vc * n
-        vals = np.concatenate([out_p.ravel(), out_m.ravel(), out_v.ravel(), loss, taken * n, [float(n)]])
-        yield pd.DataFrame({"idx": np.arange(vals.size, dtype=np.int64), "g": vals})
-
-    return run
-
+# ---------------------------------- C2 / C5: synchronous Adam
 
 def _adam_step(p, g, m, v, t, lr, betas=(0.9, 0.999), eps=1e-8, weight_decay=0.0):
     b1, b2 = betas
@@ -192,65 +181,71 @@ def _adam_step(p, g, m, v, t, lr, betas=(0.9, 0.999), eps=1e-8, weight_decay=0.0
     return p - lr * mhat / (np.sqrt(vhat) + eps), m, v
 
 
-def _init_heads(n_configs: int, n_classes: int, dim: int, seed: int) -> np.ndarray:
-    # the uniform(-1/sqrt(d), 1/sqrt(d)) range of a default linear layer
-    rng = np.random.default_rng(seed)
-    bound = 1.0 / math.sqrt(dim)
-    return rng.uniform(-bound, bound, size=(n_configs, n_classes, dim + 1))
+def _heads_objective(params, X, y, _h):
+    """Per head: gradient and loss of softmax cross-entropy, summed over the rows; then the row count."""
+    Xb = np.hstack([X, np.ones((X.shape[0], 1))])
+    rows = np.arange(X.shape[0])
+    grads, losses = [], []
+    for p in params:
+        z = Xb @ p.T
+        z -= z.max(axis=1, keepdims=True)
+        logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        losses.append(-logp[rows, y].sum())
+        prob = np.exp(logp)
+        prob[rows, y] -= 1.0
+        grads.append((prob.T @ Xb).ravel())
+    return np.concatenate([*grads, losses, [float(len(rows))]])
 
 
 def train_heads(train: DataFrame, num_classes: int, dim: int, configs: list[dict],
-                features: str = "features", label: str = "label", seed: int = 42):
-    """Train several heads at once: one Spark job per epoch for all of them.
-
-    ``configs``: dicts with ``lr``, ``epochs`` and ``batch_size`` (default
-    32). Each epoch every partition runs mini-batch Adam over its own rows
-    from the broadcast state (``_local_epoch``); Spark sums the partitions'
-    n-weighted results and the driver divides by n, so the new params and
-    moments are the row-weighted average of the partitions' (model-sized,
-    checked). With one partition this is exactly the reference's loop; with
-    more, the shards of an epoch train in parallel and are averaged. The
-    epoch loss is the reference's: the size-weighted mean of the batch
-    losses seen during the epoch. Returns (params (C, K, d+1), loss rows
-    [(config_id, epoch, loss)]).
+                features: str = "features", label: str = "label", seed: int = 42,
+                merge_width: int = MERGE_WIDTH, peak=None):
+    """Train several heads: one Spark job per step for all heads of a batch size.
+
+    ``configs``: dicts with ``lr``, ``epochs`` and ``batch_size`` (rows of one
+    synchronous step over the cluster; None or absent: all rows, one step an
+    epoch). Weights start at zero. The epoch loss is the reference's: the
+    size-weighted mean of the batch losses, each taken before its step. Rows
+    without a label are left out; no rows: zero weights and no losses.
+    ``peak`` (``metrics.peak_accumulator``) receives the tasks' memory growth.
+    Returns (params (C, K, d+1), loss rows [(config_id, epoch, loss)]).
     """
     spark = train.sparkSession
     C, K = len(configs), int(num_classes)
     _check_model_size(3 * C * K * (dim + 1), "head parameters and Adam moments")
-    data = (train.where(F.col(label).isNotNull()).select(features, label)
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-    params = _init_heads(C, K, dim, seed)
-    m = np.zeros_like(params)
-    v = np.zeros_like(params)
-    steps = np.zeros(C)
-    lrs = np.array([float(c["lr"]) for c in configs])
-    sizes = np.array([int(c.get("batch_size") or MODE_DEFAULTS["frozen"]["batch_size"]) for c in configs])
-    if (sizes < 1).any():
-        raise ValueError("batch_size must be >= 1")
-    epochs = np.array([int(c["epochs"]) for c in configs])
-    P = params.size
+    by_size: dict = {}
+    for c, cfg in enumerate(configs):
+        size = cfg.get("batch_size")
+        if size is not None and int(size) < 1:
+            raise ValueError("batch_size must be >= 1")
+        by_size.setdefault(size, []).append(c)
+    params = np.zeros((C, K, dim + 1))
+    m, v, t = np.zeros_like(params), np.zeros_like(params), np.zeros(C, dtype=int)
     curve = []
+    data, n = _training_rows(train, features, label)
     try:
-        for epoch in range(1, int(epochs.max(initial=0)) + 1):
-            active = epochs >= epoch
-            bc = spark.sparkContext.broadcast((params, m, v, steps, lrs, sizes, active))
-            fn = _local_epoch(bc, features, label, seed, epoch)
-            sums = _sum_partials(data.mapInPandas(fn, "idx long, g double"), 3 * P + 2 * C + 1)
-            bc.unpersist()
-            n = sums[-1]
-            if n == 0:
-                break  # nothing to train on
-            shape = params.shape
-            new_p, new_m, new_v = (sums[i * P:(i + 1) * P].reshape(shape) / n for i in range(3))
-            losses = sums[3 * P:3 * P + C] / n
-            taken = sums[3 * P + C:3 * P + 2 * C] / n
-            for c in np.flatnonzero(active):
-                params[c], m[c], v[c] = new_p[c], new_m[c], new_v[c]
-                steps[c] += round(taken[c])
-                curve.append((int(c), epoch, float(losses[c])))
+        for size, members in by_size.items() if n else ():
+            for epoch in range(1, max(int(configs[c]["epochs"]) for c in members) + 1):
+                live = [c for c in members if int(configs[c]["epochs"]) >= epoch]
+                width = len(live) * K * (dim + 1)
+                total = np.zeros(len(live))
+                for batch in _batches_of(data, n, size, seed, epoch, merge_width):
+                    bc = spark.sparkContext.broadcast(params[live])
+                    fn = _gradient_sums(bc, _heads_objective, width + len(live) + 1, features, label, peak)
+                    sums = _sum_blocks(batch.mapInPandas(fn, PARTIALS), width + len(live) + 1)
+                    bc.unpersist()
+                    if not sums[-1]:
+                        continue  # no row fell into this batch
+                    grads = sums[:width].reshape(len(live), K, dim + 1) / sums[-1]
+                    total += sums[width:-1]
+                    for c, g in zip(live, grads):
+                        t[c] += 1
+                        params[c], m[c], v[c] = _adam_step(params[c], g, m[c], v[c], t[c],
+                                                           float(configs[c]["lr"]))
+                curve += [(c, epoch, float(x / n)) for c, x in zip(live, total)]
     finally:
         data.unpersist()
-    return params, curve
+    return params, sorted(curve)
 
 
 def score_heads(df: DataFrame, params: np.ndarray, features: str = "features", label: str = "label",
@@ -288,10 +283,39 @@ def score_heads(df: DataFrame, params: np.ndarray, features: str = "features", l
     return df.select(*cols).mapInPandas(run, schema)
 
 
+def score_counts(df: DataFrame, params: np.ndarray, features: str = "features",
+                 label: str = "label") -> DataFrame:
+    """config_id, truth, pred, n: how often every head pairs a label with a prediction.
+
+    Counted inside the tasks, so rows x heads are never written out. A null
+    label stays a null truth.
+    """
+    spark = df.sparkSession
+    _check_model_size(params.size, "head parameters")
+    bc = spark.sparkContext.broadcast(params)
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = _stack(pdf[features])
+            Xb = np.hstack([X, np.ones((X.shape[0], 1))])
+            truth = pdf[label].astype("Int32")
+            for c, p in enumerate(bc.value):
+                pairs = pd.DataFrame({"truth": truth, "pred": np.argmax(Xb @ p.T, axis=1).astype(np.int32)})
+                out = pairs.groupby(["truth", "pred"], dropna=False).size().reset_index(name="n")
+                out.insert(0, "config_id", np.int32(c))
+                yield out
+
+    counted = df.select(features, label).mapInPandas(run, "config_id int, truth int, pred int, n long")
+    return counted.groupBy("config_id", "truth", "pred").agg(F.sum("n").alias("n"))
+
+
 def loss_curve(train: DataFrame, num_classes: int, dim: int, epochs: int = 10, lr: float = 1e-3,
                features: str = "features", label: str = "label", seed: int = 42,
-               batch_size: int = 32) -> DataFrame:
-    """Mean training loss per epoch of mini-batch Adam (see ``train_heads``)."""
+               batch_size: int | None = None) -> DataFrame:
+    """Mean training loss per epoch of synchronous Adam (see ``train_heads``)."""
     cfg = {"lr": lr, "epochs": epochs, "batch_size": batch_size}
     _, curve = train_heads(train, num_classes, dim, [cfg], features, label, seed)
     rows = [(e, loss) for _, e, loss in curve]
@@ -300,18 +324,17 @@ def loss_curve(train: DataFrame, num_classes: int, dim: int, epochs: int = 10, l
 
 def sweep_heads(train: DataFrame, test: DataFrame, num_classes: int, dim: int, configs: list[dict],
                 features: str = "features", label: str = "label", seed: int = 42) -> DataFrame:
-    """One head per configuration, trained together; metrics per config."""
+    """One head per configuration, trained together; metrics per config.
+
+    A test row whose label is not in the vocabulary (null) counts as a miss.
+    """
     params, curve = train_heads(train, num_classes, dim, configs, features, label, seed)
-    spark = train.sparkSession
-    final = {}
-    for c, e, loss in curve:
-        final[c] = loss
-    cfg = spark.createDataFrame(
-        [(i, float(c["lr"]), int(c["epochs"]), int(c.get("batch_size") or 0), final.get(i)) for i, c in
+    final = {c: loss for c, _, loss in curve}
+    cfg = train.sparkSession.createDataFrame(
+        [(i, float(c["lr"]), int(c["epochs"]), c.get("batch_size"), final.get(i)) for i, c in
          enumerate(configs)],
         "config_id int, lr double, epochs int, batch_size int, final_loss double")
-    preds = score_heads(test.where(F.col(label).isNotNull()), params, features, label)
-    mets = M.classification_metrics(preds, by=["config_id"])
+    mets = M.classification_metrics(score_counts(test, params, features, label), by=["config_id"], weight="n")
     return cfg.join(F.broadcast(mets), "config_id", "left")
 
 
@@ -345,46 +368,22 @@ def _adapter_grads(flat, shapes, X, y, keep):
     return loss, np.concatenate([gA.ravel(), gB.ravel(), gW.ravel()])
 
 
-def _adapter_epoch(state_bc, shapes, features: str, label: str, batch_size: int, lr: float,
-                   dropout: float, seed: int, epoch: int):
-    """mapInPandas body: one epoch of the adapter's AdamW loop on this partition.
+def _dropout_mask(h: np.ndarray, d: int, dropout: float):
+    """Scaled keep mask (rows, d) from the rows' seeded hashes; 1.0 without dropout."""
+    if dropout <= 0:
+        return 1.0
+    bits = h[:, None] + np.arange(1, d + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        bits = (bits ^ (bits >> np.uint64(shift))) * np.uint64(mult)
+    uniform = ((bits ^ (bits >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    return (uniform >= dropout) / (1.0 - dropout)
 
-    As ``_local_epoch``: start from the broadcast (params, moments, step),
-    reshuffle the partition's rows (``_row_order``), take batches of ``batch_size``
-    with a fresh dropout mask each, and emit row-weighted sums of the final
-    state, plus the sum and count of batch losses (the reference's epoch
-    loss is their unweighted mean).
-    """
-    def run(batches):
-        import pandas as pd
-        from pyspark import TaskContext
-        flat, m, v, t = state_bc.value
-        frames = [pdf for pdf in batches if len(pdf)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        X = _stack(pdf[features])
-        y = pdf[label].to_numpy().astype(np.int64)
-        n = X.shape[0]
-        ctx = TaskContext.get()
-        # dropout masks: seeded per epoch and partition, drawn in visiting order
-        rng = np.random.default_rng([seed, epoch, ctx.partitionId() if ctx else 0])
-        order = _row_order(X, y, seed, epoch)
-        p, mc, vc, t = flat.copy(), m.copy(), v.copy(), int(t)
-        loss_sum, n_batches = 0.0, 0
-        for s in range(0, n, batch_size):
-            idx = order[s:s + batch_size]
-            xb = X[idx]
-            keep = (rng.random(xb.shape) >= dropout) / (1.0 - dropout) if dropout > 0 else 1.0
-            loss, g = _adapter_grads(p, shapes, xb, y[idx], keep)
-            t += 1
-            p, mc, vc = _adam_step(p, g, mc, vc, t, lr, weight_decay=ADAMW_WEIGHT_DECAY)
-            loss_sum += loss
-            n_batches += 1
-        vals = np.concatenate([p * n, mc * n, vc * n, [loss_sum, float(n_batches), n_batches * float(n), float(n)]])
-        yield pd.DataFrame({"idx": np.arange(vals.size, dtype=np.int64), "g": vals})
 
-    return run
+def _adapter_objective(shapes, dropout: float):
+    def objective(flat, X, y, h):
+        loss, g = _adapter_grads(flat, shapes, X, y, _dropout_mask(h, X.shape[1], dropout))
+        return np.concatenate([g * len(y), [loss * len(y), float(len(y))]])
+    return objective
 
 
 def _unflatten(flat, shapes):
@@ -399,22 +398,20 @@ def _unflatten(flat, shapes):
 def fit_adapter(train: DataFrame, test: DataFrame, num_classes: int, dim: int, epochs: int = 3,
                 lr: float = 2e-4, rank: int = ADAPTER_RANK, dropout: float = ADAPTER_DROPOUT,
                 features: str = "features", label: str = "label", seed: int = 42,
-                batch_size: int = 8):
+                batch_size: int | None = None, merge_width: int = MERGE_WIDTH, peak=None):
     """C6 (re-aimed): a low-rank residual adapter on the vector, trained with the head.
 
     The reference adapts the backbone's attention projections, which needs
     the model runtime; here the adapter acts on the pooled vector
     (x' = x + alpha/r * B A x), a different model with the same training
-    recipe (rank 8, alpha 16, dropout 0.05, AdamW, batches of 8, three
-    epochs). One Spark job per epoch: every partition runs the mini-batch
-    loop over its rows and the states are averaged by row count, as in
-    ``train_heads``. The epoch loss is the unweighted mean of the batch
-    losses, as the reference reports it. Returns (loss rows, predictions
-    frame with truth/pred, trainable parameter count).
+    recipe (rank 8, alpha 16, dropout 0.05, AdamW, three epochs).
+    Synchronous steps as in ``train_heads``. The epoch loss is the unweighted
+    mean of the batch losses, as the reference reports it. Returns (loss
+    rows, predictions frame with truth/pred, trainable parameter count).
     """
     spark = train.sparkSession
     K, d, r = int(num_classes), int(dim), int(rank)
-    if batch_size < 1:
+    if batch_size is not None and batch_size < 1:
         raise ValueError("batch_size must be >= 1")
     shapes = [(r, d), (d, r), (K, d + 1)]
     total = sum(int(np.prod(s)) for s in shapes)
@@ -424,23 +421,25 @@ def fit_adapter(train: DataFrame, test: DataFrame, num_classes: int, dim: int, e
     B = np.zeros((d, r))
     Wb = rng.uniform(-1.0 / math.sqrt(d), 1.0 / math.sqrt(d), size=(K, d + 1))
     flat = np.concatenate([A.ravel(), B.ravel(), Wb.ravel()])
-    m, v, steps = np.zeros_like(flat), np.zeros_like(flat), 0
-    data = (train.where(F.col(label).isNotNull()).select(features, label)
-                 .persist(StorageLevel.MEMORY_AND_DISK))
+    m, v, t = np.zeros_like(flat), np.zeros_like(flat), 0
+    objective = _adapter_objective(shapes, dropout)
     curve = []
+    data, n = _training_rows(train, features, label)
     try:
-        for epoch in range(1, int(epochs) + 1):
-            bc = spark.sparkContext.broadcast((flat, m, v, steps))
-            fn = _adapter_epoch(bc, shapes, features, label, int(batch_size), lr, dropout, seed, epoch)
-            sums = _sum_partials(data.mapInPandas(fn, "idx long, g double"), 3 * total + 4)
-            bc.unpersist()
-            n = sums[-1]
-            if n == 0:
-                break  # nothing to train on
-            flat, m, v = (sums[i * total:(i + 1) * total] / n for i in range(3))
-            loss_sum, n_batches, weighted_batches = sums[3 * total:3 * total + 3]
-            curve.append((epoch, float(loss_sum / n_batches)))
-            steps += round(weighted_batches / n)
+        for epoch in range(1, int(epochs) + 1) if n else ():
+            losses = []
+            for batch in _batches_of(data, n, batch_size, seed, epoch, merge_width):
+                bc = spark.sparkContext.broadcast(flat)
+                fn = _gradient_sums(bc, objective, total + 2, features, label, peak)
+                sums = _sum_blocks(batch.mapInPandas(fn, PARTIALS), total + 2)
+                bc.unpersist()
+                if not sums[-1]:
+                    continue
+                t += 1
+                flat, m, v = _adam_step(flat, sums[:total] / sums[-1], m, v, t, lr,
+                                        weight_decay=ADAMW_WEIGHT_DECAY)
+                losses.append(sums[total] / sums[-1])
+            curve.append((epoch, float(np.mean(losses))))
     finally:
         data.unpersist()
     A, B, Wb = _unflatten(flat, shapes)
@@ -448,7 +447,7 @@ def fit_adapter(train: DataFrame, test: DataFrame, num_classes: int, dim: int, e
     scale = ADAPTER_ALPHA / ADAPTER_RANK
     folded = Wb.copy()
     folded[:, :-1] = Wb[:, :-1] @ (np.eye(d) + scale * (B @ A))
-    preds = score_heads(test.where(F.col(label).isNotNull()), folded[None, :, :], features, label)
+    preds = score_heads(test, folded[None, :, :], features, label)
     return curve, preds.drop("config_id"), 2 * r * d
 
 

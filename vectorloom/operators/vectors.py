@@ -108,10 +108,6 @@ def mrl_path_check(df: DataFrame, dimension: int, col: str = "embedding", key: s
     return df.select(key, V.max_abs_diff(a, b).alias("max_abs_diff"))
 
 
-def with_norm(df: DataFrame, col: str = "embedding", out: str = "l2_norm") -> DataFrame:
-    return df.withColumn(out, V.l2_norm(col))
-
-
 def norm_stats(df: DataFrame, col: str = "embedding") -> DataFrame:
     """Mean and population std of the row norms (one output row)."""
     norms = df.select(V.l2_norm(col).alias("_n"))

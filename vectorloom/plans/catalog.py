@@ -68,6 +68,12 @@ def _documents(spark, sf_dir):
     return read_table(spark, sf_dir, "documents")
 
 
+def _parts(spark) -> int | None:
+    """Partitions to deal texts into before encoding (a narrow scan); unset: as scanned."""
+    n = spark.conf.get("spark.vectorloom.encode.partitions", None)
+    return int(n) if n else None
+
+
 # ---------------------------------------------------------------- SQL views
 
 _CORPUS = """
@@ -88,6 +94,67 @@ labelled AS (
   SELECT c.doc_id, c.split, c.text, v.label, c.lang AS label_name
   FROM corpus c LEFT JOIN vocab v ON c.lang = v.label_name)"""
 
+_TOKS = "string_split_regex(trim(text), '\\s+')"
+
+_CODES = f"""
+tok AS (SELECT doc_id, unnest({_TOKS}) AS t FROM documents),
+h AS (SELECT doc_id, md5(t) AS m FROM tok),
+hb AS (SELECT doc_id, CAST(('0x' || substr(m, 1, 8))::BIGINT % {HASH_DIM} AS INTEGER) AS b,
+              CASE WHEN ('0x' || substr(m, 9, 1))::INTEGER < 8 THEN 1 ELSE -1 END AS s FROM h),
+agg AS (SELECT doc_id, b, sum(s) AS v FROM hb GROUP BY doc_id, b)"""
+
+_HASHED_SQL = _CODES + f""",
+cells AS (SELECT d.doc_id, r.i FROM documents d, range({HASH_DIM}) r(i)),
+hashed AS (
+  SELECT c.doc_id, list(CAST(coalesce(a.v, 0) AS FLOAT) ORDER BY c.i) AS embedding
+  FROM cells c LEFT JOIN agg a ON a.doc_id = c.doc_id AND a.b = c.i
+  GROUP BY c.doc_id)"""
+
+_UNIT_SQL = "WITH " + _HASHED_SQL + """,
+norms AS (SELECT doc_id, embedding,
+                 greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12) AS norm
+          FROM hashed),
+unit AS (SELECT doc_id, text, list_transform(embedding, lambda x: round(CAST(x / norm AS FLOAT)::DOUBLE, 6)) AS vector
+         FROM norms JOIN documents USING (doc_id))"""
+
+
+def _adam_sql(configs: list[dict]) -> str:
+    """CTEs of full-batch Adam from zero weights over the train split's hashed vectors.
+
+    ``w{e}`` holds the weights and ``l{e}`` the losses of epoch e per configuration.
+    """
+    grid = ", ".join(f"({i}, {c['lr']!r}::DOUBLE, {c['epochs']})" for i, c in enumerate(configs))
+    parts = [_CORPUS.strip(), _VOCAB, _LABELLED, _CODES, f"""
+x AS MATERIALIZED (
+  SELECT l.doc_id, l.split, l.label AS y, a.b AS dim, a.v::DOUBLE AS x
+  FROM labelled l JOIN agg a USING (doc_id) WHERE l.split IN ('train', 'test')
+  UNION ALL SELECT doc_id, split, label, {HASH_DIM}, 1.0 FROM labelled WHERE split IN ('train', 'test'))""", """
+xt AS MATERIALIZED (SELECT * FROM x WHERE split = 'train' AND y IS NOT NULL)""", """
+rows_n AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM xt)""", f"""
+cfg(c, lr, epochs) AS (VALUES {grid})""", f"""
+w0 AS (SELECT c, lr, epochs, label, r.i::INTEGER AS dim, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v
+       FROM cfg, vocab, range({HASH_DIM + 1}) r(i))"""]
+    for e in range(1, max(c["epochs"] for c in configs) + 1):
+        parts += [f"""
+z{e} AS (SELECT c, doc_id, y, label, sum(x * w) AS z FROM xt JOIN w{e - 1} USING (dim)
+         WHERE epochs >= {e} GROUP BY c, doc_id, y, label)""", f"""
+p{e} AS MATERIALIZED (
+  SELECT c, doc_id, y, label, zc - ln(sum(exp(zc)) OVER (PARTITION BY c, doc_id)) AS logp
+  FROM (SELECT c, doc_id, y, label, z - max(z) OVER (PARTITION BY c, doc_id) AS zc FROM z{e}) t)""", f"""
+l{e} AS (SELECT c, {e} AS epoch, -sum(logp) / any_value(n) AS loss FROM p{e}, rows_n WHERE label = y GROUP BY c)""", f"""
+g{e} AS (SELECT c, label, dim, sum((exp(logp) - CASE WHEN label = p.y THEN 1 ELSE 0 END) * x) / any_value(n) AS g
+         FROM p{e} p JOIN xt USING (doc_id), rows_n GROUP BY c, label, dim)""", f"""
+u{e} AS (SELECT c, lr, epochs, label, dim, w, CASE WHEN epochs < {e} THEN m ELSE 0.9 * m + 0.1 * coalesce(g, 0) END AS m,
+                CASE WHEN epochs < {e} THEN v ELSE 0.999 * v + 0.001 * coalesce(g, 0) * coalesce(g, 0) END AS v
+         FROM w{e - 1} LEFT JOIN g{e} USING (c, label, dim))""", f"""
+w{e} AS MATERIALIZED (
+  SELECT c, lr, epochs, label, dim, m, v, CASE WHEN epochs < {e} THEN w ELSE
+         w - lr * (m / (1 - 0.9 ** {e})) / (sqrt(v / (1 - 0.999 ** {e})) + 1e-8) END AS w FROM u{e})"""]
+    losses = " UNION ALL ".join(f"SELECT * FROM l{e}" for e in range(1, max(c["epochs"] for c in configs) + 1))
+    return "WITH " + ",".join(parts) + f""",
+losses AS (SELECT c, CAST(epoch AS INTEGER) AS epoch, loss FROM ({losses}) u)"""
+
+
 _EV = """
 ev AS (
   SELECT *, event_type <> 'error' AS ok, ['0.6b', '4b', '8b'][user_id % 3 + 1] AS ms FROM events)"""
@@ -231,13 +298,20 @@ def q_write_runs(spark, sf_dir):
     return back.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("vector_export")
+@register("vector_export", _UNIT_SQL + f"""
+SELECT doc_id, 'hashed_dim{HASH_DIM}_cpu' AS file_name, text, 'hashed' AS model_size, 'spark' AS backend,
+       'cpu' AS device, CAST({HASH_DIM} AS INTEGER) AS native_hidden_size,
+       CAST({HASH_DIM} AS INTEGER) AS output_dimension, vector
+FROM unit""")
 def q_vector_export(spark, sf_dir):
-    """Every document's unit hashed vector as a JSON document with its file name."""
+    """Every document's unit hashed vector as a JSON document with its file name, read back."""
     docs = _documents(spark, sf_dir)
-    enc = E.encode_hashed(docs.select("doc_id", "text"), HASH_DIM, carry=["text"])
-    unit = VO.l2_normalize(enc)
-    return vector_export(unit, "hashed", "spark", "cpu", HASH_DIM)
+    enc = E.encode_hashed(docs.select("doc_id", "text"), HASH_DIM, carry=["text"], num_partitions=_parts(spark))
+    out = vector_export(VO.l2_normalize(enc), "hashed", "spark", "cpu", HASH_DIM)
+    fields = F.from_json("json", "text string, model_size string, backend string, device string, "
+                                 "native_hidden_size int, output_dimension int, vector array<float>")
+    return (out.select("doc_id", "file_name", fields.alias("r")).select("doc_id", "file_name", "r.*")
+               .withColumn("vector", V.to_double_rounded("vector")))
 
 
 # ---------------------------------------------------------- P: sampling
@@ -315,9 +389,6 @@ def q_runs_ranked(spark, sf_dir):
 
 # ---------------------------------------------------------- T: text
 
-_TOKS = "string_split_regex(trim(text), '\\s+')"
-
-
 @register("tokens_truncated", f"""
 SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, toks[1:{MAX_LENGTH}] AS tokens,
        CAST(len(toks[1:{MAX_LENGTH}]) AS INTEGER) AS n_kept
@@ -372,24 +443,20 @@ def q_padding_waste(spark, sf_dir):
 # ---------------------------------------------------------- V: vectors
 
 @register("encode_hashed", f"""
-WITH tok AS (SELECT doc_id, unnest({_TOKS}) AS t FROM documents),
-h AS (SELECT doc_id, md5(t) AS m FROM tok),
-hb AS (SELECT doc_id, CAST(('0x' || substr(m, 1, 8))::BIGINT % {HASH_DIM} AS INTEGER) AS b,
-              CASE WHEN ('0x' || substr(m, 9, 1))::INTEGER < 8 THEN 1 ELSE -1 END AS s FROM h),
-agg AS (SELECT doc_id, b, sum(s) AS v FROM hb GROUP BY doc_id, b),
-cells AS (SELECT d.doc_id, r.i FROM documents d, range({HASH_DIM}) r(i))
-SELECT c.doc_id, list(CAST(coalesce(a.v, 0) AS FLOAT) ORDER BY c.i) AS embedding
-FROM cells c LEFT JOIN agg a ON a.doc_id = c.doc_id AND a.b = c.i
-GROUP BY c.doc_id""")
+WITH {_HASHED_SQL}
+SELECT doc_id, embedding FROM hashed""")
 def q_encode_hashed(spark, sf_dir):
-    return E.encode_hashed(_documents(spark, sf_dir), HASH_DIM)
+    return E.encode_hashed(_documents(spark, sf_dir), HASH_DIM, num_partitions=_parts(spark))
 
 
-@register("encode_udf")
+@register("encode_udf", _UNIT_SQL + """
+SELECT doc_id, vector AS embedding FROM unit""")
 def q_encode_udf(spark, sf_dir):
     """V1: the pluggable encoder path (hashed stand-in), normalised, native width."""
     enc = E.HashedEncoder(HASH_DIM)
-    return E.encode(_documents(spark, sf_dir), enc, "text", "doc_id", BATCH_SIZE, None, True)
+    out = E.encode(_documents(spark, sf_dir), enc, "text", "doc_id", BATCH_SIZE, None, True,
+                   num_partitions=_parts(spark))
+    return out.withColumn("embedding", V.to_double_rounded("embedding"))
 
 
 @register("last_token_pool", """
@@ -544,13 +611,13 @@ def q_linear_predict(spark, sf_dir):
 def _features(spark, sf_dir):
     """(train features, test features, number of classes), encoded per split."""
     from vectorloom.plans.classification import split_features
-    frames, k = split_features(spark, sf_dir, HASH_DIM)
+    frames, k = split_features(spark, sf_dir, HASH_DIM, num_partitions=_parts(spark))
     return frames["train"], frames["test"], k
 
 
 @register("fit_head")
 def q_fit_head(spark, sf_dir):
-    """Spark ML head on unit hashed vectors, language as the label; test metrics."""
+    """Spark ML head on raw hashed vectors, language as the label; test metrics."""
     train, test, k = _features(spark, sf_dir)
     model, preds = C.fit_head(train, test, k, "features", "label", max_iter=100)
     mets = M.classification_metrics(preds)
@@ -559,34 +626,52 @@ def q_fit_head(spark, sf_dir):
                        F.lit(float(summary.objectiveHistory[-1])).alias("final_loss"))
 
 
-@register("loss_curve")
-def q_loss_curve(spark, sf_dir):
-    """Ten epochs of mini-batch Adam (batch 32) at the frozen-mode learning rate."""
-    train, _, k = _features(spark, sf_dir)
-    return C.loss_curve(train, k, HASH_DIM, epochs=10, lr=1e-3)
+CURVE = [{"lr": 1e-3, "epochs": 10}]
+SWEEP = [{"lr": lr, "epochs": ep} for lr in (1e-3, 1e-2, 1e-1) for ep in (3, 10)]
 
 
-@register("sweep_heads")
+@register("loss_curve", _adam_sql(CURVE) + """
+SELECT epoch, round(loss, 6) AS loss FROM losses""")
+def q_loss_curve(spark, sf_dir):
+    """Ten epochs of full-batch Adam at the frozen-mode learning rate."""
+    train, _, k = _features(spark, sf_dir)
+    return C.loss_curve(train, k, HASH_DIM, **CURVE[0]).withColumn("loss", _r("loss"))
+
+
+@register("sweep_heads", _adam_sql(SWEEP) + f""",
+zt AS (SELECT c, doc_id, y, label, sum(x * w) AS z FROM x JOIN w{max(c["epochs"] for c in SWEEP)} USING (dim)
+       WHERE split = 'test' GROUP BY c, doc_id, y, label),
+pred AS (SELECT c, doc_id, y, label AS pred FROM zt
+         QUALIFY row_number() OVER (PARTITION BY c, doc_id ORDER BY z DESC, label) = 1),
+cls AS (SELECT c, cls, sum(t) AS support, sum(p) AS predicted, sum(tp) AS tp FROM (
+          SELECT c, y AS cls, 1 AS t, 0 AS p, CASE WHEN y = pred THEN 1 ELSE 0 END AS tp FROM pred
+          UNION ALL SELECT c, pred, 0, 1, 0 FROM pred) u GROUP BY c, cls),
+f AS (SELECT *, 2.0 * tp / (support + predicted) AS f1 FROM cls WHERE cls IS NOT NULL),
+mets AS (SELECT c, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, count(*) AS n_classes
+         FROM f GROUP BY c),
+acc AS (SELECT c, count(*) AS n, avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM pred GROUP BY c)
+SELECT CAST(c AS INTEGER) AS config_id, lr, CAST(epochs AS INTEGER) AS epochs, CAST(NULL AS INTEGER) AS batch_size,
+       round(loss, 6) AS final_loss, CAST(n AS BIGINT) AS n, round(accuracy, 6) AS accuracy,
+       round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, n_classes
+FROM cfg JOIN losses USING (c) JOIN mets USING (c) JOIN acc USING (c) WHERE losses.epoch = cfg.epochs""")
 def q_sweep_heads(spark, sf_dir):
     """A grid of (lr, epochs) heads trained together, scored on the test split."""
     train, test, k = _features(spark, sf_dir)
-    configs = [{"lr": lr, "epochs": ep, "batch_size": 32} for lr in (1e-3, 1e-2, 1e-1) for ep in (3, 10)]
-    return C.sweep_heads(train, test, k, HASH_DIM, configs)
+    out = C.sweep_heads(train, test, k, HASH_DIM, SWEEP)
+    return out.select(*[_r(c).alias(c) if c in ("final_loss", "accuracy", "macro_f1", "weighted_f1") else c
+                        for c in out.columns])
 
 
 @register("fit_adapter")
 def q_fit_adapter(spark, sf_dir):
-    """Adapter + head, AdamW, batches of 8, three epochs; per-epoch loss with test metrics."""
+    """Adapter + head, full-batch AdamW, three epochs; per-epoch loss with test metrics."""
     train, test, k = _features(spark, sf_dir)
     curve, preds, trainable = C.fit_adapter(train, test, k, HASH_DIM, epochs=3)
     mets = M.classification_metrics(preds)
+    row = mets.first()
     loss = spark.createDataFrame(curve, "epoch int, loss double")
-    return _attach(loss, mets.withColumn("trainable_params", F.lit(trainable)))
-
-
-def _attach(rows: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row frame to every row (constant-key join)."""
-    return rows.withColumn("_k", F.lit(1)).join(F.broadcast(one_row.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    return loss.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in mets.schema.fields],
+                       F.lit(trainable).alias("trainable_params"))
 
 
 @register("param_counts", _RUNS + """
@@ -716,19 +801,32 @@ def q_total_time(spark, sf_dir):
 
 def _telemetry(spark, sf_dir):
     return E.encode_telemetry(_documents(spark, sf_dir), E.HashedEncoder(HASH_DIM), "text", "doc_id",
-                              BATCH_SIZE, None, True)
+                              BATCH_SIZE, None, True, num_partitions=_parts(spark))
 
 
-@register("batch_telemetry")
+@register("batch_telemetry", """
+SELECT count(*) AS done, true AS timed, true AS batches_full FROM documents""")
 def q_batch_telemetry(spark, sf_dir):
-    """M8: progress every 10th mini-batch and the last, per task."""
-    return M.batch_telemetry(_telemetry(spark, sf_dir))
+    """M8: progress every 10th mini-batch and the last, per task; what is sure of the lines, clocks apart.
+
+    ``batches_full``: no line's running count is short of full batches but a task's last.
+    """
+    lines = M.batch_telemetry(_telemetry(spark, sf_dir))
+    per_task = lines.groupBy("task_id").agg(
+        F.max("done").alias("done"), F.min(F.col("samples_per_sec") > 0).alias("timed"),
+        F.min((F.col("done") == (F.col("batch_no") + 1) * BATCH_SIZE)
+              | (F.col("batch_no") == F.col("last_batch"))).alias("full"))
+    return per_task.agg(F.sum("done").alias("done"), F.min("timed").alias("timed"),
+                        F.min("full").alias("batches_full"))
 
 
-@register("task_resources")
+@register("task_resources", """
+SELECT count(*) AS rows, true AS timed, true AS measured FROM documents""")
 def q_task_resources(spark, sf_dir):
-    """M9: per-task wall time and memory growth of the encoder, totalled."""
-    return M.task_resources(_telemetry(spark, sf_dir))
+    """M9: wall time and memory growth of the encoder's tasks, totalled; what is sure of them, clocks apart."""
+    r = M.task_resources(_telemetry(spark, sf_dir))
+    return r.select("rows", ((F.col("busy_sec") >= F.col("slowest_task_sec")) & (F.col("busy_sec") > 0)).alias("timed"),
+                    (F.col("peak_rss_growth_gb") >= 0).alias("measured"))
 
 
 # ---------------------------------------------------------- R: grid & reports

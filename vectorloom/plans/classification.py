@@ -1,8 +1,8 @@
 """Workflow A: a classification run over a labelled corpus.
 
-``read -> split -> label vocabulary -> encode (one pass, no join) ->
-persist -> fit -> score -> metrics -> run record``, in the frozen mode or
-the adapter mode, with failures captured as records.
+``read -> split -> label vocabulary -> sample -> encode the sample (raw
+vectors) -> persist -> fit -> score -> metrics -> run record``, in the
+frozen mode or the adapter mode, with failures captured as records.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from vectorloom.operators import metrics as M
 from vectorloom.operators.encode import encode_hashed
+from vectorloom.operators.metrics import peak_accumulator
 from vectorloom.operators.sampling import label_vocab, sample_n
 from vectorloom.operators.training import MODE_DEFAULTS, fit_adapter, fit_head, score_heads, train_heads
-from vectorloom.operators.vectors import l2_normalize
 from vectorloom.sources.corpus import attach_label, corpus, vocab_mapping
 from vectorloom.sources.runs import CLASSIFICATION_RUN_SCHEMA
 
@@ -30,28 +30,22 @@ def vocab_lookup(spark: SparkSession, sf_dir: str):
     return vocab, k, mapping
 
 
-def labelled_features(spark: SparkSession, sf_dir: str, dim: int = 64,
-                      splits: list[str] | None = None, vocab_info=None) -> tuple[DataFrame, int]:
-    """(doc_id, split, label, features), unit-norm hashed vectors.
+def labelled_split(spark: SparkSession, sf_dir: str, split: str, vocab_info) -> DataFrame:
+    """(doc_id, text, label) of one split; the label is null for a name outside the vocabulary."""
+    vocab, _, mapping = vocab_info
+    c = corpus(spark, sf_dir).where(F.col("split") == split)
+    return attach_label(c, vocab, mapping).select("doc_id", "text", "label")
 
-    ``splits`` keeps only those splits, and the filter runs before the
-    encoder: the encoder is opaque to Catalyst, so a filter written after it
-    would encode every document first and throw most of them away.
+
+def split_features(spark: SparkSession, sf_dir: str, dim: int = 64, splits=("train", "test"),
+                   num_partitions: int | None = None) -> tuple[dict, int]:
+    """Per split a frame (doc_id, label, features) of raw hashed vectors; one vocabulary lookup.
+
+    The split filter runs before the encoder, which Catalyst cannot see through.
     """
-    vocab, k, mapping = vocab_info or vocab_lookup(spark, sf_dir)
-    c = corpus(spark, sf_dir)
-    if splits is not None:
-        c = c.where(F.col("split").isin(*splits))
-    labelled = attach_label(c, vocab, mapping)
-    enc = encode_hashed(labelled.select("doc_id", "text", "split", "label"), dim, carry=["split", "label"])
-    return l2_normalize(enc, "embedding", "features").drop("embedding"), k
-
-
-def split_features(spark: SparkSession, sf_dir: str, dim: int = 64,
-                   splits=("train", "test")) -> tuple[dict, int]:
-    """One encoded frame per split, sharing one vocabulary lookup."""
     info = vocab_lookup(spark, sf_dir)
-    frames = {s: labelled_features(spark, sf_dir, dim, [s], info)[0] for s in splits}
+    frames = {s: encode_hashed(labelled_split(spark, sf_dir, s, info), dim, out="features", carry=["label"],
+                               num_partitions=num_partitions) for s in splits}
     return frames, info[1]
 
 
@@ -67,12 +61,16 @@ def run_classification(spark: SparkSession, sf_dir: str, mode: str = "frozen", t
     """One classification run; returns its run record (one row, run-record schema).
 
     As the reference: ``epochs``, ``batch_size`` and ``lr`` default by mode
-    (C8); ``frozen`` encodes the train and test samples (timed as extraction)
-    and trains the head with mini-batch Adam (``solver="adam"``, C2) or with
-    Spark ML's L-BFGS (``solver="lbfgs"``, C1); ``lora`` trains the vector
-    adapter with the head (C6) and its total time is the training time
-    alone. Any failure becomes a ``failed`` record with the error text and
-    the fields filled so far. Peak memory is not measured here (null).
+    (C8); the samples are drawn first, and only they are encoded, unnormalised
+    and cut to ``max_length`` tokens. ``frozen`` encodes them (timed as
+    extraction) and trains the head with synchronous Adam (``solver="adam"``,
+    C2: one Spark job per ``batch_size`` rows and epoch) or with Spark ML's
+    L-BFGS (``solver="lbfgs"``, C1); ``lora`` trains the vector adapter with
+    the head (C6) and its total time is the training time alone. The training
+    time stops before scoring. Test rows with a label outside the vocabulary
+    count as misses. Peak memory is the largest growth of a Python task (not
+    measured for L-BFGS, which runs in the JVM: null). Any failure becomes a
+    ``failed`` record with the error text and the fields filled so far.
     """
     defaults = MODE_DEFAULTS.get(mode, MODE_DEFAULTS["lora"])
     epochs = int(epochs if epochs is not None else defaults["epochs"])
@@ -83,46 +81,53 @@ def run_classification(spark: SparkSession, sf_dir: str, mode: str = "frozen", t
     rec.update(run_id=_run_name(started, model_size, mode, device), model_size=model_size, mode=mode,
                device=device, train_samples=int(train_samples), test_samples=int(test_samples),
                epochs=epochs, batch_size=batch_size, max_length=int(max_length), lr=lr, started_at=started)
-    train = test = None
+    held: list[DataFrame] = []
     try:
         if mode not in MODE_DEFAULTS:
             raise ValueError(f"Unknown mode {mode!r}, expected one of {list(MODE_DEFAULTS)}")
-        frames, k = split_features(spark, sf_dir, dim)
-        train = sample_n(frames["train"], train_samples, "doc_id", seed, with_position=False)
-        test = sample_n(frames["test"], test_samples, "doc_id", seed, with_position=False)
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
-        test = test.persist(StorageLevel.MEMORY_AND_DISK)
-        rec["num_classes"] = k
+        info = vocab_lookup(spark, sf_dir)
+        rec["num_classes"] = k = info[1]
+        samples = [sample_n(labelled_split(spark, sf_dir, split, info), n, "doc_id", seed, with_position=False)
+                   .persist(StorageLevel.MEMORY_AND_DISK)
+                   for split, n in (("train", train_samples), ("test", test_samples))]
+        held += samples
+        n_train, n_test = (f.count() for f in samples)
+        rec["actual_train_samples"], rec["actual_test_samples"] = n_train, n_test
+        encode_peak, train_peak = peak_accumulator(spark), peak_accumulator(spark)
+        train, test = (encode_hashed(f, dim, max_length=max_length, out="features", carry=["label"],
+                                     peak=encode_peak).persist(StorageLevel.MEMORY_AND_DISK) for f in samples)
+        held += [train, test]
         t0 = time.time()
-        n_train, n_test = train.count(), test.count()  # encodes both samples once
+        train.count(), test.count()  # encodes both samples once
         extract = time.time() - t0
-        rec["actual_train_samples"], rec["actual_test_samples"] = n_train, n_test
         t1 = time.time()
         if mode == "lora":
             _, preds, _ = fit_adapter(train, test, k, dim, epochs=epochs, lr=lr, batch_size=batch_size,
-                                      seed=seed)
+                                      seed=seed, peak=train_peak)
         elif solver == "lbfgs":
             _, preds = fit_head(train, test, k, "features", "label", max_iter)
         else:
             cfg = {"lr": lr, "epochs": epochs, "batch_size": batch_size}
-            params, _ = train_heads(train, k, dim, [cfg], seed=seed)
-            preds = score_heads(test.where(F.col("label").isNotNull()), params).drop("config_id")
-        mets = M.classification_metrics(preds).first()
+            params, _ = train_heads(train, k, dim, [cfg], seed=seed, peak=train_peak)
+            preds = score_heads(test, params).drop("config_id")
         train_time = time.time() - t1
+        mets = M.classification_metrics(preds).first()
         if mode == "frozen":
             rec["embed_extraction_time_sec"] = extract
             rec["embed_extraction_samples_per_sec"] = (n_train + n_test) / extract if extract > 0 else None
+            rec["embed_extraction_peak_mem_gb"] = encode_peak.value / 1e9
             rec["total_time_sec"] = extract + train_time
         else:
             rec["total_time_sec"] = train_time
         rec["train_time_sec"] = train_time
+        if mode == "lora" or solver != "lbfgs":
+            rec["train_peak_mem_gb"] = train_peak.value / 1e9
         rec.update(accuracy=mets["accuracy"], macro_f1=mets["macro_f1"], weighted_f1=mets["weighted_f1"],
                    status="success")
     except Exception as exc:  # every failure is a record; the grid goes on
         rec["status"] = "failed"
         rec["error"] = f"{type(exc).__name__}: {exc}"
     finally:
-        for frame in (train, test):
-            if frame is not None:
-                frame.unpersist()
+        for frame in held:
+            frame.unpersist()
     return spark.createDataFrame([rec], CLASSIFICATION_RUN_SCHEMA)

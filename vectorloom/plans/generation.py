@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.operators.encode import HashedEncoder, encode, resolve_dimension
-from vectorloom.operators.metrics import task_resources
+from vectorloom.operators.metrics import peak_accumulator
 from vectorloom.operators.vectors import norm_stats
 from vectorloom.sources.corpus import sample_texts
 from vectorloom.sources.runs import EMBEDDING_RUN_SCHEMA
@@ -36,18 +36,19 @@ def run_generation(spark: SparkSession, sf_dir: str, encoder=None, model_size: s
     """Encode a seeded sample of the test split; return its run record (one row).
 
     Vectors are normalised, as in generation. The timer covers the encode
-    only (sampling and loading are outside it). ``peak_mem_gb`` is the
-    largest per-task RSS growth seen by the encoder tasks: like the
-    reference's CPU figure it measures growth, not the resident model.
+    pass (each task loads the encoder in it; sampling is outside).
+    ``peak_mem_gb`` is the largest growth of an encoder task's resident
+    memory in that pass; every text is encoded once. An mlx run records the
+    device ``mlx``.
     """
     encoder = encoder or HashedEncoder(64, max_length)
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
     rec = {f.name: None for f in EMBEDDING_RUN_SCHEMA.fields}
-    rec.update(model_size=model_size, backend=backend, device=device,
+    rec.update(model_size=model_size, backend=backend, device="mlx" if backend == "mlx" else device,
                requested_dimension=str(requested_dimension), num_samples=int(num_samples),
                batch_size=int(batch_size), max_length=int(max_length), started_at=started,
                run_id=_run_name(started, model_size, str(requested_dimension), backend, device))
-    vecs = None
+    texts = vecs = None
     try:
         native = int(encoder.native_dim)
         wanted = None if requested_dimension == "default" else int(requested_dimension)
@@ -56,7 +57,9 @@ def run_generation(spark: SparkSession, sf_dir: str, encoder=None, model_size: s
         texts = texts.persist(StorageLevel.MEMORY_AND_DISK)
         rec["actual_num_samples"] = texts.count()
         rec["native_hidden_size"] = native
-        vecs = encode(texts, encoder, "text", "doc_id", batch_size, dim, normalize=True)
+        peak = peak_accumulator(spark)
+        vecs = encode(texts, encoder, "text", "doc_id", batch_size, dim, normalize=True, max_length=max_length,
+                      peak=peak)
         vecs = vecs.persist(StorageLevel.MEMORY_AND_DISK)
         t0 = time.perf_counter()
         n = vecs.count()
@@ -67,17 +70,15 @@ def run_generation(spark: SparkSession, sf_dir: str, encoder=None, model_size: s
         stats = norm_stats(vecs).first()
         rec["mean_l2_norm"] = stats["mean_l2_norm"]
         rec["std_l2_norm"] = stats["std_l2_norm"]
-        from vectorloom.operators.encode import encode_telemetry
-        res = task_resources(encode_telemetry(texts, encoder, "text", "doc_id", batch_size, dim, True)).first()
-        rec["peak_mem_gb"] = res["peak_rss_growth_gb"]
+        rec["peak_mem_gb"] = peak.value / 1e9
         rec["status"] = "success"
-        texts.unpersist()
     except Exception as exc:  # every failure is a record; the grid goes on
         rec["status"] = "failed"
         rec["error"] = f"{type(exc).__name__}: {exc}"
     finally:
-        if vecs is not None:
-            vecs.unpersist()
+        for frame in (texts, vecs):
+            if frame is not None:
+                frame.unpersist()
     return spark.createDataFrame([rec], EMBEDDING_RUN_SCHEMA)
 
 

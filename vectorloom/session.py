@@ -101,7 +101,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def local_dir_of(path: str) -> str:
     """Strip a ``file:`` scheme so local tests can inspect written files."""
     return path[len("file:"):] if path.startswith("file:") else path
-
-
-def path_exists_local(path: str) -> bool:
-    return os.path.exists(local_dir_of(path))

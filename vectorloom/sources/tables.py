@@ -57,23 +57,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(table_path(sf_dir, name))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a narrow scan by ``key`` before CPU-heavy per-row work.
-
-    A table stored as one file with one row group scans as one task, so the
-    hashing and encoding that follow would run on a single core. When the
-    frame has fewer partitions than the cluster has cores, it is shuffled by
-    key into ``defaultParallelism`` partitions (a fixed count, which AQE
-    leaves alone, and hash placement is deterministic when a task is retried).
-    On a real table of many files and row groups this is a no-op: no
-    shuffle is added where the scan is already wide.
-    """
-    if df.isStreaming:
-        return df  # each micro-batch is planned on its own; nothing to count
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
