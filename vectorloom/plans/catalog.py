@@ -590,7 +590,7 @@ def q_softmax_grad0(spark, sf_dir):
     return df.select("label", "dim", _r("grad").alias("grad"), _r("loss").alias("loss"))
 
 
-@register("linear_predict", """
+_PREDICT_SQL = """
 WITH s AS (SELECT vec_id, label, embedding,
                   ('0x' || substr(md5('split:' || CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT % 100 AS b
            FROM embeddings),
@@ -599,7 +599,10 @@ cen AS (SELECT label AS k, dim, round(avg(x), 6) AS w FROM e WHERE b < 80 AND la
 sc AS (SELECT e.vec_id, cen.k, sum(e.x * cen.w) AS score FROM e JOIN cen ON e.dim = cen.dim GROUP BY e.vec_id, cen.k),
 best AS (SELECT vec_id, k FROM (
   SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, k ASC) AS rn FROM sc) t WHERE rn = 1)
-SELECT s.vec_id, s.label AS truth, CAST(best.k AS INTEGER) AS pred FROM s JOIN best ON s.vec_id = best.vec_id""")
+SELECT s.vec_id, s.label AS truth, CAST(best.k AS INTEGER) AS pred FROM s JOIN best ON s.vec_id = best.vec_id"""
+
+
+@register("linear_predict", _PREDICT_SQL)
 def q_linear_predict(spark, sf_dir):
     """C4: centroid head fitted on the train split, argmax over every vector."""
     emb = _embeddings(spark, sf_dir)
@@ -608,6 +611,13 @@ def q_linear_predict(spark, sf_dir):
     return C.linear_predict(emb, W, classes, "embedding", "label", "vec_id")
 
 
+@register("align", _PREDICT_SQL)
+def q_align(spark, sf_dir):
+    """M5: predictions kept apart from their truth, paired by id."""
+    truth = _embeddings(spark, sf_dir).select("vec_id", F.col("label").alias("truth"))
+    return M.align(truth, q_linear_predict(spark, sf_dir).select("vec_id", "pred"), "vec_id")
+
+
 def _features(spark, sf_dir):
     """(train features, test features, number of classes), encoded per split."""
     from vectorloom.plans.classification import split_features
@@ -829,6 +839,38 @@ def q_task_resources(spark, sf_dir):
                     (F.col("peak_rss_growth_gb") >= 0).alias("measured"))
 
 
+@register("inspect_texts", _UNIT_SQL + f"""
+SELECT doc_id, CAST(len(vector) AS INTEGER) AS width, list_min(vector) AS min_value, list_max(vector) AS max_value,
+       vector[1:{PREVIEW_N}] AS head, vector[{HASH_DIM - PREVIEW_N + 1}:{HASH_DIM}] AS tail,
+       'hashed-64_dim{HASH_DIM}_cuda' AS file_name
+FROM unit""")
+def q_inspect_texts(spark, sf_dir):
+    """Every document encoded on its own, summarised and previewed."""
+    from vectorloom.plans.inspection import inspect_texts
+    r = inspect_texts(_documents(spark, sf_dir), E.HashedEncoder(HASH_DIM), n=PREVIEW_N)
+    return r.select("doc_id", "width", _r("min_value").alias("min_value"), _r("max_value").alias("max_value"),
+                    V.to_double_rounded("head").alias("head"), V.to_double_rounded("tail").alias("tail"), "file_name")
+
+
+def _sheet_sql(value: str) -> str:
+    return f"""SELECT '{value}' AS sheet, count(*) AS n_rows FROM (
+  SELECT DISTINCT model_size, backend, device FROM emb_runs WHERE status = 'success' AND backend IS NOT NULL
+  AND requested_dimension IN ('768', '1024', 'default') AND {value} IS NOT NULL) t"""
+
+
+@register("write_report", _RUNS + f"""
+SELECT 'raw_results' AS sheet, count(*) AS n_rows FROM emb_runs
+UNION ALL {_sheet_sql('throughput_samples_per_sec')} UNION ALL {_sheet_sql('peak_mem_gb')}""")
+def q_write_report(spark, sf_dir):
+    """The three sheets written as tables, read back and counted."""
+    paths = R.write_report(RU.embedding_runs(spark, sf_dir), scratch_path(spark, "report"))
+    out = None
+    for sheet, path in paths.items():
+        n = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(sheet).alias("sheet"), "n_rows")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 # ---------------------------------------------------------- R: grid & reports
 
 def _grid_values_sql() -> str:
