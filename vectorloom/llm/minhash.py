@@ -39,6 +39,8 @@ COORDINATES, BANDS, ROWS = 128, 32, 4
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BLOCK_DOCS = 512
+#: Parts that a family's documents are dealt into where the family's key is joined.
+SALTS = 64
 
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
@@ -228,10 +230,15 @@ def _finish(batches: Iterator[dict]) -> Iterator[dict]:
 
 
 def remaining_links(families: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between the components that verification left inside a family."""
+    """Links between the components that verification left inside a family.
+
+    A family may hold a large part of all rows, so its block counts are joined on (family, salt): each
+    family has at most ``SALTS`` such keys, made from its own rows, and no task reads it whole.
+    """
     named = materialize(families.select(F.col("node").alias("id"), F.col("root").alias("family"))
                         .join(comps.select(F.col("node").alias("id"), F.col("root").alias("comp")), "id", "left")
-                        .withColumn("comp", F.coalesce("comp", "id")), "families")
+                         .withColumn("comp", F.coalesce("comp", "id"))
+                         .withColumn("salt", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(SALTS))), "families")
     sizes = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = (sizes.groupBy("family").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("docs"),
                                          F.max(F.struct("n", "comp")).alias("base"))
@@ -239,15 +246,16 @@ def remaining_links(families: DataFrame, comps: DataFrame, texts: DataFrame) ->
              .select("family", F.col("base.comp").alias("base"),
                      F.ceil(F.col("docs") / BLOCK_DOCS).alias("nj"),
                      F.ceil((F.col("docs") - F.col("base.n")) / BLOCK_DOCS).alias("ni")))
-    rows = (named.join(split, "family").join(texts, "id")
+    dealt = named.select("family", "salt").distinct().join(split, "family")
+    rows = (named.join(dealt, ["family", "salt"]).drop("salt").join(texts, "id")
             .withColumn("bj", F.pmod(F.xxhash64("id"), F.col("nj"))).withColumn("bi", F.pmod(F.xxhash64("id", F.lit(1)), F.col("ni"))))
     members = rows.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"),
                           F.col("bj").alias("j"), "id", "comp", F.lit(False).alias("mover"), "text")
     movers = rows.filter("comp <> base").select("family", F.col("bi").alias("i"),
                                                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"),
                                                 "id", "comp", F.lit(True).alias("mover"), "text")
-    dealt = (members.unionByName(movers).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j"))
-    return materialize(map_rows(dealt, _finish, "u long, v long"), "more-links")
+    blocks = (members.unionByName(movers).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j"))
+    return materialize(map_rows(blocks, _finish, "u long, v long"), "more-links")
 
 
 def same_document(profile: DataFrame, classes: DataFrame) -> DataFrame:
