@@ -7,14 +7,14 @@ from tests.llm.conftest import frame, words
 from vectorloom.llm import minhash
 
 
-def shingle_set(text):
+def shingle_set(text, size=4):
     ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(ws[i:i + 4]) for i in range(max(1, len(ws) - 3))} if ws else set()
+    return {tuple(ws[i:i + size]) for i in range(max(1, len(ws) - size + 1))} if ws else set()
 
 
-def brute(rows):
+def brute(rows, size=4):
     """doc_id -> root over rows with ids; rows of one id are one document."""
-    rows = [(d, s) for d, t in rows if d is not None and (s := shingle_set(t))]
+    rows = [(d, s) for d, t in rows if d is not None and (s := shingle_set(t, size))]
     parent = {d: d for d, _ in rows}
 
     def find(x):
@@ -32,7 +32,7 @@ def brute(rows):
 
 def check(spark, rows):
     want = brute(rows)
-    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    got = minhash.near_duplicates(frame(spark, rows), size=4).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is None:
@@ -84,7 +84,7 @@ def test_filter_keeps_one_of_each(spark, messy, empty):
     rows, docs = messy
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
-    want = brute(rows)
+    want = brute(rows, minhash.SHINGLE)
     ids = {r["doc_id"] for r in kept.collect()}
     assert {d for d in ids if d in want} == {d for d in want if want[d] == d}
     assert {d for d, t in rows if d and not shingle_set(t)} <= ids

@@ -21,7 +21,7 @@ def test_stages_and_result(spark):
     rows = [(d, t) for d, t in rows if score(t) >= quality.THRESHOLD]
     assert 100 < len(rows) < 200
     rows = [(d, kept) for d, *_, kept in test_lines.brute(rows)]
-    roots = test_minhash.brute(rows)
+    roots = test_minhash.brute(rows, 5)
     rows = [(d, t) for d, t in rows if roots.get(d, d) == d]
     bad = {d for d, *_ in test_decontam.brute(rows, items)}
     rows = [(d, t) for d, t in rows if d not in bad]

@@ -1,6 +1,6 @@
 """MinHash near-dedup: fast similarity sketching, banding, exact verification.
 
-1. A document's set is its distinct four-word shingles (64-bit hashes). Equal sets collapse to one
+1. A document's set is its distinct shingles of ``SHINGLE`` words or as many as the caller says (64-bit hashes). Equal sets collapse to one
    class, named by its smallest doc_id, before anything is compared.
 2. The sketch throws the set into ``COORDINATES`` bins in rounds: round i hashes every element to a bin
    and a value and fills bins that are still empty with the smallest value; from round
@@ -18,13 +18,14 @@
 No table of links, components or sketches reaches the driver; only row counts do.
 
 Defined results: null, empty and white-space texts have the empty set, are linked with nothing and kept;
-fewer than four words are one shingle; rows with a null doc_id cannot be named, so they are kept,
+fewer words than a shingle has are one shingle; rows with a null doc_id cannot be named, so they are kept,
 with a null component; rows that share a doc_id are one document (their sets count as linked);
 extra columns are ignored by the links and kept by the filter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from typing import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.common import map_rows, materialize, signed, text_bytes
 
-SHINGLE = 4
+#: Words per shingle.
+SHINGLE = 5
 COORDINATES, BANDS, ROWS = 128, 32, 4
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -53,16 +55,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(text: bytes) -> np.ndarray:
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes; ``bytes.lower`` and ``bytes.split`` are ASCII only, as wanted."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
     h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    if len(h) < SHINGLE:
-        h = np.r_[h, np.full(SHINGLE - len(h), 1, dtype=np.uint64)]
-    out = np.zeros(len(h) - SHINGLE + 1, dtype=np.uint64)
-    for j in range(SHINGLE):
+    if len(h) < size:
+        h = np.r_[h, np.full(size - len(h), 1, dtype=np.uint64)]
+    out = np.zeros(len(h) - size + 1, dtype=np.uint64)
+    for j in range(size):
         out = _mix(out + h[j:len(out) + j])
     return np.unique(out)
 
@@ -95,13 +97,13 @@ def bands(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, hi, lo (hash of the set), bands per row; bands are null for the empty set."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out = {k: [] for k in ("n_shingles", "hi", "lo", "bands")}
             for text in b["text"].to_pylist():
-                s = shingles(text)
+                s = shingles(text, size)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
                 for k, v in zip(out, (len(s), signed(h >> 64), signed(h & _MASK),
                                       bands(sketch(s)).tolist() if len(s) else None)):
@@ -162,7 +164,7 @@ def hub_pairs(reps: DataFrame) -> DataFrame:
     return materialize(materialize(pairs, "bucket-pairs").distinct(), "hub-pairs")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The (u, v) whose full sets are similar."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         last, of_last = None, None
@@ -170,8 +172,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out = {"u": [], "v": []}
             for u, v, tu, tv in zip(*(b[c].to_pylist() for c in ("u", "v", "tu", "tv"))):
                 if u != last or tu != of_last[0]:
-                    last, of_last = u, (tu, shingles(tu))
-                a, c = of_last[1], shingles(tv)
+                    last, of_last = u, (tu, shingles(tu, size))
+                a, c = of_last[1], shingles(tv, size)
                 if similar(len(a), len(c), len(np.intersect1d(a, c, assume_unique=True))):
                     out["u"].append(u)
                     out["v"].append(v)
@@ -182,7 +184,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(map_rows(beside.select("u", "v", "tu", "tv"), run, "u long, v long"), "links")
 
 
-def _finish(batches: Iterator[dict]) -> Iterator[dict]:
+def _finish(batches: Iterator[dict], size: int) -> Iterator[dict]:
     """Compare the movers of each block pair with its members; emit links that join components."""
     def close(rows: list[tuple]) -> list[tuple[int, int]]:
         roots: dict[int, int] = {}
@@ -193,8 +195,8 @@ def _finish(batches: Iterator[dict]) -> Iterator[dict]:
                 x = roots[x]
             return x
 
-        movers = [(i, c, shingles(t)) for i, c, m, t in rows if m]
-        members = [(i, c, shingles(t)) for i, c, m, t in rows if not m]
+        movers = [(i, c, shingles(t, size)) for i, c, m, t in rows if m]
+        members = [(i, c, shingles(t, size)) for i, c, m, t in rows if not m]
         if not movers or not members:
             return []
         sizes = np.array([len(s) for _, _, s in members])
@@ -229,7 +231,7 @@ def _finish(batches: Iterator[dict]) -> Iterator[dict]:
         yield {"u": [u for u, _ in found], "v": [v for _, v in found]}
 
 
-def remaining_links(families: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+def remaining_links(families: DataFrame, comps: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links between the components that verification left inside a family.
 
     A family may hold a large part of all rows, so its block counts are joined on (family, salt): each
@@ -255,7 +257,7 @@ def remaining_links(families: DataFrame, comps: DataFrame, texts: DataFrame) ->
                                                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"),
                                                 "id", "comp", F.lit(True).alias("mover"), "text")
     blocks = (members.unionByName(movers).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j"))
-    return materialize(map_rows(blocks, _finish, "u long, v long"), "more-links")
+    return materialize(map_rows(blocks, functools.partial(_finish, size=size), "u long, v long"), "more-links")
 
 
 def same_document(profile: DataFrame, classes: DataFrame) -> DataFrame:
@@ -267,9 +269,9 @@ def same_document(profile: DataFrame, classes: DataFrame) -> DataFrame:
     return held.join(least, "doc_id").select("u", F.col("id").alias("v")).filter("u <> v")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row of ``docs``."""
-    profile = profiles(docs)
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Shingles of ``size`` words: doc_id, n_shingles, component_id, kept per row of ``docs``."""
+    profile = profiles(docs, size)
     classes = materialize(
         profile.filter("bands is not null and doc_id is not null").groupBy("hi", "lo")
         .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
@@ -279,10 +281,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text = (docs.select(F.col("doc_id").alias("id"), text_bytes().alias("text"))
             .join(wanted.hint("shuffle_hash"), "id"))
     texts = materialize(text.distinct(), "candidate-texts")
-    links = verified(pairs, texts)
+    links = verified(pairs, texts, size)
     shared = same_document(profile, classes)
     comps = components(links, "first")
-    more = remaining_links(families, comps, texts)
+    more = remaining_links(families, comps, texts, size)
     every = materialize(components(links.unionByName(more).unionByName(shared), "all"), "components")
     found = (profile.join(classes.select("hi", "lo", "id"), ["hi", "lo"], "left")
              .join(every.withColumnRenamed("node", "id"), "id", "left"))
