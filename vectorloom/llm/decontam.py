@@ -10,6 +10,10 @@ vote on what each slot value of the item became; windows that contradict the vot
 or map two values of the item to one, do not count. A document is contaminated by an
 item if at least ``CONTAINMENT`` of the item's windows are matched consistently.
 
+A capitalised word that opens a sentence or line may be a name or not. It is hashed both ways, as a plain
+word and as a name, in items and documents alike. Pairs that the plain reading does not settle are judged
+once more with the windows of both readings; counts are those of the reading that settled the pair.
+
 Before the join a Bloom filter of fixed size, built from the benchmark's window hashes,
 drops document windows that cannot match. It has no false negatives and its size does
 not depend on the data, so the corpus's windows are not shuffled.
@@ -54,6 +58,8 @@ _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]|[.
 
 #: What a token is: plain, number, unit or name as a template token; STOP ends a sentence and is none.
 PLAIN, NUMBER, UNIT, NAME, STOP = range(5)
+#: How a window was hashed: by its values, as a template, as a template with names that open a sentence.
+VALUE, STRICT, LOOSE = range(3)
 #: Bound of a worker's token cache; a full cache is dropped, results do not depend on it.
 CACHE_TOKENS = 500_000
 
@@ -84,19 +90,24 @@ _PLACES = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(WIN
 
 
 class Template(NamedTuple):
-    """The tokens of a text but for sentence ends: where they are among ``found``, kinds and value hashes."""
+    """The tokens of a text but for sentence ends: where they are among ``found``, kinds and value hashes.
+    ``loose`` are the kinds if capitalised words that open a sentence are names."""
 
     found: list[str]
     at: np.ndarray
     kinds: np.ndarray
     values: np.ndarray
+    loose: np.ndarray
 
     def token(self, i: int) -> str:
         return self.found[self.at[i]].lower()
 
-    def slots(self, i: int, slotted: bool) -> list[tuple[int, str]]:
+    def slots(self, i: int, reading: int) -> list[tuple[int, str]]:
         """(kind, value) of window ``i``'s slots; none for a window by its values."""
-        return [(int(self.kinds[j]), self.token(j)) for j in range(i, i + WINDOW) if self.kinds[j] != PLAIN] if slotted else []
+        if reading == VALUE:
+            return []
+        kinds = self.loose if reading == LOOSE else self.kinds
+        return [(int(kinds[j]), self.token(j)) for j in range(i, i + WINDOW) if kinds[j] != PLAIN]
 
 
 def template(text: str) -> Template:
@@ -105,9 +116,11 @@ def template(text: str) -> Template:
     packed = np.frombuffer(b"".join(map(_CACHE.__getitem__, found)), dtype="<u8")
     kinds = (packed & np.uint64(7)).astype(np.int64)
     before = np.r_[STOP, kinds[:-1]]
-    kinds[(kinds == UNIT) & (before != NUMBER) | (kinds == NAME) & (before == STOP)] = PLAIN
+    kinds[(kinds == UNIT) & (before != NUMBER)] = PLAIN
     at = np.flatnonzero(kinds != STOP)
-    return Template(found, at, kinds[at], packed[at] >> np.uint64(3))
+    loose = kinds[at]
+    return Template(found, at, np.where((loose == NAME) & (before[at] == STOP), PLAIN, loose),
+                    packed[at] >> np.uint64(3), loose)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -124,39 +137,45 @@ def _hashes(values: np.ndarray, n: int, salt: int) -> np.ndarray:
 
 
 def windows(t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, whether with slots): every window by its values, and once more as a template if it
-    has a slot and ``LITERALS`` literal tokens or more."""
+    """(positions, hashes, readings): every window by its values, and as a template if it has a slot and
+    ``LITERALS`` literal tokens or more; once more where names that open a sentence make another template."""
     n = len(t.kinds) - WINDOW + 1
     if n < 1:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-    by_value = _hashes(t.values, n, 1)
-    slot = t.kinds != PLAIN
-    if not slot.any():
-        return np.arange(n), by_value.view(np.int64), np.zeros(n, dtype=bool)
-    slots = np.cumsum(np.r_[0, slot])
-    here = slots[WINDOW:] - slots[:-WINDOW]
-    slotted = np.flatnonzero((here > 0) & (WINDOW - here >= LITERALS))
-    by_template = _hashes(np.where(slot, _SIGNS[t.kinds], t.values), n, 2)[slotted]
-    return (np.r_[np.arange(n), slotted], np.r_[by_value, by_template].view(np.int64),
-            np.r_[np.zeros(n, dtype=bool), np.ones(len(slotted), dtype=bool)])
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at, hashes, readings = [np.arange(n)], [_hashes(t.values, n, 1)], [np.full(n, VALUE)]
+    other = np.cumsum(np.r_[0, t.kinds != t.loose])
+    for reading, kinds in ((STRICT, t.kinds), (LOOSE, t.loose)):
+        slot = kinds != PLAIN
+        if not slot.any() or reading == LOOSE and not other[-1]:
+            continue
+        slots = np.cumsum(np.r_[0, slot])
+        here = slots[WINDOW:] - slots[:-WINDOW]
+        use = (here > 0) & (WINDOW - here >= LITERALS)
+        if reading == LOOSE:
+            use &= other[WINDOW:] > other[:-WINDOW]
+        slotted = np.flatnonzero(use)
+        at.append(slotted)
+        hashes.append(_hashes(np.where(slot, _SIGNS[kinds], t.values), n, 2)[slotted])
+        readings.append(np.full(len(slotted), reading))
+    return np.concatenate(at), np.concatenate(hashes).view(np.int64), np.concatenate(readings)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """hash, item_id, ikey (hash of the item's text), pos, n (windows of the item), slots (JSON)."""
+    """hash, item_id, ikey (hash of the item's text), pos, n (windows of the item), reading, slots (JSON)."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out = {k: [] for k in ("hash", "item_id", "ikey", "pos", "n", "slots")}
+            out = {k: [] for k in ("hash", "item_id", "ikey", "pos", "n", "reading", "slots")}
             for item, key, text in zip(b["item_id"].to_pylist(), b["ikey"].to_pylist(), b["text"].to_pylist()):
                 t = template(text)
                 n = len(t.kinds) - WINDOW + 1
-                for i, h, slotted in zip(*(x.tolist() for x in windows(t))):
-                    for k, v in zip(out, (h, item, key, i, n, json.dumps(t.slots(i, slotted)))):
+                for i, h, reading in zip(*(x.tolist() for x in windows(t))):
+                    for k, v in zip(out, (h, item, key, i, n, reading, json.dumps(t.slots(i, reading)))):
                         out[k].append(v)
             yield out
 
     rows = (benchmark.filter("text is not null").select("item_id", "text").distinct()
             .select("item_id", F.xxhash64("text").alias("ikey"), "text"))
-    return materialize(map_rows(rows, run, "hash long, item_id long, ikey long, pos int, n int, slots string"),
+    return materialize(map_rows(rows, run, "hash long, item_id long, ikey long, pos int, n int, reading int, slots string"),
                        "item-windows")
 
 
@@ -195,23 +214,23 @@ def bloom(items: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """hash, doc_id, tkey, pos, slots of the document windows that pass the filter."""
+    """hash, doc_id, tkey, reading, slots of the document windows that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom(items))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bits = shared.value
         for b in batches:
-            out = {k: [] for k in ("hash", "doc_id", "tkey", "slots")}
+            out = {k: [] for k in ("hash", "doc_id", "tkey", "reading", "slots")}
             for doc, key, text in zip(b["doc_id"].to_pylist(), b["tkey"].to_pylist(), b["text"].to_pylist()):
                 t = template(text)
-                at, hashes, slotted = windows(t)
+                at, hashes, readings = windows(t)
                 for i in hits(bits, hashes):
-                    for k, v in zip(out, (int(hashes[i]), doc, key, json.dumps(t.slots(at[i], slotted[i])))):
+                    for k, v in zip(out, (int(hashes[i]), doc, key, int(readings[i]), json.dumps(t.slots(at[i], readings[i])))):
                         out[k].append(v)
             yield out
 
     rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-    return map_rows(rows, run, "hash long, doc_id long, tkey long, slots string")
+    return map_rows(rows, run, "hash long, doc_id long, tkey long, reading int, slots string")
 
 
 def consistent(matches: list[tuple[int, list, list]]) -> tuple[set[int], bool]:
@@ -239,32 +258,46 @@ def consistent(matches: list[tuple[int, list, list]]) -> tuple[set[int], bool]:
     return good, changed
 
 
+def judged(matches: list[tuple[int, int, list, list]], n: int) -> tuple[int, bool] | None:
+    """(windows matched, whether a slot changed its value) if the matches contaminate, else None.
+
+    ``matches``: (reading, item position, item slots, document slots), the reading LOOSE if either side's is.
+    """
+    for readings in ((VALUE, STRICT), (VALUE, STRICT, LOOSE)):
+        good, changed = consistent([m[1:] for m in matches if m[0] in readings])
+        if len(good) >= CONTAINMENT * n:
+            return len(good), changed
+    return None
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, tkey, item_id, n_windows, n_matched, containment, reparameterised per contaminated pair."""
     items = item_windows(benchmark)
     found = document_windows(docs, items)
     joined = found.join(items.select("hash", "item_id", "ikey", F.col("pos").alias("ipos"), "n",
-                                     F.col("slots").alias("islots")), "hash")
+                                     F.col("reading").alias("ireading"), F.col("slots").alias("islots")), "hash")
     order = ["tkey", "doc_id", "item_id", "ikey"]
-    dealt = joined.select(*order, "ipos", "n", "islots", "slots").distinct().repartition(*order).sortWithinPartitions(*order)
+    columns = (*order, "ipos", "n", "reading", "islots", "slots")
+    joined = joined.withColumn("reading", F.greatest("reading", "ireading"))
+    dealt = joined.select(*columns).distinct().repartition(*order).sortWithinPartitions(*order)
 
     def judge(batches: Iterator[dict]) -> Iterator[dict]:
         key, n, matches = None, 0, []
         names = ("doc_id", "tkey", "item_id", "n_windows", "n_matched", "containment", "reparameterised")
 
         def verdict() -> Iterator[tuple]:
-            good, changed = consistent(matches)
-            if len(good) >= CONTAINMENT * n:
-                yield key[1], key[0], key[2], n, len(good), len(good) / n, changed
+            if found := judged(matches, n):
+                good, changed = found
+                yield key[1], key[0], key[2], n, good, good / n, changed
 
         for b in batches:
             rows: list[tuple] = []
-            for *k, ipos, size, islots, slots in zip(*(b[c].to_pylist() for c in (*order, "ipos", "n", "islots", "slots"))):
+            for *k, ipos, size, reading, islots, slots in zip(*(b[c].to_pylist() for c in columns)):
                 if k != key:
                     if key is not None:
                         rows.extend(verdict())
                     key, n, matches = k, size, []
-                matches.append((ipos, json.loads(islots), json.loads(slots)))
+                matches.append((reading, ipos, json.loads(islots), json.loads(slots)))
             if rows:
                 yield dict(zip(names, map(list, zip(*rows))))
         if key is not None and (rows := list(verdict())):
