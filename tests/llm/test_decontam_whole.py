@@ -27,3 +27,14 @@ def test_names_that_open_a_sentence(spark):
     assert {(0, 0), (1, 0), (3, 0)} == set(got)
     assert got[0, 0]["n_matched"] == got[0, 0]["n_windows"] and got[0, 0]["reparameterised"]
     assert not got[3, 0]["reparameterised"]
+
+
+def test_each_stretch_has_its_own_mapping(spark):
+    one, two = change(WORDS, Tom="Bob", Ann="Sue", _5="7", _2="3", _9="8"), change(WORDS, Tom="Jim", Ann="Kim", _5="6", _2="4", _9="11")
+    one_value = change(WORDS, Tom="Bob", Ann="Sue", _5="7", _2="7", _9="7")
+    stray = one + " And so it went on for a very long while." * 40 + " Then Tom has 5 apples. Tom gives 2 apples to his dog."
+    scattered = "Bob has 7 apples. Sue gives 3 apples to his sister. Tom buys 8 more apples at the market. How many apples do Kim and Jim have now?"
+    docs = [one + "\n" + two, two + " " + one + " " + two, one_value, stray, scattered]
+    got = found(spark, docs, [WORDS])
+    assert {d for d, _ in got} == {0, 1, 2, 3}
+    assert all(r["reparameterised"] for r in got.values())

@@ -12,7 +12,15 @@ item if at least ``CONTAINMENT`` of the item's windows are matched consistently.
 
 A capitalised word that opens a sentence or line may be a name or not. It is hashed both ways, as a plain
 word and as a name, in items and documents alike. Pairs that the plain reading does not settle are judged
-once more with the windows of both readings; counts are those of the reading that settled the pair.
+once more with the windows of both readings, and then stretch by stretch; counts are those of the first of
+the three that settled the pair, or of the best stretch.
+
+A stretch holds the matches whose document position minus item position (their shift) fall in one range of
+half the item's length; the ranges overlap by half, so a copy is whole in one of them if edits move it by no
+more than a quarter of the item, and two copies in a row share none. Each stretch has a mapping of its own:
+an item value becomes the document value with the most votes, a vote weighing as many as there are item
+windows matched at its shift (ties: the unchanged value, then the smallest). Two item values may become one. Digits
+right after a letter belong to a word ('w12x', 'F16'): in a stretch they must be the same on both sides.
 
 Before the join a Bloom filter of fixed size, built from the benchmark's window hashes,
 drops document windows that cannot match. It has no false negatives and its size does
@@ -102,6 +110,14 @@ class Template(NamedTuple):
     def token(self, i: int) -> str:
         return self.found[self.at[i]].lower()
 
+    def fixed(self, i: int, reading: int, inner: np.ndarray) -> int:
+        """Bits of window ``i``'s slots that are ``inner`` (see ``in_words``)."""
+        if reading == VALUE:
+            return 0
+        kinds = self.loose if reading == LOOSE else self.kinds
+        slots = [j for j in range(i, i + WINDOW) if kinds[j] != PLAIN]
+        return sum(1 << b for b, j in enumerate(slots) if inner[j])
+
     def slots(self, i: int, reading: int) -> list[tuple[int, str]]:
         """(kind, value) of window ``i``'s slots; none for a window by its values."""
         if reading == VALUE:
@@ -110,6 +126,12 @@ class Template(NamedTuple):
         return [(int(kinds[j]), self.token(j)) for j in range(i, i + WINDOW) if kinds[j] != PLAIN]
 
 
+def in_words(text: str, t: Template) -> np.ndarray:
+    """Which of the template's tokens are digits right after a letter."""
+    starts = [m.start() for m in _TOKEN.finditer(text)]
+    return np.array([bool(k == NUMBER and starts[j] and text[starts[j] - 1].isalpha()) for j, k in zip(t.at, t.kinds)], dtype=bool)
+
+
 def template(text: str) -> Template:
     """A unit counts as one right after a number, a name inside a sentence; elsewhere both are plain."""
     found = _TOKEN.findall(text)
@@ -161,21 +183,24 @@ def windows(t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """hash, item_id, ikey (hash of the item's text), pos, n (windows of the item), reading, slots (JSON)."""
+    """hash, item_id, ikey (hash of the item's text), pos, n (windows of the item), reading, slots (JSON),
+    fixed (bits of the slots inside words)."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out = {k: [] for k in ("hash", "item_id", "ikey", "pos", "n", "reading", "slots")}
+            out = {k: [] for k in ("hash", "item_id", "ikey", "pos", "n", "reading", "slots", "fixed")}
             for item, key, text in zip(b["item_id"].to_pylist(), b["ikey"].to_pylist(), b["text"].to_pylist()):
                 t = template(text)
-                n = len(t.kinds) - WINDOW + 1
+                n, inner = len(t.kinds) - WINDOW + 1, in_words(text, t)
                 for i, h, reading in zip(*(x.tolist() for x in windows(t))):
-                    for k, v in zip(out, (h, item, key, i, n, reading, json.dumps(t.slots(i, reading)))):
+                    for k, v in zip(out, (h, item, key, i, n, reading, json.dumps(t.slots(i, reading)),
+                                         t.fixed(i, reading, inner))):
                         out[k].append(v)
             yield out
 
     rows = (benchmark.filter("text is not null").select("item_id", "text").distinct()
             .select("item_id", F.xxhash64("text").alias("ikey"), "text"))
-    return materialize(map_rows(rows, run, "hash long, item_id long, ikey long, pos int, n int, reading int, slots string"),
+    return materialize(map_rows(rows, run, "hash long, item_id long, ikey long, pos int, n int, reading int, "
+                                   "slots string, fixed int"),
                        "item-windows")
 
 
@@ -214,23 +239,28 @@ def bloom(items: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """hash, doc_id, tkey, reading, slots of the document windows that pass the filter."""
+    """hash, doc_id, tkey, dpos, reading, slots, fixed of the document windows that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom(items))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bits = shared.value
         for b in batches:
-            out = {k: [] for k in ("hash", "doc_id", "tkey", "reading", "slots")}
+            out = {k: [] for k in ("hash", "doc_id", "tkey", "dpos", "reading", "slots", "fixed")}
             for doc, key, text in zip(b["doc_id"].to_pylist(), b["tkey"].to_pylist(), b["text"].to_pylist()):
                 t = template(text)
                 at, hashes, readings = windows(t)
-                for i in hits(bits, hashes):
-                    for k, v in zip(out, (int(hashes[i]), doc, key, int(readings[i]), json.dumps(t.slots(at[i], readings[i])))):
+                left = hits(bits, hashes)
+                inner = in_words(text, t) if readings[left].any() else None
+                for i in left:
+                    pos, reading = int(at[i]), int(readings[i])
+                    for k, v in zip(out, (int(hashes[i]), doc, key, pos, reading, json.dumps(t.slots(pos, reading)),
+                                          t.fixed(pos, reading, inner))):
                         out[k].append(v)
             yield out
 
     rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-    return map_rows(rows, run, "hash long, doc_id long, tkey long, reading int, slots string")
+    return map_rows(rows, run, "hash long, doc_id long, tkey long, dpos int, reading int, slots string, "
+                               "fixed int")
 
 
 def consistent(matches: list[tuple[int, list, list]]) -> tuple[set[int], bool]:
@@ -258,16 +288,62 @@ def consistent(matches: list[tuple[int, list, list]]) -> tuple[set[int], bool]:
     return good, changed
 
 
-def judged(matches: list[tuple[int, int, list, list]], n: int) -> tuple[int, bool] | None:
+def unfixed(match: tuple) -> bool:
+    """Whether the slots inside words are the same on both sides."""
+    *_, item, doc, fixed = match
+    return not fixed or all(a == b for j, ((_, a), (_, b)) in enumerate(zip(item, doc)) if fixed >> j & 1)
+
+
+def stretches(matches: list[tuple], n: int) -> Iterator[list[tuple]]:
+    """The matches by ranges of their shift, each range half an item long and overlapping the next by half."""
+    step = max(1, (n + WINDOW - 1) // 4)
+    found = defaultdict(list)
+    for m in matches:
+        k = (m[2] - m[1]) // step
+        found[k].append(m)
+        found[k - 1].append(m)
+    yield from (found[k] for k in sorted(found))
+
+
+def aligned(matches: list[tuple]) -> tuple[set[int], bool]:
+    """As ``consistent``, for one stretch: votes weigh by their shift, and item values may become one value."""
+    weight: dict[int, set] = defaultdict(set)
+    for _, pos, at, *_ in matches:
+        weight[at - pos].add(pos)
+    votes: dict[tuple, Counter] = defaultdict(Counter)
+    for _, pos, at, item, doc, _ in matches:
+        for (kind, a), (_, b) in zip(item, doc):
+            votes[kind, a][b] += len(weight[at - pos])
+    became = {(kind, a): min(c, key=lambda b: (-c[b], b != a, b)) for (kind, a), c in votes.items()}
+    good, changed = set(), False
+    for _, pos, _, item, doc, _ in matches:
+        if all(became[kind, a] == b for (kind, a), (_, b) in zip(item, doc)):
+            good.add(pos)
+            changed = changed or any(a != b for (_, a), (_, b) in zip(item, doc))
+    return good, changed
+
+
+def judged(matches: list[tuple[int, int, int, list, list, int]], n: int) -> tuple[int, bool] | None:
     """(windows matched, whether a slot changed its value) if the matches contaminate, else None.
 
-    ``matches``: (reading, item position, item slots, document slots), the reading LOOSE if either side's is.
+    ``matches``: (reading, item position, document position, item slots, document slots, bits of the slots
+    inside words on either side), the reading LOOSE if either side's is.
     """
+    if len({m[1] for m in matches}) < CONTAINMENT * n:
+        return None
     for readings in ((VALUE, STRICT), (VALUE, STRICT, LOOSE)):
-        good, changed = consistent([m[1:] for m in matches if m[0] in readings])
+        # Over the whole document a match counts once, wherever and however often it stands.
+        once = {(m[1], str(m[3]), str(m[4])): (m[1], m[3], m[4]) for m in matches if m[0] in readings}
+        good, changed = consistent(list(once.values()))
         if len(good) >= CONTAINMENT * n:
             return len(good), changed
-    return None
+    best = None
+    for stretch in stretches(list(filter(unfixed, matches)), n):
+        if len({m[1] for m in stretch}) >= CONTAINMENT * n:
+            good, changed = aligned(stretch)
+            if len(good) >= CONTAINMENT * n:
+                best = max(best or (0, False), (len(good), changed))
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -275,10 +351,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = item_windows(benchmark)
     found = document_windows(docs, items)
     joined = found.join(items.select("hash", "item_id", "ikey", F.col("pos").alias("ipos"), "n",
-                                     F.col("reading").alias("ireading"), F.col("slots").alias("islots")), "hash")
+                                     F.col("reading").alias("ireading"), F.col("slots").alias("islots"), F.col("fixed").alias("ifixed")), "hash")
     order = ["tkey", "doc_id", "item_id", "ikey"]
-    columns = (*order, "ipos", "n", "reading", "islots", "slots")
-    joined = joined.withColumn("reading", F.greatest("reading", "ireading"))
+    columns = (*order, "ipos", "n", "dpos", "reading", "islots", "slots", "fixed")
+    joined = (joined.withColumn("reading", F.greatest("reading", "ireading"))
+              .withColumn("fixed", F.col("fixed").bitwiseOR(F.col("ifixed"))))
     dealt = joined.select(*columns).distinct().repartition(*order).sortWithinPartitions(*order)
 
     def judge(batches: Iterator[dict]) -> Iterator[dict]:
@@ -292,12 +369,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         for b in batches:
             rows: list[tuple] = []
-            for *k, ipos, size, reading, islots, slots in zip(*(b[c].to_pylist() for c in columns)):
+            for *k, ipos, size, dpos, reading, islots, slots, fixed in zip(*(b[c].to_pylist() for c in columns)):
                 if k != key:
                     if key is not None:
                         rows.extend(verdict())
                     key, n, matches = k, size, []
-                matches.append((reading, ipos, json.loads(islots), json.loads(slots)))
+                matches.append((reading, ipos, dpos, json.loads(islots), json.loads(slots), fixed))
             if rows:
                 yield dict(zip(names, map(list, zip(*rows))))
         if key is not None and (rows := list(verdict())):
