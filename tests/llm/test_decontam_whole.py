@@ -38,3 +38,14 @@ def test_each_stretch_has_its_own_mapping(spark):
     got = found(spark, docs, [WORDS])
     assert {d for d, _ in got} == {0, 1, 2, 3}
     assert all(r["reparameterised"] for r in got.values())
+
+
+def test_number_dense_items(spark):
+    items = ["What is 14 + 7 * 3 - 4 / 2 + 9?", "Find the next number in the list 3, 8, 15, 24, 35, 48, 63, 80, 99, 120"]
+    docs = ["Here: what is 15 + 8 * 6 - 3 / 1 + 5? I do not know.", "What is 15 - 8 * 6 + 3 * 1 - 5?",
+            "Please find the next number in the list 2, 5, 10, 17, 26, 37, 50, 65, 82, 101 soon",
+            "Find the next number in the list", "The table holds 2, 5, 10, 17, 26, 37, 50, 65, 82, 101 and no more",
+            "- **" + items[0].replace("What", "*What*") + "** and more words"]
+    got = found(spark, docs, items)
+    assert set(got) == {(0, 0), (2, 1), (5, 0)}
+    assert got[0, 0]["n_matched"] == got[0, 0]["n_windows"] and got[2, 1]["n_matched"] == got[2, 1]["n_windows"]

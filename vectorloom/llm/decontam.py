@@ -22,6 +22,11 @@ an item value becomes the document value with the most votes, a vote weighing as
 windows matched at its shift (ties: the unchanged value, then the smallest). Two item values may become one. Digits
 right after a letter belong to a word ('w12x', 'F16'): in a stretch they must be the same on both sides.
 
+Operators between operands are literal tokens. Windows of fewer than ``LITERALS`` literal tokens (lists, tables)
+are not looked up as templates; hits beside a run of them carry the run's tokens, and in a stretch such a window
+is matched, and votes, if it is the same template at the same shift as the hit. An item of such
+windows only is found by its values.
+
 Before the join a Bloom filter of fixed size, built from the benchmark's window hashes,
 drops document windows that cannot match. It has no false negatives and its size does
 not depend on the data, so the corpus's windows are not shuffled.
@@ -62,12 +67,17 @@ week weeks month months year years percent % $ € £ dollar dollars euro euros
 mph kmh kph degrees celsius fahrenheit w kw kwh v volt volts hz khz mhz ghz b kb mb gb tb
 """.split())
 
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]|[.!?\n]")
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]|[.!?\n]"
+                    # Operators with a number at a side, or signs that no prose has, spaced alike on both sides.
+                    r"|[-+*/=<>^×÷−–](?:(?<=[\d)].)(?=[\d(])|(?<=[\d)] .)(?= [\w(])|(?<=[\w)] .)(?= [\d(]))"
+                    r"|[+*=<>^×÷](?:(?<=[\w)].)(?=[\w(])|(?<=[\w)] .)(?= [\w(]))")
+_SAME = {"×": "*", "÷": "/", "−": "-", "–": "-"}
 
 #: What a token is: plain, number, unit or name as a template token; STOP ends a sentence and is none.
 PLAIN, NUMBER, UNIT, NAME, STOP = range(5)
 #: How a window was hashed: by its values, as a template, as a template with names that open a sentence.
-VALUE, STRICT, LOOSE = range(3)
+#: RUN: found beside a hit (see ``beside``).
+VALUE, STRICT, LOOSE, RUN = range(4)
 #: Bound of a worker's token cache; a full cache is dropped, results do not depend on it.
 CACHE_TOKENS = 500_000
 
@@ -78,7 +88,7 @@ class _Tokens(dict):
     def __missing__(self, t: str) -> bytes:
         if len(self) >= CACHE_TOKENS:
             self.clear()
-        low = t.lower()
+        low = _SAME.get(t) or t.lower()
         if t in ".!?\n":
             kind = STOP
         elif t[0].isdigit():
@@ -145,6 +155,38 @@ def template(text: str) -> Template:
                     packed[at] >> np.uint64(3), loose)
 
 
+def poor(t: Template) -> np.ndarray:
+    """Which windows have a slot and fewer than ``LITERALS`` literal tokens, names that open a sentence as slots."""
+    slots = np.cumsum(np.r_[0, t.loose != PLAIN])
+    return WINDOW - (slots[WINDOW:] - slots[:-WINDOW]) < LITERALS
+
+
+def context(t: Template, i: int, few: np.ndarray, inner: np.ndarray) -> str | None:
+    """JSON of (windows of the run of poor windows left of ``i``, tokens from that run's start to the end of the run
+    right of ``i``); none if there is no run, or ``i`` is poor itself. A token is (kind, value, whether inside a word)."""
+    if few[i]:
+        return None
+    low, high = i, i + 1
+    while low and few[low - 1]:
+        low -= 1
+    while high < len(few) and few[high]:
+        high += 1
+    if high - low == 1:
+        return None
+    return json.dumps([i - low, [(int(t.loose[j]), t.token(j), bool(inner[j])) for j in range(low, high - 1 + WINDOW)]])
+
+
+def beside(pos: int, at: int, item: str, doc: str) -> Iterator[tuple]:
+    """Matches of the poor windows beside the hit of item position ``pos`` and document position ``at``."""
+    (a, mine), (b, other) = json.loads(item), json.loads(doc)
+    for k in range(-min(a, b), min(len(mine) - a, len(other) - b) - WINDOW + 1):
+        pairs = list(zip(mine[a + k:a + k + WINDOW], other[b + k:b + k + WINDOW]))
+        if k and all(x[0] == y[0] and (x[0] != PLAIN or x[1] == y[1]) for x, y in pairs):
+            slots = [(x, y) for x, y in pairs if x[0] != PLAIN]
+            yield (RUN, pos + k, at + k, [x[:2] for x, _ in slots], [y[:2] for _, y in slots],
+                   sum(1 << j for j, (x, y) in enumerate(slots) if x[2] or y[2]))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -184,23 +226,24 @@ def windows(t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """hash, item_id, ikey (hash of the item's text), pos, n (windows of the item), reading, slots (JSON),
-    fixed (bits of the slots inside words)."""
+    fixed (bits of the slots inside words), run (see ``context``)."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out = {k: [] for k in ("hash", "item_id", "ikey", "pos", "n", "reading", "slots", "fixed")}
+            out = {k: [] for k in ("hash", "item_id", "ikey", "pos", "n", "reading", "slots", "fixed", "run")}
             for item, key, text in zip(b["item_id"].to_pylist(), b["ikey"].to_pylist(), b["text"].to_pylist()):
                 t = template(text)
                 n, inner = len(t.kinds) - WINDOW + 1, in_words(text, t)
+                few = poor(t) if n > 0 else None
                 for i, h, reading in zip(*(x.tolist() for x in windows(t))):
                     for k, v in zip(out, (h, item, key, i, n, reading, json.dumps(t.slots(i, reading)),
-                                         t.fixed(i, reading, inner))):
+                                         t.fixed(i, reading, inner), context(t, i, few, inner))):
                         out[k].append(v)
             yield out
 
     rows = (benchmark.filter("text is not null").select("item_id", "text").distinct()
             .select("item_id", F.xxhash64("text").alias("ikey"), "text"))
     return materialize(map_rows(rows, run, "hash long, item_id long, ikey long, pos int, n int, reading int, "
-                                   "slots string, fixed int"),
+                                   "slots string, fixed int, run string"),
                        "item-windows")
 
 
@@ -239,28 +282,29 @@ def bloom(items: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """hash, doc_id, tkey, dpos, reading, slots, fixed of the document windows that pass the filter."""
+    """hash, doc_id, tkey, dpos, reading, slots, fixed, run of the document windows that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom(items))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bits = shared.value
         for b in batches:
-            out = {k: [] for k in ("hash", "doc_id", "tkey", "dpos", "reading", "slots", "fixed")}
+            out = {k: [] for k in ("hash", "doc_id", "tkey", "dpos", "reading", "slots", "fixed", "run")}
             for doc, key, text in zip(b["doc_id"].to_pylist(), b["tkey"].to_pylist(), b["text"].to_pylist()):
                 t = template(text)
                 at, hashes, readings = windows(t)
                 left = hits(bits, hashes)
-                inner = in_words(text, t) if readings[left].any() else None
+                few = poor(t) if len(left) else None
+                inner = in_words(text, t) if len(left) and (readings[left].any() or few.any()) else None
                 for i in left:
                     pos, reading = int(at[i]), int(readings[i])
                     for k, v in zip(out, (int(hashes[i]), doc, key, pos, reading, json.dumps(t.slots(pos, reading)),
-                                          t.fixed(pos, reading, inner))):
+                                          t.fixed(pos, reading, inner), context(t, pos, few, inner))):
                         out[k].append(v)
             yield out
 
     rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     return map_rows(rows, run, "hash long, doc_id long, tkey long, dpos int, reading int, slots string, "
-                               "fixed int")
+                               "fixed int, run string")
 
 
 def consistent(matches: list[tuple[int, list, list]]) -> tuple[set[int], bool]:
@@ -351,30 +395,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = item_windows(benchmark)
     found = document_windows(docs, items)
     joined = found.join(items.select("hash", "item_id", "ikey", F.col("pos").alias("ipos"), "n",
-                                     F.col("reading").alias("ireading"), F.col("slots").alias("islots"), F.col("fixed").alias("ifixed")), "hash")
+                                     F.col("reading").alias("ireading"), F.col("slots").alias("islots"), F.col("fixed").alias("ifixed"), F.col("run").alias("irun")), "hash")
     order = ["tkey", "doc_id", "item_id", "ikey"]
-    columns = (*order, "ipos", "n", "dpos", "reading", "islots", "slots", "fixed")
+    columns = (*order, "ipos", "n", "dpos", "reading", "islots", "slots", "fixed", "irun", "run")
     joined = (joined.withColumn("reading", F.greatest("reading", "ireading"))
               .withColumn("fixed", F.col("fixed").bitwiseOR(F.col("ifixed"))))
     dealt = joined.select(*columns).distinct().repartition(*order).sortWithinPartitions(*order)
 
     def judge(batches: Iterator[dict]) -> Iterator[dict]:
-        key, n, matches = None, 0, []
+        key, n, matches, runs = None, 0, [], {}
         names = ("doc_id", "tkey", "item_id", "n_windows", "n_matched", "containment", "reparameterised")
 
         def verdict() -> Iterator[tuple]:
-            if found := judged(matches, n):
+            if found := judged(matches + list(runs.values()), n):
                 good, changed = found
                 yield key[1], key[0], key[2], n, good, good / n, changed
 
         for b in batches:
             rows: list[tuple] = []
-            for *k, ipos, size, dpos, reading, islots, slots, fixed in zip(*(b[c].to_pylist() for c in columns)):
+            for *k, ipos, size, dpos, reading, islots, slots, fixed, irun, run in zip(*(b[c].to_pylist() for c in columns)):
                 if k != key:
                     if key is not None:
                         rows.extend(verdict())
-                    key, n, matches = k, size, []
+                    key, n, matches, runs = k, size, [], {}
                 matches.append((reading, ipos, dpos, json.loads(islots), json.loads(slots), fixed))
+                if irun and run:
+                    runs.update((m[1:3], m) for m in beside(ipos, dpos, irun, run))
             if rows:
                 yield dict(zip(names, map(list, zip(*rows))))
         if key is not None and (rows := list(verdict())):
