@@ -49,3 +49,10 @@ def test_number_dense_items(spark):
     got = found(spark, docs, items)
     assert set(got) == {(0, 0), (2, 1), (5, 0)}
     assert got[0, 0]["n_matched"] == got[0, 0]["n_windows"] and got[2, 1]["n_matched"] == got[2, 1]["n_windows"]
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    items = ["What is 2 ^ 2?", "Define entropy.", "Name 3 rivers", "小明有五个苹果，小红给他三个，他一共有几个？", "请数到12然后停下来", "?!"]
+    docs = ["Question: define entropy in your own words", "Name 7 rivers please", "问题：小明有五个苹果，小红给他三个，他一共有几个？答案", "小红",
+            "请数到45然后停下来", "Well, what is 2 ^ 2? Four.", "entropy define", None, "x"]
+    assert set(found(spark, docs, items)) == {(0, 1), (1, 2), (2, 3), (4, 4), (5, 0)}

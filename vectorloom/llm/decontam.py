@@ -27,12 +27,16 @@ are not looked up as templates; hits beside a run of them carry the run's tokens
 is matched, and votes, if it is the same template at the same shift as the hit. An item of such
 windows only is found by its values.
 
+An item of fewer than ``WINDOW`` tokens is one window of its own length, by its values and, with enough literal
+tokens, as a template; documents are hashed by the lengths that such items have. Letters of
+scripts written without spaces are tokens one by one.
+
 Before the join a Bloom filter of fixed size, built from the benchmark's window hashes,
 drops document windows that cannot match. It has no false negatives and its size does
 not depend on the data, so the corpus's windows are not shuffled.
 
-Defined results: null and empty texts and items match nothing, and so do texts and items of fewer
-than ``WINDOW`` tokens (too little to tell a leak by); repeated item rows count once, an item_id with two texts is judged by each;
+Defined results: null texts and items and those without tokens match nothing; an item of one word is found wherever
+the word stands; repeated item rows count once, an item_id with two texts is judged by each;
 rows with a null doc_id are judged like others (their id is null in the result); extra columns are
 ignored by the match and kept by the filter; empty tables give an empty result.
 """
@@ -67,10 +71,14 @@ week weeks month months year years percent % $ € £ dollar dollars euro euros
 mph kmh kph degrees celsius fahrenheit w kw kwh v volt volts hz khz mhz ghz b kb mb gb tb
 """.split())
 
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]|[.!?\n]"
+#: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_LETTER = rf"[^\W\d_{_UNSPACED}]"
+_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|{_LETTER}+(?:['’]{_LETTER}+)*|[{_UNSPACED}](?<=\w)|[%$€£]|[.!?\n。！？]"
                     # Operators with a number at a side, or signs that no prose has, spaced alike on both sides.
                     r"|[-+*/=<>^×÷−–](?:(?<=[\d)].)(?=[\d(])|(?<=[\d)] .)(?= [\w(])|(?<=[\w)] .)(?= [\d(]))"
                     r"|[+*=<>^×÷](?:(?<=[\w)].)(?=[\w(])|(?<=[\w)] .)(?= [\w(]))")
+_SPACED = re.compile(_LETTER)
 _SAME = {"×": "*", "÷": "/", "−": "-", "–": "-"}
 
 #: What a token is: plain, number, unit or name as a template token; STOP ends a sentence and is none.
@@ -89,7 +97,7 @@ class _Tokens(dict):
         if len(self) >= CACHE_TOKENS:
             self.clear()
         low = _SAME.get(t) or t.lower()
-        if t in ".!?\n":
+        if t in ".!?\n。！？":
             kind = STOP
         elif t[0].isdigit():
             kind = NUMBER
@@ -120,26 +128,26 @@ class Template(NamedTuple):
     def token(self, i: int) -> str:
         return self.found[self.at[i]].lower()
 
-    def fixed(self, i: int, reading: int, inner: np.ndarray) -> int:
+    def fixed(self, i: int, reading: int, inner: np.ndarray, size: int = WINDOW) -> int:
         """Bits of window ``i``'s slots that are ``inner`` (see ``in_words``)."""
         if reading == VALUE:
             return 0
         kinds = self.loose if reading == LOOSE else self.kinds
-        slots = [j for j in range(i, i + WINDOW) if kinds[j] != PLAIN]
+        slots = [j for j in range(i, i + size) if kinds[j] != PLAIN]
         return sum(1 << b for b, j in enumerate(slots) if inner[j])
 
-    def slots(self, i: int, reading: int) -> list[tuple[int, str]]:
+    def slots(self, i: int, reading: int, size: int = WINDOW) -> list[tuple[int, str]]:
         """(kind, value) of window ``i``'s slots; none for a window by its values."""
         if reading == VALUE:
             return []
         kinds = self.loose if reading == LOOSE else self.kinds
-        return [(int(kinds[j]), self.token(j)) for j in range(i, i + WINDOW) if kinds[j] != PLAIN]
+        return [(int(kinds[j]), self.token(j)) for j in range(i, i + size) if kinds[j] != PLAIN]
 
 
 def in_words(text: str, t: Template) -> np.ndarray:
     """Which of the template's tokens are digits right after a letter."""
     starts = [m.start() for m in _TOKEN.finditer(text)]
-    return np.array([bool(k == NUMBER and starts[j] and text[starts[j] - 1].isalpha()) for j, k in zip(t.at, t.kinds)], dtype=bool)
+    return np.array([bool(k == NUMBER and starts[j] and _SPACED.match(text[starts[j] - 1])) for j, k in zip(t.at, t.kinds)], dtype=bool)
 
 
 def template(text: str) -> Template:
@@ -193,56 +201,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(values: np.ndarray, n: int, salt: int) -> np.ndarray:
-    out = np.full(n, salt, dtype=np.uint64)
-    for j in range(WINDOW):
+def _hashes(values: np.ndarray, n: int, salt: int, size: int = WINDOW) -> np.ndarray:
+    out = np.full(n, salt + 16 * (WINDOW - size), dtype=np.uint64)
+    for j in range(size):
         out += values[j:j + n] * _PLACES[j]
     return _mix(out)
 
 
-def windows(t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, readings): every window by its values, and as a template if it has a slot and
+def windows(t: Template, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, readings) of the windows of ``size`` tokens: every window by its values, and as a template if it has a slot and
     ``LITERALS`` literal tokens or more; once more where names that open a sentence make another template."""
-    n = len(t.kinds) - WINDOW + 1
+    n = len(t.kinds) - size + 1
     if n < 1:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at, hashes, readings = [np.arange(n)], [_hashes(t.values, n, 1)], [np.full(n, VALUE)]
+    at, hashes, readings = [np.arange(n)], [_hashes(t.values, n, 1, size)], [np.full(n, VALUE)]
     other = np.cumsum(np.r_[0, t.kinds != t.loose])
     for reading, kinds in ((STRICT, t.kinds), (LOOSE, t.loose)):
         slot = kinds != PLAIN
         if not slot.any() or reading == LOOSE and not other[-1]:
             continue
         slots = np.cumsum(np.r_[0, slot])
-        here = slots[WINDOW:] - slots[:-WINDOW]
-        use = (here > 0) & (WINDOW - here >= LITERALS)
+        here = slots[size:] - slots[:-size]
+        use = (here > 0) & (size - here >= LITERALS)
         if reading == LOOSE:
-            use &= other[WINDOW:] > other[:-WINDOW]
+            use &= other[size:] > other[:-size]
         slotted = np.flatnonzero(use)
         at.append(slotted)
-        hashes.append(_hashes(np.where(slot, _SIGNS[kinds], t.values), n, 2)[slotted])
+        hashes.append(_hashes(np.where(slot, _SIGNS[kinds], t.values), n, 2, size)[slotted])
         readings.append(np.full(len(slotted), reading))
     return np.concatenate(at), np.concatenate(hashes).view(np.int64), np.concatenate(readings)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """hash, item_id, ikey (hash of the item's text), pos, n (windows of the item), reading, slots (JSON),
-    fixed (bits of the slots inside words), run (see ``context``)."""
+    """hash, item_id, ikey (hash of the item's text), pos, n (windows of the item), size (tokens of a window), reading,
+    slots (JSON), fixed (bits of the slots inside words), run (see ``context``)."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out = {k: [] for k in ("hash", "item_id", "ikey", "pos", "n", "reading", "slots", "fixed", "run")}
+            out = {k: [] for k in ("hash", "item_id", "ikey", "pos", "n", "size", "reading", "slots", "fixed", "run")}
             for item, key, text in zip(b["item_id"].to_pylist(), b["ikey"].to_pylist(), b["text"].to_pylist()):
                 t = template(text)
-                n, inner = len(t.kinds) - WINDOW + 1, in_words(text, t)
-                few = poor(t) if n > 0 else None
-                for i, h, reading in zip(*(x.tolist() for x in windows(t))):
-                    for k, v in zip(out, (h, item, key, i, n, reading, json.dumps(t.slots(i, reading)),
-                                         t.fixed(i, reading, inner), context(t, i, few, inner))):
+                size = min(WINDOW, len(t.kinds))
+                if not size:
+                    continue
+                n, inner = len(t.kinds) - size + 1, in_words(text, t)
+                few = poor(t) if size == WINDOW else np.zeros(1, dtype=bool)
+                for i, h, reading in zip(*(x.tolist() for x in windows(t, size))):
+                    for k, v in zip(out, (h, item, key, i, n, size, reading, json.dumps(t.slots(i, reading, size)),
+                                         t.fixed(i, reading, inner, size), context(t, i, few, inner))):
                         out[k].append(v)
             yield out
 
     rows = (benchmark.filter("text is not null").select("item_id", "text").distinct()
             .select("item_id", F.xxhash64("text").alias("ikey"), "text"))
-    return materialize(map_rows(rows, run, "hash long, item_id long, ikey long, pos int, n int, reading int, "
+    return materialize(map_rows(rows, run, "hash long, item_id long, ikey long, pos int, n int, size int, reading int, "
                                    "slots string, fixed int, run string"),
                        "item-windows")
 
@@ -284,6 +295,7 @@ def bloom(items: DataFrame) -> np.ndarray:
 def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """hash, doc_id, tkey, dpos, reading, slots, fixed, run of the document windows that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom(items))
+    sizes = sorted({r["size"] for r in items.select("size").distinct().collect()} - {WINDOW})     # fewer than WINDOW rows
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bits = shared.value
@@ -293,6 +305,13 @@ def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
                 t = template(text)
                 at, hashes, readings = windows(t)
                 left = hits(bits, hashes)
+                for size in sizes:
+                    places, short, how = windows(t, size)
+                    for i in hits(bits, short):
+                        pos, reading = int(places[i]), int(how[i])
+                        for k, v in zip(out, (int(short[i]), doc, key, pos, reading, json.dumps(t.slots(pos, reading, size)),
+                                              0, None)):
+                            out[k].append(v)
                 few = poor(t) if len(left) else None
                 inner = in_words(text, t) if len(left) and (readings[left].any() or few.any()) else None
                 for i in left:
