@@ -6,6 +6,10 @@ Every window of ``W`` consecutive k-grams selects its smallest hash, the
 rightmost one among equals, and the selected positions are kept. Any passage of
 ``K + W - 1`` words or more that two texts share gives them a common hash.
 
+Word grams say little about short texts and those with few spaces, so every text is also winnowed over code
+points: grams of ``CHAR_K``, windows of ``CHAR_W``, each gram hashed from its UTF-32 bytes. Any
+``CHAR_K + CHAR_W - 1`` code points in a row that two texts share give them a common hash, whatever their spaces.
+
 The edited text needs the next document in descending id order. Ids are cut
 into buckets at approximate quantiles (at most ``MAX_BUCKETS`` split points,
 the only thing the driver sees); each bucket is one window group, and the first
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 
 #: Words per gram and grams per window.
 K, W = 5, 16
+#: Code points per gram and grams per window; ``CHAR_W`` is a power of two.
+CHAR_K, CHAR_W = 5, 4
 PRIME = (1 << 31) - 1
 #: Powers of the polynomial's base, highest first; below 2^28, so a sum of K products stays below 2^62.
 BASE = 16777619
@@ -80,6 +86,31 @@ def winnow(text: Column) -> Column:
     return _let(word_hashes(F.coalesce(text, F.lit(""))), lambda h: _let(gram_hashes(h), window_minima))
 
 
+def winnow_chars(text: Column) -> Column:
+    """As ``winnow``, over code points; one gram of the whole text when it has fewer than ``CHAR_K``."""
+    def grams(b: Column) -> Column:
+        n = F.floor(F.octet_length(b) / 4).cast("int")
+
+        def gram(i: Column) -> Column:
+            h = F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHAR_K))).bitwiseAND(F.lit(PRIME))
+            return h * (1 << 31) + (PRIME - i)
+
+        return (F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - CHAR_K, F.lit(0))), gram))
+                .otherwise(F.array().cast("array<bigint>")))
+
+    def lower(v: Column, step: int) -> Column:
+        # A text's end has fewer grams than a window: ``least`` skips the nulls there.
+        return _let(v, lambda m: F.transform(m, lambda x, i: F.least(x, F.get(m, i + step))))
+
+    def minima(v: Column) -> Column:
+        out, step = v, 1
+        while step < CHAR_W:
+            out, step = lower(out, step), 2 * step
+        return _let(out, lambda m: F.array_distinct(F.slice(m, F.lit(1), F.greatest(F.size(m) - (CHAR_W - 1), F.lit(1)))))
+
+    return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), lambda b: _let(grams(b), minima))
+
+
 def selected_hashes(sel: Column) -> Column:
     return F.array_distinct(F.transform(sel, lambda x: F.shiftright(x, 31)))
 
@@ -140,23 +171,28 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, positions per document (the general operator)."""
-    sel = docs.select("doc_id", winnow(F.col("text")).alias("sel"))
+    """doc_id, fingerprint, positions, char_fingerprint, char_positions per document (the general operator)."""
+    sel = docs.select("doc_id", winnow(F.col("text")).alias("sel"), winnow_chars(F.col("text")).alias("chars"))
     return sel.select("doc_id", fingerprint(F.col("sel")).alias("fingerprint"),
-                      positions(F.col("sel")).alias("positions"))
+                      positions(F.col("sel")).alias("positions"),
+                      fingerprint(F.col("chars")).alias("char_fingerprint"),
+                      positions(F.col("chars")).alias("char_positions"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint beside that of its edited text and of the next document."""
+    """Each document's fingerprint beside that of its edited text and of the next document; ``near_edited_chars``
+    is ``near_edited`` over code points."""
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(
         F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")),
         F.substring("next_text", F.lit(1), half)))
     rows = (rows.withColumn("edited_sel", winnow(F.col("edited")))
+            .withColumn("near_edited_chars", likeness(selected_hashes(winnow_chars(F.col("text"))),
+                                                      selected_hashes(winnow_chars(F.col("edited")))))
             .withColumn("a", selected_hashes(F.col("sel"))).withColumn("b", selected_hashes(F.col("edited_sel"))))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sel")).alias("fingerprint"), fingerprint(F.col("edited_sel")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), selected_hashes(F.col("next_sel"))).alias("near_next"))
+        likeness(F.col("a"), selected_hashes(F.col("next_sel"))).alias("near_next"), "near_edited_chars")
