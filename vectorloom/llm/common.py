@@ -36,19 +36,19 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def small_batches(df: DataFrame) -> None:
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches of this session's Python tasks."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` over dictionaries of Python columns: ``fn`` gets and yields column dicts.
 
     Each yielded dict becomes one Arrow batch, so a task never holds more than
-    the batch it works on.
+    the batch it works on; ``rows`` may be larger where rows are narrow.
     """
-    small_batches(df)
+    small_batches(df, rows)
     target = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(target)

@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import chat, decontam, lines, minhash, packing, quality, suffix, tokens, warc, winnow
+from vectorloom.llm import chat, decontam, lines, minhash, packing, periods, quality, suffix, tokens, warc, winnow
 from vectorloom.sources.tables import read_table
 
 
@@ -127,9 +127,13 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(read_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_chat_snapshots, op2_benchmark_decontamination, op3_suffix_dedup, op4_line_dedup, op5_warc_index,
-             op6_token_packing, op7_winnowing, op8_minhash_near_dedup, op9_quality_classifier, op10_curve_packing)
+             op6_token_packing, op7_winnowing, op8_minhash_near_dedup, op9_quality_classifier, op10_curve_packing, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
