@@ -25,10 +25,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage with a table every executor can read, so a lost executor
     costs only its running tasks.
     """
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``materialize``, with the table's path, for those who replace it later."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_bytes(column: str = "text"):

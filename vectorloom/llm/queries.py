@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import chat, decontam, lines, minhash, packing, periods, quality, suffix, tokens, warc, winnow
+from vectorloom.llm import bestfit, chat, codes, decontam, lines, minhash, packing, periods, quality, suffix, tokens, warc, winnow
 from vectorloom.sources.tables import read_table
 
 
@@ -127,17 +127,61 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_digest(read_table(spark, sf_dir, "embeddings"))
+
+
+_NEAREST = """a{r} AS (
+  SELECT vec_id, label, pos, arg_min(entry, d * 64 + entry) AS entry, min(d) AS error, any_value(x1) AS x1, any_value(x2) AS x2,
+         any_value(x3) AS x3, any_value(x4) AS x4
+  FROM (SELECT p.*, entry, (x1 - y1) * (x1 - y1) + (x2 - y2) * (x2 - y2) + (x3 - y3) * (x3 - y3) + (x4 - y4) * (x4 - y4) AS d
+        FROM p JOIN c{r} USING (pos))
+  GROUP BY vec_id, label, pos
+)"""
+_MEANS = """c{r} AS (
+  SELECT pos, entry, coalesce(floor(avg1), y1)::BIGINT AS y1, coalesce(floor(avg2), y2)::BIGINT AS y2,
+         coalesce(floor(avg3), y3)::BIGINT AS y3, coalesce(floor(avg4), y4)::BIGINT AS y4
+  FROM c{q} LEFT JOIN (
+    SELECT pos, entry, sum(x1) / count(*) AS avg1, sum(x2) / count(*) AS avg2, sum(x3) / count(*) AS avg3, sum(x4) / count(*) AS avg4
+    FROM a{q} GROUP BY pos, entry) USING (pos, entry)
+)"""
+OP11_SQL = r"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT vec_id, label, pos, v[4 * pos + 1] AS x1, v[4 * pos + 2] AS x2, v[4 * pos + 3] AS x3, v[4 * pos + 4] AS x4
+  FROM k, unnest(range(16)) AS t(pos)
+), c0 AS (
+  SELECT pos, entry, x1 AS y1, x2 AS y2, x3 AS y3, x4 AS y4
+  FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k) USING (vec_id) WHERE entry < 64
+), """ + ", ".join([_NEAREST.format(r=0), _MEANS.format(r=1, q=0), _NEAREST.format(r=1), _MEANS.format(r=2, q=1),
+                    _NEAREST.format(r=2)]) + r""", v AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, sum(error)::BIGINT AS error FROM a2 GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(y1 || ',' || y2 || ',' || y3 || ',' || y4, ',' ORDER BY pos, entry)) FROM c2) AS codebooks_sha256
+FROM v
+"""
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best_fit(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digest(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_chat_snapshots, op2_benchmark_decontamination, op3_suffix_dedup, op4_line_dedup, op5_warc_index,
-             op6_token_packing, op7_winnowing, op8_minhash_near_dedup, op9_quality_classifier, op10_curve_packing, op13_periodic_runs)
+             op6_token_packing, op7_winnowing, op8_minhash_near_dedup, op9_quality_classifier, op10_curve_packing, op11_vector_codes,
+             op12_best_fit_packing, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the others are tested against brute force in ``tests/llm``."""
     return {"op1_chat_snapshots": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_index": OP5_SQL,
-            "op8_minhash_near_dedup": OP8_SQL}
+            "op8_minhash_near_dedup": OP8_SQL, "op11_vector_codes": OP11_SQL}
