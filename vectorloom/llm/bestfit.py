@@ -50,8 +50,17 @@ VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 GAP, PIECE, PLACED = 0, 1, 2
 
-# Letters, digits and spaces of these blocks are classed alike by every library; very long runs go the slow way too.
-_ODD = re.compile(r"[^\x00-ɏ‐-‧]|\s{200}|\S{2000}")
+# Letters, digits and spaces of these blocks are classed alike by every library.
+_ODD = re.compile(r"[^\x00-ɏ‐-‧]")
+#: Runs from twice these lengths on, of other characters and of white space, go to the tokenizer itself.
+LONG_RUN, LONG_SPACE = 1000, 100
+
+
+def unusual(text: str) -> bool:
+    """Whether the text holds a character outside the blocks or a very long run."""
+    return bool(_ODD.search(text)) \
+        or any(text.find(" ", i, i + LONG_RUN) < 0 and text.find("\n", i, i + LONG_RUN) < 0 for i in range(0, len(text) - LONG_RUN, LONG_RUN)) \
+        or any(text[i:i + LONG_SPACE].isspace() for i in range(0, len(text) - LONG_SPACE, LONG_SPACE))
 
 
 class ByteTokens:
@@ -71,11 +80,11 @@ class ByteTokens:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
-    def ids(self, text: str | None) -> np.ndarray:
+    def ids(self, text: str | None) -> list[int]:
         text = text or ""
-        if self.fast is None or _ODD.search(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2")
-        return np.array(self.fast.encode_ordinary(text), dtype="<u2")
+        if self.fast is None or unusual(text) or any(s in text for s in self.special):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
 
 _LOADED: dict[tuple, ByteTokens] = {}
@@ -96,15 +105,15 @@ def cut(n: int, sequence: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, sequence: int = SEQUENCE, path: str | None = None) -> DataFrame:
     """number, doc_id, piece, start, length, ids_crc32, ids (uint16 bytes) per piece, written once."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        tokens, end = byte_tokens(path), np.array([END], dtype="<u2")
+        tokens = byte_tokens(path)
         number = TaskContext.get().partitionId() << 33
         for b in batches:
             out = {k: [] for k in ("number", "doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                ids = np.r_[tokens.ids(text), end]
+                ids = np.array([*tokens.ids(text), END], dtype="<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), sequence)):
                     own = ids[start:start + length]
-                    for k, v in zip(out, (number, doc_id, piece, start, length, zlib.crc32(own.astype("<u4").tobytes()), own.tobytes())):
+                    for k, v in zip(out, (number, doc_id, piece, start, length, zlib.crc32(own), own.astype("<u2").tobytes())):
                         out[k].append(v)
                     number += 1
             yield out
