@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame
+from tests.llm.test_winnow_chars import selected as selected_chars
 from vectorloom.llm import winnow
 from vectorloom.llm.winnow import K, PRIME, W
 
@@ -61,14 +62,37 @@ def test_query_matches_brute_force(spark, messy, monkeypatch, bucket_docs):
         t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
         half = len(t) // 2
         edited = t[:len(t) - half] + nxt[:half]
-        a, b = selected(t), selected(edited)
+        a, b = selected_chars(t), selected_chars(edited)
         want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), printed(a), printed(b),
-                     round(like(a, b), 9), round(like(a, selected(nxt)), 9)))
+                     round(like(a, b), 9), round(like(a, selected_chars(nxt)), 9)))
     got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in winnow.edited_fingerprints(frame(spark, rows)).collect()]
     order = lambda r: (r[0] is None, r)
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and order
 
 
+def test_words_match_brute_force(spark, messy):
+    rows = [(i, t) for i, (_, t) in enumerate(messy[0])]
+    got = {r["doc_id"]: r["fingerprint"] for r in winnow.fingerprints(frame(spark, rows)).collect()}
+    assert got == {d: printed(selected(t)) for d, t in rows}
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_null_and_repeated_ids_spread(spark, monkeypatch, hot):
+    """Rows of one id with different texts fall into many window groups, whose numbers rise with the id."""
+    monkeypatch.setattr(winnow, "BUCKET_DOCS", 20)
+    rows = [(hot, f"text number {i} of one id") for i in range(300)] + [(i, f"other text {i}") for i in range(200)]
+    docs = frame(spark, rows).withColumn("tkey", F.xxhash64("text"))
+    found = docs.select("doc_id", "tkey", winnow._bucket(docs, F.col("doc_id"), F.col("tkey")).alias("b")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["b"], []).append(r)
+    assert max(map(len, groups.values())) <= 60 and len({r["b"] for r in found if r["doc_id"] == hot}) > 8
+    ordered = sorted(found, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tkey"]))
+    assert [r["b"] for r in ordered] == sorted(r["b"] for r in found)
+    out = winnow.edited_fingerprints(docs).collect()
+    assert len(out) == 500
+
+
 def test_shared_passage_is_found(spark):
     passage = " ".join(f"p{i}" for i in range(K + W - 1))
     docs = frame(spark, [(1, "a b c " + passage + " d e"), (2, "x " + passage + " y z q")])

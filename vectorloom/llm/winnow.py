@@ -1,26 +1,25 @@
 """Document fingerprints by winnowing, in column expressions only.
 
-Words are split on ASCII white space. Each word has a 31-bit hash; a k-gram's
-hash is the polynomial rolling hash of ``K`` word hashes modulo a prime.
-Every window of ``W`` consecutive k-grams selects its smallest hash, the
-rightmost one among equals, and the selected positions are kept. Any passage of
-``K + W - 1`` words or more that two texts share gives them a common hash.
+A text's grams are its runs of ``CHAR_K`` code points, each hashed from its UTF-32 bytes. Every window of
+``CHAR_W`` consecutive grams selects its smallest hash, the rightmost one among equals, and the selected
+positions are kept. Any ``CHAR_K + CHAR_W - 1`` code points in a row that two texts share give them a common
+hash, whatever their spaces: short texts and scripts without spaces are covered like any other.
 
-Word grams say little about short texts and those with few spaces, so every text is also winnowed over code
-points: grams of ``CHAR_K``, windows of ``CHAR_W``, each gram hashed from its UTF-32 bytes. Any
-``CHAR_K + CHAR_W - 1`` code points in a row that two texts share give them a common hash, whatever their spaces.
+``fingerprints`` also winnows over words (rolling polynomial hashes of ``K`` words, windows of ``W``), a much
+shorter print with a guarantee for passages of ``K + W - 1`` words.
 
 The edited text needs the next document in descending id order. Ids are cut
 into buckets at approximate quantiles (at most ``MAX_BUCKETS`` split points,
-the only thing the driver sees); each bucket is one window group, and the first
+the only thing the driver sees); an id that fills several quantiles, and the null id, get buckets of their
+own, cut further by ranges of the text hash. Each bucket is one window group, and the first
 document of the following bucket joins it as a guest, so ``lead`` never needs a
 window over the whole table and texts are shuffled once.
 
-Defined results: null text is empty; a text without words has the empty
+Defined results: null text is empty; an empty text has the empty
 fingerprint and no positions, two empty fingerprints are alike (1.0), an empty
-and a non-empty one are not (0.0); fewer than ``K`` words form one gram, fewer
-than ``W`` grams one window; rows with equal ids are ordered by a hash of their
-text (rows repeated in full are interchangeable); null ids come last; a single document is
+and a non-empty one are not (0.0); a text shorter than a gram is one gram, fewer grams
+than a window one window; rows with equal ids are ordered by a hash of their
+text (rows repeated in full are interchangeable; their window spools to disk); null ids come last; a single document is
 its own next document; extra columns are ignored; an empty table gives an
 empty result.
 """
@@ -28,6 +27,7 @@ empty result.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 #: Words per gram and grams per window.
 K, W = 5, 16
 #: Code points per gram and grams per window; ``CHAR_W`` is a power of two.
-CHAR_K, CHAR_W = 5, 4
+CHAR_K, CHAR_W = 5, 8
 PRIME = (1 << 31) - 1
 #: Powers of the polynomial's base, highest first; below 2^28, so a sum of K products stays below 2^62.
 BASE = 16777619
@@ -126,35 +126,53 @@ def fingerprint(sel: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard of two sets of selected hashes; 1 when both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
-        both.cast("double") / (F.size(a) + F.size(b) - both))
+    """Jaccard of two sets of selected hashes; 1 when both are empty. Either argument is evaluated once."""
+    def of(a: Column, b: Column, both: Column) -> Column:
+        return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
+            both.cast("double") / (F.size(a) + F.size(b) - both))
 
+    return _let(a, lambda x: _let(b, lambda y: _let(F.size(F.array_intersect(x, y)), lambda n: of(x, y, n))))
 
-def _bucket(docs: DataFrame, column: Column) -> Column:
-    """Number of the id's bucket, 0 for the smallest ids and for null."""
-    n = min(MAX_BUCKETS, math.ceil(docs.count() / BUCKET_DOCS))
+
+def _bucket(docs: DataFrame, column: Column, tkey: Column) -> Column:
+    """Number of the row's bucket, rising with (id, text hash), the null id below all others."""
+    count = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("doc_id").isNull().cast("long")).alias("nulls")).first()
+    n = min(MAX_BUCKETS, math.ceil(count["n"] / BUCKET_DOCS))
     if n < 2:
         return F.lit(0)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * MAX_BUCKETS)).first()[0]
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return F.lit(0)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * MAX_BUCKETS)).first()[0] or []
+    share = Counter(cuts)                     # an id that stands at several cuts holds that many buckets' rows
+    hot = {c: k for c, k in share.items() if k > 1}
+    starts = sorted(share.keys() | {c + 1 for c in hot})
+    # (first id, number of its first bucket, buckets); ids below all cuts come first, the null id before them.
+    nulls = max(1, math.ceil(count["nulls"] / BUCKET_DOCS))
+    table, number = [], nulls + 1
+    for c in starts:
+        table.append((c, number, hot.get(c, 1)))
+        number += hot.get(c, 1)
+    # The text hash's upper half, as a number from 0 to 2^32 - 1, cut into equal ranges.
+    place = lambda parts: F.shiftright((F.shiftright(tkey, 32) + (1 << 31)) * parts, 32)
+    if not table:
+        return F.when(column.isNull(), place(F.lit(nulls))).otherwise(F.lit(nulls)).cast("int")
     # Two levels of at most sqrt(n) comparisons each.
-    step = math.isqrt(len(cuts)) + 1
-    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
-    fine = F.array(*[F.array(*map(F.lit, g)) for g in groups])
-    coarse = F.array(*[F.lit(g[0]) for g in groups])
-    at = F.greatest(F.size(F.filter(coarse, lambda c: c <= column)) - 1, F.lit(0))
-    return F.coalesce(_let(at, lambda g: g * step + F.size(F.filter(F.get(fine, g), lambda c: c <= column))), F.lit(0))
+    step = math.isqrt(len(table)) + 1
+    groups = [table[i:i + step] for i in range(0, len(table), step)]
+    lists = lambda k: F.array(*[F.array(*[F.lit(r[k]) for r in g]) for g in groups])
+    at = F.size(F.filter(F.array(*[F.lit(g[0][0]) for g in groups]), lambda c: c <= column)) - 1
+
+    def within(g: Column) -> Column:
+        return _let(F.size(F.filter(F.get(lists(0), g), lambda c: c <= column)) - 1,
+                    lambda i: F.get(F.get(lists(1), g), i) + place(F.get(F.get(lists(2), g), i)))
+
+    return (F.when(column.isNull(), place(F.lit(nulls)))
+            .otherwise(_let(at, lambda g: F.when(g < 0, F.lit(nulls)).otherwise(within(g))))).cast("int")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sel (fingerprint), next_text, next_sel: each document beside the next in descending id."""
+    """doc_id, text, sel (selected grams), next_text, next_sel: each document beside the next in descending id."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tkey", F.xxhash64("text")).withColumn("bucket", _bucket(rows, F.col("doc_id")))
+    rows = rows.withColumn("tkey", F.xxhash64("text")).withColumn("bucket", _bucket(rows, F.col("doc_id"), F.col("tkey")))
     # One row per bucket: its first document in descending order. The buckets number at most MAX_BUCKETS.
     first = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tkey")).alias("first")).collect()
     first = sorted(((r["bucket"], r["first"]["doc_id"], r["first"]["tkey"]) for r in first), reverse=True)
@@ -165,7 +183,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                                                          F.lit(1).alias("guest"))
     dealt = rows.withColumn("guest", F.lit(0)).unionByName(visiting).repartition("bucket")
     w = Window.partitionBy("bucket").orderBy(F.col("guest"), F.col("doc_id").desc(), F.col("tkey").desc())
-    return (dealt.withColumn("sel", winnow(F.col("text")))
+    return (dealt.withColumn("sel", winnow_chars(F.col("text")))
             .withColumn("next_text", F.lead("text").over(w)).withColumn("next_sel", F.lead("sel").over(w))
             .filter("guest = 0"))
 
@@ -180,19 +198,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint beside that of its edited text and of the next document; ``near_edited_chars``
-    is ``near_edited`` over code points."""
+    """Each document's fingerprint beside that of its edited text and of the next document, all over code points."""
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(
         F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")),
         F.substring("next_text", F.lit(1), half)))
-    rows = (rows.withColumn("edited_sel", winnow(F.col("edited")))
-            .withColumn("near_edited_chars", likeness(selected_hashes(winnow_chars(F.col("text"))),
-                                                      selected_hashes(winnow_chars(F.col("edited")))))
-            .withColumn("a", selected_hashes(F.col("sel"))).withColumn("b", selected_hashes(F.col("edited_sel"))))
+    rows = rows.withColumn("edited_sel", winnow_chars(F.col("edited"))).withColumn("own", selected_hashes(F.col("sel")))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sel")).alias("fingerprint"), fingerprint(F.col("edited_sel")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), selected_hashes(F.col("next_sel"))).alias("near_next"), "near_edited_chars")
+        likeness(F.col("own"), selected_hashes(F.col("edited_sel"))).alias("near_edited"),
+        likeness(F.col("own"), selected_hashes(F.col("next_sel"))).alias("near_next"))
