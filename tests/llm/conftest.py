@@ -5,7 +5,9 @@ import random
 import pytest
 
 #: Extra columns named like the operators' own.
-CLASH = ["tkey", "bucket", "ids", "key", "hi", "pos", "bitmap", "sel", "row", "guest", "first", "words", "item_id"]
+CLASH = ["tkey", "bucket", "ids", "key", "hi", "pos", "bitmap", "sel", "row", "guest", "first", "words", "item_id",
+         "keep_doc", "keep_tkey", "keep_dropped", "keep_bitmap", "__keep_bitmap", "__keep_dropped", "__tkey", "__gone", "gone_id", "low_tkey",
+         "own_tkey", "n", "number", "seq", "size", "kind", "sequence_id", "runs", "collapsed"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 
 

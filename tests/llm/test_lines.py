@@ -42,5 +42,10 @@ def test_one_hot_line_over_many_partitions(spark):
     assert got == {w[:4] for w in brute(rows)}
 
 
+def test_emptied_documents_can_go(spark):
+    rows = [(1, "a line that repeats\nand an own one here"), (2, "a line that repeats"), (3, "A LINE that repeats\n \n"), (4, ""), (5, None)]
+    assert {r["doc_id"] for r in lines.dedup_lines(frame(spark, rows), drop_emptied=True).collect()} == {1, 4, 5}
+
+
 def test_empty(empty):
     assert lines.line_digest(empty).count() == 0 and lines.dedup_lines(empty).count() == 0

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -91,6 +92,22 @@ def test_filter_keeps_one_of_each(spark, messy, empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    one, other = words(rng, 40), words(rng, 40)
+    rows = [(None, one), (None, one), (3, other), (3, other), (3, words(rng, 40)), (9, one), (9, one)]
+    kept = [r["doc_id"] for r in minhash.keep_one(frame(spark, rows)).collect()]
+    assert Counter(kept) == {None: 2, 3: 1, 9: 1}
+
+
+def test_judged_on_texts_as_they_came(spark):
+    rng = random.Random(8)
+    a, b = words(rng, 80), words(rng, 80)
+    came = frame(spark, [(1, a), (2, a + " tail"), (3, b), (4, b)])
+    cut = frame(spark, [(1, a), (2, "tail"), (3, b), (7, "not among them " + words(rng, 20))])
+    assert {r["doc_id"] for r in minhash.keep_one(cut, came).collect()} == {1, 3, 7}
+
+
 def test_no_links_at_all(spark):
     rng = random.Random(4)
     rows = [(i, words(rng, 30, 10 ** 6)) for i in range(20)]

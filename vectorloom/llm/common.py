@@ -42,6 +42,14 @@ def remove_scratch(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with as many underscores in front as keep it from naming one of ``columns`` (in any case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def text_bytes(column: str = "text"):
     """The text as UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

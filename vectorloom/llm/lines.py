@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import ASCII_SPACE, map_rows, materialize, scan_tasks, signed, text_bytes
+from vectorloom.llm.common import ASCII_SPACE, free_name, map_rows, materialize, scan_tasks, signed, text_bytes
 
 #: Shortest key, in code points, that is deduplicated.
 MIN_CODEPOINTS = 10
@@ -135,12 +135,13 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
                           pack("pos", "n_lines").alias("bitmap"))
 
 
-def _with_bitmaps(docs: DataFrame) -> DataFrame:
-    """``docs`` with its keep bitmap (null: keep everything) in ``__keep_bitmap``."""
-    small = keep_bitmaps(docs).select(F.col("doc_id").alias("__keep_doc"), F.col("tkey").alias("__keep_tkey"),
-                                      F.col("n_dropped").alias("__keep_dropped"), F.col("bitmap").alias("__keep_bitmap"))
-    on = docs["doc_id"].eqNullSafe(F.col("__keep_doc")) & (F.xxhash64(docs["text"]) == F.col("__keep_tkey"))
-    return docs.join(small.hint("shuffle_hash"), on, "left").drop("__keep_doc", "__keep_tkey")
+def _with_bitmaps(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with its keep bitmap (null: keep everything) and dropped count, and these columns' names."""
+    doc, key, dropped, bitmap = (free_name(docs.columns, f"keep_{n}") for n in ("doc", "tkey", "dropped", "bitmap"))
+    small = keep_bitmaps(docs.select("doc_id", "text")).select(
+        F.col("doc_id").alias(doc), F.col("tkey").alias(key), F.col("n_dropped").alias(dropped), F.col("bitmap").alias(bitmap))
+    on = docs["doc_id"].eqNullSafe(small[doc]) & (F.xxhash64(docs["text"]) == small[key])
+    return docs.join(small.hint("shuffle_hash"), on, "left").drop(doc, key), bitmap, dropped
 
 
 def kept_text(text: bytes, bitmap: bytes | None) -> bytes:
@@ -151,18 +152,22 @@ def kept_text(text: bytes, bitmap: bytes | None) -> bytes:
     return b"\n".join(line for line, bit in zip(lines, bits) if bit)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines gone from ``text`` (and ``n_chars`` renewed, if present)."""
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the dropped lines gone from ``text`` (and ``n_chars`` renewed, if present).
+
+    ``drop_emptied``: documents that lose lines and keep nothing but white space go.
+    """
     @F.pandas_udf("string")
     def rewrite(text: pd.Series, bitmap: pd.Series) -> pd.Series:
         return pd.Series([kept_text(bytes(t), b).decode("utf-8", "replace") for t, b in zip(text, bitmap)], dtype=object)
 
-    joined = _with_bitmaps(docs)
-    new = F.when(F.col("__keep_bitmap").isNull(), F.col("text")).otherwise(
-        rewrite(text_bytes(), F.col("__keep_bitmap")))
-    out = joined.withColumn("text", new)
+    joined, bitmap, _ = _with_bitmaps(docs)
+    whole = F.col(bitmap).isNull()
+    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(rewrite(text_bytes(), F.col(bitmap))))
+    if drop_emptied:
+        out = out.filter(whole | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__keep_bitmap").isNull(), F.col("n_chars"))
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars"))
                              .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
@@ -177,9 +182,9 @@ def line_digest(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(kept_text(text, bitmap)).hexdigest())
             yield {"doc_id": b["doc_id"], "n_lines": n_lines, "n_dropped": b["n_dropped"], "kept_sha256": sha}
 
-    rows = _with_bitmaps(docs.select("doc_id", "text")).select(
-        "doc_id", text_bytes().alias("text"), F.coalesce("__keep_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        F.col("__keep_bitmap").alias("bitmap"))
+    joined, bitmap, dropped = _with_bitmaps(docs.select("doc_id", "text"))
+    rows = joined.select("doc_id", text_bytes().alias("text"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped"),
+                         F.col(bitmap).alias("bitmap"))
     return map_rows(rows, digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 

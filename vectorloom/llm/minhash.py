@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import map_rows, materialize, signed, text_bytes
+from vectorloom.llm.common import free_name, map_rows, materialize, signed, text_bytes
 
 #: Words per shingle.
 SHINGLE = 5
@@ -295,8 +295,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row per component, all columns kept."""
-    gone = (near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    rest = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
-    return rest.withColumn("__tkey", F.xxhash64("text")).dropDuplicates(["doc_id", "__tkey"]).drop("__tkey")
+def keep_one(docs: DataFrame, came: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row per component, all columns kept.
+
+    ``came``: (doc_id, text) as the documents came in, before other steps cut their texts; copies are
+    judged by these, and by ``docs`` itself for ids that ``came`` does not hold. Rows with a null doc_id stay;
+    of rows that share a doc_id one stays, the one with the smallest hash of its text.
+    """
+    judged = docs.select("doc_id", "text")
+    if came is not None:
+        ids = judged.select("doc_id").distinct()
+        known = came.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+        judged = known.unionByName(judged.join(came.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti"))
+    gone, low, tkey = (free_name(docs.columns, n) for n in ("gone_id", "low_tkey", "own_tkey"))
+    dropped = near_duplicates(judged).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    rest = docs.join(dropped.hint("shuffle_hash"), docs["doc_id"] == F.col(gone), "left_anti")
+    repeated = (docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias(low))
+                .filter("n > 1").select(F.col("doc_id").alias(gone), low))
+    # Few ids repeat, so this join and the one below move next to nothing.
+    single = rest.join(repeated.hint("shuffle_hash"), rest["doc_id"] == F.col(gone), "left_anti")
+    first = (rest.join(repeated, rest["doc_id"] == F.col(gone)).withColumn(tkey, F.xxhash64("text"))
+             .filter(F.col(tkey) == F.col(low)).dropDuplicates(["doc_id"]))
+    return single.unionByName(first.select(*docs.columns))
