@@ -88,8 +88,10 @@ def test_sample_is_clamped_and_reports_shortfall(spark, sf_dir):
 
 
 def test_sample_ships_no_text_to_one_task(spark, sf_dir):
-    plan = S.sample_n(_docs(spark, sf_dir), 50, "doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrdered" not in plan
+    for n in (50, S.SAMPLE_STATE + 1):
+        plan = S.sample_n(_docs(spark, sf_dir), n, "doc_id")._jdf.queryExecution().executedPlan().toString()
+        taken = [line for line in plan.splitlines() if "TakeOrdered" in line]
+        assert all("output=[_vl_id" in line and "text" not in line for line in taken) and len(taken) == (n == 50)
 
 
 def test_label_vocab_dense(spark):

@@ -45,12 +45,14 @@ class HashedEncoder:
     """Signed feature hashing of whitespace tokens into ``dimension`` buckets.
 
     Matches ``encode_hashed`` (V2) exactly. ``max_length`` reproduces the
-    model's token budget; ``None`` encodes the whole text.
+    model's token budget; ``None`` encodes the whole text. ``refuse`` makes a
+    text beyond ``max_length`` an error of the whole batch instead of cutting it.
     """
 
     dimension: int = 64
     max_length: int | None = None
     name: str = "hashed"
+    refuse: bool = False
 
     @property
     def native_dim(self) -> int:
@@ -58,7 +60,7 @@ class HashedEncoder:
 
     def load(self) -> Callable[[list], np.ndarray]:
         d = int(self.dimension)
-        limit = self.max_length
+        limit, refuse = self.max_length, self.refuse
         # Token -> signed code (sign * (bucket + 1)), kept for the life of the
         # task: words repeat, so most tokens skip the digest. Bounded, so a
         # task over an open vocabulary never grows it past CODE_CACHE_MAX.
@@ -78,7 +80,9 @@ class HashedEncoder:
                 if text is None:
                     continue
                 tokens = _WS.split(text.strip(" "))
-                if limit is not None:
+                if limit is not None and len(tokens) > limit:
+                    if refuse:
+                        raise ValueError(f"{len(tokens)} tokens exceed {limit}")
                     tokens = tokens[:limit]
                 codes.extend([cache.get(t) or code_of(t) for t in tokens])
                 rows.extend([i] * len(tokens))
@@ -100,6 +104,22 @@ def _postprocess(mat: np.ndarray, native: int, dimension: int | None, normalize:
     return mat
 
 
+def encode_apart(model, texts: list, native: int) -> tuple[np.ndarray, list]:
+    """(matrix, error per text or None): a batch that fails is halved until the texts that fail stand alone.
+
+    ``k`` bad texts in a batch of ``b`` cost at most about ``2 k log2(b)`` calls; a batch without any, one.
+    Vectors of the good texts are what the encoder gives for the part they were encoded in.
+    """
+    try:
+        return np.asarray(model(texts), dtype=np.float32).reshape(len(texts), native), [None] * len(texts)
+    except Exception as exc:  # any failure of the encoder belongs to some text of this part
+        if len(texts) == 1:
+            return np.full((1, native), np.nan, dtype=np.float32), [f"{type(exc).__name__}: {exc}"]
+    half = len(texts) // 2
+    parts = [encode_apart(model, part, native) for part in (texts[:half], texts[half:])]
+    return np.concatenate([m for m, _ in parts]), [e for _, errors in parts for e in errors]
+
+
 def resolve_dimension(dimension: int | None, native: int) -> int | None:
     """``None`` -> native; wider than native -> native (with a warning)."""
     if dimension is None:
@@ -135,7 +155,7 @@ def _dealt(df: DataFrame, key: str, num_partitions: int | None) -> DataFrame:
 def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
            batch_size: int = 16, dimension: int | None = None, normalize: bool = False,
            out: str = "embedding", carry: list[str] | None = None, max_length: int | None = None,
-           num_partitions: int | None = None, peak=None) -> DataFrame:
+           num_partitions: int | None = None, peak=None, isolate: bool = False) -> DataFrame:
     """V1: batched encode; returns (key, embedding array<float>, *carry).
 
     ``carry`` columns (the text itself, a label) pass through the Arrow
@@ -144,7 +164,10 @@ def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
     ``max_length`` cuts texts to that many whitespace tokens before any encoder
     sees them. ``num_partitions`` deals the rows out anew (a narrow scan);
     without it there is no shuffle. ``peak`` (``metrics.peak_accumulator``)
-    receives the tasks' memory growth during this pass.
+    receives the tasks' memory growth during this pass. ``isolate`` (R12): a
+    batch the encoder fails on is halved until the bad rows stand alone; they get a
+    null vector, the others theirs, and every row ``status`` and ``error``. Without it
+    the encoder's error fails the job.
     Empty input gives an empty frame (the reference fails on it).
     """
     if batch_size < 1:
@@ -160,7 +183,12 @@ def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
         model = encoder.load()  # once per task, then reused for every batch
         for rb in _full_batches(batches, batch_size):
             texts = rb.column(1).to_pylist()
-            parts = [model(texts[s:s + batch_size]) for s in range(0, len(texts), batch_size)]
+            errors: list = []
+            if isolate:
+                apart = [encode_apart(model, texts[s:s + batch_size], native) for s in range(0, len(texts), batch_size)]
+                parts, errors = [m for m, _ in apart], [e for _, own in apart for e in own]
+            else:
+                parts = [model(texts[s:s + batch_size]) for s in range(0, len(texts), batch_size)]
             if not parts:
                 continue
             mat = np.ascontiguousarray(_postprocess(np.concatenate(parts, axis=0), native, dim, normalize))
@@ -168,12 +196,20 @@ def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
                 peak.add(max(current_rss() - start, 0))
             n, d = mat.shape
             # the matrix becomes the list column directly: no per-row objects
-            offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int64))
-            vec = pa.LargeListArray.from_arrays(offsets, pa.array(mat.ravel(), type=pa.float32()))
+            bad = np.array([e is not None for e in errors] if isolate else [False] * n)
+            offsets = pa.array(np.r_[0, np.cumsum(np.where(bad, 0, d))].astype(np.int64))
+            vec = pa.LargeListArray.from_arrays(offsets, pa.array(mat[~bad].ravel(), type=pa.float32()),
+                                                mask=pa.array(bad) if bad.any() else None)
             passed = [rb.column(2 + i) for i in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([rb.column(0), vec.cast(pa.list_(pa.float32())), *passed],
-                                             names=[key, out, *carry])
-
+            if isolate:
+                passed += [pa.array(np.where(bad, "failed", "success"), type=pa.string()), pa.array(errors, type=pa.string())]
+            yield pa.RecordBatch.from_arrays([rb.column(0), vec.cast(pa.list_(pa.float32())), *passed], names=names)
+
+    names = [key, out, *carry, *(("status", "error") if isolate else ())]
+    if isolate:
+        if {"status", "error"} & {key, out, *carry}:
+            raise ValueError("status and error name the outcome here; rename the columns carried")
+        extra_schema += ", status string, error string"
     staged = _dealt(df.select(key, _cut(text_col, max_length).alias("_vl_text"), *carry), key, num_partitions)
     key_type = df.schema[key].dataType.simpleString()
     return staged.mapInArrow(run, f"{key} {key_type}, {out} array<float>{extra_schema}")
@@ -189,7 +225,8 @@ def _cut(text_col: str, max_length: int | None):
 def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
                      batch_size: int = 16, dimension: int | None = None,
                      normalize: bool = False, num_partitions: int | None = None) -> DataFrame:
-    """One row per mini-batch encoded: task, batch number, rows, nanoseconds, memory growth in bytes.
+    """One row per mini-batch encoded: task, batch number, rows, nanoseconds, memory growth in bytes, and when it
+    ended (microseconds, this machine's clock).
 
     The clocks and memory readings are real and therefore not deterministic.
     """
@@ -211,14 +248,15 @@ def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str =
                 t0 = time.perf_counter_ns()
                 _postprocess(model(texts[s:s + batch_size]), native, dim, normalize)
                 ns = time.perf_counter_ns() - t0
-                rows.append((task, batch_no, len(texts[s:s + batch_size]), ns, max(current_rss() - rss0, 0)))
+                rows.append((task, batch_no, len(texts[s:s + batch_size]), ns, max(current_rss() - rss0, 0),
+                             time.time_ns() // 1000))
                 batch_no += 1
             if rows:
                 cols = [pa.array(c, type=pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(zip(*rows))]
                 yield pa.RecordBatch.from_arrays(cols, names=["task_id", "batch_no", "rows", "elapsed_ns",
-                                                              "rss_growth"])
+                                                              "rss_growth", "ended_at"])
 
-    schema = "task_id int, batch_no long, rows long, elapsed_ns long, rss_growth long"
+    schema = "task_id int, batch_no long, rows long, elapsed_ns long, rss_growth long, ended_at long"
     return _dealt(df.select(text_col, key), key, num_partitions).select(text_col).mapInArrow(run, schema)
 
 

@@ -140,6 +140,39 @@ def batch_telemetry(telemetry: DataFrame, every: int = 10) -> DataFrame:
     return t.where((F.col("batch_no") % every == 0) | (F.col("batch_no") == F.col("last_batch")))
 
 
+def run_progress(telemetry: DataFrame, lines: int = 10) -> DataFrame:
+    """M8 for the whole run: one line when each of ``lines`` equal shares of the rows is done.
+
+    ``telemetry``: task_id, batch_no, rows, ended_at (microseconds) of every mini-batch. Batches of all tasks are
+    merged by their clocks (ties by task and batch): a range sort, one sum per range
+    partition, and running totals only inside the at most ``lines`` partitions in which a share is reached.
+    Output: percent, done, total, batches' end, seconds since the first end and rows per second since then
+    (null at the first instant). No rows: no lines.
+    """
+    from pyspark.sql import Window
+
+    from vectorloom.operators.sampling import range_tagged
+    tagged = range_tagged(telemetry.select("ended_at", "task_id", "batch_no", F.col("rows").cast("long").alias("rows")),
+                          ["ended_at", "task_id", "batch_no"])
+    # One row per range partition from here to the lookup.
+    sums = tagged.groupBy("_vl_pid").agg(F.sum("rows").alias("n"), F.min("ended_at").alias("first"))
+    upto = Window.orderBy("_vl_pid").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.partitionBy()
+    sums = sums.select("_vl_pid", F.sum("n").over(upto).alias("after"), F.col("n"),
+                       F.sum("n").over(everything).alias("total"), F.min("first").over(everything).alias("started"))
+    share = lambda done: F.floor(done * lines / F.col("total"))
+    reached = (sums.withColumn("before", F.col("after") - F.col("n")).drop("n")
+               .where((F.col("total") > 0) & (share(F.col("after")) > share(F.col("before")))).drop("after"))
+    inside = Window.partitionBy("_vl_pid").orderBy("_vl_mid").rowsBetween(Window.unboundedPreceding, 0)
+    rows = tagged.join(F.broadcast(reached), "_vl_pid").withColumn("done", F.col("before") + F.sum("rows").over(inside))
+    now, then = share(F.col("done")), share(F.col("done") - F.col("rows"))
+    seconds = (F.col("ended_at") - F.col("started")) / 1e6
+    return rows.where(now > then).select(
+        F.explode(F.sequence(then + 1, now)).alias("k"), "done", "total", "ended_at", seconds.alias("elapsed_sec"),
+        F.try_divide(F.col("done").cast("double"), seconds).alias("samples_per_sec"),
+    ).select((F.col("k") * 100 / lines).alias("percent"), "done", "total", "ended_at", "elapsed_sec", "samples_per_sec")
+
+
 def task_resources(telemetry: DataFrame) -> DataFrame:
     """M9: per task wall time, rows and RSS growth, then totals for the run."""
     per_task = telemetry.groupBy("task_id").agg(

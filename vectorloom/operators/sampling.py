@@ -18,6 +18,9 @@ from vectorloom.session import ensure_scratch
 # Hex digits of the sort key used as buckets by seeded positions and samples:
 # 16**4 = 65,536 buckets, a table small enough to broadcast.
 BUCKET_DIGITS = 4
+# Samples of up to this many rows are cut by the smallest keys that each task keeps
+# (key and id only), in one narrow pass.
+SAMPLE_STATE = 4096
 
 
 def _cols(cols) -> list[Column]:
@@ -35,16 +38,12 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*cols) if cols else F.lit(0)
 
 
-def global_position(df: DataFrame, order_by, name: str = "position") -> DataFrame:
-    """0-based global row number of each row in ``order_by`` order.
+def range_tagged(df: DataFrame, order_by) -> DataFrame:
+    """``df`` in ``order_by`` order with its range partition (``_vl_pid``) and place in it (``_vl_mid``).
 
-    Plan: range-partitioned sort (splits even a hot key prefix, and, with the
+    Range-partitioned sort (splits even a hot key prefix, and, with the
     input row id as the last tie-break, even rows that repeat the whole key),
-    each row tagged with its partition and in-partition index, then written
-    as a checkpoint so both passes read identical partitions. Partition
-    sizes (one row per partition) are summed into offsets, broadcast
-    (bounded by the partition count) and added back. No step holds more
-    than one partition.
+    written as a checkpoint so that later passes read identical partitions.
     """
     ensure_scratch(df.sparkSession)
     # Ties on the keys go by the row hash, so the order is the same on any partitioning.
@@ -58,10 +57,22 @@ def global_position(df: DataFrame, order_by, name: str = "position") -> DataFram
                  .withColumn("_vl_in", F.monotonically_increasing_id())
                  .orderBy(*_cols(order_by), F.col("_vl_rh"), F.col("_vl_in"))
                  .drop("_vl_in", "_vl_rh"))
-    tagged = (ordered
-              .withColumn("_vl_pid", F.spark_partition_id())
-              .withColumn("_vl_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    return (ordered
+            .withColumn("_vl_pid", F.spark_partition_id())
+            .withColumn("_vl_mid", F.monotonically_increasing_id())
+            .checkpoint(eager=True))
+
+
+def global_position(df: DataFrame, order_by, name: str = "position") -> DataFrame:
+    """0-based global row number of each row in ``order_by`` order.
+
+    Plan: range-partitioned sort, each row tagged with its partition and
+    in-partition index (``range_tagged``). Partition
+    sizes (one row per partition) are summed into offsets, broadcast
+    (bounded by the partition count) and added back. No step holds more
+    than one partition.
+    """
+    tagged = range_tagged(df, order_by)
     counts = tagged.groupBy("_vl_pid").agg(F.count(F.lit(1)).alias("_vl_n"))
     before = Window.orderBy("_vl_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_vl_pid", F.coalesce(F.sum("_vl_n").over(before), F.lit(0)).alias("_vl_off"))
@@ -92,7 +103,8 @@ def _rank_in_buckets(keyed: DataFrame, offsets: DataFrame, id_col: str, name: st
 
 
 def _keyed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    return (df.withColumn("_vl_h", _row_hash(df))
+    """The rows with their sort key and bucket; rows with a null id have no key, hence no place, and are left out."""
+    return (df.where(F.col(id_col).isNotNull()).withColumn("_vl_h", _row_hash(df))
               .withColumn("sort_key", seeded_key(id_col, seed))
               .withColumn("_vl_bucket", hex_prefix_value("sort_key", BUCKET_DIGITS)))
 
@@ -121,16 +133,37 @@ def seeded_order(df: DataFrame, id_col: str, seed: int = 42, name: str = "positi
     return seeded_position(df, id_col, seed, name)
 
 
+def _bottom_sample(df: DataFrame, n: int, id_col: str, seed: int, name: str | None) -> DataFrame:
+    """The first ``n`` rows by one narrow pass: every task keeps its ``n`` smallest (key, id), the merged ones
+    are at most ``n`` broadcast rows with their place, and the wide rows are looked up by id in the scan.
+
+    Rows that repeat an id are told apart by the row hash, among the rows looked up only.
+    """
+    keys = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_vl_id"), seeded_key(id_col, seed).alias("sort_key"))
+    top = keys.orderBy("sort_key", "_vl_id").limit(n)
+    placed = top.withColumn("_vl_place", F.row_number().over(Window.orderBy("sort_key", "_vl_id")) - 1)   # n rows
+    ids = placed.groupBy("_vl_id", "sort_key").agg(F.min("_vl_place").alias("_vl_place"), F.count(F.lit(1)).alias("_vl_n"))
+    found = df.withColumn("_vl_h", _row_hash(df)).join(F.broadcast(ids), F.col(id_col) == F.col("_vl_id"))
+    found = found.withColumn("_vl_r", F.row_number().over(Window.partitionBy("_vl_id").orderBy("_vl_h")))
+    found = found.where(F.col("_vl_r") <= F.col("_vl_n"))
+    if name:
+        found = found.withColumn(name, (F.col("_vl_place") + F.col("_vl_r") - 1).cast("long"))
+    return found.select(*df.columns, "sort_key", *([name] if name else []))
+
+
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, name: str = "position",
              with_position: bool = True) -> DataFrame:
     """The first ``min(n, available)`` rows of the seed's permutation.
 
-    Never fails on a shortfall (see ``sample_shortfall``). The same plan for
-    every n: count rows per key bucket (65,536 buckets), keep whole buckets
-    below the cut in the scan, and rank only what has to be ranked.
+    Never fails on a shortfall (see ``sample_shortfall``). Up to SAMPLE_STATE
+    rows are found by one narrow pass (``_bottom_sample``). Beyond: count rows per
+    key bucket (65,536 buckets), keep whole buckets below the cut in the
+    scan, and rank only what has to be ranked. Both give the same rows.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
+    if n <= SAMPLE_STATE:
+        return _bottom_sample(df, n, id_col, seed, name if with_position else None)
     keyed = _keyed(df, id_col, seed)
     cum = _bucket_offsets(keyed).where(F.col("_vl_before") < n)
     if with_position:

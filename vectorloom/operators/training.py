@@ -13,10 +13,14 @@
   pieces: the gradient at zero weights in pure SQL, and argmax scoring.
 
 The batch of a row, and its dropout mask, follow from a seeded hash of its
-values, so losses and weights do not depend on the partitioning (only the
-last bits of floating-point sums do). Deviations from the reference: heads
-start at zero weights, batches hold about ``batch_size`` rows (copies of a
-row share a batch), and runs are seeded.
+values, or its batch from the epoch's seeded permutation of a key column
+(``key``: exact batches, the last one short, as a shuffling loader deals
+them), so losses and weights do not depend on the partitioning (only the
+last bits of floating-point sums do). An epoch of several steps is written
+once, bucketed by step, and each step reads its own bucket: an epoch reads
+its rows once however many steps it has. Deviations from the reference: heads
+start at zero weights, batches without a key hold about ``batch_size`` rows
+(copies of a row share a batch), and runs are seeded.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectorloom.operators import metrics as M
+from vectorloom.operators.sampling import seeded_position
+from vectorloom.session import remove_scratch, scratch_path
 
 # Upper bound for anything broadcast or collected as model state
 # (weights, centroids, gradients): K x (d + 1) doubles.
@@ -40,6 +46,8 @@ BLOCK_WIDTH = 4096
 
 # Most tasks that add up one step's gradient; a step shuffles at most this many models.
 MERGE_WIDTH = 1024
+# Rows of a step that share a file: larger steps are dealt over several.
+SHARD_ROWS = 65_536
 PARTIALS = "block int, part array<double>"
 
 # Per-mode defaults of the reference (frozen head / adapter).
@@ -60,12 +68,18 @@ def _check_model_size(n_values: int, what: str) -> None:
                          "bound for broadcast model state")
 
 
-def _sum_blocks(partials: DataFrame, size: int) -> np.ndarray:
+def _sum_blocks(partials: DataFrame, size: int, few_tasks: bool = False) -> np.ndarray:
     """Sum the tasks' partial vectors (``block``, ``part``) into one array of ``size``.
 
     The blocks are summed elementwise in the JVM; the result is model-sized
-    and checked before training starts.
+    and checked before training starts. ``few_tasks``: the rows lie in one small
+    file, so the partials are its task's own and need no exchange.
     """
+    if few_tasks:
+        out = np.zeros(size, dtype=np.float64)
+        for block, part in partials.collect():
+            out[block * BLOCK_WIDTH:block * BLOCK_WIDTH + len(part)] += part
+        return out
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     summed = (partials.groupBy("block").agg(Summarizer.sum(array_to_vector("part")).alias("v"))
@@ -103,25 +117,65 @@ def _gradient_sums(state_bc, objective, size: int, features: str, label: str, pe
     return run
 
 
-def _training_rows(train: DataFrame, features: str, label: str) -> tuple[DataFrame, int]:
-    """(persisted rows with a labelled class and their content hash, how many)."""
+def _training_rows(train: DataFrame, features: str, label: str, key: str | None = None) -> tuple[DataFrame, int]:
+    """(persisted rows with a labelled class, their content hash and key, how many)."""
     data = (train.where(F.col(label).isNotNull())
-                 .select(features, label, F.xxhash64(features, label).alias("_h0"))
+                 .select(features, label, F.xxhash64(features, label).alias("_h0"), *([key] if key else []))
                  .persist(StorageLevel.MEMORY_AND_DISK))
     return data, data.count()
 
 
-def _batches_of(data: DataFrame, n: int, batch_size: int | None, seed: int, epoch: int, merge_width: int):
-    """The frames of an epoch's batches: rows dealt by a seeded hash of their values.
+def epoch_seed(seed: int, epoch: int) -> int:
+    """Seed of one epoch's permutation."""
+    return int(seed) * 1_000_003 + int(epoch)
 
-    ``batch_size`` None: one batch of all rows. At most ``merge_width`` tasks
-    run a batch, so a step shuffles at most that many models.
+
+def bucket_by_step(rows: DataFrame, batch_size: int, merge_width: int = MERGE_WIDTH) -> tuple[str, list[int]]:
+    """Write ``rows`` (with ``step_no``) once, one folder per step; returns the path and the steps present.
+
+    A step of up to SHARD_ROWS rows is one file; a larger one is dealt over
+    several by a hash of its rows, so no task writes a whole large step.
+    """
+    spark = rows.sparkSession
+    shards = max(1, min(merge_width, -(-batch_size // SHARD_ROWS)))
+    path = scratch_path(spark, "epoch")
+    (rows.withColumn("_shard", F.pmod(F.xxhash64("_h"), F.lit(shards))).repartition("step_no", "_shard")
+         .drop("_shard").write.partitionBy("step_no").parquet(path))
+    # One value per step, which the training loop goes through one by one anyway.
+    steps = spark.read.schema(rows.schema).parquet(path).select("step_no").distinct().collect()
+    return path, sorted(r[0] for r in steps)
+
+
+def _batches_of(data: DataFrame, n: int, batch_size: int | None, seed: int, epoch: int, merge_width: int,
+                key: str | None = None):
+    """(frame of a batch, whether it is one small file), batch after batch of an epoch.
+
+    With a key a row's step is its place in the epoch's permutation divided by
+    ``batch_size``, else a seeded hash of its values. ``batch_size`` None: one
+    batch of all rows. At most ``merge_width`` tasks run a batch, so a step
+    shuffles at most that many models.
     """
     steps = -(-n // batch_size) if batch_size else 1
     dealt = data.withColumn("_h", F.xxhash64("_h0", F.lit(int(seed)), F.lit(int(epoch)))).drop("_h0")
-    for step in range(steps):
-        batch = dealt if steps == 1 else dealt.where(F.pmod(F.col("_h"), F.lit(steps)) == step)
-        yield batch.coalesce(merge_width)
+    columns = [c for c in dealt.columns if c != key]
+    if steps == 1:
+        yield dealt.select(columns).coalesce(merge_width), False
+        return
+    if key:
+        step = F.floor(F.col("_place") / int(batch_size))
+        dealt = seeded_position(dealt, key, epoch_seed(seed, epoch), "_place")
+    else:
+        step = F.pmod(F.col("_h"), F.lit(steps))
+    spark = data.sparkSession
+    bucketed = dealt.select(*columns, step.cast("long").alias("step_no"))
+    path, present = bucket_by_step(bucketed, batch_size, merge_width)
+    schema = bucketed.drop("step_no").schema
+    try:
+        for number in present:
+            yield (spark.read.schema(schema).parquet(f"{path}/step_no={number}").coalesce(merge_width),
+                   batch_size <= SHARD_ROWS)
+    finally:
+        remove_scratch(spark, path)
 
 
 def _stack(series) -> np.ndarray:
@@ -199,7 +253,7 @@ def _heads_objective(params, X, y, _h):
 
 def train_heads(train: DataFrame, num_classes: int, dim: int, configs: list[dict],
                 features: str = "features", label: str = "label", seed: int = 42,
-                merge_width: int = MERGE_WIDTH, peak=None):
+                merge_width: int = MERGE_WIDTH, peak=None, key: str | None = None, steps: list | None = None):
     """Train several heads: one Spark job per step for all heads of a batch size.
 
     ``configs``: dicts with ``lr``, ``epochs`` and ``batch_size`` (rows of one
@@ -208,6 +262,9 @@ def train_heads(train: DataFrame, num_classes: int, dim: int, configs: list[dict
     size-weighted mean of the batch losses, each taken before its step. Rows
     without a label are left out; no rows: zero weights and no losses.
     ``peak`` (``metrics.peak_accumulator``) receives the tasks' memory growth.
+    ``key`` names a column whose seeded permutation deals exact batches; rows with a
+    null key cannot be placed and are left out of epochs of several steps. ``steps``
+    receives (config_id, epoch, step, rows, mean loss before the step).
     Returns (params (C, K, d+1), loss rows [(config_id, epoch, loss)]).
     """
     spark = train.sparkSession
@@ -222,20 +279,23 @@ def train_heads(train: DataFrame, num_classes: int, dim: int, configs: list[dict
     params = np.zeros((C, K, dim + 1))
     m, v, t = np.zeros_like(params), np.zeros_like(params), np.zeros(C, dtype=int)
     curve = []
-    data, n = _training_rows(train, features, label)
+    data, n = _training_rows(train, features, label, key)
     try:
         for size, members in by_size.items() if n else ():
             for epoch in range(1, max(int(configs[c]["epochs"]) for c in members) + 1):
                 live = [c for c in members if int(configs[c]["epochs"]) >= epoch]
                 width = len(live) * K * (dim + 1)
                 total = np.zeros(len(live))
-                for batch in _batches_of(data, n, size, seed, epoch, merge_width):
+                for number, (batch, alone) in enumerate(_batches_of(data, n, size, seed, epoch, merge_width, key)):
                     bc = spark.sparkContext.broadcast(params[live])
                     fn = _gradient_sums(bc, _heads_objective, width + len(live) + 1, features, label, peak)
-                    sums = _sum_blocks(batch.mapInPandas(fn, PARTIALS), width + len(live) + 1)
+                    sums = _sum_blocks(batch.mapInPandas(fn, PARTIALS), width + len(live) + 1, alone)
                     bc.unpersist()
                     if not sums[-1]:
                         continue  # no row fell into this batch
+                    if steps is not None:
+                        steps += [(c, epoch, number, int(sums[-1]), float(x / sums[-1]))
+                                  for c, x in zip(live, sums[width:-1])]
                     grads = sums[:width].reshape(len(live), K, dim + 1) / sums[-1]
                     total += sums[width:-1]
                     for c, g in zip(live, grads):
@@ -322,6 +382,15 @@ def loss_curve(train: DataFrame, num_classes: int, dim: int, epochs: int = 10, l
     return train.sparkSession.createDataFrame(rows, "epoch int, loss double")
 
 
+def minibatch_curve(train: DataFrame, num_classes: int, dim: int, batch_size: int, key: str, epochs: int = 1,
+                    lr: float = 1e-3, features: str = "features", label: str = "label", seed: int = 42) -> DataFrame:
+    """C2, step by step: epoch, step, rows and mean loss (before the step) of every mini-batch."""
+    steps: list = []
+    train_heads(train, num_classes, dim, [{"lr": lr, "epochs": epochs, "batch_size": batch_size}], features, label,
+                seed, key=key, steps=steps)
+    return train.sparkSession.createDataFrame([s[1:] for s in steps], "epoch int, step int, n_rows long, loss double")
+
+
 def sweep_heads(train: DataFrame, test: DataFrame, num_classes: int, dim: int, configs: list[dict],
                 features: str = "features", label: str = "label", seed: int = 42) -> DataFrame:
     """One head per configuration, trained together; metrics per config.
@@ -398,7 +467,7 @@ def _unflatten(flat, shapes):
 def fit_adapter(train: DataFrame, test: DataFrame, num_classes: int, dim: int, epochs: int = 3,
                 lr: float = 2e-4, rank: int = ADAPTER_RANK, dropout: float = ADAPTER_DROPOUT,
                 features: str = "features", label: str = "label", seed: int = 42,
-                batch_size: int | None = None, merge_width: int = MERGE_WIDTH, peak=None):
+                batch_size: int | None = None, merge_width: int = MERGE_WIDTH, peak=None, key: str | None = None):
     """C6 (re-aimed): a low-rank residual adapter on the vector, trained with the head.
 
     The reference adapts the backbone's attention projections, which needs
@@ -424,14 +493,14 @@ def fit_adapter(train: DataFrame, test: DataFrame, num_classes: int, dim: int, e
     m, v, t = np.zeros_like(flat), np.zeros_like(flat), 0
     objective = _adapter_objective(shapes, dropout)
     curve = []
-    data, n = _training_rows(train, features, label)
+    data, n = _training_rows(train, features, label, key)
     try:
         for epoch in range(1, int(epochs) + 1) if n else ():
             losses = []
-            for batch in _batches_of(data, n, batch_size, seed, epoch, merge_width):
+            for batch, alone in _batches_of(data, n, batch_size, seed, epoch, merge_width, key):
                 bc = spark.sparkContext.broadcast(flat)
                 fn = _gradient_sums(bc, objective, total + 2, features, label, peak)
-                sums = _sum_blocks(batch.mapInPandas(fn, PARTIALS), total + 2)
+                sums = _sum_blocks(batch.mapInPandas(fn, PARTIALS), total + 2, alone)
                 bc.unpersist()
                 if not sums[-1]:
                     continue
@@ -487,12 +556,13 @@ def class_centroids(df: DataFrame, features: str = "embedding", label: str = "la
 def collect_weights(weights: DataFrame, max_values: int = MAX_MODEL_BYTES // 8):
     """Long-form (label, dim, w) -> ((K, d + 1) matrix with zero bias, label ids).
 
-    Only classes that have weights become rows. The collect is bounded:
-    at most ``max_values`` cells are fetched, else it refuses.
+    Only classes that have weights become rows. The collect is bounded: classes
+    times width, and cells, are counted first, and more than ``max_values`` are refused.
     """
-    pdf = weights.limit(max_values + 1).toPandas()
-    if len(pdf) > max_values:
+    size = weights.agg(F.countDistinct("label").alias("k"), F.max("dim").alias("d")).first()
+    if size["k"] * ((size["d"] or 0) + 1) > max_values or weights.count() > max_values:
         raise ValueError("head weights exceed the broadcast bound")
+    pdf = weights.toPandas()
     classes = np.sort(pdf["label"].unique())
     dim = int(pdf["dim"].max()) + 1 if len(pdf) else 0
     W = np.zeros((len(classes), dim + 1))

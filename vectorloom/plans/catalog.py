@@ -637,6 +637,50 @@ def q_fit_head(spark, sf_dir):
 
 
 CURVE = [{"lr": 1e-3, "epochs": 10}]
+MINI_BATCH, MINI_LR = 32, 1e-3
+
+
+def _minibatch_sql(batch: int, lr: float, seed: int) -> str:
+    """One epoch of mini-batch Adam as a recursion over the steps; the state is the weights and moments."""
+    logits = """(SELECT doc_id, y, label, n, zc - ln(sum(exp(zc)) OVER (PARTITION BY doc_id)) AS logp FROM (
+      SELECT doc_id, y, label, n, z - max(z) OVER (PARTITION BY doc_id) AS zc FROM (
+        SELECT x.doc_id, x.y, s.label, any_value(k.n) AS n, sum(x.x * s.w) AS z
+        FROM s JOIN xt x ON x.step = s.t AND x.dim = s.dim JOIN sizes k ON k.step = s.t GROUP BY x.doc_id, x.y, s.label)))"""
+    return f"""WITH RECURSIVE {_CORPUS.strip()},{_VOCAB},{_LABELLED},{_CODES},
+ids AS MATERIALIZED (
+  SELECT doc_id, label AS y, (row_number() OVER (ORDER BY md5('{seed}:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) // {batch} AS step
+  FROM labelled WHERE split = 'train' AND label IS NOT NULL),
+xt AS MATERIALIZED (
+  SELECT step, doc_id, y, b AS dim, v::DOUBLE AS x FROM ids JOIN agg USING (doc_id)
+  UNION ALL SELECT step, doc_id, y, {HASH_DIM}, 1.0 FROM ids),
+sizes AS MATERIALIZED (SELECT step, count(*)::DOUBLE AS n FROM ids GROUP BY step),
+s AS (
+  SELECT 0::BIGINT AS t, label, r.i::INTEGER AS dim, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v,
+         NULL::DOUBLE AS loss, NULL::DOUBLE AS n
+  FROM vocab, range({HASH_DIM + 1}) r(i)
+  UNION ALL
+  SELECT t + 1, label, dim, w - {lr!r} * (m1 / (1 - 0.9 ** (t + 1))) / (sqrt(v1 / (1 - 0.999 ** (t + 1))) + 1e-8), m1, v1, loss, n
+  FROM (
+    SELECT s.t, s.label, s.dim, s.w, 0.9 * s.m + 0.1 * coalesce(g.g, 0) AS m1,
+           0.999 * s.v + 0.001 * coalesce(g.g, 0) * coalesce(g.g, 0) AS v1,
+           (SELECT -sum(logp) FILTER (WHERE label = y) / any_value(n) FROM {logits} p) AS loss,
+           (SELECT any_value(n) FROM {logits} p) AS n
+    FROM s LEFT JOIN (
+      SELECT p.label, x.dim, sum((exp(p.logp) - CASE WHEN p.label = p.y THEN 1 ELSE 0 END) * x.x) / any_value(p.n) AS g
+      FROM {logits} p JOIN xt x USING (doc_id) GROUP BY p.label, x.dim) g ON g.label = s.label AND g.dim = s.dim
+    WHERE s.t < (SELECT max(step) + 1 FROM ids)) u
+)
+SELECT 1::INTEGER AS epoch, (t - 1)::INTEGER AS step, any_value(n)::BIGINT AS n_rows, round(any_value(loss), 6) AS loss
+FROM s WHERE t > 0 GROUP BY t"""
+
+
+@register("minibatch_curve", _minibatch_sql(MINI_BATCH, MINI_LR, C.epoch_seed(SEED, 1)))
+def q_minibatch_curve(spark, sf_dir):
+    """C2 at the reference's batch size: one epoch over the whole train split, the loss of every step."""
+    train, _, k = _features(spark, sf_dir)
+    return C.minibatch_curve(train, k, HASH_DIM, MINI_BATCH, "doc_id", 1, MINI_LR, seed=SEED).withColumn("loss", _r("loss"))
+
+
 SWEEP = [{"lr": lr, "epochs": ep} for lr in (1e-3, 1e-2, 1e-1) for ep in (3, 10)]
 
 
@@ -830,6 +874,56 @@ def q_batch_telemetry(spark, sf_dir):
                         F.min("full").alias("batches_full"))
 
 
+def _replayed(spark, sf_dir):
+    """A telemetry table derived from ``events``: 16 tasks, many batches, clocks that tie."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select((F.col("user_id") % 16).cast("int").alias("task_id"), F.col("event_id").alias("batch_no"),
+                     (1 + F.col("event_id") % 32).alias("rows"),
+                     (F.round(F.col("value") * 1000) + 1).cast("long").alias("elapsed_ns"),
+                     (F.col("user_id") * 1_000_000).alias("rss_growth"),
+                     (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000) * 60_000_000).alias("ended_at"))
+
+
+_REPLAY_SQL = """WITH tel AS (
+  SELECT CAST(user_id % 16 AS INTEGER) AS task_id, event_id AS batch_no, 1 + event_id % 32 AS "rows",
+         CAST(round(value * 1000) + 1 AS BIGINT) AS elapsed_ns, user_id * 1000000 AS rss_growth,
+         epoch_us(ts) // 60000000 * 60000000 AS ended_at FROM events)"""
+
+
+@register("telemetry_lines", _REPLAY_SQL + """
+SELECT task_id, batch_no, CAST(done AS BIGINT) AS done, CAST(spent AS BIGINT) AS elapsed_ns, last_batch,
+       round(done * 1e9 / spent, 6) AS samples_per_sec
+FROM (SELECT task_id, batch_no, sum("rows") OVER w AS done, sum(elapsed_ns) OVER w AS spent,
+             max(batch_no) OVER (PARTITION BY task_id) AS last_batch
+      FROM tel WINDOW w AS (PARTITION BY task_id ORDER BY batch_no)) t
+WHERE batch_no % 10 = 0 OR batch_no = last_batch""")
+def q_telemetry_lines(spark, sf_dir):
+    """M8 per task over a replayed telemetry table: every figure of every line."""
+    return M.batch_telemetry(_replayed(spark, sf_dir)).withColumn("samples_per_sec", _r("samples_per_sec"))
+
+
+@register("run_progress", _REPLAY_SQL + """,
+r AS (SELECT ended_at, "rows", CAST(sum("rows") OVER w AS BIGINT) AS done, CAST(sum("rows") OVER () AS BIGINT) AS total,
+             min(ended_at) OVER () AS started FROM tel WINDOW w AS (ORDER BY ended_at, task_id, batch_no)),
+c AS (SELECT *, unnest(range((done - "rows") * 10 // total + 1, done * 10 // total + 1)) AS k FROM r)
+SELECT k * 100 / 10.0 AS percent, done, total, ended_at, (ended_at - started) / 1e6 AS elapsed_sec,
+       CASE WHEN ended_at > started THEN round(done / ((ended_at - started) / 1e6), 6) END AS samples_per_sec
+FROM c""")
+def q_run_progress(spark, sf_dir):
+    """M8 for the whole run: the moments at which each tenth of its rows was done, all tasks merged by their clocks."""
+    return M.run_progress(_replayed(spark, sf_dir)).withColumn("samples_per_sec", _r("samples_per_sec"))
+
+
+@register("telemetry_totals", _REPLAY_SQL + """,
+t AS (SELECT task_id, sum("rows") AS n, sum(elapsed_ns) AS ns, max(rss_growth) AS grown FROM tel GROUP BY task_id)
+SELECT count(*) AS tasks, CAST(sum(n) AS BIGINT) AS "rows", round(sum(ns) / 1e9, 6) AS busy_sec,
+       round(max(ns) / 1e9, 6) AS slowest_task_sec, round(max(grown) / 1e9, 6) AS peak_rss_growth_gb FROM t""")
+def q_telemetry_totals(spark, sf_dir):
+    """M9 over the replayed telemetry table: every figure."""
+    out = M.task_resources(_replayed(spark, sf_dir))
+    return out.select("tasks", "rows", *[_r(c).alias(c) for c in ("busy_sec", "slowest_task_sec", "peak_rss_growth_gb")])
+
+
 @register("task_resources", """
 SELECT count(*) AS rows, true AS timed, true AS measured FROM documents""")
 def q_task_resources(spark, sf_dir):
@@ -941,13 +1035,15 @@ SELECT 'embedding' AS kind, run_id,
 FROM emb_runs
 UNION ALL
 SELECT 'classification' AS kind, run_id,
-       CASE WHEN model_size NOT IN ('0.6b', '4b') OR model_size IS NULL
+       CASE WHEN CAST(run_id AS BIGINT) % 5 = 0 AND mode <> 'frozen' THEN 'mlx supports frozen runs only'
+            WHEN model_size NOT IN ('0.6b', '4b') OR model_size IS NULL
               THEN 'classification supports 0.6b and 4b only'
             WHEN mode NOT IN ('frozen', 'lora') OR mode IS NULL THEN 'unknown mode'
             WHEN device NOT IN ('cpu', 'cuda') OR device IS NULL THEN 'unknown device' END AS reject_reason
 FROM cls_runs""")
 def q_grid_validation(spark, sf_dir):
-    df = G.grid_validation(RU.embedding_runs(spark, sf_dir), RU.classification_runs(spark, sf_dir))
+    """Why a record's configuration is refused; adapters on mlx included."""
+    df = G.grid_validation(RU.embedding_runs(spark, sf_dir), RU.classification_runs(spark, sf_dir, with_backend=True))
     return df.select("kind", "run_id", "reject_reason")
 
 
@@ -1099,7 +1195,7 @@ pre AS (
          TRY_CAST(requested_dimension AS INTEGER) AS dim
   FROM emb_runs
 ), chk AS (
-  SELECT run_id,
+  SELECT run_id, status AS own_status, error AS own_error,
          CASE WHEN coalesce(model_size, '') NOT IN ('0.6b', '4b', '8b') THEN 'unknown model size'
               WHEN coalesce(backend, '') NOT IN ('torch', 'mlx') THEN 'unknown backend'
               WHEN backend = 'torch' AND device IS NULL THEN 'device required for torch backend'
@@ -1110,12 +1206,30 @@ pre AS (
               WHEN have < {_NEED_SQL} THEN 'capacity: insufficient' END AS error
   FROM pre
 )
-SELECT run_id, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error FROM chk""")
+SELECT run_id, CASE WHEN error IS NULL AND own_status <> 'failed' THEN 'success' ELSE 'failed' END AS status,
+       CASE WHEN error IS NOT NULL THEN error WHEN own_status = 'failed' THEN own_error END AS error
+FROM chk""")
 def q_failure_capture(spark, sf_dir):
-    """Status and error from the validation and capacity columns."""
+    """Status and error from the validation and capacity columns, then from the run itself."""
     return G.failure_capture(RU.embedding_runs(spark, sf_dir))
 
 
+REFUSE_ABOVE = 1000
+
+
+@register("failure_isolation", "WITH " + _HASHED_SQL + f""",
+n AS (SELECT doc_id, len({_TOKS}) AS n FROM documents)
+SELECT doc_id, CASE WHEN n > {REFUSE_ABOVE} THEN 'failed' ELSE 'success' END AS status,
+       CASE WHEN n > {REFUSE_ABOVE} THEN 'ValueError: ' || n || ' tokens exceed {REFUSE_ABOVE}' END AS error,
+       CASE WHEN n <= {REFUSE_ABOVE} THEN {_round_list_sql('embedding')} END AS embedding
+FROM hashed JOIN n USING (doc_id)""")
+def q_failure_isolation(spark, sf_dir):
+    """An encoder that fails on any batch with an overlong text; those texts fail alone, the rest get their vectors."""
+    out = E.encode(_documents(spark, sf_dir), E.HashedEncoder(HASH_DIM, REFUSE_ABOVE, refuse=True), "text", "doc_id", BATCH_SIZE,
+                   num_partitions=_parts(spark), isolate=True)
+    return out.select("doc_id", "status", "error", V.to_double_rounded("embedding").alias("embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

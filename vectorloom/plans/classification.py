@@ -103,12 +103,12 @@ def run_classification(spark: SparkSession, sf_dir: str, mode: str = "frozen", t
         t1 = time.time()
         if mode == "lora":
             _, preds, _ = fit_adapter(train, test, k, dim, epochs=epochs, lr=lr, batch_size=batch_size,
-                                      seed=seed, peak=train_peak)
+                                      seed=seed, peak=train_peak, key="doc_id")
         elif solver == "lbfgs":
             _, preds = fit_head(train, test, k, "features", "label", max_iter)
         else:
             cfg = {"lr": lr, "epochs": epochs, "batch_size": batch_size}
-            params, _ = train_heads(train, k, dim, [cfg], seed=seed, peak=train_peak)
+            params, _ = train_heads(train, k, dim, [cfg], seed=seed, peak=train_peak, key="doc_id")
             preds = score_heads(test, params).drop("config_id")
         train_time = time.time() - t1
         mets = M.classification_metrics(preds).first()

