@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame
-from tests.llm.test_winnow_chars import selected as selected_chars
+from tests.llm.test_winnow_chars import printed as printed_chars, selected as selected_chars
 from vectorloom.llm import winnow
 from vectorloom.llm.winnow import K, PRIME, W
 
@@ -47,7 +47,7 @@ def like(a, b):
 
 
 def printed(sel):
-    return " ".join(f"{g:X}@{p}" for g, p in sel)
+    return " ".join(f"{g << 31 | PRIME - p:X}" for g, p in sel)
 
 
 @pytest.mark.parametrize("bucket_docs", [1024, 5])
@@ -63,7 +63,7 @@ def test_query_matches_brute_force(spark, messy, monkeypatch, bucket_docs):
         half = len(t) // 2
         edited = t[:len(t) - half] + nxt[:half]
         a, b = selected_chars(t), selected_chars(edited)
-        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), printed(a), printed(b),
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), printed_chars(a), printed_chars(b),
                      round(like(a, b), 9), round(like(a, selected_chars(nxt)), 9)))
     got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in winnow.edited_fingerprints(frame(spark, rows)).collect()]
     order = lambda r: (r[0] is None, r)
@@ -96,7 +96,7 @@ def test_null_and_repeated_ids_spread(spark, monkeypatch, hot):
 def test_shared_passage_is_found(spark):
     passage = " ".join(f"p{i}" for i in range(K + W - 1))
     docs = frame(spark, [(1, "a b c " + passage + " d e"), (2, "x " + passage + " y z q")])
-    prints = [set(x.split("@")[0] for x in r["fingerprint"].split()) for r in winnow.fingerprints(docs).collect()]
+    prints = [set(int(x, 16) >> 31 for x in r["fingerprint"].split()) for r in winnow.fingerprints(docs).collect()]
     assert prints[0] & prints[1]
 
 

@@ -11,7 +11,7 @@ from vectorloom.llm.winnow import CHAR_K, CHAR_W, PRIME
 
 def selected(text):
     """(hash, position) pairs, windows taken one by one."""
-    grams = [xxhash.xxh64_intdigest(text[i:i + CHAR_K].encode("utf-32-be"), 42) & PRIME
+    grams = [xxhash.xxh64_intdigest(text[i:i + CHAR_K].encode("utf-32-be"), 42) >> 31 & PRIME
              for i in range(max(1, len(text) - CHAR_K + 1))] if text else []
     out = []
     for i in range(max(1, len(grams) - CHAR_W + 1) if grams else 0):
@@ -21,10 +21,15 @@ def selected(text):
     return out
 
 
+def printed(sel):
+    """The place is the gram's first byte in UTF-32, counted from 1."""
+    return " ".join(f"{g << 31 | PRIME - (4 * p + 1):X}" for g, p in sel)
+
+
 def test_code_points_match_brute_force(spark, messy):
     rows = [(i, t) for i, (_, t) in enumerate(messy[0]) if len(t or "") < 9000] + [(900, "😀𝒳漢字かな交じり文"), (901, "abcd"), (902, "abcdefg")]
-    got = {r["doc_id"]: r["char_fingerprint"] for r in winnow.fingerprints(frame(spark, rows)).collect()}
-    assert got == {d: " ".join(f"{g:X}@{p}" for g, p in selected(t or "")) for d, t in rows}
+    got = {r["doc_id"]: (r["char_fingerprint"], r["char_positions"]) for r in winnow.fingerprints(frame(spark, rows)).collect()}
+    assert got == {d: (printed(selected(t or "")), [p for _, p in selected(t or "")]) for d, t in rows}
 
 
 def test_half_kept_short_and_unspaced_texts_are_near(spark):

@@ -13,7 +13,8 @@ into buckets at approximate quantiles (at most ``MAX_BUCKETS`` split points,
 the only thing the driver sees); an id that fills several quantiles, and the null id, get buckets of their
 own, cut further by ranges of the text hash. Each bucket is one window group, and the first
 document of the following bucket joins it as a guest, so ``lead`` never needs a
-window over the whole table and texts are shuffled once.
+window over the whole table and texts are shuffled once. The windows inside the kept and the added half are
+those of the two documents, whose selections are reused; only the few across the joint are computed anew.
 
 Defined results: null text is empty; an empty text has the empty
 fingerprint and no positions, two empty fingerprints are alike (1.0), an empty
@@ -86,17 +87,20 @@ def winnow(text: Column) -> Column:
     return _let(word_hashes(F.coalesce(text, F.lit(""))), lambda h: _let(gram_hashes(h), window_minima))
 
 
-def winnow_chars(text: Column) -> Column:
-    """As ``winnow``, over code points; one gram of the whole text when it has fewer than ``CHAR_K``."""
-    def grams(b: Column) -> Column:
-        n = F.floor(F.octet_length(b) / 4).cast("int")
-
-        def gram(i: Column) -> Column:
-            h = F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHAR_K))).bitwiseAND(F.lit(PRIME))
-            return h * (1 << 31) + (PRIME - i)
+def char_minima(text: Column) -> Column:
+    """The selected gram of every window over code points, window by window; one gram of the whole text when it has
+    fewer than ``CHAR_K`` code points, one window when it has fewer grams.
 
-        return (F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - CHAR_K, F.lit(0))), gram))
-                .otherwise(F.array().cast("array<bigint>")))
+    As ``hash * 2^31 + (2^31 - 1 - byte)``, ``byte`` the gram's place in UTF-32, from 1: the least arithmetic per
+    gram.
+    """
+    def grams(b: Column) -> Column:
+        n = F.octet_length(b)
+        size = F.lit(4 * CHAR_K)
+        return (F.when(n > 0, F.transform(
+            F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)), F.lit(4)),
+            lambda p: F.xxhash64(F.substring(b, p, size)).bitwiseAND(F.lit(PRIME << 31)).bitwiseOR(F.lit(PRIME) - p)))
+            .otherwise(F.array().cast("array<bigint>")))
 
     def lower(v: Column, step: int) -> Column:
         # A text's end has fewer grams than a window: ``least`` skips the nulls there.
@@ -106,23 +110,60 @@ def winnow_chars(text: Column) -> Column:
         out, step = v, 1
         while step < CHAR_W:
             out, step = lower(out, step), 2 * step
-        return _let(out, lambda m: F.array_distinct(F.slice(m, F.lit(1), F.greatest(F.size(m) - (CHAR_W - 1), F.lit(1)))))
+        return _let(out, lambda m: F.slice(m, F.lit(1), F.greatest(F.size(m) - (CHAR_W - 1), F.lit(1))))
 
     return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), lambda b: _let(grams(b), minima))
 
 
+def winnow_chars(text: Column) -> Column:
+    """Selected grams over code points in text order, in ``char_minima``'s form."""
+    return F.array_distinct(char_minima(text))
+
+
+#: Windows that touch both sides of a joint between two texts, and the code points they need of either side.
+JOINT = CHAR_K + CHAR_W - 2
+
+
+def _moved(sel: Column, by: Column) -> Column:
+    """Grams ``by`` code points further on."""
+    return _let(by * 4, lambda n: F.transform(sel, lambda x: x - n))
+
+
+def _begun(sel: Column, part: Column, n: Column) -> Column:
+    """What the windows inside ``part`` (``n`` code points, at least ``JOINT``) select, ``sel`` being the selection of
+    a text that begins with ``part``: selected places never go back, so it is ``sel`` up to the last window's gram."""
+    last = _moved(char_minima(F.substring(part, n - JOINT, F.lit(JOINT + 1))), n - (JOINT + 1))[0]
+    return F.when(n > JOINT, F.slice(sel, F.lit(1), F.array_position(sel, last).cast("int"))).otherwise(
+        F.array().cast("array<bigint>"))
+
+
+def joined_selection(kept: Column, a: Column, sel: Column, added: Column, b: Column, next_sel: Column) -> Column:
+    """The selected grams of ``kept`` (``a`` code points) followed by ``added`` (``b``), from the selections of the
+    texts that they begin.
+
+    Windows inside either part select what they select in that text; only the ``JOINT`` windows across the
+    joint are new. Both parts have at least ``JOINT`` code points.
+    """
+    across = char_minima(F.concat(F.substring(kept, a - JOINT + 1, F.lit(JOINT)), F.substring(added, F.lit(1), F.lit(JOINT))))
+    return F.array_distinct(F.concat(_begun(sel, kept, a), _moved(across, a - JOINT), _moved(_begun(next_sel, added, b), a)))
+
+
 def selected_hashes(sel: Column) -> Column:
     return F.array_distinct(F.transform(sel, lambda x: F.shiftright(x, 31)))
 
 
-def positions(sel: Column) -> Column:
-    return F.transform(sel, lambda x: F.lit(PRIME) - x.bitwiseAND(F.lit(PRIME)))
+def positions(sel: Column, chars: bool = False) -> Column:
+    """Places of the selected grams, from 0: words, or code points."""
+    def at(x: Column) -> Column:
+        low = F.lit(PRIME) - x.bitwiseAND(F.lit(PRIME))
+        return F.shiftright(low, 2) if chars else low
+
+    return F.transform(sel, at)
 
 
 def fingerprint(sel: Column) -> Column:
-    """``hash@position`` of the selected grams, joined by spaces."""
-    return F.array_join(F.transform(sel, lambda x: F.concat_ws(
-        "@", F.hex(F.shiftright(x, 31)), F.lit(PRIME) - x.bitwiseAND(F.lit(PRIME)))), " ")
+    """The selected grams, hash and place in one hexadecimal number each, joined by spaces."""
+    return F.array_join(F.transform(sel, lambda x: F.hex(x)), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -183,9 +224,8 @@ def with_next(docs: DataFrame) -> DataFrame:
                                                          F.lit(1).alias("guest"))
     dealt = rows.withColumn("guest", F.lit(0)).unionByName(visiting).repartition("bucket")
     w = Window.partitionBy("bucket").orderBy(F.col("guest"), F.col("doc_id").desc(), F.col("tkey").desc())
-    return (dealt.withColumn("sel", winnow_chars(F.col("text")))
-            .withColumn("next_text", F.lead("text").over(w)).withColumn("next_sel", F.lead("sel").over(w))
-            .filter("guest = 0"))
+    dealt = dealt.withColumn("sel", winnow_chars(F.col("text")))
+    return dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("text", "sel")]).filter("guest = 0")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -194,17 +234,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return sel.select("doc_id", fingerprint(F.col("sel")).alias("fingerprint"),
                       positions(F.col("sel")).alias("positions"),
                       fingerprint(F.col("chars")).alias("char_fingerprint"),
-                      positions(F.col("chars")).alias("char_positions"))
+                      positions(F.col("chars"), True).alias("char_positions"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document, all over code points."""
-    half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("edited", F.concat(
-        F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")),
-        F.substring("next_text", F.lit(1), half)))
-    rows = rows.withColumn("edited_sel", winnow_chars(F.col("edited"))).withColumn("own", selected_hashes(F.col("sel")))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    rows = rows.withColumn("added", F.substring("next_text", F.lit(1), half))
+    rows = rows.withColumn("a", (F.col("n_chars") - half).cast("int")).withColumn("b", F.length("added"))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("a")), F.col("added")))
+    a, b = F.col("a"), F.col("b")
+    rows = rows.withColumn("edited_sel", F.when(
+        (a >= JOINT) & (b >= JOINT), joined_selection(F.substring("edited", F.lit(1), a), a, F.col("sel"), F.col("added"), b, F.col("next_sel")))
+        .otherwise(winnow_chars(F.col("edited"))))
+    rows = rows.withColumn("own", selected_hashes(F.col("sel")))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sel")).alias("fingerprint"), fingerprint(F.col("edited_sel")).alias("edited_fingerprint"),
