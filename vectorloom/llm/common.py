@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.session import scratch_path
+from vectorloom.session import remove_scratch, scratch_path
+
+__all__ = ["ASCII_SPACE", "free_name", "int64", "map_rows", "materialize", "remove_scratch", "scan_tasks", "signed",
+           "small_batches", "text_bytes", "written"]
 
 #: The bytes the operators treat as white space: space, tab, LF, VT, FF, CR.
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -36,12 +39,6 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def remove_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def free_name(columns: list[str], base: str) -> str:
     """``base``, with as many underscores in front as keep it from naming one of ``columns`` (in any case)."""
     taken = {c.lower() for c in columns}
