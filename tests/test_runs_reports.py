@@ -187,3 +187,19 @@ def test_load_runs_reads_the_indented_layout(spark, tmp_path):
     assert {r["run_id"]: r["backend"] for r in rows.collect()} == {"a": "torch", "b": None, "c": "mlx"}
     assert [r["path"].rsplit("/", 1)[1] for r in bad.collect()] == ["bad.json"]
 
+def test_run_log_latest_commit_wins(spark):
+    path = scratch_path(spark, "run-log-test")
+    log = lambda lines, n: RU.append_run_log(spark.createDataFrame([(x,) for x in lines], "json string"), path, n)
+    log(['{"run_id": "a", "status": "failed", "error": "x"}', '{"run_id": "b", "status": "success", "backend": null}',
+         '{"run_id": "a", "status": "failed", "error": "w"}', '[1]', '{"status": "success"}'], 0)
+    log(['{"run_id": "a", "status": "success", "backend": "mlx"}', '{"run_id": "b", "sta'], 1)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        log(['{"run_id": "c"}'], 1)
+    rows, bad = RU.read_run_log(spark, path)
+    assert {(r["run_id"], r["status"], r["backend"], r["error"], r["commit"]) for r in rows.collect()} == {
+        ("a", "success", "mlx", None, 1), ("b", "success", None, None, 0)}
+    assert sorted((r["commit"], r["text"]) for r in bad.collect()) == [(0, "[1]"), (0, '{"status": "success"}'), (1, '{"run_id": "b", "sta')]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    none, broken = RU.read_run_log(spark, path + "-missing")
+    assert none.count() == 0 and broken.count() == 0

@@ -248,3 +248,31 @@ def test_hashed_encoder_cache_bound_does_not_change_vectors(monkeypatch):
     tiny = E.HashedEncoder(8).load()(texts)
     assert np.array_equal(full, tiny) and full.dtype == np.float32 and full.shape == (5, 8)
     assert not full[1].any()
+
+
+def test_head_gradient_is_that_of_the_loss_and_certifies_a_fit(spark):
+    import numpy as np
+    from vectorloom.operators import training as C
+    rng = np.random.default_rng(3)
+    X, y = rng.normal(size=(90, 3)), rng.integers(0, 3, size=90)
+    rows = [([float(v) for v in x], int(c) * 2, "p") for x, c in zip(X, y)] + [([0.0, 1.0, 2.0], None, "p"), ([0.0, 1.0, 2.0], 9, "p")]
+    df = spark.createDataFrame(rows, "features array<double>, label int, extra string")
+    classes, W = np.array([0, 2, 4]), rng.normal(size=(3, 4))
+
+    def loss_at(w):
+        z = np.hstack([X, np.ones((90, 1))]) @ w.T
+        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(90), y]))
+
+    for parts in (1, 7):
+        loss, n, grad = C.head_gradient(df.repartition(parts), W, classes)
+        assert n == 90 and abs(loss - loss_at(W)) < 1e-12
+    for k, j in ((0, 0), (1, 2), (2, 3)):
+        step = np.zeros_like(W)
+        step[k, j] = 1e-6
+        assert abs((loss_at(W + step) - loss_at(W - step)) / 2e-6 - grad[k, j]) < 1e-7
+    train = df.where("label <= 4").selectExpr("features", "label div 2 AS label")
+    model, _ = C.fit_head(train, train, 3)
+    fitted = np.column_stack([model.coefficientMatrix.toArray(), model.interceptVector.toArray()])
+    loss, _, grad = C.head_gradient(train, fitted)
+    assert np.abs(grad).max() < 1e-3 < np.abs(C.head_gradient(train, fitted + 0.5 * W)[2]).max()
+    assert C.head_gradient(df.limit(0), W, classes)[:2] == (None, 0)

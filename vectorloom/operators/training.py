@@ -9,6 +9,8 @@
   gradients in fixed-width blocks, and the driver takes the step.
 * ``fit_adapter`` (C6): the same scheme with AdamW and the adapter's gradient.
   The training frame is persisted once and re-read by every step.
+* ``head_gradient`` (C1): loss and gradient at given weights in one pass over
+  the rows, the certificate that a fitted head is at its (convex) optimum.
 * ``softmax_grad0`` (C3) and ``linear_predict`` (C4) are the checkable
   pieces: the gradient at zero weights in pure SQL, and argmax scoring.
 
@@ -222,6 +224,36 @@ def fit_head(train: DataFrame, test: DataFrame, num_classes: int, features: str
                                 F.col("prediction").cast("int").alias("pred"))
 
 
+def _certified_objective(state, X, y, h):
+    """``_heads_objective`` of one head over the rows whose label is one of its classes."""
+    weights, classes = state
+    place = np.searchsorted(classes, y).clip(max=len(classes) - 1)
+    known = classes[place] == y
+    return _heads_objective(weights[None], X[known], place[known], h)
+
+
+def head_gradient(df: DataFrame, W: np.ndarray, classes: np.ndarray | None = None, features: str = "features",
+                  label: str = "label", merge_width: int = MERGE_WIDTH) -> tuple[float | None, int, np.ndarray]:
+    """(mean loss, rows, gradient (K, d + 1)) of softmax cross-entropy at the weights ``W``, in one pass.
+
+    The objective is convex, so a gradient near zero certifies a fitted head, whatever fitted
+    it. Weights are broadcast (size checked), tasks add up their rows, at most ``merge_width``
+    partial gradients are shuffled. Rows without a label among ``classes`` (default 0..K-1)
+    have no part in it; no rows: no loss and a zero gradient.
+    """
+    _check_model_size(W.size, "head parameters")
+    ids = np.arange(W.shape[0]) if classes is None else np.asarray(classes)
+    if not W.size:
+        return None, 0, np.zeros_like(W)
+    bc = df.sparkSession.sparkContext.broadcast((W, ids))
+    rows = df.where(F.col(label).isNotNull()).select(features, label, F.lit(0).cast("long").alias("_h")).coalesce(merge_width)
+    fn = _gradient_sums(bc, _certified_objective, W.size + 2, features, label)
+    sums = _sum_blocks(rows.mapInPandas(fn, PARTIALS), W.size + 2)
+    bc.unpersist()
+    n = int(sums[-1])
+    return (float(sums[-2] / n) if n else None), n, sums[:-2].reshape(W.shape) / max(n, 1)
+
+
 # ---------------------------------- C2 / C5: synchronous Adam
 
 def _adam_step(p, g, m, v, t, lr, betas=(0.9, 0.999), eps=1e-8, weight_decay=0.0):

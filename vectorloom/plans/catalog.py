@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from typing import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -298,6 +299,40 @@ def q_write_runs(spark, sf_dir):
     return back.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("run_log", _RUNS + """,
+logged AS (
+  SELECT r.*, e.event_type FROM emb_runs r JOIN events e ON r.run_id = CAST(e.event_id AS VARCHAR))
+SELECT 'record' AS kind, CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS commit, run_id, model_size,
+       CASE WHEN event_type = 'click' THEN 'torch' ELSE backend END AS backend, device, requested_dimension,
+       CASE WHEN event_type = 'error' THEN 'success' ELSE status END AS status,
+       CASE WHEN event_type <> 'error' THEN error END AS error, embed_generation_time_sec, started_at
+FROM logged
+UNION ALL
+SELECT 'broken', 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM logged WHERE event_type = 'view'""")
+def q_run_log(spark, sf_dir):
+    """All records logged, failed runs logged again after a repeat, cut-off lines of the view runs, read back.
+
+    Click records have no backend key, signups a null one; a cut-off line leaves its run's record as it was.
+    """
+    runs = RU.embedding_runs(spark, sf_dir, carry=("event_type",))
+    fields = [c for c in runs.columns if c != "event_type"]
+    as_text = lambda df: RU.runs_as_json_text(
+        df.withColumn("started_at", F.date_format("started_at", RU.TIMESTAMP_FORMAT)),
+        absent_when=F.col("event_type") == "click", columns=fields)
+    path = scratch_path(spark, "run-log")
+    RU.append_run_log(as_text(runs), path, 0)
+    repeated = runs.where(F.col("event_type") == "error")
+    RU.append_run_log(as_text(repeated.withColumn("status", F.lit("success")).withColumn("error", F.lit(None).cast("string"))),
+                      path, 1)
+    cut = as_text(runs.where(F.col("event_type") == "view")).withColumn("json", F.expr("left(json, length(json) - 9)"))
+    RU.append_run_log(cut, path, 2)
+    records, broken = RU.read_run_log(spark, path)
+    shown = ["commit", "run_id", "model_size", "backend", "device", "requested_dimension", "status", "error",
+             "embed_generation_time_sec", "started_at"]
+    return records.select(F.lit("record").alias("kind"), *shown).unionByName(
+        broken.select(F.lit("broken").alias("kind"), "commit"), allowMissingColumns=True)
+
+
 @register("vector_export", _UNIT_SQL + f"""
 SELECT doc_id, 'hashed_dim{HASH_DIM}_cpu' AS file_name, text, 'hashed' AS model_size, 'spark' AS backend,
        'cpu' AS device, CAST({HASH_DIM} AS INTEGER) AS native_hidden_size,
@@ -618,6 +653,27 @@ def q_align(spark, sf_dir):
     return M.align(truth, q_linear_predict(spark, sf_dir).select("vec_id", "pred"), "vec_id")
 
 
+@register("head_gradient", _PREDICT_SQL.partition("sc AS (")[0] + """
+tr AS (SELECT vec_id, label, dim - 1 AS dim, x FROM e WHERE b < 80 AND label IS NOT NULL
+       UNION ALL SELECT vec_id, label, len(embedding), 1.0 FROM s WHERE b < 80 AND label IS NOT NULL),
+z AS (SELECT vec_id, label AS y, k, sum(x * w) AS z FROM tr JOIN cen ON tr.dim = cen.dim - 1 GROUP BY vec_id, label, k),
+p AS (SELECT vec_id, y, k, c - ln(sum(exp(c)) OVER (PARTITION BY vec_id)) AS logp
+      FROM (SELECT vec_id, y, k, z - max(z) OVER (PARTITION BY vec_id) AS c FROM z) t),
+l AS (SELECT -sum(logp) / count(*) AS loss, count(*) AS n FROM p WHERE k = y)
+SELECT CAST(k AS INTEGER) AS label, CAST(dim AS INTEGER) AS dim,
+       round(sum((exp(logp) - CASE WHEN k = y THEN 1 ELSE 0 END) * x) / any_value(n), 6) AS grad,
+       round(any_value(loss), 6) AS loss, any_value(n) AS n_rows
+FROM p JOIN tr USING (vec_id), l GROUP BY k, dim""")
+def q_head_gradient(spark, sf_dir):
+    """Loss and gradient of the centroid head over its train split, in one pass."""
+    train = _embeddings(spark, sf_dir).where(split_name("vec_id") == "train")
+    W, classes = C.collect_weights(C.class_centroids(train, "embedding", "label"))
+    loss, n, grad = C.head_gradient(train, W, classes, "embedding", "label")
+    cells = [(int(k), j, float(g)) for k, row in zip(classes, grad) for j, g in enumerate(row)]   # model-sized, checked
+    return spark.createDataFrame(cells, "label int, dim int, grad double").select(
+        "label", "dim", _r("grad").alias("grad"), _r(F.lit(loss)).alias("loss"), F.lit(n).cast("long").alias("n_rows"))
+
+
 def _features(spark, sf_dir):
     """(train features, test features, number of classes), encoded per split."""
     from vectorloom.plans.classification import split_features
@@ -627,13 +683,15 @@ def _features(spark, sf_dir):
 
 @register("fit_head")
 def q_fit_head(spark, sf_dir):
-    """Spark ML head on raw hashed vectors, language as the label; test metrics."""
+    """Spark ML head on raw hashed vectors, language as the label; test metrics, and the certificate of the fit."""
     train, test, k = _features(spark, sf_dir)
     model, preds = C.fit_head(train, test, k, "features", "label", max_iter=100)
     mets = M.classification_metrics(preds)
-    summary = model.summary
-    return mets.select("*", F.lit(int(summary.totalIterations)).alias("iterations"),
-                       F.lit(float(summary.objectiveHistory[-1])).alias("final_loss"))
+    W = np.column_stack([model.coefficientMatrix.toArray(), model.interceptVector.toArray()])
+    loss, _, grad = C.head_gradient(train, W)
+    return mets.select("*", F.lit(int(model.summary.totalIterations)).alias("iterations"),
+                       F.lit(loss).cast("double").alias("final_loss"),
+                       F.lit(float(np.abs(grad).max())).alias("gradient_max"))
 
 
 CURVE = [{"lr": 1e-3, "epochs": 10}]
@@ -947,21 +1005,34 @@ def q_inspect_texts(spark, sf_dir):
 
 
 def _sheet_sql(value: str) -> str:
-    return f"""SELECT '{value}' AS sheet, count(*) AS n_rows FROM (
-  SELECT DISTINCT model_size, backend, device FROM emb_runs WHERE status = 'success' AND backend IS NOT NULL
-  AND requested_dimension IN ('768', '1024', 'default') AND {value} IS NOT NULL) t"""
+    return f"""
+SELECT '{value}' AS sheet, CAST(NULL AS BIGINT) AS position, CAST(NULL AS VARCHAR) AS run_id, model_size, backend, device,
+       requested_dimension AS dimension, round(avg({value}), 6) AS value
+FROM emb_runs
+WHERE status = 'success' AND model_size IS NOT NULL AND backend IS NOT NULL AND device IS NOT NULL
+  AND requested_dimension IN ('768', '1024', 'default')
+GROUP BY model_size, backend, device, requested_dimension HAVING avg({value}) IS NOT NULL"""
 
 
 @register("write_report", _RUNS + f"""
-SELECT 'raw_results' AS sheet, count(*) AS n_rows FROM emb_runs
+SELECT 'raw_results' AS sheet,
+       CAST(row_number() OVER (ORDER BY model_size ASC NULLS LAST, backend ASC NULLS LAST, device ASC NULLS LAST,
+                                        dim_rank ASC NULLS LAST, requested_dimension ASC NULLS LAST, run_id)
+            - 1 AS BIGINT) AS position, run_id, model_size, backend, device, requested_dimension AS dimension,
+       round(throughput_samples_per_sec, 6) AS value
+FROM (SELECT *, CAST(CASE requested_dimension WHEN '768' THEN 0 WHEN '1024' THEN 1 WHEN 'default' THEN 2 END
+                     AS INTEGER) AS dim_rank FROM emb_runs) t
 UNION ALL {_sheet_sql('throughput_samples_per_sec')} UNION ALL {_sheet_sql('peak_mem_gb')}""")
 def q_write_report(spark, sf_dir):
-    """The three sheets written as tables, read back and counted."""
+    """The three sheets written as tables and read back, cell by cell."""
     paths = R.write_report(RU.embedding_runs(spark, sf_dir), scratch_path(spark, "report"))
-    out = None
-    for sheet, path in paths.items():
-        n = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(sheet).alias("sheet"), "n_rows")
-        out = n if out is None else out.unionByName(n)
+    out = spark.read.parquet(paths["raw_results"]).select(
+        F.lit("raw_results").alias("sheet"), "position", "run_id", "model_size", "backend", "device",
+        F.col("requested_dimension").alias("dimension"), _r("throughput_samples_per_sec").alias("value"))
+    for sheet in ("throughput_samples_per_sec", "peak_mem_gb"):
+        wide = spark.read.parquet(paths[sheet])
+        cells = wide.unpivot(["model_size", "backend", "device"], R.DIMENSION_ORDER, "dimension", "value").where("value IS NOT NULL")
+        out = out.unionByName(cells.withColumn("value", _r("value")).withColumn("sheet", F.lit(sheet)), allowMissingColumns=True)
     return out
 
 

@@ -266,6 +266,47 @@ def load_runs(spark: SparkSession, path: str,
     return parsed.drop("json"), files.where(keys.isNull()).select("path", F.col("json").alias("text"))
 
 
+def append_run_log(records: DataFrame, path: str, commit: int) -> str:
+    """Append records (``json``, one object a row) to the log at ``path`` as one commit.
+
+    A commit is written once and as a whole: its files appear when the job commits, and a
+    number that is already there is refused, so a repeated append cannot double it.
+    """
+    if commit < 0:
+        raise ValueError("commit must be >= 0")
+    records.select(F.col("json").alias("value")).write.mode("errorifexists").text(f"{path.rstrip('/')}/commit={int(commit)}")
+    return path
+
+
+def read_run_log(spark: SparkSession, path: str,
+                 schema: T.StructType = EMBEDDING_RUN_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """(latest record of every run id with its ``commit``, unreadable lines) of an appended log.
+
+    Records of equal run ids overwrite each other: the latest commit wins, inside one commit
+    the greatest text, so the result does not depend on the order lines are read in. The
+    maximum is a partial aggregate, so a run id that is logged again and again is
+    one row per task in the shuffle. A line that is no JSON object, or has no run id, is
+    reported as (path, commit, text) and overwrites nothing. The backend default is that of
+    ``load_runs``. No commits: both frames are empty.
+    """
+    try:
+        lines = spark.read.schema("value string, commit int").text(path)
+    except Exception as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        lines = spark.createDataFrame([], "value string, commit int")
+    lines = lines.select("value", "commit", F.input_file_name().alias("path"))
+    run_id = F.when(F.json_object_keys("value").isNotNull(), F.get_json_object("value", "$.run_id"))
+    lines = lines.withColumn("id", run_id)
+    latest = lines.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("commit", "value")).alias("last"))
+    options = {"timestampNTZFormat": TIMESTAMP_READ_FORMAT, "timestampFormat": TIMESTAMP_READ_FORMAT + "[XXX]"}
+    parsed = latest.select(F.col("last.value").alias("json"), F.col("last.commit").alias("commit"),
+                           F.from_json("last.value", schema, options).alias("r")).select("json", "commit", "r.*")
+    if "backend" in schema.names:
+        parsed = parsed.withColumn("backend", resolve_backend_default(F.col("json")))
+    return parsed.drop("json"), lines.where(F.col("id").isNull()).select("path", "commit", F.col("value").alias("text"))
+
+
 def runs_as_json_text(df: DataFrame, absent_when: Column | None = None, key: str = "backend",
                       columns: list[str] | None = None) -> DataFrame:
     """Serialise each run record to a JSON string with explicit nulls.
