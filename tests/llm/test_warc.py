@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from vectorloom.llm import merge, warc
 
 
@@ -46,6 +49,35 @@ def test_round_trip_and_order(spark, monkeypatch):
     assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("heavy", [1, 10_000])
+def test_places_and_both_lookups(spark, monkeypatch, heavy):
+    rows = rows_of(2)
+    monkeypatch.setattr(merge, "BUCKET_ENTRIES", 10)
+    monkeypatch.setattr(merge, "HELD_BLOCKS", 2)
+    monkeypatch.setattr(warc, "RUN_ENTRIES", 9)
+    monkeypatch.setattr(warc, "HEAVY_DIGESTS", heavy)      # 1: all repeated payloads take the shuffled join
+    got = warc.ordered_history(frame(spark, rows)).collect()
+    facts = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=repr)
+    assert facts == brute(rows)
+    want = sorted(range(len(rows)), key=lambda i: (warc.url_key(warc.clean_url(rows[i][1])), warc.capture_time(rows[i][0]), rows[i][0] or 0))
+    assert [r["page_id"] for r in sorted(got, key=lambda r: r["place"])] == [rows[i][0] for i in want]
+    assert sorted(r["place"] for r in got) == list(range(len(rows)))
+
+
+def test_hot_payload_spreads(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * 2000 if i % 3 else None) for i in range(300)], "page_id long, url string, html string")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        per_task = [r["count"] for r in warc.stored_once(pages).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(per_task) == 300 and max(per_task) < 100
+
+
 def test_record_ids_and_keys():
     for p in (0, 5, -1, 2 ** 63 - 1, -2 ** 63, None):
         assert warc.page_of(warc.record_id(p)) == p

@@ -6,11 +6,17 @@ the prefix it shares with the key before it and the rest. Split keys cut the
 runs into buckets, a bucket gathers its part of every run, and a loser tree
 merges them. The tree keeps, for every waiting key, the prefix it shares with
 the last key that went out, so prefixes known to agree are never compared again.
+
+A bucket is streamed: its blocks arrive by first key, some are held, and what lies below
+the first key of the next one is merged and goes out. Of any run at most one held block
+reaches beyond that key, so a task holds ``HELD_BLOCKS`` blocks and one a run,
+however large its bucket is.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import struct
 from typing import Callable, Iterable, Iterator
@@ -26,6 +32,9 @@ BUCKET_ENTRIES, MAX_BUCKETS = 16_384, 20_000
 #: First keys of blocks that the driver sees per bucket when it places the split keys.
 KEYS_PER_BUCKET = 16
 
+#: Blocks of a bucket that are merged at a time, beside those that reach beyond them.
+HELD_BLOCKS = 256
+
 BLOCKS = "first_key binary, run long, seq int, n int, blob binary"
 _HEAD = struct.Struct("<III")
 
@@ -137,6 +146,53 @@ def _chained(parts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
             last = key
 
 
+def _split(blob: bytes, cut: bytes, after: bool) -> tuple[bytes, bytes]:
+    """The entries of a block below ``cut`` (``after``: or equal to it), and the rest."""
+    entries = [(key, payload) for _, key, payload in decode(blob)]
+    at = (bisect.bisect_right if after else bisect.bisect_left)(entries, cut, key=lambda e: e[0])
+    return encode(entries[:at]), encode(entries[at:])
+
+
+def streamed(arriving: Iterator[tuple[bytes, int, bytes]], held_blocks: int | None = None,
+             seen: Callable[[int], None] | None = None) -> Iterator[tuple[int, bytes, bytes]]:
+    """Merge the blocks (first key, run, blob) of one bucket, which arrive by first key, run and place in the run.
+
+    Yields (prefix shared with the key before, key, payload). Equal keys of different runs
+    come in an order that follows from the runs alone. ``seen`` gets the number of blocks held.
+    """
+    limit = held_blocks or HELD_BLOCKS
+    held: dict[int, list[bytes]] = {}
+    n, last, following = 0, b"", next(arriving, None)
+    while held or following:
+        pulled = 0
+        while following and pulled < limit:
+            held.setdefault(following[1], []).append(following[2])
+            n, pulled, following = n + 1, pulled + 1, next(arriving, None)
+        if seen:
+            seen(n)
+        parts, rest = held, {}
+        if following:
+            cut = following[0]
+            # One key may fill everything that is held: then it goes out, or nothing ever would.
+            least = min(next(decode(blobs[0]))[1] for blobs in held.values())
+            parts = {}
+            for run, blobs in held.items():
+                # All but the last block of a run end at the last one's first key or below, and that is not above the cut.
+                done, left = [], []
+                for blob in blobs:
+                    low, high = _split(blob, cut, after=least == cut)
+                    done += [low] if low else []
+                    left += [high] if high else []
+                if done:
+                    parts[run] = done
+                if left:
+                    rest[run] = left
+        for i, (shared, key, payload) in enumerate(LoserTree([_chained(parts[r]) for r in sorted(parts)])):
+            yield (common_prefix(last, key) if i == 0 else shared), key, payload
+            last = key
+        held, n = rest, sum(map(len, rest.values()))
+
+
 def merged(runs: DataFrame, consume: Callable[[int, Iterator[tuple[int, bytes, bytes]]], Iterator[dict]],
            schema: str) -> DataFrame:
     """Merge the written ``runs`` (``BLOCKS``) bucket by bucket.
@@ -155,7 +211,7 @@ def merged(runs: DataFrame, consume: Callable[[int, Iterator[tuple[int, bytes, b
 
     def cut(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out = {k: [] for k in ("bucket", "run", "seq", "blob")}
+            out = {k: [] for k in ("bucket", "first_key", "run", "seq", "blob")}
             for run, seq, blob in zip(b["run"].to_pylist(), b["seq"].to_pylist(), b["blob"].to_pylist()):
                 entries = [(k, p) for _, k, p in decode(blob)]
                 at = 0
@@ -163,28 +219,20 @@ def merged(runs: DataFrame, consume: Callable[[int, Iterator[tuple[int, bytes, b
                     bucket = bisect.bisect_right(splits, entries[at][0])
                     end = bisect.bisect_left(entries, splits[bucket], at, key=lambda e: e[0]) if bucket < len(splits) else len(entries)
                     part = blob if end - at == len(entries) else encode(entries[at:end])
-                    for k, v in zip(out, (bucket, run, seq, part)):
+                    for k, v in zip(out, (bucket, entries[at][0], run, seq, part)):
                         out[k].append(v)
                     at = end
             yield out
 
     def merge(batches: Iterator[dict]) -> Iterator[dict]:
-        def whole() -> Iterator[tuple[int, dict[int, list[bytes]]]]:
-            bucket, parts = None, {}
+        def arriving() -> Iterator[tuple[int, bytes, int, bytes]]:
             for b in batches:
-                for k, run, blob in zip(b["bucket"].to_pylist(), b["run"].to_pylist(), b["blob"].to_pylist()):
-                    if k != bucket:
-                        if parts:
-                            yield bucket, parts
-                        bucket, parts = k, {}
-                    parts.setdefault(run, []).append(blob)
-            if parts:
-                yield bucket, parts
-        for bucket, parts in whole():
-            yield from consume(bucket, iter(LoserTree([_chained(parts[r]) for r in sorted(parts)])))
-
-    dealt = map_rows(runs.select("run", "seq", "blob"), cut, "bucket int, run long, seq int, blob binary")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "run", "seq")
+                yield from zip(*(b[c].to_pylist() for c in ("bucket", "first_key", "run", "blob")))
+        for bucket, parts in itertools.groupby(arriving(), key=lambda part: part[0]):
+            yield from consume(bucket, streamed(part[1:] for part in parts))
+
+    dealt = map_rows(runs.select("run", "seq", "blob"), cut, "bucket int, first_key binary, run long, seq int, blob binary")
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "first_key", "run", "seq")
     return map_rows(ordered, merge, schema)
 
 

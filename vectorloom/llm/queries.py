@@ -65,19 +65,34 @@ GROUP BY l.doc_id
 
 
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_history(read_table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.ordered_history(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture", "place")
 
 
 OP5_SQL = r"""
-WITH p AS (
-  SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+WITH q AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d,
+         replace(replace(replace(replace(CASE WHEN coalesce(url, '') = '' THEN 'urn:missing' ELSE url END, ' ', '%20'),
+                 chr(9), '%09'), chr(10), '%0A'), chr(13), '%0D') AS url
+  FROM pages
+), r AS (
+  SELECT *, contains(url, '://') AS web, regexp_replace(substr(url, strpos(url, '://') + 3), '#.*$', '') AS rest FROM q
+), h AS (
+  SELECT *, regexp_extract(rest, '^[^/?]*') AS host FROM r
+), p AS (
+  SELECT page_id, n, d, strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0) % 100000000), '%Y%m%d%H%M%S') AS capture,
+         CASE WHEN NOT web THEN lower(url)
+              ELSE array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_replace(regexp_replace(host, '^.*@', ''), ':.*$', '')),
+                                   '^www[.]', ''), '.')), ',')
+                   || ')' || coalesce(nullif(rtrim(lower(substr(rest, length(host) + 1)), '/'), ''), '/') END AS url_key
+  FROM h
 ), f AS (
   SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1
 )
 SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
        CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN top <> page_id THEN top END AS refers_to
+       CASE WHEN top <> page_id THEN top END AS refers_to,
+       url_key, capture, row_number() OVER (ORDER BY url_key, capture, page_id) - 1 AS place
 FROM p LEFT JOIN f ON p.d = f.d
 """
 

@@ -31,7 +31,7 @@ from datetime import datetime, timedelta, timezone
 from typing import Iterator
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import map_rows, materialize, text_bytes
@@ -42,6 +42,8 @@ from vectorloom.session import scratch_path
 REVISIT_BYTES = 1000
 #: Uncompressed bytes of an archive file; a longer record has a file of its own.
 SEGMENT_BYTES = 4 << 20
+#: Digests that hold more than one in this many of the repeated captures are broadcast; fewer than this many can.
+HEAVY_DIGESTS = 10_000
 #: Captures sorted into one run.
 RUN_ENTRIES = 50_000
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -115,14 +117,27 @@ def parse(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 
 
 def stored_once(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, refers, to: which captures revisit which."""
+    """page_id, url, payload, refers, to: which captures revisit which.
+
+    Payloads under the limit join nothing. A digest that holds more than one in ``HEAVY_DIGESTS``
+    of all repeated captures is looked up in a broadcast table, which by its definition has fewer
+    rows than that; so no key of the shuffled join holds more. Captures that have
+    nothing to look up there are spread by their own hash.
+    """
     rows = pages.select("page_id", "url", text_bytes("html").alias("payload")).withColumn("digest", F.sha1("payload"))
-    first = (rows.filter(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest")
-             .agg(F.max("page_id").alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "to"))
-    joined = rows.join(first, "digest", "left")
-    # Payloads under the limit may share a digest with none that is in ``first``: equal payloads have equal sizes.
-    refers = F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to"))
-    return joined.select("page_id", "url", "payload", refers.alias("refers"), F.when(refers, F.col("to")).alias("to"))
+    long_enough = F.octet_length("payload") >= REVISIT_BYTES
+    first = materialize(rows.filter(long_enough).groupBy("digest").agg(F.max("page_id").alias("to"), F.count(F.lit(1)).alias("n"))
+                        .filter("n > 1"), "warc-repeats")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY_DIGESTS > F.lit(total)
+    often = first.filter(heavy).select(F.col("digest").alias("often_digest"), F.col("to").alias("often_to"), F.lit(True).alias("often"))
+    seldom = first.filter(~heavy).select(F.col("digest").alias("key"), F.col("to").alias("seldom_to"))
+    known = rows.join(F.broadcast(often), F.when(long_enough, F.col("digest")) == F.col("often_digest"), "left")
+    own = F.concat(F.lit("#"), F.xxhash64("page_id", "url", "digest").cast("string"))
+    joined = known.withColumn("key", F.when(long_enough & F.col("often").isNull(), F.col("digest")).otherwise(own)).join(seldom, "key", "left")
+    to = F.coalesce("often_to", "seldom_to")
+    refers = to.isNotNull() & ~F.col("page_id").eqNullSafe(to)
+    return joined.select("page_id", "url", "payload", refers.alias("refers"), F.when(refers, to).alias("to"))
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -211,3 +226,17 @@ def capture_history(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = path or scratch_path(spark, "llm-warc")
     write_archives(pages, path)
     return merged(capture_runs(spark, path), _history, HISTORY)
+
+
+def ordered_history(pages: DataFrame, path: str | None = None) -> DataFrame:
+    """``capture_history`` with ``place``, the capture's number in the whole history, from 0.
+
+    The history is written once; the rows before a bucket come from the counts of the
+    buckets, of which there are at most ``merge.MAX_BUCKETS``.
+    """
+    history = materialize(capture_history(pages, path), "warc-history")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (history.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+               .select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")))
+    return (history.join(F.broadcast(offsets), "bucket")
+            .withColumn("place", (F.col("earlier") + F.col("position")).cast("long")).drop("earlier"))
