@@ -1,6 +1,6 @@
 """Benchmark decontamination by template: find items even with other numbers, names and units.
 
-Texts and benchmark items are tokenised alike. Numbers, units after a number
+Texts and benchmark items are tokenised alike. Numbers (in digits or words), units after a number
 and names (capitalised words inside a sentence) become typed placeholders, and
 their values are kept as slots. Windows of ``WINDOW`` tokens are
 hashed with their values, and once more as templates if they have a slot and at least
@@ -63,13 +63,41 @@ BLOOM_BITS = 1 << 26
 #: Bloom positions per hash.
 LEVELS = 3
 
-# Units that count as placeholders after a number (a fixed list).
-UNITS = frozenset("""
-kg g mg lb lbs oz ton tons km m cm mm mi mile miles ft feet foot inch inches yd yard yards
-l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days
-week weeks month months year years percent % $ € £ dollar dollars euro euros cent cents
-mph kmh kph degrees celsius fahrenheit w kw kwh v volt volts hz khz mhz ghz b kb mb gb tb
-""".split())
+# Units that count as placeholders after a number (fixed lists), of English, German, Spanish and French.
+_SYMBOLS = """kg g mg lb lbs oz t km m cm mm mi ft in yd l ml cl dl s sec min h hr hrs % $ € £
+mph kmh kph c f k w kw kwh mw v kv hz khz mhz ghz b kb mb gb tb pb rpm dpi px ha cal kcal kj j n pa bar psi mol"""
+# Words, then the endings they take.
+_WORDS = {
+    "s": """ton pound ounce stone mile yard foot inch gallon pint quart cup teaspoon tablespoon acre hectare second minute hour day
+            week month year decade century percent dollar euro cent penny degree calorie joule watt volt amp newton hertz knot
+            tonelada libra onza milla yarda pulgada galón hora minuto segundo día semana año década siglo grado céntimo centavo caloría
+            livre mille pouce gallon heure seconde jour semaine année siècle degré centime calorie tonne hectárea""",
+    "n": "tonne stunde minute sekunde woche meile unze kalorie dekade gallone",
+    "e en": "pfund tag monat jahr zoll fuß jahrhundert",
+    "es": "mes dólar inch",
+    "": """feet inches pennies centuries celsius fahrenheit kelvin prozent grad euro cent dollar mois ans pieds ciento
+           zoll fuß hektar ampere jahrzehnt jahrzehnte""",
+}
+# Decimal prefixes go with every base of their language.
+_DECIMAL = [("kilo centi milli deci micro nano mega giga", "meter metre gram liter litre gramme second watt volt hertz joule calorie", "s"),
+            ("mega giga tera kilo peta", "byte bit pixel", "s"),
+            ("kilo zenti milli dezi mikro nano", "meter gramm liter", "n s"),
+            ("kiló centí milí decí", "metro", "s"), ("kilo centi mili deci", "metro gramo litro vatio voltio", "s"),
+            ("kilo centi milli déci", "mètre gramme litre", "s")]
+UNITS = frozenset([*_SYMBOLS.split(),
+                   *(w + e for ends, words in _WORDS.items() for w in words.split() for e in ("", *ends.split())),
+                   *(p + b + e for prefixes, bases, ends in _DECIMAL for p in ("", *prefixes.split()) for b in bases.split()
+                     for e in ("", *ends.split()))])
+# Words that are numbers (fixed lists): the same four languages. Those for one are articles too, and left out.
+NUMBER_WORDS = frozenset("""
+two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen
+zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn
+zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend
+dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve
+veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil
+deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille
+""".split()) - {"once", "neuf"}      # an English and a French word of other meaning
 
 #: Thai, Lao, Myanmar, Khmer, kana, Han.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -99,7 +127,7 @@ class _Tokens(dict):
         low = _SAME.get(t) or t.lower()
         if t in ".!?\n。！？":
             kind = STOP
-        elif t[0].isdigit():
+        elif t[0].isdigit() or low in NUMBER_WORDS:
             kind = NUMBER
         elif low in UNITS:
             kind = UNIT
