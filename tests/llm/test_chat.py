@@ -45,6 +45,18 @@ def test_matches_brute_force(spark):
     assert [p[0] for p in sorted(parts[99])] == [1, 2, 3]
 
 
+def test_hot_turn_values_stay_in_bounded_parts(spark):
+    """20,000 rows without a conv_id whose turns are 0 to 3, and a conversation with one turn value only."""
+    rows = [(None, i % 4, "user", f"said {i:05d}") for i in range(20_000)] + [(1, None, "user", f"x{i:04d}") for i in range(1000)]
+    parts = {}
+    for r in chat.collapse_and_render(frame(spark, rows)).collect():
+        assert r["text"].count("<|im_start|>") <= chat.BLOCK
+        parts.setdefault(r["conv_id"], []).append((r["part"], r["n_turns"], r["text"]))
+    assert [p[0] for p in sorted(parts[None])] == list(range(1, 80)) and len(parts[1]) == 4
+    got = {c: (p[0][1], "".join(t for _, _, t in sorted(p))) for c, p in parts.items()}
+    assert got == brute(rows)
+
+
 def test_native_and_empty(spark):
     out = chat.collapse_and_render(frame(spark, rows_of(2)))
     out.count()

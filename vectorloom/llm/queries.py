@@ -25,10 +25,11 @@ WITH c AS (
 ), w AS (
   SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.m = k.m)
 ), s AS (
-  SELECT w.conv_id, len(w.m) AS n_turns, c.turn, c.role, c.text, coalesce(c.turn // 256, -1) AS block
+  SELECT w.conv_id, len(w.m) AS n_turns, c.turn, c.role, c.text,
+         (row_number() OVER (PARTITION BY c.conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1) // 256 AS block
   FROM w JOIN (SELECT DISTINCT conv_id, turn, role, text FROM conversations) c ON c.conv_id IS NOT DISTINCT FROM w.conv_id
 )
-SELECT conv_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY block) AS part, n_turns,
+SELECT conv_id, CAST(block + 1 AS INTEGER) AS part, n_turns,
        string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
                   ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
 FROM s GROUP BY conv_id, block, n_turns
