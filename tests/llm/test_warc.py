@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import os
 import random
 
 import pytest
@@ -78,6 +80,30 @@ def test_hot_payload_spreads(spark):
     assert sum(per_task) == 300 and max(per_task) < 100
 
 
+def test_seek_reads_one_capture(spark, tmp_path):
+    rows = rows_of(3)
+    path = f"{tmp_path}/archives"
+    for r in warc.capture_history(frame(spark, rows), path).collect():
+        with open(os.path.join(path, r["archive"]), "rb") as f:
+            f.seek(r["offset"])
+            data = gzip.decompress(f.read(r["length"]))
+        (start, length, headers, block), = warc.parse(data)
+        assert (start, length) == (0, len(data)) and warc.page_of(headers["warc-record-id"]) == r["page_id"]
+        assert headers["warc-type"] == r["record_type"]
+        if r["record_type"] == "response":
+            assert hashlib.sha1(block.partition(b"\r\n\r\n")[2]).hexdigest() == r["payload_digest"]
+
+
+def test_members_of_any_size():
+    rng = random.Random(5)
+    parts = [b"a", rng.randbytes(70_000), b"x" * (1 << 24), b"tail", b"y" * ((1 << 24) + 7)]
+    archive = b"".join(map(warc.member, parts))
+    assert archive[-1] == 0 and [d for _, _, d in warc.members(archive)] == parts
+    assert [gzip.decompress(archive[o:o + n]) for o, n, _ in warc.members(archive)] == parts
+    with pytest.raises(ValueError):
+        list(warc.members(archive[:-30]))
+
+
 def test_record_ids_and_keys():
     for p in (0, 5, -1, 2 ** 63 - 1, -2 ** 63, None):
         assert warc.page_of(warc.record_id(p)) == p

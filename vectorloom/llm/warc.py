@@ -3,8 +3,9 @@
 Pages whose payloads (at least ``REVISIT_BYTES``) are equal are stored once:
 the largest page_id is the response, the others are revisit records that refer to
 it. The archives are written with Spark's own text writer, so any file system
-the cluster has will do: each row is a segment of whole WARC records, each file one
-segment. They are read back as files and parsed by Content-Length.
+the cluster has will do: each row is a segment, each file one
+segment. A segment holds one gzip member per record, so a reader that seeks to a capture's offset inflates that
+record alone. The archives are read back as files, member by member, and parsed by Content-Length.
 
 The index is an external merge sort. A task sorts the captures of its archives
 by URL key and timestamp into front-coded runs; runs meet in key-range
@@ -27,6 +28,7 @@ import hashlib
 import re
 import struct
 import uuid
+import zlib
 from datetime import datetime, timedelta, timezone
 from typing import Iterator
 
@@ -40,8 +42,10 @@ from vectorloom.session import scratch_path
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
-#: Uncompressed bytes of an archive file; a longer record has a file of its own.
-SEGMENT_BYTES = 4 << 20
+#: Compressed bytes from which an archive file is full; a longer record has a file of its own.
+SEGMENT_BYTES = 16 << 20
+#: Compressed bytes inflated at a time, so that what follows a member is copied once and in small pieces.
+INFLATE_BYTES = 16 << 10
 #: Digests that hold more than one in this many of the repeated captures are broadcast; fewer than this many can.
 HEAVY_DIGESTS = 10_000
 #: Captures sorted into one run.
@@ -116,6 +120,32 @@ def parse(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = stop + 4
 
 
+def member(data: bytes) -> bytes:
+    """One gzip member that ends with a zero byte, the line separator of the text writer.
+
+    A member ends with the high byte of its length, which is zero below 16 MiB; a longer
+    one is followed by an empty member.
+    """
+    out = gzip.compress(data, 6, mtime=0)
+    return out if out[-1] == 0 else out + gzip.compress(b"", mtime=0)
+
+
+def members(archive: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, inflated bytes) of every gzip member, empty ones left out."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        inflate, parts, stop = zlib.decompressobj(wbits=31), [], at
+        while not inflate.eof:
+            piece = view[stop:stop + INFLATE_BYTES]
+            if not piece:
+                raise ValueError(f"the member at byte {at} is cut off")
+            parts.append(inflate.decompress(piece))
+            stop += len(piece) - len(inflate.unused_data)
+        if data := b"".join(parts):
+            yield at, stop - at, data
+        at = stop
+
+
 def stored_once(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers, to: which captures revisit which.
 
@@ -141,21 +171,24 @@ def stored_once(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Write the captures as ``*.txt.gz`` files, each a gzipped WARC file."""
+    """Write the captures as files of gzip members, one per record.
+
+    The text writer writes the bytes it is given and names the files ``*.txt``.
+    """
     def segments(batches: Iterator[dict]) -> Iterator[dict]:
         held, size = [], 0
         for b in batches:
             for page_id, url, payload, refers, to in zip(*(b[c].to_pylist() for c in ("page_id", "url", "payload", "refers", "to"))):
-                held.append(record(page_id, url, payload, hashlib.sha1(payload).digest(), refers, to))
+                held.append(member(record(page_id, url, payload, hashlib.sha1(payload).digest(), refers, to)))
                 size += len(held[-1])
                 if size >= segment_bytes:
-                    yield {"value": [b"".join(held)[:-1]]}   # the writer ends the row with the last line feed
+                    yield {"value": [b"".join(held)[:-1]]}   # the writer ends the row with the last zero byte
                     held, size = [], 0
         if held:
             yield {"value": [b"".join(held)[:-1]]}
 
     rows = map_rows(stored_once(pages), segments, "value binary")
-    (rows.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip")
+    (rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none")
      .option("maxRecordsPerFile", 1).text(path))
 
 
@@ -173,7 +206,7 @@ def capture_runs(spark, path: str) -> DataFrame:
         entries: list[tuple[bytes, bytes]] = []
         for b in batches:
             for file, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
-                for offset, length, headers, block in parse(gzip.decompress(content)):
+                for offset, length, headers, block in ((o, n, *r[2:]) for o, n, data in members(content) for r in parse(data)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     full = int(re.search(rb"Content-Length: (\d+)", http)[1])
                     digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:"))
@@ -220,7 +253,8 @@ def capture_history(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the pages' archives to ``path``, read them back, and merge their index.
 
     One row per capture; (bucket, position) is its place in the global order by
-    URL key, timestamp and page id.
+    URL key, timestamp and page id. ``offset`` and ``length`` are those of the capture's gzip
+    member in its ``archive`` file.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "llm-warc")
