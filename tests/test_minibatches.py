@@ -1,6 +1,7 @@
 """Mini-batch training over an epoch bucketed by step, isolation of failing rows, progress of a whole run."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -171,3 +172,36 @@ def test_adapters_on_mlx_are_refused_by_the_records(spark, sf_dir):
     from vectorloom.sources import runs as RU
     out = G.grid_validation(RU.embedding_runs(spark, sf_dir), RU.classification_runs(spark, sf_dir, with_backend=True))
     assert out.where(F.col("reject_reason") == G.MLX_FROZEN_ONLY).count() > 0
+
+
+class _Hungry:
+    """An encoder that holds 200 MB while it works on the batch with the text ``big``."""
+    native_dim = 2
+
+    def load(self):
+        def call(texts):
+            held = np.ones(25_000_000) if "big" in texts else None
+            time.sleep(0.05)
+            del held
+            return np.zeros((len(texts), 2), dtype=np.float32)
+        return call
+
+
+def test_peak_inside_a_batch_is_seen(spark):
+    texts = ["t"] * 8 + ["big"] + ["t"] * 8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    peak = M.peak_accumulator(spark)
+    E.encode(df, _Hungry(), batch_size=4, peak=peak).count()
+    assert 180e6 < peak.value < 260e6
+    growth = {r["batch_no"]: r["rss_growth"] for r in E.encode_telemetry(df, _Hungry(), batch_size=4).collect()}
+    assert 180e6 < growth[2] < 260e6 and growth[0] < 60e6
+
+
+def test_adapter_masks_follow_the_key(spark):
+    df = _rows(spark, n=60)
+    curves = [[x for _, x in C.fit_adapter(df.repartition(p), df, 3, 4, epochs=2, lr=0.01, dropout=0.5, key="doc_id")[0]] for p in (1, 6)]
+    assert np.allclose(*curves, rtol=0, atol=1e-9)
+    other = C.fit_adapter(df.withColumn("doc_id", F.col("doc_id") + 1000), df, 3, 4, epochs=2, lr=0.01, dropout=0.5, key="doc_id")[0]
+    assert abs(other[1][1] - curves[0][1]) > 1e-6          # other keys, other masks (B starts at zero, so from the second epoch on)
+    unkeyed = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert len(C.fit_adapter(unkeyed, df, 3, 4, epochs=1, key="doc_id")[0]) == 1

@@ -76,6 +76,13 @@ def test_generation_records_the_mlx_device(spark, sf_dir):
     assert r["status"] == "success" and r["device"] == "mlx" and r["peak_mem_gb"] >= 0
 
 
+def test_generation_is_refused_before_it_reads(spark, sf_dir):
+    r = run_generation(spark, sf_dir, model_size="8b", available_gb={"cpu": 1.0}).first()
+    assert (r["status"], r["error"], r["actual_num_samples"]) == ("failed", "capacity: insufficient", None)
+    assert run_generation(spark, sf_dir, model_size="0.6b", num_samples=5, available_gb={"cpu": 64.0}).first()["status"] == "success"
+    assert run_generation(spark, sf_dir, model_size="0.6b", device="tpu", available_gb={"cpu": 64.0}).first()["error"] == "unknown device"
+
+
 def test_inspection_one_text(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     one = docs.orderBy("doc_id").limit(1)

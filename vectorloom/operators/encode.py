@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.text import hashed_token_codes, truncate_tokens, whitespace_tokens
 from vectorloom.functions.vector import NORM_EPS
-from vectorloom.operators.metrics import current_rss
+from vectorloom.operators.metrics import PeakWatch
 
 log = logging.getLogger("vectorloom.encode")
 
@@ -179,31 +179,31 @@ def encode(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
 
     def run(batches):
         import pyarrow as pa
-        start = current_rss()
-        model = encoder.load()  # once per task, then reused for every batch
-        for rb in _full_batches(batches, batch_size):
-            texts = rb.column(1).to_pylist()
-            errors: list = []
-            if isolate:
-                apart = [encode_apart(model, texts[s:s + batch_size], native) for s in range(0, len(texts), batch_size)]
-                parts, errors = [m for m, _ in apart], [e for _, own in apart for e in own]
-            else:
-                parts = [model(texts[s:s + batch_size]) for s in range(0, len(texts), batch_size)]
-            if not parts:
-                continue
-            mat = np.ascontiguousarray(_postprocess(np.concatenate(parts, axis=0), native, dim, normalize))
-            if peak is not None:
-                peak.add(max(current_rss() - start, 0))
-            n, d = mat.shape
-            # the matrix becomes the list column directly: no per-row objects
-            bad = np.array([e is not None for e in errors] if isolate else [False] * n)
-            offsets = pa.array(np.r_[0, np.cumsum(np.where(bad, 0, d))].astype(np.int64))
-            vec = pa.LargeListArray.from_arrays(offsets, pa.array(mat[~bad].ravel(), type=pa.float32()),
-                                                mask=pa.array(bad) if bad.any() else None)
-            passed = [rb.column(2 + i) for i in range(len(carry))]
-            if isolate:
-                passed += [pa.array(np.where(bad, "failed", "success"), type=pa.string()), pa.array(errors, type=pa.string())]
-            yield pa.RecordBatch.from_arrays([rb.column(0), vec.cast(pa.list_(pa.float32())), *passed], names=names)
+        with PeakWatch(peak is not None) as watch:
+            model = encoder.load()  # once per task, then reused for every batch
+            for rb in _full_batches(batches, batch_size):
+                texts = rb.column(1).to_pylist()
+                errors: list = []
+                if isolate:
+                    apart = [encode_apart(model, texts[s:s + batch_size], native) for s in range(0, len(texts), batch_size)]
+                    parts, errors = [m for m, _ in apart], [e for _, own in apart for e in own]
+                else:
+                    parts = [model(texts[s:s + batch_size]) for s in range(0, len(texts), batch_size)]
+                if not parts:
+                    continue
+                mat = np.ascontiguousarray(_postprocess(np.concatenate(parts, axis=0), native, dim, normalize))
+                if peak is not None:
+                    peak.add(watch.lap())
+                n, d = mat.shape
+                # the matrix becomes the list column directly: no per-row objects
+                bad = np.array([e is not None for e in errors] if isolate else [False] * n)
+                offsets = pa.array(np.r_[0, np.cumsum(np.where(bad, 0, d))].astype(np.int64))
+                vec = pa.LargeListArray.from_arrays(offsets, pa.array(mat[~bad].ravel(), type=pa.float32()),
+                                                    mask=pa.array(bad) if bad.any() else None)
+                passed = [rb.column(2 + i) for i in range(len(carry))]
+                if isolate:
+                    passed += [pa.array(np.where(bad, "failed", "success"), type=pa.string()), pa.array(errors, type=pa.string())]
+                yield pa.RecordBatch.from_arrays([rb.column(0), vec.cast(pa.list_(pa.float32())), *passed], names=names)
 
     names = [key, out, *carry, *(("status", "error") if isolate else ())]
     if isolate:
@@ -225,7 +225,7 @@ def _cut(text_col: str, max_length: int | None):
 def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str = "doc_id",
                      batch_size: int = 16, dimension: int | None = None,
                      normalize: bool = False, num_partitions: int | None = None) -> DataFrame:
-    """One row per mini-batch encoded: task, batch number, rows, nanoseconds, memory growth in bytes, and when it
+    """One row per mini-batch encoded: task, batch number, rows, nanoseconds, peak memory growth in bytes, and when it
     ended (microseconds, this machine's clock).
 
     The clocks and memory readings are real and therefore not deterministic.
@@ -238,23 +238,23 @@ def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str =
         from pyspark import TaskContext
         ctx = TaskContext.get()
         task = ctx.partitionId() if ctx is not None else -1
-        rss0 = current_rss()
-        model = encoder.load()
-        batch_no = 0
-        for rb in _full_batches(batches, batch_size):
-            texts = rb.column(0).to_pylist()
-            rows = []
-            for s in range(0, len(texts), batch_size):
-                t0 = time.perf_counter_ns()
-                _postprocess(model(texts[s:s + batch_size]), native, dim, normalize)
-                ns = time.perf_counter_ns() - t0
-                rows.append((task, batch_no, len(texts[s:s + batch_size]), ns, max(current_rss() - rss0, 0),
-                             time.time_ns() // 1000))
-                batch_no += 1
-            if rows:
-                cols = [pa.array(c, type=pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(zip(*rows))]
-                yield pa.RecordBatch.from_arrays(cols, names=["task_id", "batch_no", "rows", "elapsed_ns",
-                                                              "rss_growth", "ended_at"])
+        with PeakWatch() as watch:
+            model = encoder.load()
+            batch_no = 0
+            for rb in _full_batches(batches, batch_size):
+                texts = rb.column(0).to_pylist()
+                rows = []
+                for s in range(0, len(texts), batch_size):
+                    t0 = time.perf_counter_ns()
+                    _postprocess(model(texts[s:s + batch_size]), native, dim, normalize)
+                    ns = time.perf_counter_ns() - t0
+                    rows.append((task, batch_no, len(texts[s:s + batch_size]), ns, watch.lap(),
+                                 time.time_ns() // 1000))
+                    batch_no += 1
+                if rows:
+                    cols = [pa.array(c, type=pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(zip(*rows))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["task_id", "batch_no", "rows", "elapsed_ns",
+                                                                  "rss_growth", "ended_at"])
 
     schema = "task_id int, batch_no long, rows long, elapsed_ns long, rss_growth long, ended_at long"
     return _dealt(df.select(text_col, key), key, num_partitions).select(text_col).mapInArrow(run, schema)
@@ -281,20 +281,20 @@ def encode_hashed(df: DataFrame, dimension: int = 64, text_col: str = "text", ke
     def scatter(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
-        start = current_rss()
-        for rb in batches:
-            n = rb.num_rows
-            lists = rb.column(1)
-            parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            vals = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat_idx = parents.astype(np.int64) * d + (np.abs(vals) - 1)
-            dense = np.bincount(flat_idx, weights=np.sign(vals), minlength=n * d).astype(np.float32)
-            if peak is not None:
-                peak.add(max(current_rss() - start, 0))
-            offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
-            vec = pa.ListArray.from_arrays(offsets, pa.array(dense, type=pa.float32()))
-            passed = [rb.column(2 + i) for i in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([rb.column(0), vec, *passed], names=[key, out, *carry])
+        with PeakWatch(peak is not None) as watch:
+            for rb in batches:
+                n = rb.num_rows
+                lists = rb.column(1)
+                parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+                vals = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat_idx = parents.astype(np.int64) * d + (np.abs(vals) - 1)
+                dense = np.bincount(flat_idx, weights=np.sign(vals), minlength=n * d).astype(np.float32)
+                if peak is not None:
+                    peak.add(watch.lap())
+                offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
+                vec = pa.ListArray.from_arrays(offsets, pa.array(dense, type=pa.float32()))
+                passed = [rb.column(2 + i) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([rb.column(0), vec, *passed], names=[key, out, *carry])
 
     return staged.mapInArrow(scatter, f"{key} {df.schema[key].dataType.simpleString()}, {out} array<float>{extra_schema}")
 

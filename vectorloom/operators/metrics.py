@@ -108,6 +108,44 @@ def current_rss() -> int:
         return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
 
 
+class PeakWatch:
+    """Largest growth of this process's resident memory since the watch began, read by a thread.
+
+    Memory that is taken and given back inside a batch is seen, if it is held for a few
+    ``interval``s. ``lap`` is the largest growth since the last lap; the end of a lap is always read.
+    """
+
+    def __init__(self, on: bool = True, interval: float = 0.005):
+        self._on, self._interval, self._largest = on, interval, 0
+
+    def _read(self) -> int:
+        self._largest = max(self._largest, current_rss() - self._start)
+        return self._largest
+
+    def _watch(self) -> None:
+        while not self._done.wait(self._interval):
+            self._read()
+
+    def __enter__(self) -> PeakWatch:
+        import threading
+        self._done = threading.Event()
+        if self._on:
+            self._start = current_rss()
+            self._thread = threading.Thread(target=self._watch, daemon=True)
+            self._thread.start()
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self._done.set()
+        if self._on:
+            self._thread.join()
+
+    def lap(self) -> int:
+        largest = self._read()
+        self._largest = 0
+        return largest
+
+
 class _Largest(AccumulatorParam):
     """The largest value added: a retried task changes nothing."""
 

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectorloom.functions.keys import hex_prefix_value, seeded_key
 from vectorloom.operators import metrics as M
 from vectorloom.operators.sampling import seeded_position
 from vectorloom.session import remove_scratch, scratch_path
@@ -101,16 +102,16 @@ def _gradient_sums(state_bc, objective, size: int, features: str, label: str, pe
     """
     def run(batches):
         import pandas as pd
-        start = M.current_rss()
         total, seen = np.zeros(size), False
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            seen = True
-            total += objective(state_bc.value, _stack(pdf[features]), pdf[label].to_numpy().astype(np.int64),
-                               pdf["_h"].to_numpy().astype(np.int64).view(np.uint64))
-            if peak is not None:
-                peak.add(M.current_rss() - start)
+        with M.PeakWatch(peak is not None) as watch:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                seen = True
+                total += objective(state_bc.value, _stack(pdf[features]), pdf[label].to_numpy().astype(np.int64),
+                                   pdf["_h"].to_numpy().astype(np.int64).view(np.uint64))
+                if peak is not None:
+                    peak.add(watch.lap())
         if seen:
             starts = range(0, size, BLOCK_WIDTH)
             yield pd.DataFrame({"block": np.arange(len(starts), dtype=np.int32),
@@ -158,7 +159,10 @@ def _batches_of(data: DataFrame, n: int, batch_size: int | None, seed: int, epoc
     shuffles at most that many models.
     """
     steps = -(-n // batch_size) if batch_size else 1
-    dealt = data.withColumn("_h", F.xxhash64("_h0", F.lit(int(seed)), F.lit(int(epoch)))).drop("_h0")
+    own = F.xxhash64("_h0", F.lit(int(seed)), F.lit(int(epoch)))
+    if key:
+        own = F.coalesce(hex_prefix_value(seeded_key(key, epoch_seed(seed, epoch)), 15), own)
+    dealt = data.withColumn("_h", own).drop("_h0")
     columns = [c for c in dealt.columns if c != key]
     if steps == 1:
         yield dealt.select(columns).coalesce(merge_width), False
@@ -471,13 +475,15 @@ def _adapter_grads(flat, shapes, X, y, keep):
 
 def _dropout_mask(h: np.ndarray, d: int, dropout: float):
     """Scaled keep mask (rows, d) from the rows' seeded hashes; 1.0 without dropout."""
-    if dropout <= 0:
-        return 1.0
+    return (_uniforms(h, d) >= dropout) / (1.0 - dropout) if dropout > 0 else 1.0
+
+
+def _uniforms(h: np.ndarray, d: int) -> np.ndarray:
+    """(rows, d) numbers in [0, 1): the first ``d`` of the SplitMix64 stream that starts at each ``h``."""
     bits = h[:, None] + np.arange(1, d + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         bits = (bits ^ (bits >> np.uint64(shift))) * np.uint64(mult)
-    uniform = ((bits ^ (bits >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-    return (uniform >= dropout) / (1.0 - dropout)
+    return ((bits ^ (bits >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
 
 
 def _adapter_objective(shapes, dropout: float):
@@ -506,7 +512,8 @@ def fit_adapter(train: DataFrame, test: DataFrame, num_classes: int, dim: int, e
     the model runtime; here the adapter acts on the pooled vector
     (x' = x + alpha/r * B A x), a different model with the same training
     recipe (rank 8, alpha 16, dropout 0.05, AdamW, three epochs).
-    Synchronous steps as in ``train_heads``. The epoch loss is the unweighted
+    Synchronous steps as in ``train_heads``. The start follows from the seed, the dropout mask of a row from the
+    seed, the epoch and its ``key`` (without one: its values). The epoch loss is the unweighted
     mean of the batch losses, as the reference reports it. Returns (loss
     rows, predictions frame with truth/pred, trainable parameter count).
     """
@@ -517,11 +524,9 @@ def fit_adapter(train: DataFrame, test: DataFrame, num_classes: int, dim: int, e
     shapes = [(r, d), (d, r), (K, d + 1)]
     total = sum(int(np.prod(s)) for s in shapes)
     _check_model_size(3 * total, "adapter parameters and AdamW moments")
-    rng = np.random.default_rng(seed)
-    A = rng.uniform(-1.0 / math.sqrt(d), 1.0 / math.sqrt(d), size=(r, d))
-    B = np.zeros((d, r))
-    Wb = rng.uniform(-1.0 / math.sqrt(d), 1.0 / math.sqrt(d), size=(K, d + 1))
-    flat = np.concatenate([A.ravel(), B.ravel(), Wb.ravel()])
+    # A and the head start uniform in +-1/sqrt(d), by their place in the flat state; B starts at zero.
+    flat = (2 * _uniforms(np.array([int(seed) & (2 ** 64 - 1)], dtype=np.uint64), total)[0] - 1) / math.sqrt(d)
+    flat[r * d:2 * r * d] = 0.0
     m, v, t = np.zeros_like(flat), np.zeros_like(flat), 0
     objective = _adapter_objective(shapes, dropout)
     curve = []

@@ -291,12 +291,66 @@ def q_read_runs(spark, sf_dir):
     return _runs_roundtrip(spark, sf_dir)
 
 
-@register("write_runs", _RUNS + """
-SELECT status, count(*) AS n_rows FROM emb_runs GROUP BY status""")
+_RUN_FIELDS = [f.name for f in RU.EMBEDDING_RUN_SCHEMA.fields if f.name != "status"]
+
+
+@register("write_runs", _RUNS + f"""
+SELECT status, run_id, CAST({len(_RUN_FIELDS)} AS INTEGER) AS n_keys,
+       CAST({" + ".join(f"({c} IS NULL)::INTEGER" for c in _RUN_FIELDS)} AS INTEGER) AS n_null_keys,
+       model_size, output_dimension, embed_generation_time_sec, error, strftime(started_at, '%Y-%m-%dT%H:%M:%S.%f') AS started_at
+FROM emb_runs""")
 def q_write_runs(spark, sf_dir):
-    """Write (partitioned by status), then count what landed per partition."""
-    back = _runs_roundtrip(spark, sf_dir)
-    return back.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+    """The lines as written, per status folder: every key is there, nulls are explicit."""
+    path = scratch_path(spark, "runs")
+    RU.write_runs(RU.embedding_runs(spark, sf_dir), path)
+    lines = spark.read.schema("value string, status string").text(path)
+    record = F.from_json("value", "map<string,string>")
+    text = lambda name: F.col("record")[name]
+    return lines.withColumn("record", record).select(
+        "status", text("run_id").alias("run_id"), F.size("record").alias("n_keys"),
+        F.size(F.map_filter("record", lambda _, v: v.isNull())).alias("n_null_keys"), text("model_size").alias("model_size"),
+        text("output_dimension").cast("int").alias("output_dimension"),
+        text("embed_generation_time_sec").cast("double").alias("embed_generation_time_sec"),
+        text("error").alias("error"), text("started_at").alias("started_at"))
+
+
+@register("load_runs", _RUNS + """,
+logged AS (
+  SELECT r.*, e.event_type, e.event_id FROM emb_runs r JOIN events e ON r.run_id = CAST(e.event_id AS VARCHAR)),
+latest AS (
+  SELECT * FROM logged QUALIFY row_number() OVER (
+    PARTITION BY model_size, backend, device, requested_dimension, event_type ORDER BY started_at DESC, event_id DESC) = 1)
+SELECT 'record' AS kind, run_id, model_size, CASE WHEN event_type = 'click' THEN 'torch' ELSE backend END AS backend, device,
+       requested_dimension, output_dimension, status, error, embed_generation_time_sec, peak_mem_gb, started_at
+FROM latest
+UNION ALL
+SELECT 'broken', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM latest WHERE event_type = 'view'""")
+def q_load_runs(spark, sf_dir):
+    """A folder with one indented JSON file for the latest run of every configuration, read back.
+
+    Click records have no backend key, signups a null one; view records lie there a second time, cut off; a
+    folder inside holds records that must not be read.
+    """
+    runs = RU.embedding_runs(spark, sf_dir, carry=("event_type", "event_id"))
+    fields = [f.name for f in RU.EMBEDDING_RUN_SCHEMA.fields]
+    cell = ["model_size", "backend", "device", "requested_dimension", "event_type"]
+    newest = F.max_by(F.struct(*fields), F.struct("started_at", "event_id")).alias("run")
+    latest = runs.groupBy(*cell).agg(newest).select("event_type", "run.*").persist()
+    path = scratch_path(spark, "run-files")
+    click = F.col("event_type") == "click"
+    for part, names in ((latest.where(~click), fields), (latest.where(click), [f for f in fields if f != "backend"])):
+        (part.select(*names).write.mode("append").option("maxRecordsPerFile", 1).option("pretty", True)
+         .option("ignoreNullFields", False).option("timestampNTZFormat", RU.TIMESTAMP_FORMAT).json(path))
+    cut = RU.runs_as_json_text(latest.where(F.col("event_type") == "view").drop("event_type", "started_at"))
+    (cut.select(F.expr("left(json, length(json) - 9)").alias("value"))
+     .write.mode("append").option("maxRecordsPerFile", 1).text(path))
+    latest.select(*fields).write.json(f"{path}/older")
+    latest.unpersist()
+    records, broken = RU.load_runs(spark, path, pattern="*.{json,txt}")
+    shown = ["run_id", "model_size", "backend", "device", "requested_dimension", "output_dimension", "status", "error",
+             "embed_generation_time_sec", "peak_mem_gb", "started_at"]
+    return records.select(F.lit("record").alias("kind"), *shown).unionByName(
+        broken.select(F.lit("broken").alias("kind")), allowMissingColumns=True)
 
 
 @register("run_log", _RUNS + """,
@@ -774,15 +828,101 @@ def q_sweep_heads(spark, sf_dir):
                         for c in out.columns])
 
 
-@register("fit_adapter")
+ADAPTER_EPOCHS = 3
+
+
+def _stream_sql(start: str, place: str) -> str:
+    """Number ``place`` (from 1), in [0, 1), of the SplitMix64 stream that starts at ``start``."""
+    wrap = lambda e: f"(({e}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    b = wrap(f"({start})::UHUGEINT + ({place})::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT")
+    for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        b = f"(SELECT {wrap(f'xor(b, b >> {shift})::UHUGEINT * {mult}::UHUGEINT')} FROM (SELECT {b} AS b) t)"
+    return f"(SELECT (xor(b, b >> 31) >> 11)::DOUBLE / {1 << 53} FROM (SELECT {b} AS b) t)"
+
+
+def _adapter_sql(epochs: int, lr: float = 2e-4) -> str:
+    """Full-batch AdamW of adapter and head, written on the small products of the factors.
+
+    With ``wb = W B``, ``q = dz' H`` and ``p = dz' xd`` (sums over the rows): grad W = dz' x + s q B', grad B = s W' q,
+    grad A = s wb' p. So no row of adapted vectors is ever formed.
+    """
+    d, r, s, drop = HASH_DIM, C.ADAPTER_RANK, C.ADAPTER_ALPHA / C.ADAPTER_RANK, C.ADAPTER_DROPOUT
+
+    def logits(e: int, rows: str, cells: str, hidden: str) -> str:
+        return f"""
+SELECT t.doc_id, t.y, w.i AS label, w.w + coalesce(l.z, 0) + {s} * coalesce(a.z, 0) AS z
+FROM {rows} t JOIN p{e} w ON w.blk = 'W' AND w.j = {d}
+LEFT JOIN (SELECT doc_id, p.i AS label, sum(x * w) AS z FROM {cells} JOIN p{e} p ON blk = 'W' AND j = dim GROUP BY doc_id, p.i) l
+  ON l.doc_id = t.doc_id AND l.label = w.i
+LEFT JOIN (SELECT doc_id, label, sum(h * wb) AS z FROM {hidden} JOIN wb{e} USING (r) GROUP BY doc_id, label) a
+  ON a.doc_id = t.doc_id AND a.label = w.i"""
+
+    wb = lambda e: f"""
+wb{e} AS MATERIALIZED (SELECT w.i AS label, b.j AS r, sum(w.w * b.w) AS wb FROM p{e} w JOIN p{e} b ON w.j = b.i
+                       WHERE w.blk = 'W' AND b.blk = 'B' GROUP BY w.i, b.j)"""
+    start = f"(2 * {_stream_sql(str(SEED), 'place + 1')} - 1) / sqrt({d}::DOUBLE)"
+    parts = [_CORPUS.strip(), _VOCAB, _LABELLED, _CODES, """
+rows_t AS MATERIALIZED (SELECT doc_id, label AS y FROM labelled WHERE split = 'train' AND label IS NOT NULL)""", """
+rows_e AS MATERIALIZED (SELECT doc_id, label AS y FROM labelled WHERE split = 'test')""", """
+x_t AS MATERIALIZED (SELECT doc_id, b AS dim, v::DOUBLE AS x FROM rows_t JOIN agg USING (doc_id))""", """
+x_e AS MATERIALIZED (SELECT doc_id, b AS dim, v::DOUBLE AS x FROM rows_e JOIN agg USING (doc_id))""", """
+rows_n AS (SELECT count(*)::DOUBLE AS n FROM rows_t)""", f"""
+p0 AS MATERIALIZED (
+  SELECT blk, i, j, CASE WHEN blk = 'B' THEN 0.0::DOUBLE ELSE {start} END AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM (
+    SELECT 'A' AS blk, a.i::INTEGER AS i, b.j::INTEGER AS j, a.i * {d} + b.j AS place FROM range({r}) a(i), range({d}) b(j)
+    UNION ALL SELECT 'B', a.i::INTEGER, b.j::INTEGER, {r * d} + a.i * {r} + b.j FROM range({d}) a(i), range({r}) b(j)
+    UNION ALL SELECT 'W', label, b.j::INTEGER, {2 * r * d} + label * {d + 1} + b.j FROM vocab, range({d + 1}) b(j)) u)"""]
+    for e in range(1, epochs + 1):
+        h = f"('0x' || substr(md5('{C.epoch_seed(SEED, e)}:' || CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT"
+        parts += [wb(e - 1), f"""
+xd{e} AS MATERIALIZED (SELECT doc_id, dim, x / {1 - drop!r} AS x FROM x_t WHERE {_stream_sql(h, 'dim + 1')} >= {drop!r})""", f"""
+h{e} AS MATERIALIZED (SELECT doc_id, i AS r, sum(x * w) AS h FROM xd{e} JOIN p{e - 1} ON blk = 'A' AND j = dim GROUP BY doc_id, i)""", f"""
+z{e} AS ({logits(e - 1, 'rows_t', 'x_t', f'h{e}')})""", f"""
+s{e} AS MATERIALIZED (
+  SELECT doc_id, y, label, zc - ln(sum(exp(zc)) OVER (PARTITION BY doc_id)) AS logp
+  FROM (SELECT doc_id, y, label, z - max(z) OVER (PARTITION BY doc_id) AS zc FROM z{e}) t)""", f"""
+l{e} AS (SELECT {e} AS epoch, -sum(logp) / any_value(n) AS loss FROM s{e}, rows_n WHERE label = y)""", f"""
+dz{e} AS MATERIALIZED (SELECT doc_id, label, (exp(logp) - CASE WHEN label = y THEN 1 ELSE 0 END) / n AS dz FROM s{e}, rows_n)""", f"""
+q{e} AS MATERIALIZED (SELECT label, r, sum(dz * h) AS q FROM dz{e} JOIN h{e} USING (doc_id) GROUP BY label, r)""", f"""
+g{e} AS MATERIALIZED (
+  SELECT blk, i, j, sum(g) AS g FROM (
+    SELECT 'W' AS blk, label AS i, dim AS j, sum(dz * x) AS g FROM dz{e} JOIN x_t USING (doc_id) GROUP BY label, dim
+    UNION ALL SELECT 'W', label, {d}, sum(dz) FROM dz{e} GROUP BY label
+    UNION ALL SELECT 'W', q.label, b.i, {s} * sum(q.q * b.w) FROM q{e} q JOIN p{e - 1} b ON b.blk = 'B' AND b.j = q.r GROUP BY q.label, b.i
+    UNION ALL SELECT 'B', w.j, q.r, {s} * sum(w.w * q.q) FROM q{e} q JOIN p{e - 1} w ON w.blk = 'W' AND w.i = q.label AND w.j < {d} GROUP BY w.j, q.r
+    UNION ALL SELECT 'A', wb.r, c.dim, {s} * sum(wb.wb * c.p) FROM wb{e - 1} wb JOIN (
+      SELECT label, dim, sum(dz * x) AS p FROM dz{e} JOIN xd{e} USING (doc_id) GROUP BY label, dim) c USING (label) GROUP BY wb.r, c.dim) u
+  GROUP BY blk, i, j)""", f"""
+p{e} AS MATERIALIZED (
+  SELECT blk, i, j, w * (1 - {lr!r} * {C.ADAMW_WEIGHT_DECAY!r}) - {lr!r} * (m / (1 - 0.9 ** {e})) / (sqrt(v / (1 - 0.999 ** {e})) + 1e-8) AS w, m, v
+  FROM (SELECT blk, i, j, w, 0.9 * m + 0.1 * coalesce(g, 0) AS m, 0.999 * v + 0.001 * coalesce(g, 0) * coalesce(g, 0) AS v
+        FROM p{e - 1} LEFT JOIN g{e} USING (blk, i, j)) u)"""]
+    losses = " UNION ALL ".join(f"SELECT * FROM l{e}" for e in range(1, epochs + 1))
+    return "WITH " + ",".join(parts) + "," + wb(epochs) + f""",
+he AS MATERIALIZED (SELECT doc_id, i AS r, sum(x * w) AS h FROM x_e JOIN p{epochs} ON blk = 'A' AND j = dim GROUP BY doc_id, i),
+pred AS (SELECT doc_id, y, label AS pred FROM ({logits(epochs, 'rows_e', 'x_e', 'he')}) z
+         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY z DESC, label) = 1),
+cls AS (SELECT cls, sum(t) AS support, sum(p) AS predicted, sum(tp) AS tp FROM (
+          SELECT y AS cls, 1 AS t, 0 AS p, CASE WHEN y = pred THEN 1 ELSE 0 END AS tp FROM pred
+          UNION ALL SELECT pred, 0, 1, 0 FROM pred) u GROUP BY cls),
+f AS (SELECT *, 2.0 * tp / (support + predicted) AS f1 FROM cls WHERE cls IS NOT NULL),
+mets AS (SELECT avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, count(*) AS n_classes FROM f),
+acc AS (SELECT count(*) AS n, avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM pred)
+SELECT CAST(epoch AS INTEGER) AS epoch, round(loss, 6) AS loss, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1,
+       round(weighted_f1, 6) AS weighted_f1, n_classes, CAST({2 * r * d} AS INTEGER) AS trainable_params
+FROM ({losses}) l, mets, acc"""
+
+
+@register("fit_adapter", _adapter_sql(ADAPTER_EPOCHS))
 def q_fit_adapter(spark, sf_dir):
     """Adapter + head, full-batch AdamW, three epochs; per-epoch loss with test metrics."""
     train, test, k = _features(spark, sf_dir)
-    curve, preds, trainable = C.fit_adapter(train, test, k, HASH_DIM, epochs=3)
+    curve, preds, trainable = C.fit_adapter(train, test, k, HASH_DIM, epochs=ADAPTER_EPOCHS, seed=SEED, key="doc_id")
     mets = M.classification_metrics(preds)
     row = mets.first()
     loss = spark.createDataFrame(curve, "epoch int, loss double")
-    return loss.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in mets.schema.fields],
+    value = lambda f: _r(F.lit(row[f.name])) if f.name in ("accuracy", "macro_f1", "weighted_f1") else F.lit(row[f.name])
+    return loss.select("epoch", _r("loss").alias("loss"), *[value(f).cast(f.dataType).alias(f.name) for f in mets.schema.fields],
                        F.lit(trainable).alias("trainable_params"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.operators.encode import HashedEncoder, encode, resolve_dimension
+from vectorloom.operators.grid import failure_capture
 from vectorloom.operators.metrics import peak_accumulator
 from vectorloom.operators.vectors import norm_stats
 from vectorloom.sources.corpus import sample_texts
@@ -32,14 +33,16 @@ def _run_name(started: dt.datetime, model_size: str, requested: str, backend: st
 def run_generation(spark: SparkSession, sf_dir: str, encoder=None, model_size: str = "hashed-64",
                    backend: str = "torch", device: str = "cpu", requested_dimension: str = "default",
                    num_samples: int = 500, batch_size: int = 16, max_length: int = 256,
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, available_gb: dict | None = None) -> DataFrame:
     """Encode a seeded sample of the test split; return its run record (one row).
 
     Vectors are normalised, as in generation. The timer covers the encode
     pass (each task loads the encoder in it; sampling is outside).
     ``peak_mem_gb`` is the largest growth of an encoder task's resident
     memory in that pass; every text is encoded once. An mlx run records the
-    device ``mlx``.
+    device ``mlx``. With ``available_gb`` (free memory by device) the run's
+    configuration is checked first (R4b, R4): a run that is refused is a ``failed`` record with the
+    reason, and nothing is read or encoded for it.
     """
     encoder = encoder or HashedEncoder(64, max_length)
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
@@ -49,6 +52,12 @@ def run_generation(spark: SparkSession, sf_dir: str, encoder=None, model_size: s
                batch_size=int(batch_size), max_length=int(max_length), started_at=started,
                run_id=_run_name(started, model_size, str(requested_dimension), backend, device))
     texts = vecs = None
+    if available_gb is not None:
+        cell = spark.createDataFrame([rec], EMBEDDING_RUN_SCHEMA).drop("status", "error")
+        refused = failure_capture(cell, available_gb=available_gb).first()["error"]
+        if refused:
+            rec.update(status="failed", error=refused)
+            return spark.createDataFrame([rec], EMBEDDING_RUN_SCHEMA)
     try:
         native = int(encoder.native_dim)
         wanted = None if requested_dimension == "default" else int(requested_dimension)

@@ -247,15 +247,15 @@ def read_runs(spark: SparkSession, path: str, schema: T.StructType = EMBEDDING_R
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
-def load_runs(spark: SparkSession, path: str,
-              schema: T.StructType = EMBEDDING_RUN_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """(records, unreadable files) of a folder with one JSON object per ``*.json`` file, indented or not.
+def load_runs(spark: SparkSession, path: str, schema: T.StructType = EMBEDDING_RUN_SCHEMA,
+              pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(records, unreadable files) of a folder with one JSON object per file named like ``pattern``, indented or not.
 
     Other files and nested folders are left out. A record without the ``backend`` key
     gets ``torch``; an explicit null stays null (S5). A file that is no JSON object is
     reported as (path, text), never read as a row of nulls.
     """
-    files = (spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    files = (spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
              .select(F.input_file_name().alias("path"), F.col("value").alias("json")))
     keys = F.json_object_keys("json")
     good = files.where(keys.isNotNull())
