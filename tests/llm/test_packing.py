@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -31,6 +32,23 @@ def test_best_fit_decreasing():
     assert all(sum(lengths[i] for i in b) <= 10 for b in bins) and len(bins) == 5
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_decreasing_is_the_plain_loop(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 64, 1000])
+    lengths = [rng.randrange(1, capacity + 1) if rng.random() < 0.5 else rng.randrange(1, capacity // 4 + 2) for _ in range(400)]
+    bins = tokens.best_fit_decreasing(lengths, capacity)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [k for k, room in enumerate(rooms) if room >= n]
+        if fitting:
+            rooms[min(fitting, key=rooms.__getitem__)] -= n
+        else:
+            rooms.append(capacity - n)
+    assert sorted(capacity - sum(lengths[i] for i in b) for b in bins) == sorted(rooms)
+
+
 def test_matrices_hold_every_id_once(messy, tokenizer):
     rows, docs = messy
     got = defaultdict(Counter)

@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, tkey (hash of the text), held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, labels))
 
