@@ -49,6 +49,30 @@ def test_keyed_minibatches_are_the_loaders_loop(spark, partitions):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=0, atol=1e-9)
 
 
+def test_jobs_grow_with_the_rows_not_the_steps(spark, monkeypatch):
+    """150 steps in one chunk, in 25 and one by one: the same losses and weights; one chunk takes far fewer jobs than steps."""
+    df = _rows(spark, n=600).union(_rows(spark, n=1).withColumn("doc_id", F.lit(None).cast("long")))
+    sc, curves, heads, adapters, jobs = spark.sparkContext, [], [], [], []
+    for chunk in (C.CHUNK_ROWS, 24, 1):
+        monkeypatch.setattr(C, "CHUNK_ROWS", chunk)
+        sc.setJobGroup(f"vl-chunk-{chunk}", "one epoch")
+        curves.append([tuple(r) for r in C.minibatch_curve(df, 3, 4, 4, "doc_id", 1, 0.05).collect()])
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"vl-chunk-{chunk}")))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [c[:3] for c in curves[0]] == [(1, i, 4) for i in range(150)] and jobs[0] < 50
+    assert all([c[:3] for c in curve] == [c[:3] for c in curves[0]] for curve in curves)
+    assert all(np.allclose([c[3] for c in curve], [c[3] for c in curves[0]], rtol=0, atol=1e-9) for curve in curves)
+    for chunk in (C.MERGE_WIDTH, 1):
+        monkeypatch.setattr(C, "CHUNK_ROWS", chunk)
+        small = df.where("doc_id < 60")
+        heads.append(C.train_heads(small, 3, 4, [{"lr": lr, "epochs": e, "batch_size": 8} for lr, e in ((0.1, 2), (0.01, 1))], key="doc_id"))
+        adapters.append(C.fit_adapter(small, small, 3, 4, epochs=2, lr=0.01, dropout=0.5, batch_size=8, key="doc_id")[0])
+    assert np.allclose(heads[0][0], heads[1][0], rtol=0, atol=1e-9) and np.allclose(heads[0][1], heads[1][1], rtol=0, atol=1e-9)
+    assert np.allclose(*adapters, rtol=0, atol=1e-9)
+    nothing = C.minibatch_curve(df.limit(0), 3, 4, 4, "doc_id")
+    assert nothing.columns == ["epoch", "step", "n_rows", "loss"] and nothing.count() == 0
+
+
 @pytest.mark.parametrize("batch_size", [10, 50])
 def test_an_epoch_reads_its_rows_once(spark, batch_size):
     """Every step scans only its own bucket, so the files read in an epoch do not depend on the number of steps."""

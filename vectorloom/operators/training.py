@@ -3,10 +3,12 @@
 * ``fit_head`` (C1): Spark ML multinomial logistic regression, no
   regularisation: the reference's objective (softmax cross-entropy with a
   bias), solved by L-BFGS over distributed ``treeAggregate`` instead of Adam.
-* ``loss_curve`` / ``sweep_heads`` (C2, C5): synchronous Adam. Each step is
+* ``loss_curve`` / ``sweep_heads`` (C2, C5): synchronous Adam. A large step is
   one Spark job: the state is broadcast (size checked), every task adds up
   the gradient of its rows of the step's batch, Spark sums the partial
-  gradients in fixed-width blocks, and the driver takes the step.
+  gradients in fixed-width blocks, and the driver takes the step. Small keyed
+  steps go by the chunk: one job takes the steps of up to CHUNK_ROWS rows one
+  after the other and hands the state on, so jobs grow with the rows, not the steps.
 * ``fit_adapter`` (C6): the same scheme with AdamW and the adapter's gradient.
   The training frame is persisted once and re-read by every step.
 * ``head_gradient`` (C1): loss and gradient at given weights in one pass over
@@ -19,8 +21,8 @@ values, or its batch from the epoch's seeded permutation of a key column
 (``key``: exact batches, the last one short, as a shuffling loader deals
 them), so losses and weights do not depend on the partitioning (only the
 last bits of floating-point sums do). An epoch of several steps is written
-once, bucketed by step, and each step reads its own bucket: an epoch reads
-its rows once however many steps it has. Deviations from the reference: heads
+once, bucketed by step or by chunk of steps, and each job reads its own bucket:
+an epoch reads its rows once however many steps it has. Deviations from the reference: heads
 start at zero weights, batches without a key hold about ``batch_size`` rows
 (copies of a row share a batch), and runs are seeded.
 """
@@ -51,7 +53,10 @@ BLOCK_WIDTH = 4096
 MERGE_WIDTH = 1024
 # Rows of a step that share a file: larger steps are dealt over several.
 SHARD_ROWS = 65_536
+# Most rows of the consecutive small steps that one job takes, in one task.
+CHUNK_ROWS = 16_384
 PARTIALS = "block int, part array<double>"
+STEP_LOG = "config_id int, epoch int, step int, n_rows long, loss double"
 
 # Per-mode defaults of the reference (frozen head / adapter).
 MODE_DEFAULTS = {
@@ -120,6 +125,52 @@ def _gradient_sums(state_bc, objective, size: int, features: str, label: str, pe
     return run
 
 
+def _chunk_steps(state_bc, shapes, objective, update, size: int, ids: list, epoch: int, log: bool, features: str,
+                 label: str, peak=None):
+    """mapInPandas body: takes the steps of a chunk, whose rows come sorted by ``step_no``, one after the other.
+
+    ``update(state, sums)`` returns the state after a step, whose rows' sum of ``objective`` at the first array of the
+    state is ``sums``. Rows are read one Arrow batch at a time. Yields, with ``log``, a row per step and head of ``ids``,
+    and the last state in blocks.
+    """
+    def run(batches):
+        import pandas as pd
+        state, number, sums, done = _unflatten(state_bc.value, shapes), None, np.zeros(size), []
+
+        def take():
+            nonlocal state
+            if number is not None:
+                done.extend((c, epoch, number, int(sums[-1]), float(x / sums[-1]))
+                            for c, x in zip(ids if log else (), sums[-1 - len(ids):-1]))
+                state = update(state, sums)
+
+        with M.PeakWatch(peak is not None) as watch:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                X, y = _stack(pdf[features]), pdf[label].to_numpy().astype(np.int64)
+                h, step = pdf["_h"].to_numpy().astype(np.int64).view(np.uint64), pdf["step_no"].to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(step)) + 1), len(step)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if step[a] != number:
+                        take()
+                        number, sums = int(step[a]), np.zeros(size)
+                    sums += objective(state[0], X[a:b], y[a:b], h[a:b])
+                if peak is not None:
+                    peak.add(watch.lap())
+        take()
+        if done:
+            yield pd.DataFrame(done, columns=["config_id", "epoch", "step", "n_rows", "loss"]).assign(block=None, part=None)
+        if number is not None:
+            flat = np.concatenate([np.ravel(a) for a in state])
+            starts = range(0, len(flat), BLOCK_WIDTH)
+            yield pd.DataFrame({"config_id": None, "epoch": epoch, "step": None, "n_rows": None, "loss": None,
+                                "block": np.arange(len(starts), dtype=np.int32),
+                                "part": [flat[i:i + BLOCK_WIDTH] for i in starts]})
+
+    return run
+
+
 def _training_rows(train: DataFrame, features: str, label: str, key: str | None = None) -> tuple[DataFrame, int]:
     """(persisted rows with a labelled class, their content hash and key, how many)."""
     data = (train.where(F.col(label).isNotNull())
@@ -184,6 +235,63 @@ def _batches_of(data: DataFrame, n: int, batch_size: int | None, seed: int, epoc
         remove_scratch(spark, path)
 
 
+def _chunks_of(data: DataFrame, batch_size: int, seed: int, epoch: int, key: str):
+    """Frames of one partition with the rows of consecutive keyed steps, sorted by ``step_no``, chunk after chunk of an epoch."""
+    spark = data.sparkSession
+    own = F.xxhash64("_h0", F.lit(int(seed)), F.lit(int(epoch)))
+    own = F.coalesce(hex_prefix_value(seeded_key(key, epoch_seed(seed, epoch)), 15), own)
+    placed = seeded_position(data.withColumn("_h", own).drop("_h0"), key, epoch_seed(seed, epoch), "_place")
+    step = F.floor(F.col("_place") / int(batch_size)).cast("long")
+    rows = placed.select(*[c for c in placed.columns if c not in (key, "_place", "sort_key")], step.alias("step_no"))
+    rows = rows.withColumn("chunk", F.floor(F.col("step_no") / (CHUNK_ROWS // int(batch_size))).cast("long"))
+    path = scratch_path(spark, "epoch")
+    try:
+        rows.repartition("chunk").write.partitionBy("chunk").parquet(path)
+        # One value per chunk, which the training loop goes through one by one anyway.
+        chunks = spark.read.schema(rows.schema).parquet(path).select("chunk").distinct().collect()
+        schema = rows.drop("chunk").schema
+        for number in sorted(r[0] for r in chunks):
+            yield spark.read.schema(schema).parquet(f"{path}/chunk={number}").coalesce(1).sortWithinPartitions("step_no")
+    finally:
+        remove_scratch(spark, path)
+
+
+def _run_epoch(data: DataFrame, n: int, batch_size: int | None, seed: int, epoch: int, merge_width: int, key: str | None,
+               state: list, objective, update, size: int, ids: list, features: str, label: str, peak=None,
+               log: str | None = None) -> list:
+    """The state after an epoch's steps; ``update`` and ``ids`` as in ``_chunk_steps``.
+
+    ``log``: a folder that gets the epoch's steps (STEP_LOG), written by the tasks where they take the steps.
+    """
+    spark = data.sparkSession
+    if key and batch_size and batch_size < n and 2 * batch_size <= CHUNK_ROWS:
+        shapes = [np.shape(a) for a in state]
+        for number, chunk in enumerate(_chunks_of(data, batch_size, seed, epoch, key)):
+            flat = np.concatenate([np.ravel(a) for a in state])
+            bc = spark.sparkContext.broadcast(flat)
+            fn = _chunk_steps(bc, shapes, objective, update, size, ids, epoch, log is not None, features, label, peak)
+            out = chunk.mapInPandas(fn, f"{STEP_LOG}, {PARTIALS}")
+            if log:
+                path = f"{log}/part=chunk-{epoch}-{number}"
+                out.write.parquet(path)
+                out = spark.read.schema(out.schema).parquet(path)
+            state = _unflatten(_sum_blocks(out.where("block IS NOT NULL").select("block", "part"), len(flat), True), shapes)
+            bc.unpersist()
+        return state
+    steps = []
+    for number, (batch, alone) in enumerate(_batches_of(data, n, batch_size, seed, epoch, merge_width, key)):
+        bc = spark.sparkContext.broadcast(state[0])
+        sums = _sum_blocks(batch.mapInPandas(_gradient_sums(bc, objective, size, features, label, peak), PARTIALS), size, alone)
+        bc.unpersist()
+        if not sums[-1]:
+            continue  # no row fell into this batch
+        steps += [(c, epoch, number, int(sums[-1]), float(x / sums[-1])) for c, x in zip(ids, sums[-1 - len(ids):-1])]
+        state = update(state, sums)
+    if log:
+        spark.createDataFrame(steps, STEP_LOG).write.parquet(f"{log}/part=steps-{epoch}")
+    return state
+
+
 def _stack(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series]) if len(series) else np.zeros((0, 0))
 
@@ -287,10 +395,20 @@ def _heads_objective(params, X, y, _h):
     return np.concatenate([*grads, losses, [float(len(rows))]])
 
 
+def _heads_update(lrs: list[float]):
+    """An Adam step of every head: state (weights, moments, moments, steps taken, summed losses), sums of ``_heads_objective``."""
+    def update(state, sums):
+        params, m, v, t, total = state
+        grads = sums[:params.size].reshape(params.shape) / sums[-1]
+        moved = [_adam_step(p, g, m[c], v[c], t[c] + 1, lrs[c]) for c, (p, g) in enumerate(zip(params, grads))]
+        return [*(np.stack(x) for x in zip(*moved)), t + 1, total + sums[params.size:-1]]
+    return update
+
+
 def train_heads(train: DataFrame, num_classes: int, dim: int, configs: list[dict],
                 features: str = "features", label: str = "label", seed: int = 42,
-                merge_width: int = MERGE_WIDTH, peak=None, key: str | None = None, steps: list | None = None):
-    """Train several heads: one Spark job per step for all heads of a batch size.
+                merge_width: int = MERGE_WIDTH, peak=None, key: str | None = None, log: str | None = None):
+    """Train several heads: one Spark job per step, or per chunk of small keyed steps, for all heads of a batch size.
 
     ``configs``: dicts with ``lr``, ``epochs`` and ``batch_size`` (rows of one
     synchronous step over the cluster; None or absent: all rows, one step an
@@ -299,11 +417,10 @@ def train_heads(train: DataFrame, num_classes: int, dim: int, configs: list[dict
     without a label are left out; no rows: zero weights and no losses.
     ``peak`` (``metrics.peak_accumulator``) receives the tasks' memory growth.
     ``key`` names a column whose seeded permutation deals exact batches; rows with a
-    null key cannot be placed and are left out of epochs of several steps. ``steps``
-    receives (config_id, epoch, step, rows, mean loss before the step).
+    null key cannot be placed and are left out of epochs of several steps. ``log`` is a
+    folder that gets every step's head, epoch, number, rows and mean loss before the step.
     Returns (params (C, K, d+1), loss rows [(config_id, epoch, loss)]).
     """
-    spark = train.sparkSession
     C, K = len(configs), int(num_classes)
     _check_model_size(3 * C * K * (dim + 1), "head parameters and Adam moments")
     by_size: dict = {}
@@ -320,24 +437,11 @@ def train_heads(train: DataFrame, num_classes: int, dim: int, configs: list[dict
         for size, members in by_size.items() if n else ():
             for epoch in range(1, max(int(configs[c]["epochs"]) for c in members) + 1):
                 live = [c for c in members if int(configs[c]["epochs"]) >= epoch]
-                width = len(live) * K * (dim + 1)
-                total = np.zeros(len(live))
-                for number, (batch, alone) in enumerate(_batches_of(data, n, size, seed, epoch, merge_width, key)):
-                    bc = spark.sparkContext.broadcast(params[live])
-                    fn = _gradient_sums(bc, _heads_objective, width + len(live) + 1, features, label, peak)
-                    sums = _sum_blocks(batch.mapInPandas(fn, PARTIALS), width + len(live) + 1, alone)
-                    bc.unpersist()
-                    if not sums[-1]:
-                        continue  # no row fell into this batch
-                    if steps is not None:
-                        steps += [(c, epoch, number, int(sums[-1]), float(x / sums[-1]))
-                                  for c, x in zip(live, sums[width:-1])]
-                    grads = sums[:width].reshape(len(live), K, dim + 1) / sums[-1]
-                    total += sums[width:-1]
-                    for c, g in zip(live, grads):
-                        t[c] += 1
-                        params[c], m[c], v[c] = _adam_step(params[c], g, m[c], v[c], t[c],
-                                                           float(configs[c]["lr"]))
+                update = _heads_update([float(configs[c]["lr"]) for c in live])
+                state = [params[live], m[live], v[live], t[live], np.zeros(len(live))]
+                *state, total = _run_epoch(data, n, size, seed, epoch, merge_width, key, state, _heads_objective, update,
+                                           len(live) * K * (dim + 1) + len(live) + 1, live, features, label, peak, log)
+                params[live], m[live], v[live], t[live] = state
                 curve += [(c, epoch, float(x / n)) for c, x in zip(live, total)]
     finally:
         data.unpersist()
@@ -420,11 +524,14 @@ def loss_curve(train: DataFrame, num_classes: int, dim: int, epochs: int = 10, l
 
 def minibatch_curve(train: DataFrame, num_classes: int, dim: int, batch_size: int, key: str, epochs: int = 1,
                     lr: float = 1e-3, features: str = "features", label: str = "label", seed: int = 42) -> DataFrame:
-    """C2, step by step: epoch, step, rows and mean loss (before the step) of every mini-batch."""
-    steps: list = []
+    """C2, step by step: epoch, step, rows and mean loss (before the step) of every mini-batch, in this order."""
+    spark = train.sparkSession
+    log = scratch_path(spark, "steps")
+    spark.createDataFrame([], STEP_LOG).write.parquet(f"{log}/part=none")
     train_heads(train, num_classes, dim, [{"lr": lr, "epochs": epochs, "batch_size": batch_size}], features, label,
-                seed, key=key, steps=steps)
-    return train.sparkSession.createDataFrame([s[1:] for s in steps], "epoch int, step int, n_rows long, loss double")
+                seed, key=key, log=log)
+    steps = spark.read.schema(STEP_LOG).parquet(log).where("config_id IS NOT NULL")
+    return steps.select("epoch", "step", "n_rows", "loss").orderBy("epoch", "step")
 
 
 def sweep_heads(train: DataFrame, test: DataFrame, num_classes: int, dim: int, configs: list[dict],
@@ -527,25 +634,22 @@ def fit_adapter(train: DataFrame, test: DataFrame, num_classes: int, dim: int, e
     # A and the head start uniform in +-1/sqrt(d), by their place in the flat state; B starts at zero.
     flat = (2 * _uniforms(np.array([int(seed) & (2 ** 64 - 1)], dtype=np.uint64), total)[0] - 1) / math.sqrt(d)
     flat[r * d:2 * r * d] = 0.0
-    m, v, t = np.zeros_like(flat), np.zeros_like(flat), 0
+    m, v, t = np.zeros_like(flat), np.zeros_like(flat), np.zeros(1)
     objective = _adapter_objective(shapes, dropout)
+
+    def update(state, sums):
+        flat, m, v, t, seen = state
+        moved = _adam_step(flat, sums[:total] / sums[-1], m, v, t[0] + 1, lr, weight_decay=ADAMW_WEIGHT_DECAY)
+        return [*moved, t + 1, seen + [sums[total] / sums[-1], 1.0]]
+
     curve = []
     data, n = _training_rows(train, features, label, key)
     try:
         for epoch in range(1, int(epochs) + 1) if n else ():
-            losses = []
-            for batch, alone in _batches_of(data, n, batch_size, seed, epoch, merge_width, key):
-                bc = spark.sparkContext.broadcast(flat)
-                fn = _gradient_sums(bc, objective, total + 2, features, label, peak)
-                sums = _sum_blocks(batch.mapInPandas(fn, PARTIALS), total + 2, alone)
-                bc.unpersist()
-                if not sums[-1]:
-                    continue
-                t += 1
-                flat, m, v = _adam_step(flat, sums[:total] / sums[-1], m, v, t, lr,
-                                        weight_decay=ADAMW_WEIGHT_DECAY)
-                losses.append(sums[total] / sums[-1])
-            curve.append((epoch, float(np.mean(losses))))
+            flat, m, v, t, (losses, taken) = _run_epoch(
+                data, n, batch_size, seed, epoch, merge_width, key, [flat, m, v, t, np.zeros(2)], objective, update,
+                total + 2, [0], features, label, peak)
+            curve.append((epoch, float(losses / taken) if taken else math.nan))
     finally:
         data.unpersist()
     A, B, Wb = _unflatten(flat, shapes)

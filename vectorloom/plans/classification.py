@@ -64,7 +64,7 @@ def run_classification(spark: SparkSession, sf_dir: str, mode: str = "frozen", t
     (C8); the samples are drawn first, and only they are encoded, unnormalised
     and cut to ``max_length`` tokens. ``frozen`` encodes them (timed as
     extraction) and trains the head with synchronous Adam (``solver="adam"``,
-    C2: one Spark job per ``batch_size`` rows and epoch) or with Spark ML's
+    C2: one Spark job per chunk of steps, see ``train_heads``) or with Spark ML's
     L-BFGS (``solver="lbfgs"``, C1); ``lora`` trains the vector adapter with
     the head (C6) and its total time is the training time alone. The training
     time stops before scoring. Test rows with a label outside the vocabulary
