@@ -250,6 +250,37 @@ def test_hashed_encoder_cache_bound_does_not_change_vectors(monkeypatch):
     assert not full[1].any()
 
 
+def test_scatter_memory_does_not_follow_the_batch(spark):
+    """Ten million codes, 40 MB, come in few Arrow batches; the task's growth on them was over 300 MB."""
+    from vectorloom.operators import metrics as M
+    peak = M.peak_accumulator(spark)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b c d e "), 1000).alias("text")).coalesce(1)
+    counts = E.encode_hashed(df, 8, peak=peak)
+    assert counts.select("embedding").distinct().count() == 1 and peak.value < 150e6
+
+
+def test_scatter_in_pieces_gives_the_same_counts(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    lists = [None if n == 3 else [int(x) for x in rng.integers(1, 9, n) * rng.choice([-1, 1], n)] for n in rng.integers(0, 40, 60)]
+    want = np.zeros((60, 8))
+    for i, codes in enumerate(lists):
+        for c in codes or []:
+            want[i, abs(c) - 1] += np.sign(c)
+    held = pa.array([[1]] * 4 + lists, type=pa.list_(pa.int32())).slice(4)
+    for size in (1, 7, 64, 1 << 18):
+        monkeypatch.setattr(E, "SCATTER_CODES", size)
+        assert np.array_equal(E.signed_counts(held, 8).reshape(60, 8), want.astype(np.float32))
+        assert len(E.signed_counts(held.slice(0, 0), 8)) == 0
+
+
+def test_objectives_get_pieces(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(C, "PIECE_ROWS", 4)
+    got = [list(p["x"]) for p in C._pieces([pd.DataFrame({"x": range(10)}), pd.DataFrame({"x": []}), pd.DataFrame({"x": [7]})])]
+    assert got == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9], [7]]
+
+
 def test_head_gradient_is_that_of_the_loss_and_certifies_a_fit(spark):
     import numpy as np
     from vectorloom.operators import training as C

@@ -35,6 +35,8 @@ log = logging.getLogger("vectorloom.encode")
 
 # Most distinct tokens one encoder task remembers the hash code of.
 CODE_CACHE_MAX = 1_000_000
+# Rows and token codes that the scatter works on at once, whatever the Arrow batch holds.
+SCATTER_ROWS, SCATTER_CODES = 1024, 1 << 18
 
 # Java's ``\s``: space, tab, newline, vertical tab, form feed, carriage return.
 _WS = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -260,6 +262,21 @@ def encode_telemetry(df: DataFrame, encoder, text_col: str = "text", key: str =
     return _dealt(df.select(text_col, key), key, num_partitions).select(text_col).mapInArrow(run, schema)
 
 
+def signed_counts(lists, d: int) -> np.ndarray:
+    """Per list of signed codes (null: none) its ``d`` bucket sums, flat, SCATTER_CODES codes at a time."""
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, codes = np.cumsum(sizes), pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(sizes) * d)
+    for a in range(0, len(codes), SCATTER_CODES):
+        vals = codes[a:a + SCATTER_CODES].astype(np.int64)
+        low, high = np.searchsorted(ends, [a, a + len(vals) - 1], "right")
+        held = np.minimum(ends[low:high + 1], a + len(vals)) - np.maximum(ends[low:high + 1] - sizes[low:high + 1], a)
+        at = np.repeat(np.arange(high - low + 1) * d, held) + np.abs(vals) - 1
+        out[low * d:(high + 1) * d] += np.bincount(at, weights=np.sign(vals), minlength=(high - low + 1) * d)
+    return out.astype(np.float32)
+
+
 def encode_hashed(df: DataFrame, dimension: int = 64, text_col: str = "text", key: str = "doc_id",
                   max_length: int | None = None, out: str = "embedding",
                   carry: list[str] | None = None, num_partitions: int | None = None,
@@ -280,21 +297,17 @@ def encode_hashed(df: DataFrame, dimension: int = 64, text_col: str = "text", ke
 
     def scatter(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
         with PeakWatch(peak is not None) as watch:
             for rb in batches:
-                n = rb.num_rows
-                lists = rb.column(1)
-                parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-                vals = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat_idx = parents.astype(np.int64) * d + (np.abs(vals) - 1)
-                dense = np.bincount(flat_idx, weights=np.sign(vals), minlength=n * d).astype(np.float32)
-                if peak is not None:
-                    peak.add(watch.lap())
-                offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
-                vec = pa.ListArray.from_arrays(offsets, pa.array(dense, type=pa.float32()))
-                passed = [rb.column(2 + i) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([rb.column(0), vec, *passed], names=[key, out, *carry])
+                for start in range(0, rb.num_rows, SCATTER_ROWS):
+                    part = rb.slice(start, SCATTER_ROWS)
+                    dense = signed_counts(part.column(1), d)
+                    if peak is not None:
+                        peak.add(watch.lap())
+                    offsets = pa.array(np.arange(0, len(dense) + 1, d, dtype=np.int32))
+                    vec = pa.ListArray.from_arrays(offsets, pa.array(dense, type=pa.float32()))
+                    passed = [part.column(2 + i) for i in range(len(carry))]
+                    yield pa.RecordBatch.from_arrays([part.column(0), vec, *passed], names=[key, out, *carry])
 
     return staged.mapInArrow(scatter, f"{key} {df.schema[key].dataType.simpleString()}, {out} array<float>{extra_schema}")
 

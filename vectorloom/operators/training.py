@@ -55,6 +55,8 @@ MERGE_WIDTH = 1024
 SHARD_ROWS = 65_536
 # Most rows of the consecutive small steps that one job takes, in one task.
 CHUNK_ROWS = 16_384
+# Rows of an Arrow batch that an objective is given at once.
+PIECE_ROWS = 2048
 PARTIALS = "block int, part array<double>"
 STEP_LOG = "config_id int, epoch int, step int, n_rows long, loss double"
 
@@ -99,19 +101,24 @@ def _sum_blocks(partials: DataFrame, size: int, few_tasks: bool = False) -> np.n
     return out
 
 
+def _pieces(batches):
+    """The batches in pieces of at most PIECE_ROWS rows; empty ones go."""
+    for pdf in batches:
+        for a in range(0, len(pdf), PIECE_ROWS):
+            yield pdf.iloc[a:a + PIECE_ROWS]
+
+
 def _gradient_sums(state_bc, objective, size: int, features: str, label: str, peak=None):
     """mapInPandas body: the task's sum of ``objective`` over its rows, in blocks.
 
     ``objective(state, X, y, h)`` returns one vector of ``size`` values, summed
-    over the rows given. Rows are read one Arrow batch at a time.
+    over the rows given. Rows are read one Arrow batch at a time and worked on in pieces.
     """
     def run(batches):
         import pandas as pd
         total, seen = np.zeros(size), False
         with M.PeakWatch(peak is not None) as watch:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            for pdf in _pieces(batches):
                 seen = True
                 total += objective(state_bc.value, _stack(pdf[features]), pdf[label].to_numpy().astype(np.int64),
                                    pdf["_h"].to_numpy().astype(np.int64).view(np.uint64))
@@ -145,9 +152,7 @@ def _chunk_steps(state_bc, shapes, objective, update, size: int, ids: list, epoc
                 state = update(state, sums)
 
         with M.PeakWatch(peak is not None) as watch:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            for pdf in _pieces(batches):
                 X, y = _stack(pdf[features]), pdf[label].to_numpy().astype(np.int64)
                 h, step = pdf["_h"].to_numpy().astype(np.int64).view(np.uint64), pdf["step_no"].to_numpy()
                 cuts = [0, *(np.flatnonzero(np.diff(step)) + 1), len(step)]
