@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, judged on the texts as they came in: line dedup has
-    taken the shared lines from all copies but one."""
+    """One document of each group of near copies stays, judged on the texts as they came in, since line dedup has
+    taken the shared lines from all copies but one, and then on the texts that line dedup has left."""
     return minhash.keep_one(docs, read_table(spark, sf_dir, "documents"))
 
 

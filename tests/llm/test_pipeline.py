@@ -1,11 +1,13 @@
 """The pipeline against its stages done by brute force, one after the other."""
 
+import random
+
 import corpus_pipeline
 import numpy as np
 
 from tests.llm import test_decontam, test_lines, test_minhash
-from tests.llm.conftest import frame, messy_rows
-from vectorloom.llm import packing, quality, tokens
+from tests.llm.conftest import frame, messy_rows, words
+from vectorloom.llm import minhash, packing, quality, tokens
 from vectorloom.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +47,29 @@ def test_stages_and_result(spark):
     assert packing.END == 2
 
 
+def test_line_dedup_and_near_dedup_both_tell(spark, tmp_path):
+    """Texts that become near copies once their shared lines are gone, and near copies that line dedup takes apart."""
+    rng = random.Random(4)
+    one, two, three = ("\n".join(words(rng, 12) for _ in range(6)) for _ in range(3))
+    body, part = words(rng, 100), words(rng, 40)
+    edited = body.replace(body.split()[50], "changed", 1)
+    rows = [(1, one), (2, two), (3, f"{one}\n{body}"), (4, f"{two}\n{edited}"), (5, f"{three}\n{part}"), (6, f"{three}\n{part} end"),
+            (None, f"{two}\n{edited} none")]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = read_table(spark, str(tmp_path), "documents")
+
+    def ids(df):
+        return sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=lambda x: x or 0)
+
+    cut = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    assert ids(cut) == ids(docs) == [None, 1, 2, 3, 4, 5, 6]
+    assert ids(corpus_pipeline.near_dedup(spark, docs, str(tmp_path))) == [None, 1, 2, 3, 4, 5]
+    assert ids(corpus_pipeline.near_dedup(spark, cut, str(tmp_path))) == [None, 1, 2, 3, 5]
+    assert ids(minhash.keep_one(cut)) == [None, 1, 2, 3, 5, 6]
+    assert ids(minhash.keep_one(cut.limit(0), docs)) == [] and ids(minhash.keep_one(cut, docs.limit(0))) == [None, 1, 2, 3, 5, 6]
+
+
 def test_messy_rows_pass_every_stage(spark, empty):
     docs = frame(spark, messy_rows())
     for name, stage in corpus_pipeline.STAGES:

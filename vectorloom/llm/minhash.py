@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import free_name, map_rows, materialize, signed, text_bytes
+from vectorloom.llm.common import free_name, map_rows, materialize, signed, temporary, text_bytes
+from vectorloom.session import scratch_path
 
 #: Words per shingle.
 SHINGLE = 5
@@ -269,9 +270,14 @@ def same_document(profile: DataFrame, classes: DataFrame) -> DataFrame:
     return held.join(least, "doc_id").select("u", F.col("id").alias("v")).filter("u <> v")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Shingles of ``size`` words: doc_id, n_shingles, component_id, kept per row of ``docs``."""
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, without: DataFrame | None = None) -> DataFrame:
+    """Shingles of ``size`` words: doc_id, n_shingles, component_id, kept per row of ``docs``.
+
+    ``without``: ids (doc_id) whose rows take no part, left out where the rows are narrow, so no text is copied.
+    """
     profile = profiles(docs, size)
+    if without is not None:
+        profile = profile.join(without.hint("shuffle_hash"), "doc_id", "left_anti")
     classes = materialize(
         profile.filter("bands is not null and doc_id is not null").groupBy("hi", "lo")
         .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
@@ -295,20 +301,35 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept")))
 
 
+def _copies(docs: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """The ids (doc_id) that near-dedup drops; ``without`` as in ``near_duplicates``."""
+    return near_duplicates(docs, without=without).filter(~F.col("kept")).select("doc_id").distinct()
+
+
 def keep_one(docs: DataFrame, came: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row per component, all columns kept.
 
     ``came``: (doc_id, text) as the documents came in, before other steps cut their texts; copies are
-    judged by these, and by ``docs`` itself for ids that ``came`` does not hold. Rows with a null doc_id stay;
-    of rows that share a doc_id one stays, the one with the smallest hash of its text.
+    judged by these, and by ``docs`` itself for ids that ``came`` does not hold. What is left is judged once more,
+    by the texts of ``docs``: documents whose texts became near copies only by what was cut are copies, too.
+    Rows with a null doc_id stay; of rows that share a doc_id one stays, the one with the smallest hash of its text.
     """
     judged = docs.select("doc_id", "text")
-    if came is not None:
+    gone, low, tkey = (free_name(docs.columns, n) for n in ("gone_id", "low_tkey", "own_tkey"))
+    if came is None:
+        dropped = _copies(judged).withColumnRenamed("doc_id", gone)
+    else:
+        spark = docs.sparkSession
         ids = judged.select("doc_id").distinct()
         known = came.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-        judged = known.unionByName(judged.join(came.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti"))
-    gone, low, tkey = (free_name(docs.columns, n) for n in ("gone_id", "low_tkey", "own_tkey"))
-    dropped = near_duplicates(judged).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+        before = known.unionByName(judged.join(came.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti"))
+        at = scratch_path(spark, "llm-copies")
+        with temporary(spark):      # each round's tables go before the next writes its own
+            _copies(before).write.parquet(f"{at}/round=1")
+        dropped = spark.read.schema("doc_id long").parquet(f"{at}/round=1")
+        with temporary(spark):
+            _copies(judged, dropped).write.parquet(f"{at}/round=2")
+        dropped = spark.read.schema("doc_id long").parquet(at).select(F.col("doc_id").alias(gone))
     rest = docs.join(dropped.hint("shuffle_hash"), docs["doc_id"] == F.col(gone), "left_anti")
     repeated = (docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias(low))
                 .filter("n > 1").select(F.col("doc_id").alias(gone), low))
