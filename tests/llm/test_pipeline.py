@@ -1,13 +1,15 @@
 """The pipeline against its stages done by brute force, one after the other."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 
 from tests.llm import test_decontam, test_lines, test_minhash
 from tests.llm.conftest import frame, messy_rows, words
-from vectorloom.llm import minhash, packing, quality, tokens
+from vectorloom.llm import decontam, lines, minhash, packing, quality, tokens
+from vectorloom.llm.common import materialize
 from vectorloom.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +72,47 @@ def test_line_dedup_and_near_dedup_both_tell(spark, tmp_path):
     assert ids(minhash.keep_one(cut.limit(0), docs)) == [] and ids(minhash.keep_one(cut, docs.limit(0))) == [None, 1, 2, 3, 5, 6]
 
 
+def test_few_rows_fill_few_files(spark, monkeypatch):
+    """Many shuffle partitions and few rows: no table and no stage's result has a file for each partition."""
+    rng = random.Random(5)
+    base, shared = words(rng, 60), words(rng, 12)
+    rows = [(i, f"{shared}\n{base} e{i}") for i in range(40)] + [(100 + i, f"{shared}\n{words(rng, 40)}") for i in range(60)]
+    docs = frame(spark, rows, 8).select("doc_id", "text", "lang", "source", "n_chars")
+    benchmark = spark.createDataFrame([(i, words(rng, 30)) for i in range(50)], "item_id long, text string")
+    files = {}
+
+    def noted(df, name):
+        out = materialize(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    for module in (lines, minhash, decontam, packing):
+        monkeypatch.setattr(module, "materialize", noted)
+    put = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        cut = noted(lines.dedup_lines(docs, drop_emptied=True), "line_dedup")
+        kept = noted(minhash.keep_one(cut, docs), "near_dedup")
+        clean = noted(decontam.decontaminate(kept, benchmark), "decontamination")
+        pieces = noted(packing.pack_along_curve(clean), "packing")
+        assert kept.count() == clean.count() == 61
+        got = pieces.collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    # more-links: one task for each block pair that has links.
+    assert {k: n for k, n in files.items() if n > 1 and k not in ("more-links", "curve")} == {}
+    assert len(files) > 15
+    ends = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):    # ranges share no sequence
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert len({i >> 32 for i in ends}) > 1 and all(n & (n - 1) == 0 for n in ends.values())
+    assert sum(ends.values()) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
+
+
 def test_messy_rows_pass_every_stage(spark, empty):
     docs = frame(spark, messy_rows())
     for name, stage in corpus_pipeline.STAGES:

@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import map_rows, materialize
+from vectorloom.llm.common import BATCH_ROWS, few, map_rows, materialize
 
 WINDOW = 5
 LITERALS = 2
@@ -281,9 +281,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
     rows = (benchmark.filter("text is not null").select("item_id", "text").distinct()
             .select("item_id", F.xxhash64("text").alias("ikey"), "text"))
-    return materialize(map_rows(rows, run, "hash long, item_id long, ikey long, pos int, n int, size int, reading int, "
-                                   "slots string, fixed int, run string"),
-                       "item-windows")
+    found = map_rows(rows, run, "hash long, item_id long, ikey long, pos int, n int, size int, reading int, "
+                                "slots string, fixed int, run string")
+    return materialize(few(found, benchmark.count(), BATCH_ROWS), "item-windows")
 
 
 def _place(hashes: np.ndarray, level: int) -> np.ndarray:
@@ -482,7 +482,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = (contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad_doc"), F.col("tkey").alias("__bad_tkey"))
            .distinct())
     on = docs["doc_id"].eqNullSafe(bad["__bad_doc"]) & (F.xxhash64(docs["text"]) == bad["__bad_tkey"])
-    return docs.join(bad.hint("shuffle_hash"), on, "left_anti")
+    return few(docs.join(bad.hint("shuffle_hash"), on, "left_anti"), docs.count())
 
 
 __all__ = ["consistent", "contaminated", "decontaminate", "template", "windows"]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import ASCII_SPACE, free_name, map_rows, materialize, scan_tasks, signed, text_bytes
+from vectorloom.llm.common import ASCII_SPACE, few, free_name, map_rows, materialize, scan_tasks, signed, text_bytes
 
 #: Shortest key, in code points, that is deduplicated.
 MIN_CODEPOINTS = 10
@@ -109,10 +109,10 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     zlib-compressed, one bit per line in little-endian bit order, 1 = keep."""
     n = scan_tasks(docs.sparkSession)
     names = ["hi", "lo", "null_id", "doc_id", "tkey", "pos"]
-    rows = line_hashes(docs)
-    runs = rows.repartitionByRange(n, *names).sortWithinPartitions(*names)
-    judged = materialize(map_rows(runs, _stream, rows.schema.simpleString()[7:-1].replace(":", " ") + ", kind int"),
-                         "line-runs")
+    hashes = line_hashes(docs)
+    runs = hashes.repartitionByRange(n, *names).sortWithinPartitions(*names)
+    judged = materialize(few(map_rows(runs, _stream, hashes.schema.simpleString()[7:-1].replace(":", " ") + ", kind int"),
+                             docs.count()), "line-runs")
     # At most two keys per range partition, pre-aggregated per task: small enough to broadcast at any size.
     firsts = (judged.filter(F.col("kind") != DROP).groupBy("hi", "lo")
               .agg(F.min(F.struct("null_id", "doc_id")).alias("first")))
@@ -169,7 +169,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars"))
                              .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return few(out.select(*docs.columns), docs.count())
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import free_name, map_rows, materialize, signed, temporary, text_bytes
+from vectorloom.llm.common import PAIR_ROWS, few, free_name, map_rows, materialize, signed, temporary, text_bytes
 from vectorloom.session import scratch_path
 
 #: Words per shingle.
@@ -98,8 +98,8 @@ def bands(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def profiles(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, hi, lo (hash of the set), bands per row; bands are null for the empty set."""
+def profiles(docs: DataFrame, rows: int, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, hi, lo (hash of the set), bands for each of about ``rows`` rows; bands are null for the empty set."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out = {k: [] for k in ("n_shingles", "hi", "lo", "bands")}
@@ -111,17 +111,17 @@ def profiles(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     out[k].append(v)
             yield {"doc_id": b["doc_id"], **out}
 
-    return materialize(map_rows(docs.select("doc_id", text_bytes().alias("text")), run,
-                                "doc_id long, n_shingles long, hi long, lo long, bands array<long>"), "profiles")
+    return materialize(few(map_rows(docs.select("doc_id", text_bytes().alias("text")), run,
+                                    "doc_id long, n_shingles long, hi long, lo long, bands array<long>"), rows), "profiles")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v); the root is the component's smallest node.
+def components(edges: DataFrame, name: str, rows: int) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u, v), about ``rows`` rows; the root is the component's smallest node.
 
     Alternates large-star and small-star steps until the edge table no longer changes.
     """
-    current = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                          .filter("u <> v").distinct(), f"{name}-edges")
+    current = materialize(few(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                              .filter("u <> v").distinct(), rows, PAIR_ROWS), f"{name}-edges")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -138,9 +138,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         else:       # the node and its smaller neighbours point to the smallest of them
             out = (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                    .unionByName(low.select("u", F.col("m").alias("v"))))
-        return materialize(out.filter("u <> v").distinct(), f"{name}-star")
+        return materialize(few(out.filter("u <> v").distinct(), seen[0], PAIR_ROWS), f"{name}-star")
 
-    seen = None
+    seen = state(current)
     while True:
         current = star(star(current, True), False)
         now = state(current)
@@ -155,18 +155,18 @@ def similar(a: int, b: int, both: int) -> bool:
     return 100 * both >= PERCENT * (a + b - both)
 
 
-def hub_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct (u, v): each band bucket's members beside its pseudo-random hub."""
+def hub_pairs(reps: DataFrame, rows: int) -> DataFrame:
+    """Distinct (u, v): each band bucket's members beside its pseudo-random hub, of about ``rows`` documents."""
     members = reps.select("id", F.explode("bands").alias("h"))
     hub = F.min(F.struct(F.xxhash64("id", "h").alias("order"), "id"))
     hubs = members.groupBy("h").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = (members.join(hubs.select("h", F.col("hub.id").alias("hub")), "h").filter("id <> hub")
              .select(F.col("hub").alias("u"), F.col("id").alias("v")))
-    return materialize(materialize(pairs, "bucket-pairs").distinct(), "hub-pairs")
+    return materialize(few(materialize(few(pairs, rows), "bucket-pairs").distinct(), rows), "hub-pairs")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The (u, v) whose full sets are similar."""
+def verified(pairs: DataFrame, texts: DataFrame, rows: int, size: int = SHINGLE) -> DataFrame:
+    """The (u, v) whose full sets are similar, of ``rows`` pairs."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         last, of_last = None, None
         for b in batches:
@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
 
     beside = (pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
               .join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u"))
-    return materialize(map_rows(beside.select("u", "v", "tu", "tv"), run, "u long, v long"), "links")
+    return materialize(few(map_rows(beside.select("u", "v", "tu", "tv"), run, "u long, v long"), rows), "links")
 
 
 def _finish(batches: Iterator[dict], size: int) -> Iterator[dict]:
@@ -232,16 +232,16 @@ def _finish(batches: Iterator[dict], size: int) -> Iterator[dict]:
         yield {"u": [u for u, _ in found], "v": [v for _, v in found]}
 
 
-def remaining_links(families: DataFrame, comps: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Links between the components that verification left inside a family.
+def remaining_links(families: DataFrame, comps: DataFrame, texts: DataFrame, rows: int, size: int = SHINGLE) -> DataFrame:
+    """Links between the components that verification left inside a family, of about ``rows`` documents in all.
 
     A family may hold a large part of all rows, so its block counts are joined on (family, salt): each
     family has at most ``SALTS`` such keys, made from its own rows, and no task reads it whole.
     """
-    named = materialize(families.select(F.col("node").alias("id"), F.col("root").alias("family"))
-                        .join(comps.select(F.col("node").alias("id"), F.col("root").alias("comp")), "id", "left")
-                         .withColumn("comp", F.coalesce("comp", "id"))
-                         .withColumn("salt", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(SALTS))), "families")
+    named = materialize(few(families.select(F.col("node").alias("id"), F.col("root").alias("family"))
+                            .join(comps.select(F.col("node").alias("id"), F.col("root").alias("comp")), "id", "left")
+                            .withColumn("comp", F.coalesce("comp", "id"))
+                            .withColumn("salt", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(SALTS))), rows), "families")
     sizes = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = (sizes.groupBy("family").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("docs"),
                                          F.max(F.struct("n", "comp")).alias("base"))
@@ -250,11 +250,11 @@ def remaining_links(families: DataFrame, comps: DataFrame, texts: DataFrame, siz
                      F.ceil(F.col("docs") / BLOCK_DOCS).alias("nj"),
                      F.ceil((F.col("docs") - F.col("base.n")) / BLOCK_DOCS).alias("ni")))
     dealt = named.select("family", "salt").distinct().join(split, "family")
-    rows = (named.join(dealt, ["family", "salt"]).drop("salt").join(texts, "id")
+    held = (named.join(dealt, ["family", "salt"]).drop("salt").join(texts, "id")
             .withColumn("bj", F.pmod(F.xxhash64("id"), F.col("nj"))).withColumn("bi", F.pmod(F.xxhash64("id", F.lit(1)), F.col("ni"))))
-    members = rows.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"),
+    members = held.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"),
                           F.col("bj").alias("j"), "id", "comp", F.lit(False).alias("mover"), "text")
-    movers = rows.filter("comp <> base").select("family", F.col("bi").alias("i"),
+    movers = held.filter("comp <> base").select("family", F.col("bi").alias("i"),
                                                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"),
                                                 "id", "comp", F.lit(True).alias("mover"), "text")
     blocks = (members.unionByName(movers).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j"))
@@ -270,28 +270,33 @@ def same_document(profile: DataFrame, classes: DataFrame) -> DataFrame:
     return held.join(least, "doc_id").select("u", F.col("id").alias("v")).filter("u <> v")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, without: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, without: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Shingles of ``size`` words: doc_id, n_shingles, component_id, kept per row of ``docs``.
 
     ``without``: ids (doc_id) whose rows take no part, left out where the rows are narrow, so no text is copied.
+    ``rows``: about how many rows ``docs`` has, where the caller knows; only the number of files goes by it.
     """
-    profile = profiles(docs, size)
+    if rows is None:
+        rows = docs.count()
+    profile = profiles(docs, rows, size)
     if without is not None:
         profile = profile.join(without.hint("shuffle_hash"), "doc_id", "left_anti")
     classes = materialize(
-        profile.filter("bands is not null and doc_id is not null").groupBy("hi", "lo")
-        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    pairs = hub_pairs(classes)
-    families = materialize(components(pairs, "families"), "family-of")
+        few(profile.filter("bands is not null and doc_id is not null").groupBy("hi", "lo")
+            .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), rows), "classes")
+    pairs = hub_pairs(classes, rows)
+    n_pairs = pairs.count()
+    families = materialize(few(components(pairs, "families", n_pairs), rows, PAIR_ROWS), "family-of")
     wanted = families.select(F.col("node").alias("id"))
     text = (docs.select(F.col("doc_id").alias("id"), text_bytes().alias("text"))
             .join(wanted.hint("shuffle_hash"), "id"))
-    texts = materialize(text.distinct(), "candidate-texts")
-    links = verified(pairs, texts, size)
+    texts = materialize(few(text.distinct(), rows), "candidate-texts")
+    links = verified(pairs, texts, n_pairs, size)
     shared = same_document(profile, classes)
-    comps = components(links, "first")
-    more = remaining_links(families, comps, texts, size)
-    every = materialize(components(links.unionByName(more).unionByName(shared), "all"), "components")
+    comps = components(links, "first", n_pairs)
+    more = remaining_links(families, comps, texts, rows, size)
+    every = materialize(few(components(links.unionByName(more).unionByName(shared), "all", n_pairs + rows), rows, PAIR_ROWS),
+                        "components")
     found = (profile.join(classes.select("hi", "lo", "id"), ["hi", "lo"], "left")
              .join(every.withColumnRenamed("node", "id"), "id", "left"))
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
@@ -301,9 +306,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, without: DataFrame | N
                     (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept")))
 
 
-def _copies(docs: DataFrame, without: DataFrame | None = None) -> DataFrame:
-    """The ids (doc_id) that near-dedup drops; ``without`` as in ``near_duplicates``."""
-    return near_duplicates(docs, without=without).filter(~F.col("kept")).select("doc_id").distinct()
+def _copies(docs: DataFrame, rows: int, without: DataFrame | None = None) -> DataFrame:
+    """The ids (doc_id) that near-dedup drops; ``without`` and ``rows`` as in ``near_duplicates``."""
+    return few(near_duplicates(docs, without=without, rows=rows).filter(~F.col("kept")).select("doc_id").distinct(), rows, PAIR_ROWS)
 
 
 def keep_one(docs: DataFrame, came: DataFrame | None = None) -> DataFrame:
@@ -315,9 +320,10 @@ def keep_one(docs: DataFrame, came: DataFrame | None = None) -> DataFrame:
     Rows with a null doc_id stay; of rows that share a doc_id one stays, the one with the smallest hash of its text.
     """
     judged = docs.select("doc_id", "text")
+    rows = docs.count()
     gone, low, tkey = (free_name(docs.columns, n) for n in ("gone_id", "low_tkey", "own_tkey"))
     if came is None:
-        dropped = _copies(judged).withColumnRenamed("doc_id", gone)
+        dropped = _copies(judged, rows).withColumnRenamed("doc_id", gone)
     else:
         spark = docs.sparkSession
         ids = judged.select("doc_id").distinct()
@@ -325,10 +331,10 @@ def keep_one(docs: DataFrame, came: DataFrame | None = None) -> DataFrame:
         before = known.unionByName(judged.join(came.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti"))
         at = scratch_path(spark, "llm-copies")
         with temporary(spark):      # each round's tables go before the next writes its own
-            _copies(before).write.parquet(f"{at}/round=1")
+            _copies(before, rows).write.parquet(f"{at}/round=1")
         dropped = spark.read.schema("doc_id long").parquet(f"{at}/round=1")
         with temporary(spark):
-            _copies(judged, dropped).write.parquet(f"{at}/round=2")
+            _copies(judged, rows, dropped).write.parquet(f"{at}/round=2")
         dropped = spark.read.schema("doc_id long").parquet(at).select(F.col("doc_id").alias(gone))
     rest = docs.join(dropped.hint("shuffle_hash"), docs["doc_id"] == F.col(gone), "left_anti")
     repeated = (docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias(low))
@@ -337,4 +343,4 @@ def keep_one(docs: DataFrame, came: DataFrame | None = None) -> DataFrame:
     single = rest.join(repeated.hint("shuffle_hash"), rest["doc_id"] == F.col(gone), "left_anti")
     first = (rest.join(repeated, rest["doc_id"] == F.col(gone)).withColumn(tkey, F.xxhash64("text"))
              .filter(F.col(tkey) == F.col(low)).dropDuplicates(["doc_id"]))
-    return single.unionByName(first.select(*docs.columns))
+    return few(single.unionByName(first.select(*docs.columns)), rows)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import map_rows, materialize, scan_tasks
+from vectorloom.llm.common import few, map_rows, materialize, scan_tasks
 from vectorloom.llm.tokens import SEQUENCE, chunk_ids
 
 #: The id that ends a document.
@@ -143,5 +143,6 @@ def pack_along_curve(docs: DataFrame, path: str | None = None) -> DataFrame:
     sort = ["key", "doc_id", "row"]
     ordered = (rows.withColumn("row", F.monotonically_increasing_id())
                .repartitionByRange(scan_tasks(docs.sparkSession), *sort).sortWithinPartitions(*sort))
-    return map_rows(ordered.select("doc_id", "ids"), _cut,
-                    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    cut = map_rows(ordered.select("doc_id", "ids"), _cut,
+                   "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return few(cut, rows.count())
